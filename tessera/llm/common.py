@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         ends, total, start = [], 0, 0
         for i, n in enumerate(lengths):
             if total and total + n > limit:
