@@ -49,25 +49,56 @@ def token_features(token: str) -> list[str]:
     return out
 
 
-def text_features(text: str) -> Counter:
-    found: Counter = Counter()
-    for token, n in Counter(text.split()).items():
-        for f in token_features(token):
-            found[f] += n
-    return found
-
-
-def telling(rows: list[tuple[Counter, int]]) -> list[str]:
-    """Features that toxic texts hold significantly more often than other texts: a two-proportion z above 5."""
+class Known(dict):
+    """For each token, the number of the set of known features that it holds (mostly none: 0)."""
+
+    def __init__(self, names: dict[str, int]) -> None:
+        super().__init__()
+        self.names, self.sets, self.held = names, {(): 0}, [()]
+
+    def __missing__(self, token: str) -> int:
+        own = tuple(self.names[f] for f in token_features(token) if f in self.names)
+        if own not in self.sets:
+            self.sets[own] = len(self.held)
+            self.held.append(own)
+        n = self[token] = self.sets[own]
+        return n
+
+    def counts(self, text: str) -> Counter:
+        """Occurrences of each known feature in a text."""
+        tokens = text.split()
+        numbers = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        numbers = numbers[numbers > 0]
+        found: Counter = Counter()
+        if len(numbers):
+            for s, n in zip(*np.unique(numbers, return_counts=True), strict=True):
+                for f in self.held[s]:
+                    found[f] += int(n)
+        return found
+
+
+def telling(rows: list[tuple[str, int]]) -> list[str]:
+    """Features that toxic texts hold significantly more often than other texts: a two-proportion z above 5.
+
+    Only features of ``LEAST`` toxic texts are looked for in the others, so memory follows the toxic texts.
+    """
     n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
-    df = [Counter(), Counter()]
-    for x, y in rows:
-        df[y].update(x.keys())
+    found: Counter = Counter()
+    for text, y in rows:
+        if y:
+            found.update({f for token in set(text.split()) for f in token_features(token)})
+    names = sorted(f for f, a in found.items() if a >= LEAST)
+    known, others = Known({f: k for k, f in enumerate(names)}), np.zeros(len(names))
+    for text, y in rows:
+        if not y:
+            if len(known) > CACHE_WORDS:
+                known = Known(known.names)
+            others[list(known.counts(text))] += 1
     scored = []
-    for f, a in df[1].items():
-        b = df[0][f]
+    for f, b in zip(names, others.tolist(), strict=True):
+        a = found[f]
         p = (a + b) / (n[0] + n[1])
-        if a + b >= LEAST and p < 1:
+        if p < 1:
             z = (a / n[1] - b / max(1, n[0])) / math.sqrt(p * (1 - p) * (1 / n[1] + 1 / max(1, n[0])))
             # seen in toxic texts at three times the rate or more, so that words of one language only don't count
             if z > 5 and a / n[1] >= 3 * b / max(1, n[0]):
@@ -81,16 +112,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int]], steps: int = 600) -> Model:
     """Train on (text, toxic 0 or 1)."""
-    data = [(text_features(t or ""), int(y != 0)) for t, y in rows]
+    data = [(t or "", int(y != 0)) for t, y in rows]
     if not any(y for _, y in data):
         return Model({}, np.array([50.0, 51.0, 52.0]))
     names = telling(data)
-    place = {f: k for k, f in enumerate(names)}
+    known = Known({f: k for k, f in enumerate(names)})
     row, col, val, hits = [], [], [], np.zeros(len(data))
-    for i, (x, _) in enumerate(data):
-        for f in x.keys() & place.keys():
-            row.append(i), col.append(place[f]), val.append(1 + math.log(x[f]))
-            hits[i] += x[f]
+    for i, (text, _) in enumerate(data):
+        if len(known) > CACHE_WORDS:
+            known = Known(known.names)
+        for f, times in sorted(known.counts(text).items()):
+            row.append(i), col.append(f), val.append(1 + math.log(times))
+            hits[i] += times
     row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val)
     toxic = np.array([y for _, y in data], bool)
     cuts = np.quantile(hits[toxic], [1 / 3, 2 / 3])
@@ -125,43 +158,20 @@ def fit(rows: list[tuple[str, int]], steps: int = 600) -> Model:
 class Scorer:
     """Scores texts; remembers, for each token, the known features that it holds (mostly none)."""
 
-    class Known(dict):
-        def __init__(self, names: dict[str, int]) -> None:
-            super().__init__()
-            self.names, self.sets, self.held = names, {(): 0}, [()]
-
-        def __missing__(self, token: str) -> int:
-            own = tuple(self.names[f] for f in token_features(token) if f in self.names)
-            if own not in self.sets:
-                self.sets[own] = len(self.held)
-                self.held.append(own)
-            n = self[token] = self.sets[own]
-            return n
-
     def __init__(self, model: Model) -> None:
         self.bias = model.bias
         self.names = {f: k for k, f in enumerate(model.weights)}
         self.weights = np.array([*model.weights.values(), 0.0])
-        self.known = self.Known(self.names)
+        self.known = Known(self.names)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """P(grade >= k) of each text, one column for each k."""
         if len(self.known) > CACHE_WORDS:
-            self.known = self.Known(self.names)
+            self.known = Known(self.names)
         z = np.zeros(len(texts))
-        look = self.known.__getitem__
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            tokens = t.split()
-            numbers = np.fromiter(map(look, tokens), np.int64, len(tokens))
-            numbers = numbers[numbers > 0]
-            if len(numbers):
-                count: Counter = Counter()
-                for s, n in zip(*np.unique(numbers, return_counts=True), strict=True):
-                    for f in self.known.held[s]:
-                        count[f] += int(n)
-                z[i] = sum(self.weights[f] * (1 + math.log(n)) for f, n in count.items())
+            if t:
+                z[i] = sum(self.weights[f] * (1 + math.log(n)) for f, n in self.known.counts(t).items())
         return sigmoid(z[:, None] - self.bias[None, :])
 
 
