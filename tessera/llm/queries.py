@@ -12,6 +12,7 @@ from tessera.llm import flac as _flac
 from tessera.llm import html as _html
 from tessera.llm import language as _language
 from tessera.llm import merkle as _merkle
+from tessera.llm import neardup as _neardup
 from tessera.llm import packing as _packing
 from tessera.llm import quality as _quality
 from tessera.llm import toxicity as _toxicity
@@ -33,6 +34,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return _language.language(table(spark, folder, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _neardup.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return _bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_language_id": op3_language_id,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_toxicity": op7_toxicity,
         "op8_media_columns": op8_media_columns,
