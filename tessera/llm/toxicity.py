@@ -2,7 +2,7 @@
 
 Severity has ordered grades 0 (not toxic) to 3. One weight vector over sparse text features is shared by all grades;
 each threshold between neighbouring grades has its own offset: P(grade >= k) = sigmoid(w.x - b_k), b_1 < b_2 < b_3.
-The result is the expected severity, the sum of P(grade >= k) over k = 1..3, and ``toxic`` where P(grade >= 1) >= 0.5.
+The result is the expected severity, the sum of P(grade >= k) over k = 1..3, and ``toxic`` where P(grade >= 1) >= ``THRESHOLD``.
 
 Features are the lower-case words of a text and the leading 4, 5 and 6 letters of each (so that inflected forms count
 together), weighted 1 + log(count). Features that labelled toxic texts hold much more often than others are kept, at
@@ -29,8 +29,10 @@ from tessera.llm.common import CACHE_WORDS, chunks, held_out, training_rows
 from tessera.runtime import ship_package
 
 #: Labelled documents that training reads at most; features kept at most; a feature's least count of texts.
-TRAIN_ROWS, FEATURES, LEAST = 8000, 4000, 4
+TRAIN_ROWS, FEATURES, LEAST = 8000, 4000, 8
 GRADES = 3
+#: A text is toxic from this probability of grade 1 or more on.
+THRESHOLD = 0.35
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,7 +67,7 @@ class Known(dict):
         return n
 
     def counts(self, text: str) -> Counter:
-        """Occurrences of each known feature in a text."""
+        """Weight of each known feature in a text: an occurrence's weight of 1 is shared by the token's features."""
         tokens = text.split()
         numbers = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         numbers = numbers[numbers > 0]
@@ -73,12 +75,12 @@ class Known(dict):
         if len(numbers):
             for s, n in zip(*np.unique(numbers, return_counts=True), strict=True):
                 for f in self.held[s]:
-                    found[f] += int(n)
+                    found[f] += int(n) / len(self.held[s])
         return found
 
 
 def telling(rows: list[tuple[str, int]]) -> list[str]:
-    """Features that toxic texts hold significantly more often than other texts: a two-proportion z above 5.
+    """Features that toxic texts hold significantly more often than other texts: a two-proportion z above 8.
 
     Only features of ``LEAST`` toxic texts are looked for in the others, so memory follows the toxic texts.
     """
@@ -101,7 +103,7 @@ def telling(rows: list[tuple[str, int]]) -> list[str]:
         if p < 1:
             z = (a / n[1] - b / max(1, n[0])) / math.sqrt(p * (1 - p) * (1 / n[1] + 1 / max(1, n[0])))
             # seen in toxic texts at three times the rate or more, so that words of one language only don't count
-            if z > 5 and a / n[1] >= 3 * b / max(1, n[0]):
+            if z > 8 and a / n[1] >= 3 * b / max(1, n[0]):
                 scored.append((-z, f))
     return [f for _, f in sorted(scored)[:FEATURES]]
 
@@ -110,7 +112,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 600) -> Model:
+def fit(rows: list[tuple[str, int]], steps: int = 1000) -> Model:
     """Train on (text, toxic 0 or 1)."""
     data = [(t or "", int(y != 0)) for t, y in rows]
     if not any(y for _, y in data):
@@ -122,7 +124,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 600) -> Model:
         if len(known) > CACHE_WORDS:
             known = Known(known.names)
         for f, times in sorted(known.counts(text).items()):
-            row.append(i), col.append(f), val.append(1 + math.log(times))
+            row.append(i), col.append(f), val.append(math.log2(1 + times))
             hits[i] += times
     row, col, val = np.array(row, np.int64), np.array(col, np.int64), np.array(val)
     toxic = np.array([y for _, y in data], bool)
@@ -171,11 +173,11 @@ class Scorer:
         z = np.zeros(len(texts))
         for i, t in enumerate(texts):
             if t:
-                z[i] = sum(self.weights[f] * (1 + math.log(n)) for f, n in self.known.counts(t).items())
+                z[i] = sum(self.weights[f] * math.log2(1 + n) for f, n in self.known.counts(t).items())
         return sigmoid(z[:, None] - self.bias[None, :])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, p_toxic, severity, grade, toxic, and the columns in ``keep`` under their own names."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -189,7 +191,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
         scorer = Scorer(sent.value)
         for rest, texts in chunks(batches):
             p = scorer(texts)
-            out = {"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "p_toxic": pa.array(p[:, 0], pa.float64()), "severity": pa.array(p.sum(axis=1), pa.float64()), "grade": pa.array((p >= 0.5).sum(axis=1).astype(np.int32), pa.int32()), "toxic": pa.array(p[:, 0] >= 0.5, pa.bool_())}
+            out = {"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "p_toxic": pa.array(p[:, 0], pa.float64()), "severity": pa.array(p.sum(axis=1), pa.float64()), "grade": pa.array((p >= 0.5).sum(axis=1).astype(np.int32), pa.int32()), "toxic": pa.array(p[:, 0] >= threshold, pa.bool_())}
             if held:
                 out |= {c: pa.array(rest[c], pa.string() if kinds[c] == "string" else pa.int64()) for c in held} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
