@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +16,26 @@ CHUNK_CHARS = 4_000_000
 CACHE_WORDS = 300_000
 
 
+def cuts(column: pa.Array, limit: int) -> list[int]:
+    """Where to cut a column of texts or bytes so that the parts hold ``limit`` bytes at most (or one row)."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, total = [], 0
+    for i, n in enumerate(lengths):
+        if total and total + n > limit:
+            ends.append(i)
+            total = 0
+        total += int(n)
+    return ends
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[dict[str, list], list[str | None]]]:
     """Cut Arrow batches into chunks of bounded text size: (other columns as lists, texts)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
-        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-        ends, total, start = [], 0, 0
-        for i, n in enumerate(lengths):
-            if total and total + n > limit:
-                ends.append(i)
-                total = 0
-            total += int(n)
-        for end in [*ends, batch.num_rows]:
+        start = 0
+        for end in [*cuts(batch.column(at), limit), batch.num_rows]:
             part = batch.slice(start, end - start)
             start = end
             yield {f.name: part.column(k).to_pylist() for k, f in enumerate(part.schema) if k != at}, part.column(at).to_pylist()
@@ -54,6 +60,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     return [(r["text"], int(r["label"])) for r in found]
 
 
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], np.ndarray]], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is kept.
+
+    ``make`` is called once a task and gives a function from texts to a boolean array. An empty table stays empty.
+    """
+
+    def run(batches):
+        decide = make()
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            start = 0
+            for end in [*cuts(column, CHUNK_CHARS), batch.num_rows]:
+                if end > start:
+                    part = batch.slice(start, end - start)
+                    yield part.filter(pa.array(decide(column.slice(start, end - start).to_pylist())))
+                start = end
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Words(dict):
     """Maps a token to a dense number, growing as tokens come; ``fresh`` holds the ones not yet looked at."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, codepoints, held_out
+from tessera.llm.common import chunks, codepoints, held_out, keep_rows
 from tessera.runtime import ship_package
 
 #: Texts that training reads at most (smallest id hashes first).
@@ -141,27 +141,40 @@ def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     return [(r["text"], r["lang"]) for r in found]
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, and the columns in ``keep``."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row."""
     spark = docs.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)  # a few vectors: fixed size
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    held = [f"kept_{c}" for c in keep]
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in held) + (", text string" if keep else "")
-
     def run(batches):
         predictor = Predictor(sent.value)
         for rest, texts in chunks(batches, limit=2_000_000):
             lang, score = predictor(texts)
-            out = {"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
-            if held:
-                out |= {c: pa.array(rest[c], pa.string() if kinds[c] == "string" else pa.int64()) for c in held} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a learned language.
+
+    Rejected are texts without a letter and texts whose cosine with every centred prototype is 0 or less.
+    """
+    ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, train_rows)))
+
+    def make():
+        predictor = Predictor(sent.value)
+
+        def decide(texts):
+            lang, score = predictor(texts)
+            return np.array([x != "und" for x in lang], bool) & (score > 0)
+
+        return decide
 
-    return own.mapInArrow(run, schema)
+    return keep_rows(docs, make)
 
 
 def language(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CACHE_WORDS, chunks, mix
@@ -239,3 +240,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, small: int = SMALL, bloc
         F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id")).alias("component_id"),
         F.coalesce(F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id")) == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, percent: int = 80, small: int = SMALL, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates: one of each component, the smallest id.
+
+    Rows without words and rows with a null id stay. Of rows that share an id, the one whose text sorts first stays.
+    """
+    found = materialise(near_duplicates(docs, percent, small, block), "near-duplicates")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    gone_side = F.broadcast(gone) if gone.count() <= small else gone
+    repeated = twice.count()
+    kept = docs.join(gone_side, "doc_id", "left_anti")
+    if not repeated:
+        return kept.select(docs.columns)
+    twice_side = F.broadcast(twice) if repeated <= small else twice
+    first = Window.partitionBy("doc_id").orderBy(F.col("text"), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
+    once = kept.join(twice_side, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").select(docs.columns)
+    return kept.join(twice_side, "doc_id", "left_anti").select(docs.columns).unionByName(once)

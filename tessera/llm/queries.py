@@ -11,6 +11,7 @@ from tessera.llm import bpe as _bpe
 from tessera.llm import flac as _flac
 from tessera.llm import html as _html
 from tessera.llm import language as _language
+from tessera.llm import lm as _lm
 from tessera.llm import merkle as _merkle
 from tessera.llm import neardup as _neardup
 from tessera.llm import packing as _packing
@@ -34,6 +35,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return _language.language(table(spark, folder, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return _lm.scores(table(spark, folder, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return _neardup.near_duplicates(table(spark, folder, "documents"), percent=85)
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_language_id": op3_language_id,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_toxicity": op7_toxicity,

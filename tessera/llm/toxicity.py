@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, chunks, held_out, training_rows
+from tessera.llm.common import CACHE_WORDS, chunks, held_out, keep_rows, training_rows
 from tessera.runtime import ship_package
 
 #: Labelled documents that training reads at most; features kept at most; a feature's least count of texts.
@@ -177,26 +177,32 @@ class Scorer:
         return sigmoid(z[:, None] - self.bias[None, :])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, p_toxic, severity, grade, toxic, and the columns in ``keep`` under their own names."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, p_toxic, severity, grade, toxic of every row."""
     spark = docs.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)  # at most FEATURES weights
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    held = [f"kept_{c}" for c in keep]
-    schema = "doc_id long, held_out boolean, p_toxic double, severity double, grade int, toxic boolean" + "".join(f", `{c}` {kinds[c]}" for c in held) + (", text string" if keep else "")
 
     def run(batches):
         scorer = Scorer(sent.value)
         for rest, texts in chunks(batches):
             p = scorer(texts)
-            out = {"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "p_toxic": pa.array(p[:, 0], pa.float64()), "severity": pa.array(p.sum(axis=1), pa.float64()), "grade": pa.array((p >= 0.5).sum(axis=1).astype(np.int32), pa.int32()), "toxic": pa.array(p[:, 0] >= threshold, pa.bool_())}
-            if held:
-                out |= {c: pa.array(rest[c], pa.string() if kinds[c] == "string" else pa.int64()) for c in held} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "p_toxic": pa.array(p[:, 0], pa.float64()), "severity": pa.array(p.sum(axis=1), pa.float64()), "grade": pa.array((p >= 0.5).sum(axis=1).astype(np.int32), pa.int32()), "toxic": pa.array(p[:, 0] >= threshold, pa.bool_())})
 
-    return own.mapInArrow(run, schema)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, held_out boolean, p_toxic double, severity double, grade int, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not toxic."""
+    ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "toxic", train_rows)))
+
+    def make():
+        scorer = Scorer(sent.value)
+        return lambda texts: scorer(texts)[:, 0] < threshold
+
+    return keep_rows(docs, make)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
