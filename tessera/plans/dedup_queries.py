@@ -284,9 +284,9 @@ def top_documents(spark: SparkSession, folder: str) -> DataFrame:
     return nft(spark, folder).groupBy(F.concat("chain", F.lit("/"), "contract").alias("doc")).agg(F.max_by("body", key).alias("text"))
 
 
-@query("d9_bm25_cosine", TOP_SQL + 'SELECT "left", "right", round(CASE WHEN a.body = b.body THEN 1.0 ELSE score END, 4) AS score FROM s JOIN d a ON a.doc = "left" JOIN d b ON b.doc = "right" WHERE score >= 0.12')
+@query("d9_bm25_cosine", TOP_SQL + 'SELECT "left", "right", round(CASE WHEN a.body = b.body THEN 1.0 ELSE score END, 4) AS score FROM s JOIN d a ON a.doc = "left" JOIN d b ON b.doc = "right" WHERE score >= 0.05')
 def bm25_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return metadata.matches(top_documents(spark, folder), 0.12).select("left", "right", F.round("score", 4).alias("score"))
+    return metadata.matches(top_documents(spark, folder), 0.05).select("left", "right", F.round("score", 4).alias("score"))
 
 
 @query("d10_identical_metadata", W + ", f AS (SELECT md5(body) AS m, min(row_order) AS first, count(*) AS n, count(DISTINCT chain || contract) AS contracts FROM nft GROUP BY 1) SELECT first, n, contracts FROM f WHERE n > 1")
