@@ -17,13 +17,14 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks
-from tessera.llm.units import PieceCodec
+from tessera.llm.units import SPACED_WORD, PieceCodec
 from tessera.runtime import ship_package
 
 #: Bins that are open at a time.
@@ -75,24 +76,59 @@ def pieces(tokens: int, size: int) -> Iterator[tuple[int, int]]:
         start, length = start + length, size
 
 
-_TOKENIZERS: dict[str, PieceCodec] = {}
+#: Words that are joined and encoded as one text.
+JOINED = 500
 
 
-def tokenizer(path: str, pattern: str) -> PieceCodec:
-    """The worker's tokenizer with its caches. The library encodes every piece that the caches lack."""
-    if path not in _TOKENIZERS:
+class Encoder:
+    """The library's ids of pieces.
+
+    Pieces of a space and letters are joined and encoded together, which spares most of the library's work for each text:
+    its pattern cuts the text into just these pieces, and a token that begins with a space begins the next one.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
+        self.own = Tokenizer.from_file(path)
+        # a special token's name in a text is ordinary text
+        self.own.encode_special_tokens = True
+        size = self.own.get_vocab_size()
+        self.opens = np.array([(self.own.id_to_token(i) or "").startswith("\u0120") for i in range(size)], bool)
+
+    def alone(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 20_000):
+            out += [np.array(x.ids, np.uint32).tobytes() for x in self.own.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
+        return out
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if SPACED_WORD.fullmatch(p)]
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        rest = sorted(set(range(len(pieces))).difference(words))
+        for group, x in zip(groups, self.own.encode_batch_fast(["".join(pieces[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            first = np.flatnonzero(self.opens[ids]).tolist()
+            if len(first) != len(group) or first[0]:  # another vocabulary than the usual: one by one
+                rest += group
+                continue
+            raw = ids.tobytes()
+            for i, a, b in zip(group, first, [*first[1:], len(ids)], strict=True):
+                out[i] = raw[4 * a : 4 * b]
+        for i, ids in zip(rest, self.alone([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
-        def encode(parts: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for at in range(0, len(parts), 20_000):
-                out += [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in own.encode_batch_fast(parts[at : at + 20_000], add_special_tokens=False)]
-            return out
 
-        _TOKENIZERS[path] = PieceCodec(pattern, encode)
+_TOKENIZERS: dict[str, PieceCodec] = {}
+
+
+def tokenizer(path: str, pattern: str) -> PieceCodec:
+    """The worker's tokenizer with its caches. The library encodes every piece that the caches lack."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = PieceCodec(pattern, Encoder(path))
     return _TOKENIZERS[path]
 
 

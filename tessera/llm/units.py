@@ -7,56 +7,120 @@ through the pattern whole. A unit's encoded form is looked up, and only units no
 
 from __future__ import annotations
 
+import gc
+import re
 from collections.abc import Callable
 
 import regex
 
-#: A space that has white space before it and white space or nothing behind it; and white space that isn't plain.
+#: White space other than the space and the line feed, and the places that units must not be cut at.
+RARE_SPACE = re.compile(r"[^\S \n]")
 AWKWARD = regex.compile(r"\s (?!\S)")
+#: The usual pattern, and what it comes to for units of these characters only (the standard library's engine is faster).
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
+LATIN_USUAL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+#: A unit that is one piece under the usual pattern: a space and letters; and what stands behind the space.
+SPACED_WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A word and one mark behind it, which are two pieces.
+MARKED_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.;:!?]")
+#: Longer units are not kept: they would fill the cache with whole texts.
+LONG_UNIT = 200
+
+
+def awkward(text: str) -> bool:
+    """Whether units of this text would be cut otherwise than the whole text is."""
+    if "  " in text or "\n " in text or RARE_SPACE.search(text):
+        return AWKWARD.search(text) is not None
+    return False
 
 
 class PieceCodec:
-    """Encodes texts to bytes of little-endian 32-bit ids through two bounded caches.
+    """Encodes texts to bytes of little-endian 32-bit ids through caches of two generations.
+
+    A cache that is full becomes the old generation, and what the old one had and nobody asked for again is forgotten: so
+    common words stay, and memory stays bounded however many words there are.
 
     ``encode`` turns a list of distinct pieces (matches of ``pattern``) into a list of such bytes.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000) -> None:
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000) -> None:
         self.pattern, self.encode, self.limit = regex.compile(pattern), encode, limit
+        self.usual = pattern == USUAL
+        #: Ids of pieces other than a space and a word.
         self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        #: Ids of what stands between two spaces, together with the space before it.
+        self.spaced: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def cut(self, unit: str) -> list[str]:
+        if self.usual and LATIN.fullmatch(unit):
+            return LATIN_USUAL.findall(unit)
+        return self.pattern.findall(unit)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text; caches are emptied before a chunk once they are over the limit."""
-        if len(self.pieces) > self.limit:
+        """Ids of every text."""
+        if len(self.pieces) > self.limit // 2:
             self.pieces = {}
-        if len(self.units) > self.limit:
-            self.units = {}
-        cut: list[list[str]] = []
-        new: set[str] = set()
-        for t in texts:
-            if AWKWARD.search(t):
-                own = [t]
-            else:
-                first, *rest = t.split(" ")
-                own = [first, *[" " + x for x in rest]] if rest else [first]
-            cut.append(own)
-            new.update(own)
-        new.difference_update(self.units)
-        found = {u: self.pattern.findall(u) for u in new}
-        missing = {p for own in found.values() for p in own}
-        missing.difference_update(self.pieces)
-        if missing:
-            order = sorted(missing, key=len)
-            self.pieces.update(zip(order, self.encode(order), strict=True))
-        look = self.pieces.__getitem__
-        whole = {}
-        for u, own in found.items():
-            (whole if len(u) > 200 else self.units)[u] = b"".join(map(look, own))
-        if whole:
-            self.units.update(whole)
-        get = self.units.__getitem__
-        out = [b"".join(map(get, own)) for own in cut]
-        for u in whole:  # long units would fill the cache with whole texts
-            del self.units[u]
+        if len(self.spaced) > self.limit:
+            self.old, self.spaced = self.spaced, {}
+        # many small lists live until the end of the call: looking for cycles among them again and again takes long
+        enabled = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if enabled:
+                gc.enable()
+
+    def _back(self, units: set[str]) -> set[str]:
+        """Takes what the old generation knows over; what it doesn't know is returned."""
+        if not self.old:
+            return units
+        known = units & self.old.keys()
+        self.spaced.update(zip(known, map(self.old.__getitem__, known)))
+        return units - known
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [[t] if awkward(t) else t.split(" ") for t in texts]
+        heads = [own.pop(0) for own in cut]
+        spaced = self.spaced
+        new = set().union(*cut).difference(spaced)
+        new = self._back(new)
+        words = set(filter(WORD.fullmatch, new)) if self.usual else set()
+        marked = set(filter(MARKED_WORD.fullmatch, new)) if self.usual else set()
+        found = [(u, self.cut(" " + u)) for u in new.difference(words, marked)]
+        first = {h: self.cut(h) for h in set(heads)}
+        needed = set().union(*[own for _, own in found], *first.values(), {u[-1] for u in marked})
+        if self.usual:  # words of longer units are kept as words, too
+            inner = set(filter(SPACED_WORD.fullmatch, needed))
+            needed -= inner
+            words.update([p[1:] for p in inner], [u[:-1] for u in marked])
+            words = self._back(words.difference(spaced))
+        needed = needed.difference(self.pieces)
+        order = [*needed, *[" " + w for w in words]]
+        made = self.encode(order) if order else []
+        self.pieces.update(zip(needed, made))
+        spaced.update(zip(words, made[len(needed) :], strict=True))
+        pieces = self.pieces
+
+        def ids_of(own: list[str]) -> bytes:
+            return b"".join([pieces[p] if p in pieces else spaced[p[1:]] for p in own])
+
+        for u in marked:
+            spaced[u] = spaced[u[:-1]] + pieces[u[-1]]
+        long = []
+        for u, own in found:
+            spaced[u] = ids_of(own)
+            if len(u) > LONG_UNIT:
+                long.append(u)
+        get = spaced.__getitem__
+        out = [b"".join([ids_of(first[h]), *map(get, own)]) for h, own in zip(heads, cut, strict=True)]
+        for u in long:
+            del spaced[u]
+        for p in [p for p in needed if len(p) > LONG_UNIT]:
+            del pieces[p]
+        for u in [u for u in (*words, *marked) if len(u) > LONG_UNIT]:
+            spaced.pop(u, None)
         return out
