@@ -38,21 +38,44 @@ def roles(moves: DataFrame, held: DataFrame) -> DataFrame:
     return seen.join(v, [*KEY, "address"], "left").select(*KEY, "address", F.when(F.col("v"), "victim").otherwise("operator").alias("role"))
 
 
-def evidence_rows(moves: DataFrame, held: DataFrame, graph: DataFrame, components: DataFrame) -> DataFrame:
-    """chain, contract, address, kind, weight, confidence: what speaks about each address."""
+def evidence_rows(moves: DataFrame, held: DataFrame, graph: DataFrame, components: DataFrame, controllers: DataFrame | None = None, deployers: DataFrame | None = None, flows: DataFrame | None = None, mints: DataFrame | None = None) -> DataFrame:
+    """chain, contract, address, kind, weight, confidence: what speaks about each address, each kind once.
+
+    ``graph``: transfer edges; ``components``: of the sale graph. Optional: controllers and deployers (chain, contract, address),
+    flows (chain, contract, dst, kind), mints (chain, contract, dst).
+    """
+
     def kind(rows: DataFrame, name: str, weight: float, confidence: float) -> DataFrame:
         return rows.select(*KEY, "address").distinct().select(*KEY, "address", F.lit(name).alias("kind"), F.lit(weight).alias("weight"), F.lit(confidence).alias("confidence"))
 
-    sellers = sales_of(moves).groupBy(*KEY, F.col("src").alias("address")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    sold = sales_of(moves)
+    sellers = sold.groupBy(*KEY, F.col("src").alias("address")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     cyclic = components.groupBy(*KEY, "component").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    sender, receiver = F.col("src").alias("address"), F.col("dst").alias("address")
     # fixed values: weights and confidences
-    return (
-        kind(held.withColumnRenamed("owner", "address"), "current_holder", 0.5, 0.75)
-        .unionByName(kind(sellers, "high_volume_seller", 0.75, 0.85))
-        .unionByName(kind(degrees(graph).where("outdegree >= 3"), "star_distributor", 0.75, 0.85))
-        .unionByName(kind(victims(moves, held), "paid_acquisition", 1.0, 1.0))
-        .unionByName(kind(components.join(cyclic, [*KEY, "component"], "left_semi"), "malicious_sale_cycle", 1.0, 0.95))
-    )
+    parts = [
+        kind(held.withColumnRenamed("owner", "address"), "current_holder", 0.5, 0.75),
+        kind(moves.select(*KEY, sender), "event_sender", 0.1, 0.25),
+        kind(moves.select(*KEY, receiver), "event_recipient", 0.1, 0.25),
+        kind(sold.where("usd > 0").select(*KEY, receiver), "paid_acquisition", 0.8, 0.9),
+        kind(moves.select(*KEY, sender), "subsequent_propagation", 0.7, 0.8),
+        kind(components.join(cyclic, [*KEY, "component"], "left_semi"), "malicious_sale_cycle", 0.9, 0.95),
+        kind(sellers, "high_volume_seller", 0.75, 0.85),
+        kind(degrees(graph).where("outdegree >= 3"), "star_distributor", 0.8, 0.9),
+    ]
+    if controllers is not None:
+        parts.append(kind(controllers, "controller_or_authority", 1.0, 1.0))
+    if deployers is not None:
+        parts.append(kind(deployers, "deployment_fee_payer", 1.0, 1.0))
+    if mints is not None:
+        parts.append(kind(mints.select(*KEY, receiver), "mint_recipient", 0.6, 0.7))
+    if flows is not None:
+        parts.append(kind(flows.where("kind = 'withdrawal'").select(*KEY, receiver), "withdrawal_recipient", 0.85, 0.95))
+        parts.append(kind(flows.where("kind = 'cashout'").select(*KEY, receiver), "cashout_participant", 0.65, 0.8))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def wash_cycles(moves: DataFrame, role: DataFrame, least: int = 2) -> DataFrame:

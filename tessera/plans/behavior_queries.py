@@ -186,14 +186,24 @@ def roles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("e3_evidence", W + SALE_SCC + """, x AS (
   SELECT DISTINCT chain, contract, owner AS address, 'current_holder' AS kind, 0.5 AS weight, 0.75 AS confidence FROM holders
+  UNION ALL SELECT DISTINCT chain, contract, src, unnest(['event_sender', 'subsequent_propagation']), unnest([0.1, 0.7]), unnest([0.25, 0.8]) FROM moves
+  UNION ALL SELECT DISTINCT chain, contract, dst, 'event_recipient', 0.1, 0.25 FROM moves
+  UNION ALL SELECT DISTINCT chain, contract, dst, 'paid_acquisition', 0.8, 0.9 FROM sales WHERE usd > 0
   UNION ALL SELECT chain, contract, src, 'high_volume_seller', 0.75, 0.85 FROM sales GROUP BY chain, contract, src HAVING count(*) >= 3
-  UNION ALL SELECT chain, contract, src, 'star_distributor', 0.75, 0.85 FROM moves WHERE NOT is_sale GROUP BY chain, contract, src HAVING count(DISTINCT dst) >= 3
-  UNION ALL SELECT chain, contract, address, 'paid_acquisition', 1.0, 1.0 FROM roles WHERE role = 'victim'
-  UNION ALL SELECT chain, contract, address, 'malicious_sale_cycle', 1.0, 0.95 FROM sscc WHERE (chain, contract, component) IN (SELECT (chain, contract, component) FROM sscc GROUP BY chain, contract, component HAVING count(*) >= 2))
+  UNION ALL SELECT chain, contract, src, 'star_distributor', 0.8, 0.9 FROM moves WHERE NOT is_sale GROUP BY chain, contract, src HAVING count(DISTINCT dst) >= 3
+  UNION ALL SELECT DISTINCT chain, contract, dst, 'mint_recipient', 0.6, 0.7 FROM (SELECT *, row_number() OVER (PARTITION BY chain, contract, token ORDER BY ts, event_id) AS rn FROM moves) WHERE rn = 1
+  UNION ALL SELECT DISTINCT chain, contract, dst, 'withdrawal_recipient', 0.85, 0.95 FROM moves WHERE is_sale AND usd >= 95
+  UNION ALL SELECT DISTINCT chain, contract, dst, 'cashout_participant', 0.65, 0.8 FROM moves WHERE is_sale AND usd < 1
+  UNION ALL SELECT DISTINCT chain, contract, src, 'controller_or_authority', 1.0, 1.0 FROM moves WHERE src < 3
+  UNION ALL SELECT DISTINCT chain, contract, src, 'deployment_fee_payer', 1.0, 1.0 FROM moves WHERE src = 7
+  UNION ALL SELECT chain, contract, address, 'malicious_sale_cycle', 0.9, 0.95 FROM sscc WHERE (chain, contract, component) IN (SELECT (chain, contract, component) FROM sscc GROUP BY chain, contract, component HAVING count(*) >= 2))
   SELECT chain, contract, address, kind, CAST(weight AS DOUBLE) AS weight, CAST(confidence AS DOUBLE) AS confidence FROM x""")
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
     m, held, _ = parts(spark, folder)
-    return behavior.evidence_rows(m, held, graphs.edges(behavior.transfers_of(m)), graphs.strong_components(graphs.edges(behavior.sales_of(m))))
+    people = m.select("chain", "contract", F.col("src").alias("address"))
+    first = m.groupBy("chain", "contract", "token").agg(F.min_by("dst", F.struct("ts", "event_id")).alias("dst"))
+    flows = m.where("is_sale").withColumn("kind", F.when(F.col("usd") >= 95, "withdrawal").when(F.col("usd") < 1, "cashout"))
+    return behavior.evidence_rows(m, held, graphs.edges(behavior.transfers_of(m)), graphs.strong_components(graphs.edges(behavior.sales_of(m))), people.where("address < 3"), people.where("address = 7"), flows, first)
 
 
 NOW = 1_800_000_000
