@@ -11,13 +11,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of the Arrow batches that go to Python workers, where the session has Spark's defaults: documents are long, and
+#: a batch is held several times over (by the JVM, the worker and its chunks).
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it.
 
-    Workers of a real cluster do not see the driver's source folder; ``addPyFile`` serves a small zip to them.
+    Workers of a real cluster do not see the driver's source folder; ``addPyFile`` serves a small zip to them. Arrow batches
+    are made smaller unless the session sets them itself.
     """
+    for key, (default, own) in BATCHES.items():
+        if spark.conf.get(key, default).rstrip("b") == default:
+            spark.conf.set(key, own)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
