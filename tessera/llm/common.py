@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 4_000_000
 #: Entries that a worker's word cache may hold before it is emptied; bounds a Python worker's memory.
 CACHE_WORDS = 300_000
+#: Chunks after which a worker gives freed memory back (as it does at the end of a task).
+RELEASE = 16
 
 
 def cuts(column: pa.Array, limit: int) -> list[int]:
@@ -28,8 +31,18 @@ def cuts(column: pa.Array, limit: int) -> list[int]:
     return ends
 
 
+def release_memory() -> None:
+    """Gives memory that was freed back to the system, where the C library can; workers live long and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[dict[str, list], list[str | None]]]:
     """Cut Arrow batches into chunks of bounded text size: (other columns as lists, texts)."""
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -39,6 +52,10 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             part = batch.slice(start, end - start)
             start = end
             yield {f.name: part.column(k).to_pylist() for k, f in enumerate(part.schema) if k != at}, part.column(at).to_pylist()
+            done += 1
+            if done % RELEASE == 0:
+                release_memory()
+    release_memory()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,6 +93,8 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], n
                     part = batch.slice(start, end - start)
                     yield part.filter(pa.array(decide(column.slice(start, end - start).to_pylist())))
                 start = end
+        del decide
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -25,8 +25,8 @@ from tessera.runtime import ship_package
 TRAIN_ROWS = 4000
 #: Width of the vectors, letters in an n-gram, and letters that own a vector (the commonest; others share one).
 DIM, N, LETTERS = 1024, 3, 120
-#: n-gram vectors that are made at a time.
-SLICE = 4096
+#: n-gram vectors that are made at a time, and texts that are bundled at a time.
+SLICE, TEXTS = 4096, 256
 GAP, OTHER = 0, 1
 
 
@@ -47,7 +47,7 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Symbols of all texts, one after the other, and the text of each. Runs of non-letters become one gap."""
     parts = [f" {t.lower()} " for t in texts]
     code = codepoints("".join(parts))
-    owner = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), np.fromiter(map(len, parts), np.int64, len(parts)))
     small = table[np.minimum(code, len(table) - 1)]
     for at in np.flatnonzero(code >= len(table) - 1):  # beyond the basic plane: rare
         small[at] = OTHER if chr(code[at]).isalpha() else GAP
@@ -56,7 +56,7 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def symbol_table(alphabet: list[int]) -> np.ndarray:
-    table = np.zeros(0x10001, np.int64)
+    table = np.zeros(0x10001, np.int32)
     table[[c for c in range(0x10000) if chr(c).isalpha()]] = OTHER
     for k, c in enumerate(alphabet):
         if c < 0x10000:
@@ -66,6 +66,11 @@ def symbol_table(alphabet: list[int]) -> np.ndarray:
 
 def bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bundled vectors of the texts, and how many letters each has."""
+    made = [_bundles(texts[at : at + TEXTS], table, vectors) for at in range(0, len(texts), TEXTS)]
+    return (np.concatenate([m for m, _ in made]), np.concatenate([n for _, n in made])) if made else (np.zeros((0, DIM), np.float32), np.zeros(0))
+
+
+def _bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     base = len(vectors)
     sym, owner = symbols(texts, table)
     letters = np.bincount(owner, sym != GAP, len(texts))
@@ -73,7 +78,7 @@ def bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[n
     if len(sym) < N:
         return out, letters
     same = np.flatnonzero(owner[: len(sym) - N + 1] == owner[N - 1 :])
-    code = np.zeros(len(same), np.int64)
+    code = np.zeros(len(same), np.int32)
     for k in range(N):
         code = code * base + sym[same + k]
     present = np.zeros(base**N, bool)
@@ -88,8 +93,8 @@ def bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[n
         for k in range(N):
             bound *= np.roll(vectors, k, axis=1)[own // base ** (N - 1 - k) % base]
         mine = (place >= at) & (place < at + SLICE) if len(grams) > SLICE else slice(None)
-        counts = np.bincount(who[mine] * len(own) + place[mine] - at, minlength=len(texts) * len(own))
-        out += counts.reshape(len(texts), len(own)).astype(np.float32) @ bound.astype(np.float32)
+        counts = np.bincount(who[mine].astype(np.int64) * len(own) + place[mine] - at, minlength=len(texts) * len(own))
+        out += counts.astype(np.float32).reshape(len(texts), len(own)) @ bound.astype(np.float32)
     return out, letters
 
 
@@ -149,7 +154,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         predictor = Predictor(sent.value)
-        for rest, texts in chunks(batches, limit=2_000_000):
+        for rest, texts in chunks(batches, limit=1_000_000):
             lang, score = predictor(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
