@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 4_000_000
 #: Entries that a worker's word cache may hold before it is emptied; bounds a Python worker's memory.
 CACHE_WORDS = 300_000
+#: Characters that a training sample holds at most.
+TRAIN_CHARS = 60_000_000
 #: Chunks after which a worker gives freed memory back (as it does at the end of a task).
 RELEASE = 16
 
@@ -63,8 +65,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def within(found: DataFrame, chars: int = TRAIN_CHARS) -> DataFrame:
+    """The rows (doc_id, text, ...) of as many ids, by smallest hash, as hold ``chars`` characters together."""
+    sizes = found.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect()
+    if sum(r["n"] or 0 for r in sizes) <= chars:
+        return found
+    kept, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["n"] or 0
+        if total > chars:
+            break
+        kept.append(r["doc_id"])
+    return found.where(F.col("doc_id").isin(kept))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list:
-    """At most ``rows`` labelled documents outside the held-out fold, as (text, label).
+    """At most ``rows`` labelled documents outside the held-out fold, of ``TRAIN_CHARS`` characters at most, as (text, label).
 
     The sample is the ``rows`` labelled ids of smallest hash, so it does not depend on partitioning or file order.
     Ids are chosen from the narrow label table; only then are texts read, so no task holds more than its share.
@@ -73,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # at most `rows` narrow rows, a documented parameter: a bounded broadcast
-    found = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
+    found = within(texts.join(F.broadcast(picked), "doc_id")).orderBy("doc_id", "text").collect()
     return [(r["text"], int(r["label"])) for r in found]
 
 

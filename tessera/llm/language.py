@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, codepoints, held_out, keep_rows
+from tessera.llm.common import chunks, codepoints, held_out, keep_rows, within
 from tessera.runtime import ship_package
 
 #: Texts that training reads at most (smallest id hashes first).
@@ -142,7 +142,7 @@ def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     """At most ``rows`` texts with a language, outside the held-out fold, by smallest id hash."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text", "lang").limit(2 * rows).collect()
+    found = within(usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")).orderBy("doc_id", "text", "lang").limit(2 * rows).collect()
     return [(r["text"], r["lang"]) for r in found]
 
 

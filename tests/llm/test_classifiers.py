@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import language, quality, toxicity
+from tessera.llm import common, language, quality, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int"
 EDGES = [(None, None, None), (1, "", "en"), (2, "12 34 !!", "fr"), (3, "the the the", None), (3, "the the the", "en"), (4, "x" * 300_000, "en"), (5, "word " * 60_000, "fr"), (6, "the and of that", "en")]
@@ -116,3 +116,10 @@ def test_toxicity_edges(spark, rows):
     assert len(got) == len(rows) and not any(r.toxic for r in got)
     assert toxicity.without_toxic(documents(spark, rows), labels).columns == documents(spark, rows).columns
     assert toxicity.without_toxic(documents(spark, rows), labels).count() == len(rows)
+
+
+def test_training_samples_are_bounded(spark):
+    docs = documents(spark, [(i, "word " * 100, "en") for i in range(40)])
+    found = docs.select("doc_id", "text")
+    assert common.within(found, 10**6).count() == 40
+    assert 0 < common.within(found, 5000).count() <= 10 and common.within(found, 10).count() == 0
