@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Local scratch folders of this process, which go with it.
+_OWN: set[str] = set()
 #: Rows and bytes of the Arrow batches that go to Python workers, where the session has Spark's defaults: documents are long, and
 #: a batch is held several times over (by the JVM, the worker and its chunks).
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
@@ -43,6 +47,9 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = os.path.join(tempfile.gettempdir(), f"tessera-scratch-{os.getpid()}")
+        if found not in _OWN:
+            _OWN.add(found)
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
