@@ -6,7 +6,7 @@ of a block that fall into one hash partition are one row, a sorted column of has
 n-gram is thus one entry a block, however often it occurs, and no partition is hot.
 
 1. Blocks: words, n-grams of order 1 to ``ORDER``, distinct hashes and counts, cut by hash range (written once).
-2. Each hash partition adds the counts of its blocks up and returns to every block the total of each of its n-grams.
+2. Each hash partition adds the counts of its blocks up and returns to every block what its n-grams count in the others.
 3. Each block scores its documents: S(w | u v) is the ratio of counts of u v w and u v where u v w was seen, else
    ``ALPHA`` times S(w | v), down to the word's share of all words; a word never seen counts half.
 
@@ -28,11 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, chunks, mix
+from tessera.llm.common import CACHE_WORDS, chunks, mix, release_memory
 from tessera.runtime import materialise, ship_package
 
 #: Longest n-gram, backoff factor, characters of text in a block.
-ORDER, ALPHA, BLOCK_CHARS = 2, 0.4, 10_000_000
+ORDER, ALPHA, BLOCK_CHARS = 2, 0.4, 6_000_000
+#: Bits that tell n-grams of one hash partition apart. A partition holds a few million n-grams however large the input is, as the
+#: number of partitions follows the input; so about one n-gram in a million shares its bits with another one.
+BITS = 40
 
 
 class WordHashes(dict):
@@ -62,22 +65,36 @@ def grams(words: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray, n
     return hashes, there
 
 
-def to_planes(a: np.ndarray) -> bytes:
-    """Numbers with all first bytes before all second bytes, and so on: the upper ones are mostly 0 and compress away."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+def codes(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Hash partition (by the upper half of a hash) and BITS further bits, as one sortable number."""
+    part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return part << np.uint64(BITS) | hashes & np.uint64((1 << BITS) - 1)
 
 
-def from_planes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in order, how often each occurs, and the place of every element among them; by one sort."""
+    order = np.argsort(a)
+    s = a[order]
+    edge = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
+    start = np.flatnonzero(edge)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(edge) - 1
+    return s[start], np.diff(np.append(start, len(s))), place
+
 
+def packed(a: np.ndarray) -> bytes:
+    """Numbers with all first bytes before all second bytes, and so on, compressed: the upper ones are mostly 0."""
+    planes = a.view(np.uint8).reshape(-1, a.itemsize).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-def bounds(parts: int) -> np.ndarray:
-    """Least hash of each hash partition but the first."""
-    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+
+def unpacked(raw: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-BLOCK_SCHEMA = "block long, part int, hashes binary, counts binary, words long, docs binary, size long"
+BLOCK_SCHEMA = "block long, part int, n long, hashes binary, counts binary, docs binary"
 
 
 def blocks(docs: DataFrame, parts: int, order: int) -> DataFrame:
@@ -94,31 +111,28 @@ def blocks(docs: DataFrame, parts: int, order: int) -> DataFrame:
             nonlocal number, held
             words, doc = words_of(texts, memory)
             hashes, there = grams(words, doc, order)
-            found, counts = np.unique(hashes[there], return_counts=True)
+            own = hashes[there]
             del hashes, there
-            ends = np.append(np.searchsorted(found, bounds(parts)), len(found))
+            found, counts, _ = distinct(codes(own, parts))
+            del own
+            ends = np.searchsorted(found, np.arange(1, parts + 1, dtype=np.uint64) << np.uint64(BITS))
             start = 0
             rows = []
             for p, end in enumerate(ends.tolist()):
                 if end > start:
-                    rows.append((p, to_planes(np.diff(found[start:end], prepend=np.uint64(0))), to_planes(counts[start:end].astype(np.uint32))))
+                    rows.append((p, end - start, packed(np.diff(found[start:end], prepend=np.uint64(p << BITS))), packed(counts[start:end].astype(np.uint32))))
                 start = end
-            packed = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, packed.schema) as out:
-                out.write_batch(packed)
-            raw = sink.getvalue()
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number] * (n + 1), pa.int64()), pa.array([r[0] for r in rows] + [-1], pa.int32()), pa.array([r[1] for r in rows] + [None], pa.binary()), pa.array([r[2] for r in rows] + [None], pa.binary()),
-                    pa.array([None] * n + [len(words)], pa.int64()), pa.array([None] * n + [pa.compress(raw, "zstd", asbytes=True)], pa.binary()), pa.array([None] * n + [raw.size], pa.int64()),
-                ],
-                ["block", "part", "hashes", "counts", "words", "docs", "size"],
-            )
+            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                out.write_batch(batch)
+            rows.append((-1, len(words), None, None))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), *(pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)), pa.array([None] * (len(rows) - 1) + [sink.getvalue().to_pybytes()], pa.binary())], ["block", "part", "n", "hashes", "counts", "docs"])
             number += 1
             held = 0
             ids.clear(), texts.clear()
+            release_memory()
 
         for rest, own in chunks(batches, limit=BLOCK_CHARS):
             for d, t in zip(rest["doc_id"], own, strict=True):
@@ -132,51 +146,57 @@ def blocks(docs: DataFrame, parts: int, order: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
 
-def totals(counts: DataFrame, parts: int) -> DataFrame:
-    """block, part, totals: for each packed row of counts, the corpus count of each of its n-grams."""
+def counted_elsewhere(counts: DataFrame, parts: int) -> DataFrame:
+    """block, part, n, elsewhere: for each packed row of counts, how often each of its n-grams occurs in all other blocks."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int]] = []
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
-            for b, p, h, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for b, p, n, h, c in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 rows.append((b, p))
-                hashes.append(np.cumsum(from_planes(h, np.uint64), dtype=np.uint64))
-                counts.append(from_planes(c, np.uint32))
+                hashes.append(np.cumsum(unpacked(h, np.uint64, n), dtype=np.uint64))
+                counts.append(unpacked(c, np.uint32, n))
         if not rows:
             return
         ends = np.cumsum(list(map(len, hashes)))
-        found, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        every = np.concatenate(hashes)
         hashes.clear()
-        total = np.bincount(place, np.concatenate(counts), len(found)).astype(np.uint64)
+        found, _, place = distinct(every)
+        del every
+        own_counts = np.concatenate(counts).astype(np.uint64)
+        counts.clear()
+        # what a block's n-grams count elsewhere is mostly 0, and so compresses better than the totals
+        elsewhere = np.bincount(place, own_counts, len(found)).astype(np.uint64)[place] - own_counts
         start = 0
         for (b, p), end in zip(rows, ends.tolist(), strict=True):
-            own = to_planes(total[place[start:end]])
+            own = packed(elsewhere[start:end])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int32()), pa.array([end - start], pa.int64()), pa.array([own], pa.binary())], ["block", "part", "n", "elsewhere"])
             start = end
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int32()), pa.array([own], pa.binary())], ["block", "part", "totals"])
+        del place, elsewhere, own_counts, found
+        release_memory()
 
     # a partition holds one hash range: parts grow with spark.sql.shuffle.partitions, which follows the input
-    return counts.repartitionById(parts, F.col("part")).mapInArrow(run, "block long, part int, totals binary")
+    return counts.repartitionById(parts, F.col("part")).mapInArrow(run, "block long, part int, n long, elsewhere binary")
 
 
-def score_block(texts: list[str], total: np.ndarray, corpus: int, order: int, memory: WordHashes, alpha: float = ALPHA) -> dict[str, np.ndarray]:
-    """Scores of a block's documents; ``total`` has the corpus count of each of its distinct n-grams by ascending hash."""
+def score_block(texts: list[str], elsewhere: np.ndarray, corpus: int, order: int, parts: int, memory: WordHashes, alpha: float = ALPHA) -> dict[str, np.ndarray]:
+    """Scores of a block's documents; ``elsewhere``: occurrences of each of its distinct n-grams, by ascending code, in all other blocks."""
     words, doc = words_of(texts, memory)
     hashes, there = grams(words, doc, order)
-    found = np.unique(hashes[there])
+    _, inside, every = distinct(codes(hashes[there], parts))
+    total = elsewhere.astype(np.int64) + inside
     n_words = np.bincount(doc, minlength=len(texts))
     rest = np.maximum(corpus - n_words, 1).astype(np.float64)[doc]
     count = np.zeros(hashes.shape, np.int64)  # occurrences outside the document
+    start = 0
     for n in range(order):
         at = np.flatnonzero(there[n])
-        place = np.searchsorted(found, hashes[n, at])
-        key = doc[at].astype(np.int64) * len(found) + place
-        sort = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.append(True, key[sort][1:] != key[sort][:-1]))
-        own = np.empty(len(at), np.int64)
-        own[sort] = np.repeat(np.diff(np.append(edge, len(at))), np.diff(np.append(edge, len(at))))
-        count[n, at] = total[place].astype(np.int64) - own
+        place = every[start : start + len(at)]
+        start += len(at)
+        _, times, which = distinct(doc[at].astype(np.int64) * len(total) + place)
+        count[n, at] = total[place] - times[which]
     value = np.where(count[0] > 0, count[0], 0.5) / rest
     level = np.where(count[0] > 0, 1, 0)
     for n in range(1, order):
@@ -194,32 +214,33 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ship_package(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made = materialise(blocks(docs, parts, order), "lm-blocks")
-    corpus = int(made.where("part = -1").agg(F.sum("words")).first()[0] or 0)
-    found = totals(made.where("part >= 0").select("block", "part", "hashes", "counts"), parts).select("block", "part", "totals", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("long").alias("size"))
-    texts = made.where("part = -1").select("block", "part", F.lit(None).cast("binary").alias("totals"), "docs", "size")
+    corpus = int(made.where("part = -1").agg(F.sum("n")).first()[0] or 0)
+    found = counted_elsewhere(made.where("part >= 0").select("block", "part", "n", "hashes", "counts"), parts).select("block", "part", "n", "elsewhere", F.lit(None).cast("binary").alias("docs"))
+    texts = made.where("part = -1").select("block", "part", "n", F.lit(None).cast("binary").alias("elsewhere"), "docs")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
-        block, packed, size, got = None, None, 0, []
+        block, docs_, got = None, None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if packed is None:
+            if docs_ is None:
                 return
-            batch = pa.ipc.open_stream(pa.decompress(packed, decompressed_size=size, codec="zstd")).read_all()
-            total = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            out = score_block(batch["text"].to_pylist(), total, corpus, order, memory)
+            batch = pa.ipc.open_stream(docs_).read_all()
+            elsewhere = np.concatenate(got) if got else np.zeros(0, np.uint64)
+            out = score_block(batch["text"].to_pylist(), elsewhere, corpus, order, parts, memory)
             mean = np.divide(out["score_sum"], out["n_words"], out=np.full(len(out["n_words"]), np.nan), where=out["n_words"] > 0)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].combine_chunks().cast(pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "score_sum": pa.array(out["score_sum"], pa.float64()), "score_mean": pa.array(mean, pa.float64(), mask=out["n_words"] == 0), "backed_off": pa.array(out["backed_off"], pa.int64()), "unseen": pa.array(out["unseen"], pa.int64())})
 
         for batch in batches:
-            for b, p, t, d, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for b, p, n, t, d in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if b != block:
                     yield from close()
-                    block, packed, size, got = b, None, 0, []
+                    release_memory()
+                    block, docs_, got = b, None, []
                 if p < 0:
-                    packed, size = d, s
+                    docs_ = d
                 else:
-                    got.append(from_planes(t, np.uint64))
+                    got.append(unpacked(t, np.uint64, n))
         yield from close()
 
     both = texts.unionByName(found).repartition("block").sortWithinPartitions("block", "part")

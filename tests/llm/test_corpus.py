@@ -139,7 +139,8 @@ def test_planes_round_trip():
     import numpy as np
 
     a = np.array([0, 1, 2**63, 7], np.uint64)
-    assert (lm.from_planes(lm.to_planes(a), np.uint64) == a).all()
+    assert (lm.unpacked(lm.packed(a), np.uint64, 4) == a).all()
+    assert (lm.codes(np.array([0, 2**64 - 1], np.uint64), 7) >> np.uint64(lm.BITS)).tolist() == [0, 6]
 
 
 def test_stages_work_on_what_came_through(spark, small):
