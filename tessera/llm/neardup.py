@@ -9,8 +9,10 @@
    are formed; that loses nothing.
 3. Every class is tied to the smallest class of each of its keys. Components of these ties are clusters of candidates.
 4. Inside a cluster the full sets, made again from the texts, are compared exactly, all against all by counting shared
-   shingles over an inverted index. Large clusters are split into blocks, and every pair of blocks is a task of its own, so
-   a task holds a bounded number of shingles however large a cluster is. A task passes on a spanning forest of its links.
+   shingles over an inverted index. Large clusters are split into blocks. Every block is first compared with some pivots of
+   the cluster, which ties most copies of one text together; pairs inside the largest component so found need no further
+   look, so only the documents outside it are compared with all blocks. Each block pair is a task of its own and holds a
+   bounded number of shingles however large a cluster is. A task passes on a spanning forest of its links.
 5. Components of the confirmed links are the result.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; fewer than five words
@@ -36,8 +38,8 @@ from tessera.runtime import materialise, ship_package
 
 #: Words of a shingle, minhashes of a small sketch, chance to miss a pair at the threshold.
 WORDS, R, MISS = 5, 5, 1e-5
-#: Shingles that a block of a cluster holds (a comparing task holds two blocks).
-BLOCK_SHINGLES = 500_000
+#: Shingles that a block of a cluster holds (a comparing task holds two blocks), and pivots of a large cluster.
+BLOCK_SHINGLES, PIVOTS = 500_000, 16
 #: Candidate documents that are sent to all tasks with their cluster; beyond that they are joined.
 SMALL = 1_000_000
 #: Shingles that are minhashed at a time.
@@ -60,7 +62,8 @@ def shingles(text: str | None, memory: WordHashes) -> np.ndarray:
     out = np.full(len(h) - width + 1, np.uint64(width))
     for k in range(width):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def sketches_needed(threshold: float) -> int:
@@ -174,18 +177,11 @@ def forest(nodes: list[int], own: list[np.ndarray], other: list[bool] | None, pe
     return out
 
 
-def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: int, small: int, block: int) -> DataFrame:
-    """u, v: links between the members of each cluster, checked on full sets."""
-    spark = docs.sparkSession
-    member = clusters.select(F.col("node"), F.col("component").alias("cluster"))
-    total = member.join(sizes, "node").groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
-    member = materialise(member.join(total, "cluster"), "members")
-    side = F.broadcast(member) if member.count() <= small else member
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(side, "node")
-    place = F.pmod(F.xxhash64(F.col("node")), F.col("blocks")).cast("int")
-    dealt = own.withColumn("b", place).select("node", "text", "cluster", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    dealt = dealt.select("node", "text", "cluster", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), (F.col("b") > F.col("x")).alias("second"))
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+def compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """u, v: links inside each task (cluster, i, j) of rows (node, text, second).
+
+    With i = j all sets of the task are compared with one another, else those of the first kind with those of the second.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -216,8 +212,45 @@ def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: i
         close()
         yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in links], pa.int64()) for j in (0, 1)], ["u", "v"])
 
-    ship_package(spark)
-    return dealt.mapInArrow(run, "u long, v long")
+    rows = dealt.select("node", "text", "cluster", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "second")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "u long, v long")
+
+
+def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: int, small: int, block: int) -> DataFrame:
+    """u, v: links between the members of each cluster, checked on full sets."""
+    member = clusters.select(F.col("node"), F.col("component").alias("cluster")).join(sizes, "node")
+    total = member.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    member = materialise(member.join(total, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+
+    def with_text(tasks: DataFrame) -> DataFrame:
+        """Tasks (node, cluster, i, j, second) with the texts; the small side goes to all tasks only up to a measured size."""
+        return texts.join(F.broadcast(tasks) if tasks.count() <= small else tasks, "node")
+
+    no = F.lit(False)
+    links = compared(with_text(member.where("blocks = 1").select("node", "cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), no.alias("second"))), percent)
+    large = member.where("blocks > 1")
+    if not large.limit(1).count():
+        return links
+
+    # every block against the cluster's pivots (a limit of the window keeps few rows of a cluster before the shuffle)
+    first = Window.partitionBy("cluster").orderBy(F.xxhash64("node", "cluster"), "node")
+    pivots = large.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS)
+    tasks = large.select("node", "cluster", F.lit(-1).alias("i"), F.col("b").alias("j"), no.alias("second"))
+    tasks = tasks.unionByName(pivots.select("node", "cluster", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("second")))
+    tied = materialise(compared(with_text(materialise(tasks, "pivot-tasks")), percent), "pivot-links")
+    links = links.unionByName(tied)
+
+    # what is outside the cluster's largest component, against all blocks
+    state = large.join(components(tied, "pivot-components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = state.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    outside = materialise(state.join(main, "cluster").where("component != main").select("node", "cluster", "n", "b", "blocks"), "outside")
+    rounds = outside.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("groups"))
+    mine = outside.join(rounds, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), "groups").cast("int"))
+    offset = 1 << 30  # tells the second kind's blocks from the first kind's
+    tasks = mine.select("node", "cluster", "i", F.explode(F.sequence(F.lit(offset), F.col("blocks") - 1 + offset)).alias("j"), no.alias("second"))
+    tasks = tasks.unionByName(large.join(rounds, "cluster").select("node", "cluster", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), (F.col("b") + offset).alias("j"), F.lit(True).alias("second")))
+    return links.unionByName(compared(with_text(materialise(tasks, "outside-tasks")), percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, small: int = SMALL, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -229,17 +262,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, small: int = SMALL, bloc
     sizes = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"))
     links = confirmed(docs, clusters, sizes, percent, small, block)
     # rows of one class are linked through its smallest id; rows of one id are one document
-    classes = found.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    rows = found.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
+    # (a class may hold a third of all rows: with both sides of the join read from files, Spark can split its partition)
+    classes = materialise(found.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = materialise(found.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "class-members")
     repeated = rows.where("doc_id != rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
     more = repeated.select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links.unionByName(more), "confirmed-links")
-    return rows.join(joined, rows["rep"] == joined["node"], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id")) == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id")))
+    return rows.join(joined, rows["rep"] == joined["node"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def representatives(docs: DataFrame, percent: int = 80, small: int = SMALL, block: int = BLOCK_SHINGLES) -> DataFrame:
