@@ -282,9 +282,8 @@ def decode_frames(data: np.ndarray, raw: bytes, at: np.ndarray) -> tuple[np.ndar
     p = p + 6
 
     # where the next 1 is, from every bit on
-    lo, hi = int(p.min()) // 8, min(len(pad), int(at.max()) + 8 * (BLOCK + 64))
-    hi = max(hi, len(data)) + 8 if hi >= len(data) else hi
-    own = np.unpackbits(pad[lo : min(hi, len(pad))])
+    lo, hi = int(p.min()) // 8, min(len(pad), int(at.max()) + 16 * int(n.max()) + 64)
+    own = np.unpackbits(pad[lo:hi])
     ones = np.where(own, np.arange(len(own), dtype=np.int32), np.int32(2**31 - 1))
     ones = np.minimum.accumulate(ones[::-1])[::-1]
     base = 8 * lo

@@ -33,6 +33,8 @@ SHARE, LEAST = 0.8, 4
 SMALL = 16_000_000
 #: Subtree comparisons that a worker remembers, and partial counts that a task holds before it passes them on.
 MEMORY, HELD = 200_000, 100_000
+#: Levels of a tree that are aligned.
+DEEPEST = 100
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg object canvas math audio video".split())
@@ -145,7 +147,13 @@ def declared_aside(node: Node, in_article: bool) -> bool:
 
 
 def holds_article(node: Node) -> bool:
-    return any(c.tag in ("article", "main") or holds_article(c) for c in node.elements())
+    stack = [node]
+    while stack:
+        for c in stack.pop().elements():
+            if c.tag in ("article", "main"):
+                return True
+            stack.append(c)
+    return False
 
 
 class Block:
@@ -216,15 +224,19 @@ def label(node: Node) -> str:
 
 
 def sign(node: Node) -> tuple:
-    """The shape of a subtree without inline elements: equal shapes align alike, so they are compared once."""
-    order, stack = [], [node]
+    """The shape of a subtree without inline elements: equal shapes align alike, so they are compared once.
+
+    What lies deeper than ``DEEPEST`` is left out: it has no partner, and so is never template.
+    """
+    order, stack = [], [(node, 0)]
     while stack:
-        x = stack.pop()
-        order.append(x)
-        stack += shape(x)
-    for x in reversed(order):
+        x, depth = stack.pop()
+        order.append((x, depth))
+        if depth < DEEPEST:
+            stack += [(c, depth + 1) for c in shape(x)]
+    for x, depth in reversed(order):
         if x.sign is None:
-            x.sign = (label(x), tuple(c.sign for c in shape(x)))
+            x.sign = (label(x), tuple(c.sign for c in shape(x)) if depth < DEEPEST else ())
     return node.sign
 
 
@@ -318,7 +330,8 @@ def skeleton_json(root: Node) -> str:
     while stack:
         x, depth = stack.pop()
         out.append([depth, x.tag, x.mark])
-        stack += [(c, depth + 1) for c in shape(x)[::-1]]
+        if depth < DEEPEST:
+            stack += [(c, depth + 1) for c in shape(x)[::-1]]
     return json.dumps(out, separators=(",", ":"))
 
 

@@ -146,6 +146,13 @@ def test_html_deep_and_broken():
     assert html.main_text(html.parse("<p>a < b &lt; c <3</p></div>d<script>e"), set(), {}) == "a < b < c <3 d"
 
 
+def test_deep_pages_do_not_break_induction(spark):
+    deep = ["<header>" + "<div class=x>" * 5000 + f"page {i}" + "</div>" * 5000 + f"</header><main><div><p>text {i}" for i in range(6)]
+    rows = [(i, "http://d.example/", h) for i, h in enumerate(deep)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"text {i}" for i in range(6)}
+
+
 def test_merkle_tests_equality_and_locates_edits():
     text = "\n".join(" ".join(RNG.choice("abcdefgh") * RNG.randint(1, 6) for _ in range(30)) for _ in range(20))
     words = text.replace("\n", " \n ").split(" ")
