@@ -185,7 +185,7 @@ def codec(path: str, pattern: str) -> tuple[Ranks, PieceCodec]:
     """The worker's rank table and caches for a vocabulary file."""
     if (path, pattern) not in _CODECS:
         ranks = Ranks.load(path)
-        _CODECS[path, pattern] = ranks, PieceCodec(pattern, ranks.encode_pieces)
+        _CODECS[path, pattern] = ranks, PieceCodec(pattern, lambda pieces, words: ranks.encode_pieces([*pieces, *[" " + w for w in words]]))
     return _CODECS[path, pattern]
 
 

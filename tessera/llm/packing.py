@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks
-from tessera.llm.units import SPACED_WORD, PieceCodec
+from tessera.llm.units import PieceCodec
 from tessera.runtime import ship_package
 
 #: Bins that are open at a time.
@@ -78,24 +78,40 @@ def pieces(tokens: int, size: int) -> Iterator[tuple[int, int]]:
 
 #: Words that are joined and encoded as one text.
 JOINED = 500
+#: What a byte-level vocabulary writes for a space, and for the two bytes of a letter from À to ÿ.
+SPACE = "\u0120"
+
+
+def byte_letters() -> dict[int, str]:
+    """The vocabulary's spelling of bytes: printable ones (Latin-1) stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    spelled = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Encoder:
-    """The library's ids of pieces.
+    """The library's ids of pieces, and of words with a space before them.
 
-    Pieces of a space and letters are joined and encoded together, which spares most of the library's work for each text:
-    its pattern cuts the text into just these pieces, and a token that begins with a space begins the next one.
+    Words are joined and encoded together, which spares most of the library's work for each text. Under a byte-level
+    vocabulary they are spelled as the vocabulary spells them and cut at blanks, which spares its pattern, too; a token
+    that begins with a space begins the next word.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
         # a special token's name in a text is ordinary text
         self.own.encode_special_tokens = True
-        size = self.own.get_vocab_size()
-        self.opens = np.array([(self.own.id_to_token(i) or "").startswith("\u0120") for i in range(size)], bool)
+        self.opens = np.array([(self.own.id_to_token(i) or "").startswith(SPACE) for i in range(self.own.get_vocab_size())], bool)
+        self.plain = None
+        self.spelling = byte_letters()
+        if isinstance(self.own.pre_tokenizer, pre_tokenizers.ByteLevel) and self.own.normalizer is None:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def alone(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -103,24 +119,30 @@ class Encoder:
             out += [np.array(x.ids, np.uint32).tobytes() for x in self.own.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
         return out
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(pieces)
-        words = [i for i, p in enumerate(pieces) if SPACED_WORD.fullmatch(p)]
-        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-        rest = sorted(set(range(len(pieces))).difference(words))
-        for group, x in zip(groups, self.own.encode_batch_fast(["".join(pieces[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+    def words(self, words: list[str]) -> list[bytes]:
+        if self.plain is None:
+            return self.alone([" " + w for w in words])
+        out: list[bytes] = [b""] * len(words)
+        ascii_ = [i for i, w in enumerate(words) if w.isascii()]
+        rest = sorted(set(range(len(words))).difference(ascii_))
+        groups = [own[at : at + JOINED] for own in (ascii_, rest) for at in range(0, len(own), JOINED)]
+        texts = []
+        for group in groups:
+            joined = f" {SPACE}".join([words[i] for i in group])
+            texts.append(SPACE + (joined if words[group[0]].isascii() else joined.translate(self.spelling)))
+        for group, x in zip(groups, self.plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(x.ids, np.uint32)
             first = np.flatnonzero(self.opens[ids]).tolist()
-            if len(first) != len(group) or first[0]:  # another vocabulary than the usual: one by one
-                rest += group
-                continue
+            if len(first) != len(group):
+                raise ValueError("the vocabulary does not spell words as byte-level vocabularies do")
             raw = ids.tobytes()
             for i, a, b in zip(group, first, [*first[1:], len(ids)], strict=True):
                 out[i] = raw[4 * a : 4 * b]
-        for i, ids in zip(rest, self.alone([pieces[i] for i in rest]), strict=True):
-            out[i] = ids
         return out
 
+    def __call__(self, pieces: list[str], words: list[str]) -> list[bytes]:
+        return self.alone(pieces) + self.words(words)
+
 
 _TOKENIZERS: dict[str, PieceCodec] = {}
 
@@ -139,7 +161,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, open_bins:
     def run(batches):
         cut = tokenizer(path, pattern)
         bins = Bins(size, open_bins, TaskContext.get().partitionId() << 40)
-        for rest, texts in chunks(batches):
+        for rest, texts in chunks(batches, limit=1_000_000):  # small: a chunk's words are held one by one
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")}
             for doc, ids in zip(rest["doc_id"], cut([t or "" for t in texts]), strict=True):
                 ids += SEPARATOR

@@ -29,9 +29,13 @@ MARKED_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.;:!?]")
 LONG_UNIT = 200
 
 
+RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
 def awkward(text: str) -> bool:
     """Whether units of this text would be cut otherwise than the whole text is."""
-    if "  " in text or "\n " in text or RARE_SPACE.search(text):
+    rare = any([c in text for c in RARE_ASCII]) if text.isascii() else RARE_SPACE.search(text)
+    if "  " in text or "\n " in text or rare:
         return AWKWARD.search(text) is not None
     return False
 
@@ -42,10 +46,11 @@ class PieceCodec:
     A cache that is full becomes the old generation, and what the old one had and nobody asked for again is forgotten: so
     common words stay, and memory stays bounded however many words there are.
 
-    ``encode`` turns a list of distinct pieces (matches of ``pattern``) into a list of such bytes.
+    ``encode`` turns distinct pieces (matches of ``pattern``), and words that stand for a piece with a space before it, into
+    a list of such bytes, the pieces' first.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000) -> None:
+    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[bytes]], limit: int = 500_000) -> None:
         self.pattern, self.encode, self.limit = regex.compile(pattern), encode, limit
         self.usual = pattern == USUAL
         #: Ids of pieces other than a space and a word.
@@ -89,8 +94,9 @@ class PieceCodec:
         new = set().union(*cut).difference(spaced)
         new = self._back(new)
         words = set(filter(WORD.fullmatch, new)) if self.usual else set()
+        new -= words
         marked = set(filter(MARKED_WORD.fullmatch, new)) if self.usual else set()
-        found = [(u, self.cut(" " + u)) for u in new.difference(words, marked)]
+        found = [(u, self.cut(" " + u)) for u in new - marked]
         first = {h: self.cut(h) for h in set(heads)}
         needed = set().union(*[own for _, own in found], *first.values(), {u[-1] for u in marked})
         if self.usual:  # words of longer units are kept as words, too
@@ -99,8 +105,7 @@ class PieceCodec:
             words.update([p[1:] for p in inner], [u[:-1] for u in marked])
             words = self._back(words.difference(spaced))
         needed = needed.difference(self.pieces)
-        order = [*needed, *[" " + w for w in words]]
-        made = self.encode(order) if order else []
+        made = self.encode(list(needed), list(words)) if needed or words else []
         self.pieces.update(zip(needed, made))
         spaced.update(zip(words, made[len(needed) :], strict=True))
         pieces = self.pieces

@@ -41,7 +41,7 @@ def test_matrix_and_heap_merge_alike():
 
 
 def test_caches_stay_bounded(library):
-    codec = PieceCodec(P.PATTERN, bpe.codec(MULTI, P.PATTERN)[0].encode_pieces, limit=5)
+    codec = PieceCodec(P.PATTERN, lambda pieces, words: bpe.codec(MULTI, P.PATTERN)[0].encode_pieces([*pieces, *[" " + w for w in words]]), limit=5)
     for text in ODD[:60]:
         assert np.frombuffer(codec([text])[0], np.uint32).tolist() == library.encode_ordinary(text)
         assert all(len(k) <= 200 for k in codec.spaced)
@@ -61,6 +61,15 @@ def test_round_trip_query(spark, rows, library):
     assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t in rows)
 
 
+def test_words_by_the_shorter_way_have_the_librarys_ids():
+    own = Tokenizer.from_file(PLAIN)
+    words = ["".join(RNG.choice("abcdefgABCéèÀüßñøÿ") for _ in range(RNG.randint(1, 14))) for _ in range(3000)]
+    encoder = packing.Encoder(PLAIN)
+    assert encoder.plain is not None
+    for w, ids in zip(words, encoder([], words), strict=True):
+        assert np.frombuffer(ids, np.uint32).tolist() == own.encode(" " + w, add_special_tokens=False).ids
+
+
 def check_packing(rows, got, size):
     own = Tokenizer.from_file(PLAIN)
     own.encode_special_tokens = True
