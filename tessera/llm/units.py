@@ -50,7 +50,7 @@ class PieceCodec:
     a list of such bytes, the pieces' first.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[bytes]], limit: int = 500_000) -> None:
+    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[bytes]], limit: int = 350_000) -> None:
         self.pattern, self.encode, self.limit = regex.compile(pattern), encode, limit
         self.usual = pattern == USUAL
         #: Ids of pieces other than a space and a word.
