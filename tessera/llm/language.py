@@ -5,8 +5,13 @@ p is rotated p times and the rotated vectors are multiplied element by element.
 its n-grams; a language's prototype bundles the texts of that language. A text gets the language whose prototype has
 the largest cosine with it, after the mean of all prototypes, which says nothing about a language, is taken off both.
 
-Defined results: ``und`` with score 0 where the text is null or has no letter, or where no language was learned;
-a tie goes to the first language by name; repeated rows get equal results; extra columns are ignored.
+A text is in that language if its n-grams have, on average, at least ``SHARE`` of the projection on the language's
+(uncentred) prototype that the n-grams of the language's training texts have in the median, each training text against
+the prototype of the others. Noise and languages that were not learned project far less. The average does not depend on
+the length of a text; of very short texts it is less certain.
+
+Defined results: ``und`` with score 0 where the text is null or has no letter, is in no learned language, or where no
+language was learned; a tie goes to the first language by name; repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ TRAIN_ROWS = 4000
 DIM, N, LETTERS = 1024, 3, 120
 #: n-gram vectors that are made at a time, and texts that are bundled at a time.
 SLICE, TEXTS = 4096, 256
+#: Part of the median projection of a language's training texts that a text of the language has at least.
+SHARE = 0.5
 GAP, OTHER = 0, 1
 
 
@@ -36,6 +43,8 @@ class Model:
     alphabet: list[int]  # code points, commonest first
     centre: np.ndarray  # DIM
     prototypes: np.ndarray  # languages x DIM, centred and of length 1
+    own: np.ndarray  # languages x DIM, not centred, of length 1
+    least: np.ndarray  # languages: the least average projection of an n-gram on ``own``
 
 
 def letter_vectors(count: int) -> np.ndarray:
@@ -64,19 +73,19 @@ def symbol_table(alphabet: list[int]) -> np.ndarray:
     return table
 
 
-def bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled vectors of the texts, and how many letters each has."""
+def bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bundled vectors of the texts, and how many letters and how many n-grams each has."""
     made = [_bundles(texts[at : at + TEXTS], table, vectors) for at in range(0, len(texts), TEXTS)]
-    return (np.concatenate([m for m, _ in made]), np.concatenate([n for _, n in made])) if made else (np.zeros((0, DIM), np.float32), np.zeros(0))
+    return tuple(map(np.concatenate, zip(*made, strict=True))) if made else (np.zeros((0, DIM), np.float32), np.zeros(0), np.zeros(0, np.int64))
 
 
-def _bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = len(vectors)
     sym, owner = symbols(texts, table)
     letters = np.bincount(owner, sym != GAP, len(texts))
     out = np.zeros((len(texts), DIM), np.float32)
     if len(sym) < N:
-        return out, letters
+        return out, letters, np.zeros(len(texts), np.int64)
     same = np.flatnonzero(owner[: len(sym) - N + 1] == owner[N - 1 :])
     code = np.zeros(len(same), np.int32)
     for k in range(N):
@@ -95,7 +104,7 @@ def _bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[
         mine = (place >= at) & (place < at + SLICE) if len(grams) > SLICE else slice(None)
         counts = np.bincount(who[mine].astype(np.int64) * len(own) + place[mine] - at, minlength=len(texts) * len(own))
         out += counts.astype(np.float32).reshape(len(texts), len(own)) @ bound.astype(np.float32)
-    return out, letters
+    return out, letters, np.bincount(who, minlength=len(texts))
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -114,13 +123,26 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     table, vectors = symbol_table(alphabet), letter_vectors(len(alphabet) + 2)
     languages = sorted({lang for _, lang in rows})
     sums = np.zeros((len(languages), DIM), np.float64)
+    each = [(np.zeros((0, DIM), np.float32), np.zeros(0))]
+    which = np.array([languages.index(lang) for _, lang in rows], np.int64)
     for at in range(0, len(rows), 200):
-        part = rows[at : at + 200]
-        made = unit(bundles([t for t, _ in part], table, vectors)[0])
-        np.add.at(sums, [languages.index(lang) for _, lang in part], made)
+        made, _, grams = bundles([t for t, _ in rows[at : at + 200]], table, vectors)
+        np.add.at(sums, which[at : at + 200], unit(made))
+        each.append((unit(made), np.divide(np.linalg.norm(made, axis=1), grams, out=np.zeros(len(made)), where=grams > 0)))
     own = unit(sums)
     centre = own.mean(axis=0) if len(languages) > 1 else np.zeros(DIM)
-    return Model(languages, alphabet, centre.astype(np.float32), unit(own - centre).astype(np.float32))
+    vector, length = (np.concatenate(x) for x in zip(*each, strict=True))
+    least = np.array([least_projection(sums[k], vector[which == k], length[which == k]) for k in range(len(languages))], np.float32)
+    return Model(languages, alphabet, centre.astype(np.float32), unit(own - centre).astype(np.float32), own.astype(np.float32), least)
+
+
+def least_projection(total: np.ndarray, made: np.ndarray, length: np.ndarray) -> float:
+    """``SHARE`` of the median projection of a language's training texts, each on the sum of all others; 0 where there are no others."""
+    # (total - x) . x and |total - x|, of all x of length 1, without a copy of the texts' vectors
+    dot, there = made @ total, (length > 0).astype(float)
+    rest = np.sqrt(np.maximum(total @ total - 2 * dot + there, 0))
+    known = (length > 0) & (rest > 1e-3)
+    return SHARE * max(float(np.median(length[known] * (dot - there)[known] / rest[known])), 0.0) if known.any() else 0.0
 
 
 class Predictor:
@@ -128,12 +150,13 @@ class Predictor:
         self.model, self.table, self.vectors = model, symbol_table(model.alphabet), letter_vectors(len(model.alphabet) + 2)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        made, letters = bundles([t or "" for t in texts], self.table, self.vectors)
+        made, letters, grams = bundles([t or "" for t in texts], self.table, self.vectors)
         if not self.model.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         cosine = unit(unit(made) - self.model.centre) @ self.model.prototypes.T
         best = cosine.argmax(axis=1)
-        known = letters > 0
+        projection = (made * self.model.own[best]).sum(axis=1) / np.maximum(grams, 1)
+        known = (letters > 0) & (projection > 0) & (projection >= self.model.least[best])
         score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
         return [self.model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score.astype(np.float64)
 
@@ -165,7 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def with_language(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is in a learned language.
 
-    Rejected are texts without a letter and texts whose cosine with every centred prototype is 0 or less.
+    Rejected are texts without a letter and texts whose n-grams project too little on the nearest prototype.
     """
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, train_rows)))
@@ -174,8 +197,7 @@ def with_language(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
         predictor = Predictor(sent.value)
 
         def decide(texts):
-            lang, score = predictor(texts)
-            return np.array([x != "und" for x in lang], bool) & (score > 0)
+            return np.array([x != "und" for x in predictor(texts)[0]], bool)
 
         return decide
 

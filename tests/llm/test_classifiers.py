@@ -78,6 +78,20 @@ def test_language_vectors_by_hand():
     assert (language.bundles(["ab"], table, vectors)[0][0] == want).all()
 
 
+def test_language_rejects_what_was_not_learned(spark, larger):
+    docs, _ = tables(spark, larger)
+    rng = np.random.default_rng(5)
+    foreign = [(1_000_000 + r.doc_id, r.text, None) for r in docs.where("lang = 'de'").limit(60).collect()]
+    noise = [(2_000_000 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)), None) for i in range(40)]
+    learned = docs.where("lang != 'de'")
+    for languages in ("lang in ('en', 'es', 'fr')", "lang in ('en', 'fr')", "lang = 'en'"):
+        own = learned.where(languages).select("doc_id", "text", "lang")
+        kept = [r.doc_id for r in language.with_language(own.unionByName(documents(spark, foreign + noise).select("doc_id", "text", "lang"))).collect()]
+        assert not [d for d in kept if d >= 2_000_000]
+        assert sum(1_000_000 <= d < 2_000_000 for d in kept) <= 3
+        assert sum(d < 1_000_000 for d in kept) >= 0.99 * own.count()
+
+
 @pytest.mark.parametrize("rows", [EDGES, []])
 def test_language_edges(spark, rows):
     got = language.language(documents(spark, rows)).collect()
