@@ -1,6 +1,7 @@
 """Operator 3, language identification by hyperdimensional profiles.
 
-Every letter owns a random vector of +1 and -1. An n-gram's vector binds its letters: the vector of the letter at place
+Every letter, of any script, owns a random vector of +1 and -1; those of the commonest ``LETTERS`` are held ready, the
+others are made by a seeded hash of the code point when they come. An n-gram's vector binds its letters: the vector of the letter at place
 p is rotated p times and the rotated vectors are multiplied element by element. A text bundles (adds) the vectors of
 its n-grams; a language's prototype bundles the texts of that language. A text gets the language whose prototype has
 the largest cosine with it, after the mean of all prototypes, which says nothing about a language, is taken off both.
@@ -17,6 +18,7 @@ language was learned; a tie goes to the first language by name; repeated rows ge
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,14 @@ from tessera.runtime import ship_package
 
 #: Texts that training reads at most (smallest id hashes first).
 TRAIN_ROWS = 4000
-#: Width of the vectors, letters in an n-gram, and letters that own a vector (the commonest; others share one).
-DIM, N, LETTERS = 1024, 3, 120
+#: Width of the vectors, letters in an n-gram, letters whose vectors are held ready (the commonest), and other ones that are remembered.
+DIM, N, LETTERS, REMEMBERED = 1024, 3, 120, 8192
 #: n-gram vectors that are made at a time, and texts that are bundled at a time.
 SLICE, TEXTS = 4096, 256
 #: Part of the median projection of a language's training texts that a text of the language has at least.
 SHARE = 0.5
-GAP, OTHER = 0, 1
+#: The gap's symbol, bits of a symbol, code points, and the seed of the vectors.
+GAP, BITS, POINTS, SEED = 0, 21, 0x110000, 20240229
 
 
 @dataclass
@@ -47,9 +50,35 @@ class Model:
     least: np.ndarray  # languages: the least average projection of an n-gram on ``own``
 
 
-def letter_vectors(count: int) -> np.ndarray:
-    """The fixed random vectors; the same on every worker."""
-    return np.random.default_rng(20240229).choice(np.array([-1, 1], np.int8), (count, DIM))
+class LetterVectors:
+    """The fixed random vectors of symbols; the same on every worker.
+
+    The first ``count`` symbols have rows of one table; a symbol ``count + c`` is the letter of code point c.
+    """
+
+    def __init__(self, count: int) -> None:
+        self.table = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (count, DIM))
+        self.made: dict[int, np.ndarray] = {}
+
+    def __getitem__(self, symbols) -> np.ndarray:
+        symbols = np.asarray(symbols)
+        if not symbols.ndim:
+            return self.table[symbols] if symbols < len(self.table) else self.other(int(symbols) - len(self.table))
+        out = self.table[np.where(symbols < len(self.table), symbols, 0)]
+        for at in np.flatnonzero(symbols >= len(self.table)):
+            out[at] = self.other(int(symbols[at]) - len(self.table))
+        return out
+
+    def other(self, code: int) -> np.ndarray:
+        if code not in self.made:
+            if len(self.made) >= REMEMBERED:
+                self.made.clear()
+            self.made[code] = np.random.default_rng([SEED, code]).choice(np.array([-1, 1], np.int8), DIM)
+        return self.made[code]
+
+
+def letter_vectors(count: int) -> LetterVectors:
+    return LetterVectors(count)
 
 
 def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,50 +86,48 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     parts = [f" {t.lower()} " for t in texts]
     code = codepoints("".join(parts))
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), np.fromiter(map(len, parts), np.int64, len(parts)))
-    small = table[np.minimum(code, len(table) - 1)]
-    for at in np.flatnonzero(code >= len(table) - 1):  # beyond the basic plane: rare
-        small[at] = OTHER if chr(code[at]).isalpha() else GAP
+    small = table[code]
     keep = (small != GAP) | np.append(True, small[1:] != small[:-1])
     return small[keep], owner[keep]
 
 
+@cache
+def all_letters() -> np.ndarray:
+    return np.array([c for c in range(POINTS) if chr(c).isalpha()], np.int32)
+
+
 def symbol_table(alphabet: list[int]) -> np.ndarray:
-    table = np.zeros(0x10001, np.int32)
-    table[[c for c in range(0x10000) if chr(c).isalpha()]] = OTHER
-    for k, c in enumerate(alphabet):
-        if c < 0x10000:
-            table[c] = k + 2
+    """The symbol of every code point: 2 and on for the alphabet, numbers after them for all other letters."""
+    table = np.zeros(POINTS, np.int32)
+    table[all_letters()] = all_letters() + len(alphabet) + 2
+    table[alphabet] = np.arange(2, len(alphabet) + 2)
     return table
 
 
-def bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bundles(texts: list[str], table: np.ndarray, vectors: LetterVectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bundled vectors of the texts, and how many letters and how many n-grams each has."""
     made = [_bundles(texts[at : at + TEXTS], table, vectors) for at in range(0, len(texts), TEXTS)]
     return tuple(map(np.concatenate, zip(*made, strict=True))) if made else (np.zeros((0, DIM), np.float32), np.zeros(0), np.zeros(0, np.int64))
 
 
-def _bundles(texts: list[str], table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = len(vectors)
+def _bundles(texts: list[str], table: np.ndarray, vectors: LetterVectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sym, owner = symbols(texts, table)
     letters = np.bincount(owner, sym != GAP, len(texts))
     out = np.zeros((len(texts), DIM), np.float32)
     if len(sym) < N:
         return out, letters, np.zeros(len(texts), np.int64)
     same = np.flatnonzero(owner[: len(sym) - N + 1] == owner[N - 1 :])
-    code = np.zeros(len(same), np.int32)
+    code = np.zeros(len(same), np.int64)
     for k in range(N):
-        code = code * base + sym[same + k]
-    present = np.zeros(base**N, bool)
-    present[code] = True
-    grams = np.flatnonzero(present)
-    number = np.zeros(base**N, np.int32)
-    number[grams] = np.arange(len(grams))
-    place, who = number[code], owner[same]
+        code = code << BITS | sym[same + k]
+    numbered = pa.array(code).dictionary_encode()  # grams as they come; only those that occur take room
+    grams, place, who = numbered.dictionary.to_numpy(), numbered.indices.to_numpy(), owner[same]
     for at in range(0, len(grams), SLICE):
         own = grams[at : at + SLICE]
         bound = np.ones((len(own), DIM), np.int8)
         for k in range(N):
-            bound *= np.roll(vectors, k, axis=1)[own // base ** (N - 1 - k) % base]
+            letter, which = np.unique(own >> BITS * (N - 1 - k) & (1 << BITS) - 1, return_inverse=True)
+            bound *= np.roll(vectors[letter], k, axis=1)[which]
         mine = (place >= at) & (place < at + SLICE) if len(grams) > SLICE else slice(None)
         counts = np.bincount(who[mine].astype(np.int64) * len(own) + place[mine] - at, minlength=len(texts) * len(own))
         out += counts.astype(np.float32).reshape(len(texts), len(own)) @ bound.astype(np.float32)
@@ -117,7 +144,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     seen: dict[str, int] = {}
     for text, _ in rows:
         for c in set(text.lower()):
-            if c.isalpha() and ord(c) < 0x10000:
+            if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
     alphabet = [ord(c) for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: LETTERS - 2]]
     table, vectors = symbol_table(alphabet), letter_vectors(len(alphabet) + 2)

@@ -92,6 +92,23 @@ def test_language_rejects_what_was_not_learned(spark, larger):
         assert sum(d < 1_000_000 for d in kept) >= 0.99 * own.count()
 
 
+def test_language_letters_share_no_vector():
+    rng = np.random.default_rng(6)
+    scripts = {"latin": 0x61, "greek": 0x3B1, "cyrillic": 0x430, "georgian": 0x10D0, "han": 0x4E00, "kanji": 0x7000, "hangul": 0xAC00, "gothic": 0x10330}
+
+    def text(first, letters=20):
+        return " ".join("".join(chr(first + k) for k in rng.integers(0, letters, 6) ** 2 // letters) for _ in range(60))
+
+    common = [(text(first), name) for name in ("latin", "greek", "cyrillic", "georgian") for first in [scripts[name]] for _ in range(30)]
+    common += [(text(0x1200, 80), "ethiopic") for _ in range(200)]
+    model = language.fit(common + [(text(scripts[name]), name) for name in ("han", "kanji", "hangul", "gothic") for _ in range(10)])
+    predictor = language.Predictor(model)
+    for name, first in scripts.items():
+        assert predictor([text(first) for _ in range(20)])[0] == [name] * 20
+    codes = [c for first in scripts.values() for c in range(first, first + 20)]
+    assert len({predictor.vectors[predictor.table[c]].tobytes() for c in codes}) == len(codes)
+
+
 @pytest.mark.parametrize("rows", [EDGES, []])
 def test_language_edges(spark, rows):
     got = language.language(documents(spark, rows)).collect()
