@@ -4,7 +4,7 @@ Pages of a host come from the same generator. One page of each host (the one of
 of elements. Every page's tree is aligned with the skeleton by simple tree matching: the largest order-preserving mapping
 of children with equal labels, level by level. Counts over *all* pages of the host then tell template from slots: a
 skeleton node whose text is the same on most pages that have it is template; other nodes, and nodes that have no partner
-in the skeleton, are slots. The main text is the slots in the page's article. What the markup itself declares as something
+in the skeleton, are slots. The main text is the slots in the page's articles, or in all of a page without one. What the markup itself declares as something
 else (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is never main text.
 
 Defined results: null and empty html give the empty string; a host without enough pages has no template, so only markup
@@ -37,6 +37,7 @@ MEMORY, HELD = 200_000, 100_000
 DEEPEST = 100
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = frozenset("svg math".split())
 RAW = frozenset("script style noscript template iframe textarea select svg object canvas math audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that the start of another one closes, up to the nearest of BOUND.
@@ -120,6 +121,8 @@ def parse(html: str) -> Node:
                 here = node.parent
         node = Node(tag, mark_of(m.group(3)), here)
         here.children.append(node)
+        if tag in FOREIGN and m.group(3).rstrip().endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
             pos = end.end() if end else n
@@ -159,10 +162,10 @@ def holds_article(node: Node) -> bool:
 class Block:
     """Text of a block-level element up to the next block; ``place`` counts the blocks of the element."""
 
-    __slots__ = ("node", "place", "text", "linked", "article")
+    __slots__ = ("node", "place", "text", "article")
 
-    def __init__(self, node: Node, place: int, text: str, linked: int, article: Node | None) -> None:
-        self.node, self.place, self.text, self.linked, self.article = node, place, text, linked, article
+    def __init__(self, node: Node, place: int, text: str, article: Node | None) -> None:
+        self.node, self.place, self.text, self.article = node, place, text, article
 
 
 def blocks(root: Node) -> list[Block]:
@@ -170,28 +173,24 @@ def blocks(root: Node) -> list[Block]:
     out: list[Block] = []
     places: Counter = Counter()
     buffer: list[str] = []
-    links = [0]
 
     def flush(owner: Node, article: Node | None) -> None:
         text = SPACE.sub(" ", unescape("".join(buffer))).strip()
         buffer.clear()
         if text:
-            out.append(Block(owner, places[id(owner)], text, links[0], article))
+            out.append(Block(owner, places[id(owner)], text, article))
             places[id(owner)] += 1
-        links[0] = 0
 
     # an explicit stack: pages may nest deeper than Python's calls may
-    stack: list[tuple[Node, Node, Node | None, int, bool]] = [(root, root, None, 0, False)]
+    stack: list[tuple[Node, Node, Node | None, int]] = [(root, root, None, 0)]
     while stack:
-        node, owner, article, at, link = stack.pop()
+        node, owner, article, at = stack.pop()
         children = node.children
         while at < len(children):
             c = children[at]
             at += 1
             if c.__class__ is str:
                 buffer.append(c)
-                if link:
-                    links[0] += len(c.strip())
                 continue
             if c.tag == "br":
                 buffer.append(" ")
@@ -201,12 +200,12 @@ def blocks(root: Node) -> list[Block]:
                     flush(owner, article)
                 continue
             inside = c if c.tag in ("article", "main") and article is None else article
-            stack.append((node, owner, article, at, link))
+            stack.append((node, owner, article, at))
             if c.tag in INLINE and not any(x.tag not in INLINE and x.tag != "br" for x in c.elements()):
-                stack.append((c, owner, article, 0, link or c.tag == "a"))
+                stack.append((c, owner, article, 0))
             else:
                 flush(owner, article)
-                stack.append((c, c, inside, 0, link or c.tag == "a"))
+                stack.append((c, c, inside, 0))
             break
         else:
             if node is owner:
@@ -351,17 +350,9 @@ def text_hash(text: str) -> int:
 
 
 def main_text(root: Node, template: set[tuple[int, int, int]], places: dict[int, int]) -> str:
-    """The slots of the article, joined by one space."""
+    """The slots of all articles, or of the whole page where there is none, joined by one space."""
     found = blocks(root)
-    articles: Counter = Counter()
-    for b in found:
-        if b.article is not None:
-            articles[id(b.article)] += len(b.text)
-    if articles:  # teasers are small articles
-        most = max(articles.values())
-        region = [b for b in found if b.article is not None and 4 * articles[id(b.article)] >= most]
-    else:
-        region = [b for b in found if 2 * b.linked <= len(b.text)]
+    region = [b for b in found if b.article is not None] or found
     slots = [b for b in region if (places.get(id(b.node), -1), b.place, text_hash(b.text)) not in template]
     return " ".join(b.text for b in (slots or region))
 

@@ -111,6 +111,18 @@ def test_wrapper_induction_drops_constant_nodes(spark, small):
     assert got[100].startswith("Title 1 & more") and got[101] == "alone" and got[102] == "" and got[103] == ""
 
 
+def test_html_keeps_every_part_that_nothing_rules_out():
+    def text(page):
+        return html.main_text(html.parse(page), set(), {})
+
+    long, short = "long " * 200, "short " * 30
+    assert text(f"<body><article><p>{long}</article><article><p>{short}</article><p>outside") == f"{long}{short}".strip()
+    assert text("<body><p>One.</p><p>See <a href=x>all that is linked here, at length</a>.</p>") == "One. See all that is linked here, at length."
+    for tag in ("svg", "math"):
+        assert text(f"<body><p>Before <{tag} class='i'/> after</p><p>Next</p>") == "Before after Next"
+        assert text(f"<body><p>Before</p><{tag} /><p>Next</p><{tag}>drawn</{tag}><p>Last</p>") == "Before Next Last"
+
+
 def test_html_copies_keep_their_article(spark):
     rows = [(i, "http://c.example/x", PAGE.replace("{i}", "1")) for i in range(9)]
     assert {r.text != "" for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {True}
