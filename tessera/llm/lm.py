@@ -32,7 +32,7 @@ from tessera.llm.common import CACHE_WORDS, chunks, mix, release_memory
 from tessera.runtime import materialise, ship_package
 
 #: Longest n-gram, backoff factor, characters of text in a block.
-ORDER, ALPHA, BLOCK_CHARS = 2, 0.4, 6_000_000
+ORDER, ALPHA, BLOCK_CHARS = 3, 0.4, 6_000_000
 #: Bits that tell n-grams of one hash partition apart. A partition holds a few million n-grams however large the input is, as the
 #: number of partitions follows the input; so about one n-gram in a million shares its bits with another one.
 BITS = 40

@@ -121,6 +121,13 @@ def brute_scores(rows, order):
     return sorted(out, key=repr)
 
 
+def test_registered_scores_are_of_trigrams(spark, tmp_path):
+    rows = [(i, " ".join(RNG.choice("a b c d e".split()) for _ in range(30))) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["op4_lm_scoring"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_words, round(r.score_sum, 6), round(r.score_mean, 6)) for r in got) == sorted(brute_scores(rows, 3))
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 @pytest.mark.parametrize("size", [50, 10**7])
 def test_backoff_equals_brute_force(spark, monkeypatch, order, size):
