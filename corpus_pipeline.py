@@ -11,26 +11,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import language, neardup, packing, toxicity
-from tessera.runtime import materialise
+from tessera.runtime import configure, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: toxic documents go."""
+    configure(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents in no learned language go."""
+    configure(spark)
     return language.with_language(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: one document of each group of similarity 0.8 or more on five-word shingles stays."""
+    configure(spark)
     return neardup.representatives(docs, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one row for each piece of each document, with its sequence and place there."""
+    configure(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
@@ -41,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: No stage can be written in SQL; tests/llm/test_pipeline.py compares the stages with brute force.
+#: No stage can be written in SQL; tests/llm/test_corpus.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
