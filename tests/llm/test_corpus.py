@@ -129,9 +129,10 @@ def test_registered_scores_are_of_trigrams(spark, tmp_path):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-@pytest.mark.parametrize("size", [50, 10**7])
-def test_backoff_equals_brute_force(spark, monkeypatch, order, size):
+@pytest.mark.parametrize(("size", "cell"), [(50, 100), (300, 2), (10**7, 10**7)])
+def test_backoff_equals_brute_force(spark, monkeypatch, order, size, cell):
     monkeypatch.setattr(lm, "BLOCK_CHARS", size)
+    monkeypatch.setattr(lm, "CELL", cell)
     rows = [(i, " ".join(RNG.choice("the cat sat on a mat Dog ran".split()) for _ in range(RNG.randint(0, 25)))) for i in range(60)] + [(None, None), (70, ""), (71, "unseen"), (71, "unseen"), (72, "the cat " * 5000)]
     docs = spark.createDataFrame([(d, t, 3) for d, t in rows], "doc_id long, text string, block int").repartition(3)
     got = lm.scores(docs, order).collect()
@@ -147,7 +148,13 @@ def test_planes_round_trip():
 
     a = np.array([0, 1, 2**63, 7], np.uint64)
     assert (lm.unpacked(lm.packed(a), np.uint64, 4) == a).all()
-    assert (lm.codes(np.array([0, 2**64 - 1], np.uint64), 7) >> np.uint64(lm.BITS)).tolist() == [0, 6]
+    h = np.sort(np.random.default_rng(3).integers(0, 2**64, 1000, dtype=np.uint64))
+    for cells in (1, 7, 4095, 4096, 5000):
+        code = lm.codes(h, cells)
+        assert (np.diff(np.sort(code)) > 0).all()
+        spans = list(lm.cell_ends(np.sort(code), cells))
+        assert [a for _, a, _ in spans] + [1000] == [0] + [b for _, _, b in spans] and sorted({c for c, _, _ in spans}) == [c for c, _, _ in spans]
+        assert max(c for c, _, _ in spans) < cells
 
 
 def test_stages_work_on_what_came_through(spark, small):
