@@ -97,7 +97,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x="</p><article
 
 
 def test_html_markup_only():
-    got = html.main_text(html.parse(PAGE.replace("{i}", "7")), set(), {})
+    got = html.main_text(html.parse(PAGE.replace("{i}", "7")))
     assert got == "Title 7 & more First bold7text of page 7. Second para7 Follow us on all channels one7 two"
 
 
@@ -113,7 +113,7 @@ def test_wrapper_induction_drops_constant_nodes(spark, small):
 
 def test_html_keeps_every_part_that_nothing_rules_out():
     def text(page):
-        return html.main_text(html.parse(page), set(), {})
+        return html.main_text(html.parse(page))
 
     long, short = "long " * 200, "short " * 30
     assert text(f"<body><article><p>{long}</article><article><p>{short}</article><p>outside") == f"{long}{short}".strip()
@@ -145,17 +145,75 @@ def test_tree_matching_equals_recursion():
     def random_tree(depth):
         return (RNG.choice("ab"), tuple(random_tree(depth - 1) for _ in range(RNG.randint(0, 3)))) if depth else ("a", ())
 
-    matcher = html.Matcher()
+    def shape(tree, matcher):
+        x = html.Shape(tree[0])
+        x.parts = [shape(c, matcher) for c in tree[1]]
+        return matcher.close(x)
+
     for _ in range(60):
+        matcher = html.Matcher()
         a, b = random_tree(3), random_tree(3)
-        assert matcher.size(a, b) == tree_size(a, b)
+        x, y = shape(a, matcher), shape(b, matcher)
+        assert matcher.size(x, y) == tree_size(a, b) == 1 + sum(matcher.size(x.parts[i], y.parts[j]) for i, j in matcher.pairs(x.parts, y.parts)) * (a[0] == b[0]) - (a[0] != b[0])
+        again = html.read(html.written(x), matcher)
+        assert again.key == x.key
+        merged = matcher.merge(again, shape(b, matcher)) if a[0] == b[0] else again
+        assert -1 not in matcher.places(x, merged) and (a[0] != b[0] or -1 not in matcher.places(y, merged))
+
+
+def test_html_reads_hostile_markup_in_linear_time():
+    import time
+
+    for bad in ("<a \"", "<a x=\"", "<a x='>\"", "<svg>", "<!--", "</", "<b>", "</b>", "<p <", "<a =\"'>"):
+        began = time.perf_counter()
+        html.blocks(html.parse(bad * 40_000 + "end"))
+        assert time.perf_counter() - began < 4, bad
+    assert html.main_text(html.parse('<p>one</p><a href="x>two</a><p>three')) == "one two three"
+
+
+def plain(page):
+    """The page without the tags, classes, ids and roles that say what is what."""
+    import re
+
+    page = re.sub(r"<(/?)(?:article|nav|header|footer|aside|form|main|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]*)", "", page)
+
+
+def test_wrapper_induction_finds_the_main_text_without_markup(spark):
+    rng = random.Random(4)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    menus, adverts, notes = ([words(n) for _ in range(4)] for n in (8, 10, 6))
+    rows, want = [], {}
+    for i in range(240):
+        host = f"h{i % 3}.example" if i < 200 else f"small{i % 8}.example"
+        title, paragraphs = words(5), [words(rng.randint(4, 40)) for _ in range(rng.randint(1, 6))]
+        items = "".join(f"<li><a href=/x>{w}</a></li>" for w in rng.choice(menus).split())
+        extra = f"<div class=promo><b>{rng.choice(adverts)}</b></div>" if rng.random() < 0.6 else ""
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = f"<html><head><title>{title}</title></head><body><nav><ul>{items}</ul></nav>{extra}<article id=post-{i}><h1>{title}</h1>{body}</article><footer>&copy; {host} {rng.choice(notes)}</footer></body></html>"
+        rows.append((i, f"https://{host}/{i}", plain(page)))
+        want[i] = " ".join([title, *paragraphs])
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    markup_only = {i: html.main_text(html.parse(h)) for i, _, h in rows}
+    assert not any(markup_only[i] == want[i] for i in want)
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    rows = [(i, "http://c.example/", f"<body><div><ul><li>home</li><li>news</li></ul></div><div><h1>T{i % 3}</h1><p>{'same ' * 30}</p><p>{'again ' * 9}</p></div>") for i in range(30)]
+    rows += [(100 + i, "http://c.example/", f"<body><div><ul><li>home</li><li>news</li></ul></div><div><h1>U{i}</h1><p>{f'w{i} ' * 30}</p></div>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "T0 " + "same " * 30 + "again " * 8 + "again" and got[103].startswith("U3 w3")
 
 
 def test_html_deep_and_broken():
     deep = "<div>" * 20_000 + "x"
-    assert html.main_text(html.parse(deep), set(), {}) == "x"
-    assert html.main_text(html.parse("a<!-- b <p>c"), set(), {}) == "a"
-    assert html.main_text(html.parse("<p>a < b &lt; c <3</p></div>d<script>e"), set(), {}) == "a < b < c <3 d"
+    assert html.main_text(html.parse(deep)) == "x"
+    assert html.main_text(html.parse("a<!-- b <p>c")) == "a"
+    assert html.main_text(html.parse("<p>a < b &lt; c <3</p></div>d<script>e")) == "a < b < c <3 d"
 
 
 def test_deep_pages_do_not_break_induction(spark):
