@@ -1,13 +1,16 @@
 """Operator 10, document fingerprints: Merkle trees over paragraphs and sections.
 
-A text is cut at line feeds into paragraphs and at spaces into words. Leaves are short runs of words: a run ends after a
-word whose hash is divisible by ``LEAF``, after ``LONGEST`` words, or with its paragraph, so an edit moves no leaf but those
-around it. A paragraph's node hashes its leaves in order, a section's node hashes its paragraphs (a section ends after a
-paragraph whose hash is divisible by ``SECTION``), and the root hashes the sections. Nothing of the text is left out, so
-equal roots test equality; where two trees differ, following the differing branches locates the edit.
-
-A fingerprint is the root (32 hex digits), a colon, the sections (8 characters of base64 each), a colon, and the leaves (4
-each). Likeness of two fingerprints is 1 for equal roots, else twice the leaves that both have over the leaves of both.
+A text is cut at line feeds into paragraphs. A paragraph's node is the 128-bit BLAKE2b of its text; a section's node is that of
+its paragraphs' hashes in order (a section ends after a paragraph whose hash is divisible by ``SECTION``, so an edit moves no
+section but its own), and the root is that of the sections' hashes. Nothing of the text is left out, so equal roots mean equal
+texts; where two trees differ, following the differing branches locates the edit. Below a paragraph lie leaves, short runs
+of words: a run ends after a word whose hash is divisible by ``LEAF``, after ``LONGEST`` words, or with its paragraph. Leaves are
+24-bit tags, which measure and locate an edit inside a paragraph; equality never rests on them.
+
+A fingerprint is the root (32 hex digits), the sections, the paragraphs and the leaves, each in base64 and behind a colon. A
+section is 8 bytes of its hash and 4 of its number of paragraphs, a paragraph 8 bytes of its hash and 4 of its number of leaves, a
+leaf 3 bytes. Likeness of two fingerprints is 1 for equal roots, else twice the leaves that both have over the leaves of both;
+sections that both have are shared whole and not looked into, then paragraphs of the others, and only then leaves.
 
 Defined results: null texts are empty; the empty text has one empty leaf; ``next`` follows ascending ids, null ids first
 and equal ids by text; after the last comes the first; an only row is its own next; extra columns are ignored.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,16 @@ class Hashes(dict):
         return h
 
 
+#: A section or paragraph in a fingerprint, and the size of a hash.
+ENTRY, DIGEST = np.dtype([("h", ">u8"), ("n", ">u4")]), 16
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
+
+
 class Trees:
-    """Trees of a list of texts. Level arrays: hashes, and the number of the node above."""
+    """Trees of a list of texts. Level arrays: hashes, sizes, and the number of the text."""
 
     def __init__(self, texts: list[str], memory: Hashes) -> None:
         if len(memory) > CACHE_WORDS:
@@ -61,21 +73,30 @@ class Trees:
         self.leaf, at = combine(h, leaf_end, 1)
         self.leaf_doc = doc[at]
         paragraph_end = line[np.append(at[1:], len(h)) - 1]
-        self.paragraph, at = combine(self.leaf, paragraph_end, 2)
-        self.leaf_paragraph = np.cumsum(np.append(0, paragraph_end[:-1]))
-        paragraph_doc = self.leaf_doc[at]
-        last = np.append(paragraph_doc[1:] != paragraph_doc[:-1], True)
-        section_end = last | (mix(self.paragraph) % np.uint64(SECTION) == 0)
-        self.section, at = combine(self.paragraph, section_end, 3)
-        self.paragraph_section = np.cumsum(np.append(0, section_end[:-1]))
-        self.section_doc = paragraph_doc[at]
+
+        own = [digest(p.encode("utf-8", "surrogatepass")) for t in texts for p in t.split("\n")]
+        raw = b"".join(own)
+        heads = np.frombuffer(raw, ">u8").reshape(-1, 2)
+        paragraph_doc = self.leaf_doc[np.flatnonzero(np.append(True, paragraph_end[:-1]))] if len(own) else np.zeros(0, np.int64)
+        self.paragraph = np.zeros(len(own), ENTRY)
+        self.paragraph["h"], self.paragraph["n"] = heads[:, 0], np.diff(np.append(-1, np.flatnonzero(paragraph_end)))
+        end = np.flatnonzero(np.append(paragraph_doc[1:] != paragraph_doc[:-1], True) | (heads[:, 1] % SECTION == 0)) if len(own) else np.zeros(0, np.int64)
+        begin = np.append(0, end[:-1] + 1)
+        sections = [digest(raw[DIGEST * a : DIGEST * (b + 1)]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)] if len(end) else []
+        self.section = np.zeros(len(sections), ENTRY)
+        self.section_raw = b"".join(sections)
+        self.section["h"], self.section["n"] = np.frombuffer(self.section_raw, ">u8").reshape(-1, 2)[:, 0], end - begin + 1 if len(end) else 0
+        self.paragraph_doc, self.section_doc = paragraph_doc, paragraph_doc[end]
 
     def fingerprints(self) -> list[str]:
-        leaves = (self.leaf & np.uint64(0xFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
-        sections = (self.section & np.uint64(0xFFFFFFFFFFFF)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-        whole = self.section.astype(">u8").tobytes()
-        a, b = np.searchsorted(self.leaf_doc, np.arange(self.texts + 1)), np.searchsorted(self.section_doc, np.arange(self.texts + 1))
-        return [f"{hashlib.blake2b(whole[8 * b[i] : 8 * b[i + 1]], digest_size=16).hexdigest()}:{base64.b64encode(sections[6 * b[i] : 6 * b[i + 1]]).decode()}:{base64.b64encode(leaves[3 * a[i] : 3 * a[i + 1]]).decode()}" for i in range(self.texts)]
+        tags = (self.leaf & np.uint64(0xFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+        sections, paragraphs = self.section.tobytes(), self.paragraph.tobytes()
+        ends = [np.searchsorted(x, np.arange(self.texts + 1)).tolist() for x in (self.section_doc, self.paragraph_doc, self.leaf_doc)]
+        out = []
+        for a, b, c, d, e, f in zip(*(x[k : len(x) - 1 + k] for x in ends for k in (0, 1)), strict=True):
+            parts = sections[12 * a : 12 * b], paragraphs[12 * c : 12 * d], tags[3 * e : 3 * f]
+            out.append(":".join([digest(self.section_raw[DIGEST * a : DIGEST * b]).hex(), *(base64.b64encode(x).decode() for x in parts)]))
+        return out
 
 
 def combine(h: np.ndarray, end: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,41 +109,87 @@ def combine(h: np.ndarray, end: np.ndarray, level: int) -> tuple[np.ndarray, np.
     return mix(np.add.reduceat(mix(h + mix(place + np.uint64(level << 40))), start) + size.astype(np.uint64) * np.uint64(level)), start
 
 
-def parsed(fingerprint: str) -> tuple[str, np.ndarray]:
-    """Root and leaves of a fingerprint."""
-    root, _, leaves = fingerprint.split(":")
-    raw = np.frombuffer(base64.b64decode(leaves), np.uint8).reshape(-1, 3).astype(np.int64)
-    return root, raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]
+class Print:
+    """A fingerprint taken apart."""
+
+    __slots__ = ("root", "section", "paragraph", "leaf", "first_paragraph", "first_leaf")
+
+    def __init__(self, text: str) -> None:
+        self.root, *parts = text.split(":")
+        section, paragraph, leaf = map(base64.b64decode, parts)
+        self.section, self.paragraph = (np.frombuffer(x, ENTRY) for x in (section, paragraph))
+        raw = np.frombuffer(leaf, np.uint8).reshape(-1, 3).astype(np.int64)
+        self.leaf = raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]
+        self.first_paragraph = np.append(0, np.cumsum(self.section["n"], dtype=np.int64))
+        self.first_leaf = np.append(0, np.cumsum(self.paragraph["n"], dtype=np.int64))
+
+
+def without_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``a`` and of ``b`` whose hashes the other one lacks; of repeated hashes the first ones are shared."""
+    both = set(a.tolist()) & set(b.tolist())
+    if not both:
+        return np.arange(len(a)), np.arange(len(b))
+    left = {x: 1 for x in both}
+    if len(a) != len(set(a.tolist())) and len(b) != len(set(b.tolist())):
+        times = Counter(a.tolist()) & Counter(b.tolist())
+        left = {x: times[x] for x in both}
+
+    def rest(own: np.ndarray) -> np.ndarray:
+        free, out = dict(left), []
+        for k, x in enumerate(own.tolist()):
+            if free.get(x):
+                free[x] -= 1
+            else:
+                out.append(k)
+        return np.array(out, np.int64)
+
+    return rest(a), rest(b)
+
+
+def spans(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places below the nodes ``at``, whose children begin at ``first``."""
+    size = first[at + 1] - first[at]
+    return np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def branches(a: Print, b: Print) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves of ``a`` and of ``b`` below differing branches: first sections, then paragraphs of those, are compared."""
+    x, y = without_shared(a.section["h"], b.section["h"])
+    p, q = spans(a.first_paragraph, x), spans(b.first_paragraph, y)
+    i, j = without_shared(a.paragraph["h"][p], b.paragraph["h"][q])
+    return spans(a.first_leaf, p[i]), spans(b.first_leaf, q[j])
 
 
 def likeness(a: list[str], b: list[str]) -> np.ndarray:
     """Likeness of pairs of fingerprints, 0 to 1."""
     out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
         if x == y:
-            out[i] = 1.0
+            out[k] = 1.0
             continue
-        (_, p), (_, q) = parsed(x), parsed(y)
-        both = np.concatenate([p, q])
-        _, number = np.unique(both, return_inverse=True)
-        top = int(number.max()) + 1
-        shared = np.minimum(np.bincount(number[: len(p)], minlength=top), np.bincount(number[len(p) :], minlength=top)).sum()
-        out[i] = min(2 * shared / len(both), 1 - 1e-9)
+        p, q = Print(x), Print(y)
+        i, j = branches(p, q)
+        _, number = np.unique(np.concatenate([p.leaf[i], q.leaf[j]]), return_inverse=True)
+        top = int(number.max(initial=-1)) + 1
+        shared = len(p.leaf) - len(i) + np.minimum(np.bincount(number[: len(i)], minlength=top), np.bincount(number[len(i) :], minlength=top)).sum()
+        out[k] = min(2 * shared / (len(p.leaf) + len(q.leaf)), 1 - 1e-9)
     return out
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Spans of words of ``a`` that its tree and ``b``'s do not share: the leaves at the end of differing branches."""
-    trees = Trees([a, b], Hashes())
-    leaf, doc, paragraph = trees.leaf, trees.leaf_doc, trees.leaf_paragraph
-    section = trees.paragraph_section[paragraph]
-    known_sections = set(trees.section[trees.section_doc == 1].tolist())
-    other = np.unique(paragraph[doc == 1])
-    known_paragraphs = set(trees.paragraph[other].tolist())
-    known_leaves = set(leaf[doc == 1].tolist())
-    words = np.fromiter(map(len, leaf_words(a)), np.int64)
-    ends = np.cumsum(words)
-    return [(int(ends[i] - words[i]), int(ends[i])) for i in np.flatnonzero(doc == 0) if int(trees.section[section[i]]) not in known_sections and int(trees.paragraph[paragraph[i]]) not in known_paragraphs and int(leaf[i]) not in known_leaves]
+def differing(a: str, b: str) -> list[int]:
+    """The leaves of fingerprint ``a``, by number, that end a differing branch: what of its text ``b`` does not have."""
+    if a == b:
+        return []
+    p, q = Print(a), Print(b)
+    i, j = branches(p, q)
+    own, _ = without_shared(p.leaf[i], q.leaf[j])
+    return i[own].tolist()
+
+
+def word_spans(text: str, leaves: list[int]) -> list[tuple[int, int]]:
+    """(first word, word behind) of leaves of a text (a line feed counts as a word)."""
+    ends = np.cumsum([len(x) for x in leaf_words(text)])
+    return [(int(ends[i - 1]) if i else 0, int(ends[i])) for i in leaves]
 
 
 def leaf_words(text: str) -> list[list[str]]:

@@ -232,10 +232,85 @@ def test_merkle_tests_equality_and_locates_edits():
     changed = " ".join(other).replace(" \n ", "\n")
     prints = merkle.Trees([text, changed, text], merkle.Hashes()).fingerprints()
     assert prints[0] == prints[2] != prints[1]
-    spans = merkle.differing(changed, text)
+    spans = merkle.word_spans(changed, merkle.differing(prints[1], prints[0]))
     assert any(a <= at < b for a, b in spans) and sum(b - a for a, b in spans) <= 3 * merkle.LONGEST
     assert merkle.likeness([prints[0]], [prints[1]])[0] > 0.95 and merkle.likeness([prints[0]], [prints[2]])[0] == 1
-    assert sum(len(x) for x in merkle.leaf_words(text)) == len(words)
+    assert sum(len(x) for x in merkle.leaf_words(text)) == len(words) and merkle.differing(prints[0], prints[2]) == []
+
+
+def brute_tree(text):
+    """Root, sections as lists of paragraphs, and leaves, from the definition."""
+    sections, own = [], []
+    paragraphs = text.split("\n")
+    for k, p in enumerate(paragraphs):
+        h = hashlib.blake2b(p.encode(), digest_size=16).digest()
+        own.append(h)
+        if int.from_bytes(h[8:], "big") % merkle.SECTION == 0 or k + 1 == len(paragraphs):
+            sections.append(own)
+            own = []
+    hashes = [hashlib.blake2b(b"".join(s), digest_size=16).digest() for s in sections]
+    return hashlib.blake2b(b"".join(hashes), digest_size=16).hexdigest(), list(zip(hashes, sections, strict=True)), merkle.leaf_words(text)
+
+
+def brute_likeness(x, y):
+    """Shared leaves, a section or a paragraph that both have being shared as a whole."""
+    (ra, sa, la), (rb, sb, lb) = brute_tree(x), brute_tree(y)
+    if ra == rb:
+        return 1.0
+    def leaves(sections, words):
+        at, out = 0, []
+        for h, paragraphs in sections:
+            of = []
+            for p in paragraphs:
+                n = at
+                while True:
+                    n += 1
+                    if n == len(words) or words[n - 1][-1] == "\n":
+                        break
+                of.append((p, [tuple(w) for w in words[at:n]]))
+                at = n
+            out.append((h, of))
+        return out
+    from collections import Counter
+
+    a, b = leaves(sa, la), leaves(sb, lb)
+    shared = 0
+    for level in range(3):
+        if level == 1:
+            a, b = ([p for _, of in z for p in of] for z in (a, b))
+        if level == 2:
+            a, b = ([(w, [w]) for _, of in z for w in of] for z in (a, b))
+        both = Counter(h for h, _ in a) & Counter(h for h, _ in b)
+        size = {h: sum(len(p[1]) for p in of) if level == 0 else len(of) for h, of in a}
+        shared += sum(n * size[h] for h, n in both.items())
+        for z in (a, b):
+            left = both.copy()
+            keep = []
+            for item in z:
+                if left[item[0]]:
+                    left[item[0]] -= 1
+                else:
+                    keep.append(item)
+            z[:] = keep
+    return min(2 * shared / (len(la) + len(lb)), 1 - 1e-9)
+
+
+def test_merkle_likeness_follows_branches():
+    def text(n):
+        return "\n".join(" ".join(RNG.choice(["ab", "cd", "e", ""]) for _ in range(RNG.randint(0, 12))) for _ in range(n))
+
+    for _ in range(60):
+        a = text(RNG.randint(1, 12))
+        lines = a.split("\n")
+        lines[RNG.randrange(len(lines))] = text(RNG.randint(1, 2))
+        b = RNG.choice(["\n".join(lines), text(4)])
+        x, y = merkle.Trees([a, b], merkle.Hashes()).fingerprints()
+        root, sections, leaves = brute_tree(a)
+        p = merkle.Print(x)
+        assert (p.root, p.section["n"].tolist(), len(p.leaf)) == (root, [len(s) for _, s in sections], len(leaves))
+        assert p.section["h"].tolist() == [int.from_bytes(h[:8], "big") for h, _ in sections]
+        assert abs(merkle.likeness([x], [y])[0] - brute_likeness(a, b)) < 1e-12
+        assert (x == y) == (a == b)
 
 
 def test_merkle_tells_white_space_apart():
