@@ -1,14 +1,17 @@
 """Operator 8, media columns: FLAC streams in numpy.
 
 A payload is stored as 8-bit mono samples in FLAC: STREAMINFO with the MD5 of the samples, a SEEKTABLE with the sample
-and byte offset of every frame, then frames with a CONSTANT, VERBATIM, FIXED (order 0 to 4) or, when reading, LPC
-subframe. Residuals are Rice coded. All frames of a chunk of payloads are handled side by side: step s decodes sample s of
-every frame, so numpy works on vectors as long as the chunk has frames. Reading checks the CRC-8 of each frame header,
-the CRC-16 of each frame and the MD5 of the stream, and gives PCM blocks with their sample offsets; a stream without a
-seek table is read frame by frame.
+and byte offset of every frame, then frames with a CONSTANT, VERBATIM, FIXED (order 0 to 4) or LPC subframe, whichever is
+shortest. Residuals are Rice coded. All frames of a chunk of payloads are handled side by side: step s decodes sample s of
+every frame, so numpy works on vectors as long as the chunk has frames.
+
+Reading starts at all seek points at once and walks on from each until every byte belongs to a frame, so a sparse or missing
+seek table only takes more steps. It checks the CRC-8 of each frame header, the CRC-16 of each frame, that the frames' own
+numbers say where their samples lie, and the MD5 of the stream, and gives PCM blocks with their sample offsets. ``samples_at``
+reads a span of samples from the seek point before it, without the rest of the stream.
 
 Defined results: null and empty texts store 64 zero bytes; equal texts give equal bytes and features; a damaged stream
-raises ``ValueError``; extra columns are ignored.
+raises ``ValueError``, and so does one that is not 8-bit mono; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks
@@ -31,6 +34,9 @@ CONSTANT, VERBATIM, FIXED, LPC = 0, 1, 8, 32
 #: Fixed predictors: x[n] is predicted from the samples before it with these factors.
 PREDICT = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 MOST_RICE = 14
+#: Order of the encoder's linear prediction, bits of its coefficients, least and most of their shift.
+ORDER, PRECISION, SHIFTS = 4, 8, (2, 12)
+SEEK_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
 
 
 def crc_table(poly: int, bits: int, index_bits: int) -> np.ndarray:
@@ -101,6 +107,52 @@ def samples_of(payload: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndar
     return payload[at].astype(np.int16) - np.int16(128)
 
 
+def zigzag(residual: np.ndarray, inside: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals behind the warm-up samples as unsigned numbers, and which they are."""
+    coded = inside & (np.arange(inside.shape[1])[None, :] >= order[:, None])
+    return np.where(coded, (residual << 1) ^ (residual >> 31), 0).astype(np.uint16), coded
+
+
+def rice_bits(u: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the Rice codes of each row, and the parameter of fewest bits: one next to the logarithm of the mean."""
+    mean = u.sum(axis=1, dtype=np.int64) / np.maximum(n, 1)
+    middle = np.floor(np.log2(np.maximum(mean, 1))).astype(np.int64)
+    bits, rice = np.full(len(n), 2**62), np.zeros(len(n), np.int64)
+    for step in (-1, 0, 1):
+        k = np.clip(middle + step, 0, MOST_RICE)
+        cost = (u >> k[:, None].astype(np.uint16)).sum(axis=1, dtype=np.int64) + n * (k + 1)
+        win = cost < bits
+        bits[win], rice[win] = cost[win], k[win]
+    return bits, rice
+
+
+def linear_prediction(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients of order ORDER (integers), their shifts, and for which rows there are any; by Levinson's recursion."""
+    x = np.where(np.arange(s.shape[1])[None, :] < n[:, None], s, 0).astype(np.float32)
+    r = np.stack([(x[:, lag:] * x[:, : x.shape[1] - lag]).sum(axis=1, dtype=np.float64) for lag in range(ORDER + 1)], axis=1) if len(s) else np.zeros((0, ORDER + 1))
+    a, error = np.zeros((len(s), ORDER)), r[:, 0] * (1 + 1e-9) + 1e-9
+    for i in range(ORDER):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = np.abs(a).max(axis=1, initial=0)
+    shift = PRECISION - 1 - np.ceil(np.log2(np.maximum(most, 1e-6))).astype(np.int64)
+    shift = np.minimum(shift, SHIFTS[1])
+    factors = np.clip(np.rint(a * (2.0 ** shift)[:, None]), -(1 << PRECISION - 1), (1 << PRECISION - 1) - 1).astype(np.int32)
+    return factors, shift, (shift >= SHIFTS[0]) & (most > 0)
+
+
+def linear_residual(s: np.ndarray, factors: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """What the coefficients leave of the samples behind the first ORDER ones."""
+    x = s.astype(np.int32)
+    total = np.zeros((len(x), x.shape[1] - ORDER), np.int32)
+    for j in range(ORDER):
+        total += factors[:, j : j + 1] * x[:, ORDER - 1 - j : x.shape[1] - 1 - j]
+    out = np.zeros_like(x)
+    out[:, ORDER:] = x[:, ORDER:] - (total >> shift[:, None].astype(np.int32))
+    return out
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """FLAC streams of payloads (each of at least one byte), one byte a sample."""
     if not payloads:
@@ -114,8 +166,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     s = samples_of(np.frombuffer(b"".join(payloads), np.uint8), start, n)
     inside = np.arange(s.shape[1])[None, :] < n[:, None]
 
-    # the predictor of least sum of absolute residuals, then the Rice parameter of fewest bits
-    best, residual, order = np.full(len(n), 2**62), np.zeros(s.shape, np.int16), np.zeros(len(n), np.int64)
+    # the fixed predictor of least sum of absolute residuals, and linear prediction where it takes fewer bits
+    best, residual, order = np.full(len(n), 2**62), np.zeros(s.shape, np.int32), np.zeros(len(n), np.int64)
     d = s
     for o in range(5):
         if o:
@@ -124,34 +176,53 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         win = (cost < best) & (n > o)
         best[win], order[win] = cost[win], o
         residual[win] = d[win]
-    coded = inside & (np.arange(s.shape[1])[None, :] >= order[:, None])
-    u = np.where(coded, (residual.astype(np.int32) << 1) ^ (residual.astype(np.int32) >> 31), 0).astype(np.uint16)
-    bits, rice = np.full(len(n), 2**62), np.zeros(len(n), np.int64)
-    for k in range(10):
-        cost = (u >> k).sum(axis=1, dtype=np.int64) + (n - order) * (k + 1)
-        win = cost < bits
-        bits[win], rice[win] = cost[win], k
     constant = (s == s[:, :1]).all(axis=1)
-    kind = np.where(constant, CONSTANT, np.where(bits + 10 + 8 * order >= 8 * n, VERBATIM, FIXED))
-    body = np.where(kind == CONSTANT, 1, np.where(kind == VERBATIM, n, order + (10 + bits + 7) // 8))
+    u, coded = zigzag(residual, inside, order)
+    bits, rice = rice_bits(u, n - order)
+    bits += 8 * order + 10
+    kind = np.full(len(n), FIXED)
+    mine = np.flatnonzero(~constant & (n > 2 * ORDER))
+    factors, shift, known = linear_prediction(s[mine], n[mine])
+    mine = mine[known]
+    factors, shift = factors[known], shift[known]
+    if len(mine):
+        left = linear_residual(s[mine], factors, shift)
+        v, coded_ = zigzag(left, inside[mine], np.full(len(mine), ORDER))
+        cost, k = rice_bits(v, n[mine] - ORDER)
+        cost += 8 * ORDER + 9 + PRECISION * ORDER + 10
+        # a residual must fit 16 bits, as the shorter of two codings of 8-bit samples does
+        win = (cost < bits[mine]) & (np.abs(left).max(axis=1) < 1 << 15)
+        own = mine[win]
+        kind[own], order[own], u[own], coded[own], bits[own], rice[own] = LPC, ORDER, v[win], coded_[win], cost[win], k[win]
+        factors, shift = factors[win], shift[win]
+    else:
+        own = mine
+    kind = np.where(constant, CONSTANT, np.where(bits >= 8 * n, VERBATIM, kind))
+    factors, shift, own = factors[kind[own] == LPC], shift[kind[own] == LPC], own[kind[own] == LPC]
+    body = np.where(kind == CONSTANT, 1, np.where(kind == VERBATIM, n, (bits + 7) // 8))
     heads = [frame_header(int(a), int(b)) for a, b in zip(n, number, strict=True)]
     head = np.fromiter(map(len, heads), np.int64, len(heads))
     total = head + 1 + body + 2
     offset = np.cumsum(total) - total
 
     bit = np.zeros(8 * int(total.sum()), np.uint8)
-    rows = np.flatnonzero(kind == FIXED)
+    rows = np.flatnonzero((kind == FIXED) | (kind == LPC))
     if len(rows):
-        at = 8 * (offset + head + 1 + order)[rows]
+        at = 8 * (offset + head + 1 + order)
+        for j, (value, width) in enumerate([(np.full(len(own), PRECISION - 1), 4), (shift, 5), *((factors[:, i], PRECISION) for i in range(ORDER))]):
+            for i in range(width):
+                bit[at[own] + i] = value >> (width - 1 - i) & 1
+            at[own] += width
+        at = at[rows]
         for j in range(4):
             bit[at + 6 + j] = rice[rows] >> (3 - j) & 1
-        own, take = u[rows], coded[rows]
+        what_, take = u[rows], coded[rows]
         k = rice[rows]
-        length = np.where(take, (own >> k[:, None].astype(np.uint16)).astype(np.int32) + 1 + k[:, None].astype(np.int32), 0)
+        length = np.where(take, (what_ >> k[:, None].astype(np.uint16)).astype(np.int32) + 1 + k[:, None].astype(np.int32), 0)
         stop = (at + 10)[:, None] + np.cumsum(length, axis=1) - 1 - k[:, None]
         for value in np.unique(k):
             mine = k == value
-            where, what = stop[mine][take[mine]], own[mine][take[mine]]
+            where, what = stop[mine][take[mine]], what_[mine][take[mine]]
             bit[where] = 1
             for j in range(int(value)):
                 bit[where + 1 + j] = what >> np.uint16(value - 1 - j) & np.uint16(1)
@@ -159,12 +230,12 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     del bit
     flat = np.frombuffer(b"".join(heads), np.uint8)
     out[np.repeat(offset - (np.cumsum(head) - head), head) + np.arange(len(flat))] = flat
-    out[offset + head] = np.where(kind == CONSTANT, CONSTANT, np.where(kind == VERBATIM, VERBATIM, FIXED + order)) << 1
+    out[offset + head] = np.where(kind == CONSTANT, CONSTANT, np.where(kind == VERBATIM, VERBATIM, np.where(kind == FIXED, FIXED + order, LPC + order - 1))) << 1
     raw = s.astype(np.int8).view(np.uint8)
     first = offset + head + 1
     out[first[kind == CONSTANT]] = raw[kind == CONSTANT, 0]
-    for j in range(4):
-        mine = (kind == FIXED) & (order > j)
+    for j in range(min(4, raw.shape[1])):
+        mine = ((kind == FIXED) | (kind == LPC)) & (order > j)
         out[first[mine] + j] = raw[mine, j]
     mine = np.flatnonzero(kind == VERBATIM)
     if len(mine):
@@ -178,7 +249,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         a, b = int(ends[i] - per[i]), int(ends[i])
         signed = np.frombuffer(payload, np.uint8) ^ np.uint8(128)  # b - 128 as a signed byte
         info = struct.pack(">HH", BLOCK, BLOCK) + int(total[a:b].min()).to_bytes(3, "big") + int(total[a:b].max()).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed.tobytes()).digest()
-        seek = np.zeros(b - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        seek = np.zeros(b - a, SEEK_POINT)
         seek["sample"], seek["offset"], seek["n"] = number[a:b] * BLOCK, offset[a:b] - offset[a], n[a:b]
         end = int(offset[b - 1] + total[b - 1])
         streams.append(b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + (18 * (b - a)).to_bytes(3, "big") + seek.tobytes() + out[offset[a] : end].tobytes())
@@ -186,29 +257,33 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 
 def parse(stream: bytes) -> tuple[dict, np.ndarray, int]:
-    """STREAMINFO fields, the byte offsets of frames by the seek table (empty without one), and where frames begin."""
+    """STREAMINFO fields, the seek points (SEEK_POINT), and where frames begin."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, last, info, seek = 4, False, {}, np.zeros(0, np.int64)
+    at, last, info, seek = 4, False, {}, np.zeros(0, SEEK_POINT)
     while not last:
+        if at + 4 > len(stream):
+            raise ValueError("the stream ends within its metadata")
         last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         data = stream[at + 4 : at + 4 + size]
         at += 4 + size
         if kind == 0:
             packed = int.from_bytes(data[10:18], "big")
-            info = {"rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": data[18:34]}
+            info = {"block": int.from_bytes(data[2:4], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": data[18:34]}
         elif kind == 3:
-            table = np.frombuffer(data, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-            seek = table["offset"][table["sample"] != 2**64 - 1].astype(np.int64)
+            table = np.frombuffer(data, SEEK_POINT, len(data) // SEEK_POINT.itemsize)
+            seek = table[table["sample"] != 2**64 - 1]
     if info.get("bits") != 8 or info.get("channels") != 1:
         raise ValueError("only 8-bit mono streams are read")
     return info, seek, at
 
 
-def read_header(data: bytes, at: int) -> tuple[int, int, int]:
-    """(block size, number, first byte behind) of a frame header, whose CRC-8 is checked."""
-    if data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
+def read_header(data: bytes, at: int) -> tuple[int, int, int, int]:
+    """(block size, number, first byte behind, 1 if the number is the first sample's and not the frame's); the CRC-8 is checked."""
+    if at + 16 > len(data) + 8 or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
         raise ValueError("no frame begins here")
+    if data[at + 3] >> 4 or data[at + 3] >> 1 & 7 not in (0, 1):
+        raise ValueError("only 8-bit mono frames are read")
     size, pos = data[at + 2] >> 4, at + 4
     lead = data[pos]
     more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()  # leading ones but the first
@@ -226,151 +301,286 @@ def read_header(data: bytes, at: int) -> tuple[int, int, int]:
     pos += 1 if rate == 12 else 2 if rate in (13, 14) else 0
     if crc8(data[at:pos]) != data[pos]:
         raise ValueError("a frame header's checksum is wrong")
-    return n, number, pos + 1
-
-
-def decode_frames(data: np.ndarray, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Samples (a row for each frame), block sizes, frame numbers, and ends of the frames that begin at ``at``."""
+    return n, number, pos + 1, data[at + 1] & 1
+
+
+def undo_linear(out: np.ndarray, n: np.ndarray, factors: np.ndarray, shift: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Samples from residuals behind ``order`` warm-up samples of each row, all rows in a step."""
+    width = factors.shape[1]
+    x = np.concatenate([np.zeros((len(out), width), np.int64), out], axis=1)
+    back = factors[:, ::-1].astype(np.int64)
+    for i in range(int(order.min(initial=0)), int(n.max(initial=0))):
+        step = (x[:, i : i + width] * back).sum(axis=1) >> shift
+        x[:, i + width] += step if i >= width else np.where(order <= i, step, 0)
+    return x[:, width:]
+
+
+class Bits:
+    """Reads bit fields of one subframe, for what the vectorised reader leaves out."""
+
+    def __init__(self, data: bytes, at: int) -> None:
+        self.data, self.at = data, at
+
+    def unsigned(self, width: int) -> int:
+        first, last = self.at >> 3, self.at + width + 7 >> 3
+        if last > len(self.data):
+            raise ValueError("a frame ends too early")
+        value = int.from_bytes(self.data[first:last], "big") >> (8 * last - self.at - width) & (1 << width) - 1
+        self.at += width
+        return value
+
+    def signed(self, width: int) -> int:
+        value = self.unsigned(width)
+        return value - (1 << width) if width and value >> (width - 1) else value
+
+    def unary(self) -> int:
+        count = 0
+        while not self.unsigned(1):
+            count += 1
+        return count
+
+
+def subframe(data: bytes, pos: int, n: int) -> tuple[list[int], int]:
+    """Samples of any mono subframe of 8 bits (with wasted bits, too), and the byte behind it; one by one."""
+    bits = Bits(data, 8 * pos)
+    bits.unsigned(1)
+    kind, wasted = bits.unsigned(6), bits.unsigned(1)
+    wasted = bits.unary() + 1 if wasted else 0
+    depth = 8 - wasted
+    if depth < 1:
+        raise ValueError("more bits are wasted than there are")
+    if kind == CONSTANT:
+        x = [bits.signed(depth)] * n
+    elif kind == VERBATIM:
+        x = [bits.signed(depth) for _ in range(n)]
+    else:
+        order = kind - FIXED if kind < LPC else kind - LPC + 1
+        x = [bits.signed(depth) for _ in range(order)]
+        factors, shift = PREDICT[order] if kind < LPC else (), 0
+        if kind >= LPC:
+            precision, shift = bits.unsigned(4) + 1, bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise ValueError("an invalid linear predictor")
+            factors = [bits.signed(precision) for _ in range(order)]
+        method, parts = bits.unsigned(2), 1 << bits.unsigned(4)
+        if method > 1 or n % parts or n // parts < order:
+            raise ValueError("an invalid residual")
+        for part in range(parts):
+            k = bits.unsigned(4 + method)
+            raw = bits.unsigned(5) if k == 15 + 16 * method else None
+            while len(x) < n // parts * (part + 1):
+                if raw is None:
+                    v = bits.unary() << k
+                    v |= bits.unsigned(k)
+                    v = v >> 1 ^ -(v & 1)
+                else:
+                    v = bits.signed(raw)
+                x.append(v + (sum(c * x[-1 - j] for j, c in enumerate(factors)) >> shift))
+    return [v << wasted for v in x], bits.at + 7 >> 3
+
+
+def decode_frames(data: np.ndarray, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Samples (a row for each frame), block sizes, numbers and what they count, and ends of the frames that begin at ``at``."""
     heads = [read_header(raw, int(x)) for x in at]
-    n, number, pos = (np.array([h[j] for h in heads], np.int64) for j in range(3))
+    n, number, pos, counts = (np.array([h[j] for h in heads], np.int64) for j in range(4))
+    if (pos >= len(data)).any():
+        raise ValueError("a frame ends too early")
     kind = data[pos].astype(np.int64) >> 1 & 63
-    if (data[pos] & 0x81).any():
-        raise ValueError("a subframe header is damaged, or has wasted bits")
-    out = np.zeros((len(at), int(n.max())), np.int32)
-    end = np.zeros(len(at), np.int64)
-    pad = np.concatenate([data, np.zeros(8, np.uint8)])
-    signed = pad.view(np.int8)
-
-    rows = np.flatnonzero(kind == CONSTANT)
-    out[rows] = signed[pos[rows] + 1][:, None]
-    end[rows] = pos[rows] + 2
-    for r in np.flatnonzero(kind == VERBATIM):
-        out[r, : n[r]] = signed[pos[r] + 1 : pos[r] + 1 + n[r]]
-        end[r] = pos[r] + 1 + n[r]
+    if (data[pos] & 0x80).any():
+        raise ValueError("a subframe header is damaged")
     fixed, lpc = (kind >= FIXED) & (kind <= FIXED + 4), kind >= LPC
     if not (fixed | lpc | (kind <= VERBATIM)).all():
         raise ValueError("a reserved subframe type")
-    rows = np.flatnonzero(fixed | lpc)
-    if not len(rows):
-        return out, n, number, end
-    order = np.where(fixed, kind - FIXED, kind - LPC + 1)[rows]
-    p = 8 * (pos[rows] + 1)
-    for j in range(int(order.max(initial=0))):
-        mine = order > j
-        out[rows[mine], j] = signed[p[mine] // 8 + j]
-    p = p + 8 * order
+    out = np.zeros((len(at), int(n.max())), np.int32)
+    end = np.zeros(len(at), np.int64)
+    pad = np.concatenate([data, np.zeros(16, np.uint8)])
+    signed = pad.view(np.int8)
 
     def read(where: np.ndarray, width: np.ndarray) -> np.ndarray:
         """Up to 16 bits at bit positions."""
         byte = where >> 3
+        if len(byte) and int(byte.max()) + 2 >= len(pad):
+            raise ValueError("a frame ends too early")
         word = pad[byte].astype(np.int64) << 16 | pad[byte + 1].astype(np.int64) << 8 | pad[byte + 2]
         return word >> (24 - (where & 7) - width) & (1 << width) - 1
 
-    factors: dict[int, tuple[np.ndarray, int]] = {}
-    for i in np.flatnonzero(lpc[rows]):
-        precision, shift = int(read(p[i], 4)) + 1, int(read(p[i] + 4, 5))
-        p[i] += 9
-        got = []
-        for _ in range(int(order[i])):
-            c = int(read(p[i], precision))
-            got.append(c - (1 << precision) if c >> (precision - 1) else c)
-            p[i] += precision
-        factors[int(rows[i])] = np.array(got, np.int64), shift - 32 if shift > 15 else shift
-    if read(p, np.full(len(p), 2)).any():
-        raise ValueError("only the Rice method with 4-bit parameters is read")
+    order = np.where(fixed, kind - FIXED, kind - LPC + 1)
+    p = 8 * (pos + 1 + order)
+    # wasted bits, and residuals that begin otherwise than with 4-bit parameters, are read one by one; so are escaped ones below
+    odd = data[pos] & 1 == 1
+    plain = fixed | lpc
+    factors, shift = np.zeros((len(at), int(order[lpc].max(initial=0))), np.int64), np.zeros(len(at), np.int64)
+    if lpc.any():
+        rows = np.flatnonzero(lpc & ~odd)
+        precision, shift[rows] = read(p[rows], np.full(len(rows), 4)) + 1, read(p[rows] + 4, np.full(len(rows), 5))
+        if (precision == 16).any() or (shift[rows] > 15).any():
+            raise ValueError("an invalid linear predictor")
+        p[rows] += 9
+        for j in range(factors.shape[1]):
+            mine = order[rows] > j
+            value = read(p[rows[mine]], precision[mine])
+            factors[rows[mine], j] = value - (value >> (precision[mine] - 1) << precision[mine])
+            p[rows[mine]] += precision[mine]
+    rows = np.flatnonzero(plain & ~odd)
+    odd[rows] |= read(p[rows], np.full(len(rows), 2)) != 0
+
+    rows = np.flatnonzero((kind == CONSTANT) & ~odd)
+    out[rows] = signed[pos[rows] + 1][:, None]
+    end[rows] = pos[rows] + 2
+    for r in np.flatnonzero((kind == VERBATIM) & ~odd):
+        if pos[r] + 1 + n[r] > len(data):
+            raise ValueError("a frame ends too early")
+        out[r, : n[r]] = signed[pos[r] + 1 : pos[r] + 1 + n[r]]
+        end[r] = pos[r] + 1 + n[r]
+    rows = np.flatnonzero(plain & ~odd)
+    if len(rows):
+        for j in range(int(order[rows].max())):
+            mine = rows[order[rows] > j]
+            out[mine, j] = signed[np.minimum(pos[mine] + 1 + j, len(pad) - 1)]
+        odd[rows] |= residuals(pad, read, at, rows, n, order, p, out, end)
+        for o in range(1, 5):  # undo the fixed predictors: sums of sums, with the warm-up samples as starts
+            mine = np.flatnonzero(fixed & ~odd & (order == o))
+            if not len(mine):
+                continue
+            x = out[mine]
+            starts = [x[:, :o].astype(np.int64)]
+            for _ in range(o - 1):
+                starts.append(np.diff(starts[-1], axis=1))
+            run = x[:, o:]
+            for level in range(o - 1, -1, -1):
+                run = np.cumsum(run, axis=1, dtype=np.int32) + starts[level][:, -1:].astype(np.int32)
+            out[mine, o:] = run
+        mine = np.flatnonzero(lpc & ~odd)
+        if len(mine):
+            out[mine] = undo_linear(out[mine], n[mine], factors[mine], shift[mine], order[mine])
+    for r in np.flatnonzero(odd):
+        own, end[r] = subframe(raw, int(pos[r]), int(n[r]))
+        out[r, : n[r]] = own
+    if (end + 2 > len(data)).any():
+        raise ValueError("a frame ends too early")
+    return out, n, number, counts, end
+
+
+def residuals(pad: np.ndarray, read, at: np.ndarray, rows: np.ndarray, n: np.ndarray, order: np.ndarray, p: np.ndarray, out: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Writes the Rice-coded residuals of the frames ``rows`` into ``out`` and where they end into ``end``; True for frames with escaped partitions."""
+    p = p[rows]
     parts = np.left_shift(1, read(p + 2, np.full(len(p), 4)))
+    if (n[rows] % parts).any() or (n[rows] // parts < order[rows]).any():
+        raise ValueError("an invalid residual")
     p = p + 6
-
     # where the next 1 is, from every bit on
     lo, hi = int(p.min()) // 8, min(len(pad), int(at.max()) + 16 * int(n.max()) + 64)
     own = np.unpackbits(pad[lo:hi])
     ones = np.where(own, np.arange(len(own), dtype=np.int32), np.int32(2**31 - 1))
     ones = np.minimum.accumulate(ones[::-1])[::-1]
     base = 8 * lo
-    k = np.zeros(len(rows), np.int64)
-    escape = np.zeros(len(rows), bool)
-    size = n[rows] // parts
+    k, escaped = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+    size, take_from = n[rows] // parts, order[rows]
     by = np.argsort(-n[rows], kind="stable")  # rows whose block has ended are at the back
-    rows, order, p, parts, size, k, escape = (x[by] for x in (rows, order, p, parts, size, k, escape))
-    left = len(rows)
-    n_rows = n[rows]
+    to, p, size, take_from = rows[by], p[by], size[by], take_from[by]
+    left, lengths, most = len(to), n[rows][by], int(order[rows].max())
     single = bool((parts == 1).all())
-    for i in range(int(n_rows.max())):
-        while left and n_rows[left - 1] <= i:
+    for i in range(int(lengths[0])):
+        while left and lengths[left - 1] <= i:
             left -= 1
         live = slice(0, left)
         if i == 0 or not single:
-            fresh = i % size[live] == 0
+            fresh = (i % size[live] == 0) & ~escaped[live]
             if fresh.any():
                 k[:left] = np.where(fresh, read(p[live], np.full(left, 4)), k[live])
                 p[:left] += np.where(fresh, 4, 0)
-                if (k[live] == 15).any():
-                    raise ValueError("escaped partitions are not read")
-        stop = ones[p[live] - base].astype(np.int64) + base
+                escaped[:left] |= k[live] == 15
+        where = p[live] - base
+        if (where >= len(ones)).any():
+            raise ValueError("a frame ends too early")
+        stop = ones[where].astype(np.int64) + base
         width = k[live]
+        ended = (stop + 1 + width >= 8 * len(pad)) & ~escaped[live]
+        if ended.any():
+            raise ValueError("a frame ends too early")
+        stop = np.where(escaped[live], p[live], stop)
         value = (stop - p[live]) << width | np.where(width > 0, read(stop + 1, width), 0)
         value = value >> 1 ^ -(value & 1)
-        if i < 4 or lpc.any():
-            take = order[live] <= i
-            out[rows[live][take], i] = value[take]
-            p[:left] = np.where(take, stop + 1 + width, p[live])
-        else:
-            out[rows[live], i] = value
-            p[:left] = stop + 1 + width
-    end[rows] = (p + 7) // 8
-
-    for o in range(1, 5):  # undo the fixed predictors: sums of sums, with the warm-up samples as starts
-        mine = rows[(order == o) & fixed[rows]]
-        if not len(mine):
-            continue
-        x = out[mine]
-        heads_ = [x[:, :o].astype(np.int64)]
-        for _ in range(o - 1):
-            heads_.append(np.diff(heads_[-1], axis=1))
-        run = x[:, o:]
-        for level in range(o - 1, -1, -1):
-            run = np.cumsum(run, axis=1, dtype=np.int32) + heads_[level][:, -1:].astype(np.int32)
-        out[mine, o:] = run
-    for r, (c, shift) in factors.items():
-        x, o = out[r], len(c)
-        for i in range(o, int(n[r])):
-            x[i] += int((c * x[i - o : i][::-1]).sum()) >> shift
-    return out, n, number, end
+        go = take_from[live] <= i if i < most else slice(None)
+        out[to[live][go], i] = value[go]
+        after = np.where(escaped[live], p[live], stop + 1 + width)
+        p[:left] = np.where(go, after, p[live]) if i < most else after
+    end[to] = (p + 7) // 8
+    odd = np.empty(len(rows), bool)
+    odd[by] = escaped
+    return odd
+
+
+def walk(data: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int, int, int, bytes, int]]:
+    """(position, end, number, what it counts, samples, block size) of all frames from ``starts`` on, up to their ``stops``.
+
+    Every round reads one frame at each place where one is known to begin.
+    """
+    found, known = [], set()
+    now = sorted({(int(a), int(b)) for a, b in zip(starts, stops, strict=True) if a < b})
+    while now:
+        known.update(a for a, _ in now)
+        at = np.array([a for a, _ in now], np.int64)
+        out, n, number, counts, end = decode_frames(data, raw, at)
+        if (crc16(data, at, end - at) != (data[end].astype(np.uint32) << 8 | data[end + 1])).any():
+            raise ValueError("a frame's checksum is wrong")
+        pcm = (out + 128).astype(np.uint8)
+        found += [(int(at[r]), int(end[r]) + 2, int(number[r]), int(counts[r]), pcm[r, : n[r]].tobytes(), int(n[r])) for r in range(len(at))]
+        now = sorted({(f[1], stop) for f, (_, stop) in zip(found[-len(at) :], now, strict=True) if f[1] < stop and f[1] not in known})
+    return sorted(found)
+
+
+def first_sample(info: dict, number: int, counts: int) -> int:
+    """Where a frame's samples begin by its own header."""
+    return number if counts else number * info["block"]
 
 
 def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """PCM blocks of each stream: (first sample, unsigned 8-bit samples). All checksums are checked."""
-    found: list[list[tuple[int, bytes]]] = [[] for _ in streams]
+    """PCM blocks of each stream: (first sample, unsigned 8-bit samples). All checksums and offsets are checked."""
     parsed = [parse(s) for s in streams]
-    starts = np.cumsum([0, *map(len, streams)])
+    base = np.cumsum([0, *map(len, streams)])
     whole = b"".join(streams)
-    data = np.frombuffer(whole, np.uint8)
-    at = [starts[i] + body + seek for i, (_, seek, body) in enumerate(parsed) if len(seek)]
-    who = [np.full(len(seek), i) for i, (_, seek, _) in enumerate(parsed) if len(seek)]
-    if at:
-        at_, who_ = np.concatenate(at), np.concatenate(who)
-        _collect(data, whole, at_, who_, found)
+    starts, stops = [], []
     for i, (_, seek, body) in enumerate(parsed):
-        if not len(seek):  # no seek table: frames follow one another
-            pos = int(starts[i]) + body
-            while pos < starts[i + 1]:
-                pos = int(_collect(data, whole, np.array([pos]), np.array([i]), found)[0]) + 2
-    for (info, _, _), blocks in zip(parsed, found, strict=True):
-        pcm = b"".join(b for _, b in blocks)
-        if len(pcm) != info["samples"] or hashlib.md5((np.frombuffer(pcm, np.uint8) ^ np.uint8(128)).tobytes()).digest() != info["md5"]:
+        points = np.union1d(body, body + seek["offset"].astype(np.int64)) + base[i]
+        if points[0] < base[i] + body or points[-1] > base[i + 1]:
+            raise ValueError("a seek point is outside the frames")
+        starts.append(points), stops.append(np.full(len(points), base[i + 1]))
+    frames = walk(np.frombuffer(whole, np.uint8), whole, np.concatenate(starts), np.concatenate(stops)) if streams else []
+    found: list[list[tuple[int, bytes]]] = [[] for _ in streams]
+    k = 0
+    for i, (info, seek, body) in enumerate(parsed):
+        at, sample, begins = int(base[i]) + body, 0, {}
+        while at < base[i + 1]:
+            if k == len(frames) or frames[k][0] != at or first_sample(info, *frames[k][2:4]) != sample:
+                raise ValueError("frames or seek points are not where they should be")
+            _, end, _, _, pcm, n = frames[k]
+            begins[at] = sample
+            found[i].append((sample, pcm))
+            at, sample, k = end, sample + n, k + 1
+        if any(begins.get(int(base[i]) + body + int(p["offset"])) != int(p["sample"]) for p in seek):
+            raise ValueError("a seek point is wrong")
+        pcm = b"".join(b for _, b in found[i])
+        if info["samples"] not in (0, len(pcm)) or info["md5"] not in (bytes(16), hashlib.md5((np.frombuffer(pcm, np.uint8) ^ np.uint8(128)).tobytes()).digest()):
             raise ValueError("the samples do not have the stream's length or MD5")
     return found
 
 
-def _collect(data: np.ndarray, whole: bytes, at: np.ndarray, who: np.ndarray, found: list[list[tuple[int, bytes]]]) -> np.ndarray:
-    out, n, number, end = decode_frames(data, whole, at)
-    if (crc16(data, at, end - at) != (data[end].astype(np.uint32) << 8 | data[end + 1])).any():
-        raise ValueError("a frame's checksum is wrong")
-    pcm = (out + 128).astype(np.uint8)
-    for r in range(len(at)):
-        own = found[who[r]]
-        own.append((own[-1][0] + len(own[-1][1]) if own else 0, pcm[r, : n[r]].tobytes()))
-    return end
+def samples_at(stream: bytes, first: int, count: int) -> bytes:
+    """Up to ``count`` samples from sample ``first`` on. Only the frames from the seek point before them are read."""
+    info, seek, body = parse(stream)
+    before = seek[seek["sample"] <= max(first, 0)]
+    at = body + int(before["offset"][-1]) if len(before) else body
+    data, out = np.frombuffer(stream, np.uint8), []
+    first, last = max(first, 0), max(first, 0) + max(count, 0)
+    while at < len(stream):
+        ((_, end, number, counts, pcm, n),) = walk(data, stream, np.array([at]), np.array([at + 1]))
+        sample = first_sample(info, number, counts)
+        if sample >= last:
+            break
+        out.append(pcm[max(0, first - sample) : max(0, last - sample)])
+        at = end
+    return b"".join(out)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -411,6 +621,21 @@ def blocks(media: DataFrame) -> DataFrame:
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, block int, first_sample long, samples int, pcm binary")
 
 
+def spans(media: DataFrame, first: Column, count: Column) -> DataFrame:
+    """doc_id, first_sample, pcm (binary): of each stored stream, up to ``count`` samples from sample ``first`` on.
+
+    Only the frames of the span are read. A null first or count gives no bytes.
+    """
+    ship_package(media.sparkSession)
+
+    def run(batches):
+        for rest, streams in chunks(batches, "media", limit=1_500_000):
+            pcm = [samples_at(m, a or 0, c or 0) if m is not None else b"" for m, a, c in zip(streams, rest["first_sample"], rest["n"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), pa.array(rest["first_sample"], pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "first_sample", "pcm"])
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), first.cast("long").alias("first_sample"), count.cast("long").alias("n"), "media").mapInArrow(run, "doc_id long, first_sample long, pcm binary")
+
+
 def digest(media: DataFrame) -> DataFrame:
     """Reads every stored stream back and gives the digests and features of its samples."""
     ship_package(media.sparkSession)
