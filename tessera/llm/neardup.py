@@ -12,7 +12,7 @@
    shingles over an inverted index. Large clusters are split into blocks. Every block is first compared with some pivots of
    the cluster, which ties most copies of one text together; pairs inside the largest component so found need no further
    look, so only the documents outside it are compared with all blocks. Each block pair is a task of its own and holds a
-   bounded number of shingles however large a cluster is. A task passes on a spanning forest of its links.
+   bounded number of shingles and members however large a cluster is. A task passes on a spanning forest of its links.
 5. Components of the confirmed links are the result.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; fewer than five words
@@ -23,13 +23,13 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CACHE_WORDS, chunks, mix
@@ -38,8 +38,9 @@ from tessera.runtime import materialise, ship_package
 
 #: Words of a shingle, minhashes of a small sketch, chance to miss a pair at the threshold.
 WORDS, R, MISS = 5, 5, 1e-5
-#: Shingles that a block of a cluster holds (a comparing task holds two blocks), and pivots of a large cluster.
-BLOCK_SHINGLES, PIVOTS = 500_000, 16
+#: Shingles and members that a block of a cluster holds (a comparing task holds two blocks, and its work grows with their
+#: product), and pivots of a large cluster.
+BLOCK_SHINGLES, BLOCK_MEMBERS, PIVOTS = 500_000, 128, 16
 #: Candidate documents that are sent to all tasks with their cluster; beyond that they are joined.
 SMALL = 1_000_000
 #: Shingles that are minhashed at a time.
@@ -219,7 +220,11 @@ def compared(dealt: DataFrame, percent: int) -> DataFrame:
 def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: int, small: int, block: int) -> DataFrame:
     """u, v: links between the members of each cluster, checked on full sets."""
     member = clusters.select(F.col("node"), F.col("component").alias("cluster")).join(sizes, "node")
-    total = member.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+
+    def pieces() -> Column:
+        return F.greatest(F.ceil(F.sum("n") / F.lit(block)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS))).cast("int")
+
+    total = member.groupBy("cluster").agg(pieces().alias("blocks"))
     member = materialise(member.join(total, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
 
@@ -245,7 +250,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: i
     state = large.join(components(tied, "pivot-components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     main = state.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     outside = materialise(state.join(main, "cluster").where("component != main").select("node", "cluster", "n", "b", "blocks"), "outside")
-    rounds = outside.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("groups"))
+    rounds = outside.groupBy("cluster").agg(pieces().alias("groups"))
     mine = outside.join(rounds, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), "groups").cast("int"))
     offset = 1 << 30  # tells the second kind's blocks from the first kind's
     tasks = mine.select("node", "cluster", "i", F.explode(F.sequence(F.lit(offset), F.col("blocks") - 1 + offset)).alias("j"), no.alias("second"))
@@ -265,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, small: int = SMALL, bloc
     # (a class may hold a third of all rows: with both sides of the join read from files, Spark can split its partition)
     classes = materialise(found.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     rows = materialise(found.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "class-members")
-    repeated = rows.where("doc_id != rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
+    repeated = rows.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
     more = repeated.select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links.unionByName(more), "confirmed-links")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id")))
@@ -284,8 +289,9 @@ def representatives(docs: DataFrame, percent: int = 80, small: int = SMALL, bloc
     repeated = twice.count()
     kept = docs.join(gone_side, "doc_id", "left_anti")
     if not repeated:
-        return kept.select(docs.columns)
+        return kept.select([F.col(f"`{c}`") for c in docs.columns])
     twice_side = F.broadcast(twice) if repeated <= small else twice
     first = Window.partitionBy("doc_id").orderBy(F.col("text"), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")])
-    once = kept.join(twice_side, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").select(docs.columns)
-    return kept.join(twice_side, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    place = f"place_{uuid.uuid4().hex}"  # no column of the caller's
+    once = kept.join(twice_side, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select([F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(twice_side, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns]).unionByName(once)

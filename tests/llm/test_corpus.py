@@ -63,14 +63,23 @@ def near_rows():
 
 
 @pytest.mark.parametrize("percent", [80, 85, 95])
-@pytest.mark.parametrize(("small", "block"), [(10**6, 10**6), (0, 700)])
-def test_near_duplicates_equal_brute_force(spark, percent, small, block):
+@pytest.mark.parametrize(("small", "block", "members"), [(10**6, 10**6, 10**6), (0, 700, 128), (10, 10**6, 5)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, small, block, members):
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", members)
     rows = near_rows()
     docs = spark.createDataFrame([(d, t, 1, "c") for d, t in rows], "doc_id long, text string, component_id int, kept string").repartition(3)
     got = neardup.near_duplicates(docs, percent, small, block).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == brute(rows, percent)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(5, "one text of its own here"), (5, "another text with other words"), (3, "another text with other words"), (9, "a third text quite alone")]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, `a.b` int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 9, True)]
+    assert sorted(r.doc_id for r in neardup.representatives(docs).collect()) == [3, 9]
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(empty).count() == 0 and neardup.representatives(empty).count() == 0
