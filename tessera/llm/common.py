@@ -66,16 +66,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def within(found: DataFrame, chars: int = TRAIN_CHARS) -> DataFrame:
-    """The rows (doc_id, text, ...) of as many ids, by smallest hash, as hold ``chars`` characters together."""
+    """The rows (doc_id, text, ...) of as many ids, by smallest hash, as hold ``chars`` characters together; an id that does not fit any more is passed over."""
     sizes = found.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect()
     if sum(r["n"] or 0 for r in sizes) <= chars:
         return found
     kept, total = [], 0
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
-        total += r["n"] or 0
-        if total > chars:
-            break
-        kept.append(r["doc_id"])
+        if total + (r["n"] or 0) <= chars:
+            total += r["n"] or 0
+            kept.append(r["doc_id"])
     return found.where(F.col("doc_id").isin(kept))
 
 
@@ -83,7 +82,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     """At most ``rows`` labelled documents outside the held-out fold, of ``TRAIN_CHARS`` characters at most, as (text, label).
 
     The sample is the ``rows`` labelled ids of smallest hash, so it does not depend on partitioning or file order.
-    Ids are chosen from the narrow label table; only then are texts read, so no task holds more than its share.
+    Ids are chosen from the narrow label table; only then are texts read, so no task holds more than its share. An id with
+    conflicting labels has the smallest one.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

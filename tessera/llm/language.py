@@ -189,10 +189,11 @@ class Predictor:
 
 
 def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
-    """At most ``rows`` texts with a language, outside the held-out fold, by smallest id hash."""
+    """At most ``rows`` texts with a language, outside the held-out fold, by smallest id hash; of rows that share an id, the first by text."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = within(usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")).orderBy("doc_id", "text", "lang").limit(2 * rows).collect()
+    first = usable.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("first")).select("doc_id", "first.*")
+    found = within(first).orderBy("doc_id").collect()
     return [(r["text"], r["lang"]) for r in found]
 
 

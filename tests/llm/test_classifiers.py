@@ -1,5 +1,7 @@
 """Quality, language and toxicity: held-out accuracy, brute force of the scores, edge cases."""
 
+import itertools
+import math
 import zlib
 
 import numpy as np
@@ -132,6 +134,79 @@ def test_toxicity_finds_planted_words(spark, larger):
     assert sum(r.toxic for r in real if r["toxic"] is False) == 0
 
 
+def test_toxicity_likelihood_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(3)
+    row, col, val, grade = np.repeat(np.arange(9), 2), rng.integers(0, 4, 18), rng.random(18), rng.integers(0, 4, 9)
+    theta = rng.normal(0, 0.5, 4 + toxicity.GRADES)
+
+    def brute(theta):
+        b = [theta[4]]
+        for gap in theta[5:]:
+            b.append(b[-1] + math.log(1 + math.exp(gap)))
+        total = 0.0
+        for i in range(9):
+            s = sum(theta[c] * v for r, c, v in zip(row, col, val) if r == i)
+            above = [1.0, *(1 / (1 + math.exp(x - s)) for x in b), 0.0]
+            total -= math.log(above[grade[i]] - above[grade[i] + 1])
+        return total / 9 + 0.5e-5 * sum(theta[:4] ** 2)
+
+    value, slope = toxicity.loss(theta, row, col, val, grade)
+    assert abs(value - brute(theta)) < 1e-9
+    for k in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert abs((brute(theta + step) - brute(theta - step)) / 2e-5 - slope[k]) < 1e-6
+
+
+def test_toxicity_score_equals_brute_force():
+    model = toxicity.Model({"bad": 2.0, "badl-": 1.0, toxicity.DENSITY: 0.5}, np.array([1.0, 2.0, 4.0]))
+    texts = ["bad badly fine", "Bad, BAD", "fine", "", None, "badness " * 5 + "x " * 30]
+
+    def brute(text):
+        words, hits = (text or "").split(), {}
+        for token in words:
+            own = [f for f in toxicity.token_features(token) if f in model.weights]
+            for f in own:
+                hits[f] = hits.get(f, 0) + 1 / len(own)
+        z = sum(model.weights[f] * math.log2(1 + n) for f, n in hits.items())
+        z += model.weights[toxicity.DENSITY] * math.log2(1 + toxicity.PER * sum(hits.values()) / len(words)) if hits else 0
+        return [1 / (1 + math.exp(b - z)) for b in model.bias]
+
+    assert np.allclose(toxicity.Scorer(model)(texts), [brute(t) for t in texts])
+
+
+def test_toxicity_test_of_features_equals_counting():
+    for toxic, total in ((3, 8), (5, 9)):
+        for k in range(1, total + 1):
+            draws = [sum(i < toxic for i in c) for c in itertools.combinations(range(total), k)]
+            for a in range(k + 1):
+                want = sum(d >= a for d in draws) / len(draws) if a * total > k * toxic else 1.0
+                assert abs(toxicity.tail(a, k, toxic, total) - want) < 1e-9
+
+
+def test_toxicity_catches_held_out_labels(spark):
+    """Of the labelled toxic texts of these tables, one in twenty holds none of the words that the others share."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    found = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert sum(r.toxic for r in found if truth[r.doc_id] == 1) >= 0.9 * sum(truth[r.doc_id] == 1 for r in found)
+    assert sum(r.toxic for r in found if truth[r.doc_id] == 0) <= 0.01 * sum(truth[r.doc_id] == 0 for r in found)
+
+
+def test_few_toxic_labels_leave_every_text_at_the_prior():
+    with pytest.warns(UserWarning, match="prior"):
+        model = toxicity.fit([("an insult", 1), ("another insult", 1)] + [(f"fine text {i}", 0) for i in range(30)])
+    p = toxicity.Scorer(model)(["an insult", "fine"])
+    assert np.allclose(p[0], p[1]) and p[0, 0] < toxicity.THRESHOLD
+
+
+def test_one_giant_text_does_not_empty_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i == 3 else 10)) for i in range(20)], "doc_id long, text string")
+    kept = {r.doc_id for r in common.within(docs, 500).collect()}
+    assert kept == set(range(20)) - {3}
+
+
 def test_toxicity_thresholds_are_ordered_and_shared():
     rows = [("fine words here", 0)] * 50 + [("bad", 1)] * 12 + [("bad bad bad", 1)] * 12 + [("bad " * 20, 1)] * 12
     model = toxicity.fit(rows)
