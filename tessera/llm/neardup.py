@@ -40,7 +40,7 @@ from tessera.runtime import materialise, ship_package
 WORDS, R, MISS = 5, 5, 1e-5
 #: Shingles and members that a block of a cluster holds (a comparing task holds two blocks, and its work grows with their
 #: product), and pivots of a large cluster.
-BLOCK_SHINGLES, BLOCK_MEMBERS, PIVOTS = 500_000, 128, 16
+BLOCK_SHINGLES, BLOCK_MEMBERS, PIVOTS = 500_000, 256, 16
 #: Candidate documents that are sent to all tasks with their cluster; beyond that they are joined.
 SMALL = 1_000_000
 #: Shingles that are minhashed at a time.
@@ -179,7 +179,7 @@ def forest(nodes: list[int], own: list[np.ndarray], other: list[bool] | None, pe
 
 
 def compared(dealt: DataFrame, percent: int) -> DataFrame:
-    """u, v: links inside each task (cluster, i, j) of rows (node, text, second).
+    """u, v: links inside each task (cluster, i, j), the ``turn``-th of its cluster, of rows (node, text, second).
 
     With i = j all sets of the task are compared with one another, else those of the first kind with those of the second.
     """
@@ -213,8 +213,11 @@ def compared(dealt: DataFrame, percent: int) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in links], pa.int64()) for j in (0, 1)], ["u", "v"])
 
-    rows = dealt.select("node", "text", "cluster", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "second")
-    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "u long, v long")
+    rows = dealt.select("node", "text", "cluster", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "second", "turn")
+    # the tasks of one cluster go to the partitions in turn, so none gets many of them by chance
+    parts = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartitionById(parts, F.pmod(F.xxhash64("cluster") + F.col("turn"), F.lit(parts)).cast("int")).drop("turn")
+    return rows.sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "u long, v long")
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: int, small: int, block: int) -> DataFrame:
@@ -229,11 +232,11 @@ def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: i
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
 
     def with_text(tasks: DataFrame) -> DataFrame:
-        """Tasks (node, cluster, i, j, second) with the texts; the small side goes to all tasks only up to a measured size."""
+        """Tasks (node, cluster, i, j, second, turn) with the texts; the small side goes to all tasks only up to a measured size."""
         return texts.join(F.broadcast(tasks) if tasks.count() <= small else tasks, "node")
 
     no = F.lit(False)
-    links = compared(with_text(member.where("blocks = 1").select("node", "cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), no.alias("second"))), percent)
+    links = compared(with_text(member.where("blocks = 1").select("node", "cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), no.alias("second"), F.lit(0).alias("turn"))), percent)
     large = member.where("blocks > 1")
     if not large.limit(1).count():
         return links
@@ -243,7 +246,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: i
     pivots = large.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS)
     tasks = large.select("node", "cluster", F.lit(-1).alias("i"), F.col("b").alias("j"), no.alias("second"))
     tasks = tasks.unionByName(pivots.select("node", "cluster", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("second")))
-    tied = materialise(compared(with_text(materialise(tasks, "pivot-tasks")), percent), "pivot-links")
+    tied = materialise(compared(with_text(materialise(tasks.withColumn("turn", F.col("j")), "pivot-tasks")), percent), "pivot-links")
     links = links.unionByName(tied)
 
     # what is outside the cluster's largest component, against all blocks
@@ -253,8 +256,9 @@ def confirmed(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: i
     rounds = outside.groupBy("cluster").agg(pieces().alias("groups"))
     mine = outside.join(rounds, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), "groups").cast("int"))
     offset = 1 << 30  # tells the second kind's blocks from the first kind's
-    tasks = mine.select("node", "cluster", "i", F.explode(F.sequence(F.lit(offset), F.col("blocks") - 1 + offset)).alias("j"), no.alias("second"))
-    tasks = tasks.unionByName(large.join(rounds, "cluster").select("node", "cluster", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), (F.col("b") + offset).alias("j"), F.lit(True).alias("second")))
+    tasks = mine.select("node", "cluster", "blocks", "i", F.explode(F.sequence(F.lit(offset), F.col("blocks") - 1 + offset)).alias("j"), no.alias("second"))
+    tasks = tasks.unionByName(large.join(rounds, "cluster").select("node", "cluster", "blocks", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), (F.col("b") + offset).alias("j"), F.lit(True).alias("second")))
+    tasks = tasks.withColumn("turn", F.col("i").cast("long") * F.col("blocks") + F.col("j") - offset).drop("blocks")
     return links.unionByName(compared(with_text(materialise(tasks, "outside-tasks")), percent))
 
 
