@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, mix
 from tessera.llm.units import PieceCodec
-from tessera.runtime import ship_package
+from tessera.runtime import ship_file, ship_package, shipped_file
 
 #: Upper ends of the length buckets of the matrices, and rows of a matrix at most.
 BUCKETS, ROWS = (4, 8, 12, 16, 24, 32, 64, 128, 256), 50_000
@@ -192,9 +192,10 @@ def codec(path: str, pattern: str) -> tuple[Ranks, PieceCodec]:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, text, ids (binary, little-endian unsigned 32-bit numbers) of every row."""
     ship_package(docs.sparkSession)
+    name = ship_file(docs.sparkSession, path)
 
     def run(batches):
-        _, cut = codec(path, pattern)
+        _, cut = codec(shipped_file(name), pattern)
         for rest, texts in chunks(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rest["doc_id"], pa.int64()), "text": pa.array(texts, pa.string()), "ids": pa.array(cut([t or "" for t in texts]), pa.binary())})
 
@@ -204,9 +205,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the decoded bytes of a table with doc_id and ids."""
     ship_package(encoded.sparkSession)
+    name = ship_file(encoded.sparkSession, path)
 
     def run(batches):
-        ranks, _ = codec(path, pattern)
+        ranks, _ = codec(shipped_file(name), pattern)
         for rest, ids in chunks(batches, "ids"):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rest["doc_id"], pa.int64()), "decoded": pa.array([ranks.decode(x or b"") for x in ids], pa.binary())})
 
@@ -216,9 +218,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every text and decodes its ids in one pass."""
     ship_package(docs.sparkSession)
+    name = ship_file(docs.sparkSession, path)
 
     def run(batches):
-        ranks, cut = codec(path, pattern)
+        ranks, cut = codec(shipped_file(name), pattern)
         for rest, texts in chunks(batches):
             ids = cut([t or "" for t in texts])
             yield pa.RecordBatch.from_pydict({

@@ -5,7 +5,9 @@ each, but for the first, which holds the rest. Pieces are packed online: a fixed
 as a bitset has bit f set where an open bin has f places free, so the bin that fits best is the lowest bit at or above the
 piece's length. A full bin closes; when all bins are open and none fits, the fullest closes.
 
-Each partition packs alone, so no row is shuffled; sequence numbers hold the partition's number in their upper bits.
+Each partition packs alone, so no text is shuffled; sequence numbers hold the partition's number in their upper bits. The pieces
+in the bins that partitions leave open are then packed once more, the same way and in an order by hash, about ``AGAIN`` bins' to a
+partition; so few bins stay half empty however many partitions there are.
 
 Defined results: null and empty texts are one separator; repeated rows are packed each on its own; an empty table gives
 no rows; extra columns are ignored.
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks
 from tessera.llm.units import PieceCodec
-from tessera.runtime import ship_package
+from tessera.runtime import materialise, ship_file, ship_package, shipped_file
 
 #: Bins that are open at a time.
 OPEN = 1024
+#: Open bins whose pieces are packed again in one partition, and numbers of open bins that are sent to all tasks at most (beyond
+#: that they are joined).
+AGAIN, SMALL = 50_000, 1_000_000
 SEPARATOR = (0).to_bytes(4, "little")
 
 
@@ -144,31 +149,52 @@ class Encoder:
         return self.alone(pieces) + self.words(words)
 
 
-_TOKENIZERS: dict[str, PieceCodec] = {}
+_TOKENIZERS: dict[tuple[str, str], PieceCodec] = {}
 
 
-def tokenizer(path: str, pattern: str) -> PieceCodec:
-    """The worker's tokenizer with its caches. The library encodes every piece that the caches lack."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = PieceCodec(pattern, Encoder(path))
-    return _TOKENIZERS[path]
+def tokenizer(name: str, pattern: str) -> PieceCodec:
+    """The worker's tokenizer, from a shipped file, with its caches. The library encodes every piece that the caches lack."""
+    if (name, pattern) not in _TOKENIZERS:
+        _TOKENIZERS[name, pattern] = PieceCodec(pattern, Encoder(shipped_file(name)))
+    return _TOKENIZERS[name, pattern]
 
 
-def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, open_bins: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, open_bins: int = OPEN, small: int = SMALL) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each document."""
     ship_package(docs.sparkSession)
+    name = ship_file(docs.sparkSession, path)
+    columns = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
     def run(batches):
-        cut = tokenizer(path, pattern)
+        cut = tokenizer(name, pattern)
         bins = Bins(size, open_bins, TaskContext.get().partitionId() << 40)
         for rest, texts in chunks(batches, limit=1_000_000):  # small: a chunk's words are held one by one
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")}
+            out: dict[str, list] = {k: [] for k in columns}
             for doc, ids in zip(rest["doc_id"], cut([t or "" for t in texts]), strict=True):
                 ids += SEPARATOR
                 for k, (start, length) in enumerate(pieces(len(ids) // 4, size)):
                     own, offset = bins.place(length)
-                    for name, value in zip(out, (doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), own, offset), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+                    for column, value in zip(out, (doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), own, offset), strict=True):
+                        out[column].append(value)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, columns[k]) for k, v in out.items()})
+        # the bins left open are rows of piece -1
+        left = sorted(own for owns in bins.by_free.values() for own in owns)
+        none = pa.nulls(len(left), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array([-1] * len(left), pa.int32()), none, none, none, pa.array(left, pa.int64()), none], list(columns))
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    made = materialise(made, "pieces")
+    left, placed = made.where("piece < 0").select("sequence_id"), made.where("piece >= 0")
+    count = left.count()
+    left = F.broadcast(left) if count <= small else left
+
+    def again(batches):
+        bins = Bins(size, open_bins, 1 << 62 | TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            into = [bins.place(n) for n in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array([x[j] for x in into], pa.int64()) for j in (0, 1))], list(columns))
+
+    loose = placed.join(left, "sequence_id", "left_semi").select(*columns).repartition(max(1, -(-count // AGAIN)), "sequence_id")
+    loose = loose.sortWithinPartitions(F.xxhash64("doc_id", "piece"), "sequence_id", "offset")
+    return placed.join(left, "sequence_id", "left_anti").select(*columns).unionByName(loose.mapInArrow(again, schema))

@@ -95,16 +95,30 @@ def check_packing(rows, got, size):
         assert at <= size
 
 
-@pytest.mark.parametrize("size", [16, 2048])
-def test_packing_rules(spark, size):
+@pytest.mark.parametrize("again", [100_000, 7])
+@pytest.mark.parametrize(("size", "small"), [(16, 10**6), (2048, 0)])
+def test_packing_rules(spark, monkeypatch, size, small, again):
+    monkeypatch.setattr(packing, "AGAIN", again)
     rows = [(i, " ".join(RNG.choice(["alpha", "beta", "gamma\n", "d'oh"]) for _ in range(RNG.randint(0, 40)))) for i in range(120)] + [(500, None), (501, ""), (502, "long words " * 2000), (503, "x"), (503, "x")]
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, piece int, length int").repartition(3)
-    got = packing.pack(docs, PLAIN, P.PATTERN, size).collect()
+    got = packing.pack(docs, PLAIN, P.PATTERN, size, small=small).collect()
     check_packing(rows, got, size)
     tokens = sum(r.length for r in got)
     assert len({r.sequence_id for r in got}) <= 1.1 * tokens / size + 3 * 2
 
 
+def test_bins_that_partitions_leave_open_are_packed_again(spark):
+    rows = [(i, "word " * RNG.randint(1, 300)) for i in range(600)]
+    counts = {}
+    for parts in (1, 60):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = packing.pack(docs, PLAIN, P.PATTERN).collect()
+        check_packing(rows, got, 2048)
+        counts[parts] = len({r.sequence_id for r in got})
+        assert counts[parts] <= sum(r.length for r in got) // 2048 + 2
+    assert counts[60] <= counts[1] + 1
+
+
 def test_packing_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PLAIN, P.PATTERN).count() == 0
 
