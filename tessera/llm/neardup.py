@@ -40,7 +40,7 @@ from tessera.runtime import materialise, ship_package
 WORDS, R, MISS = 5, 5, 1e-5
 #: Shingles and members that a block of a cluster holds (a comparing task holds two blocks, and its work grows with their
 #: product), and pivots of a large cluster.
-BLOCK_SHINGLES, BLOCK_MEMBERS, PIVOTS = 500_000, 256, 16
+BLOCK_SHINGLES, BLOCK_MEMBERS, PIVOTS = 500_000, 200, 16
 #: Candidate documents that are sent to all tasks with their cluster; beyond that they are joined.
 SMALL = 1_000_000
 #: Shingles that are minhashed at a time.
