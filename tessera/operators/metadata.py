@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import IDF_ONCE, IDF_SHARED, K1, B, weight
+from tessera.functions.text import token_key
+from tessera.runtime import materialise
 
 #: Least and most that the length factor can be.
 LEAST_NORM, MOST_NORM = K1 * (1 - B), K1 * (1 + B)
@@ -26,24 +28,38 @@ def _bound(tf: Column, norm: float, idf: float) -> Column:
     return w * w
 
 
-def prefixes(found: DataFrame, threshold: float) -> DataFrame:
-    """doc, term: the rarest terms of each document, one of which every match must hold.
+def prefixes(found: DataFrame, threshold: float, of: DataFrame | None = None) -> DataFrame:
+    """doc, term, df: the rarest terms of each document (only of the documents ``of``), one of which every match must hold.
 
     If a match held none of the first i terms, its cosine would be sqrt(S / (P + S)) at most, where S is the most that the other
     terms can weigh (shared) and P the least that the first i do (not shared).
     """
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    own = found if of is None else found.join(of, "doc", "left_semi")
+    counted = found if of is None else found.join(own.select("term").distinct(), "term", "left_semi")
+    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("doc").orderBy("df", "term")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    ranked = found.join(df, "term").select("doc", "term", F.coalesce(F.sum(_bound(F.col("tf"), MOST_NORM, IDF_ONCE)).over(before), F.lit(0.0)).alias("p"), F.sum(_bound(F.col("tf"), LEAST_NORM, IDF_SHARED)).over(after).alias("s"))
-    return ranked.where(F.sqrt(F.col("s") / (F.col("p") + F.col("s"))) + 1e-9 >= threshold).select("doc", "term")
+    ranked = own.join(df, "term").select("doc", "term", "df", F.coalesce(F.sum(_bound(F.col("tf"), MOST_NORM, IDF_ONCE)).over(before), F.lit(0.0)).alias("p"), F.sum(_bound(F.col("tf"), LEAST_NORM, IDF_SHARED)).over(after).alias("s"))
+    return ranked.where(F.sqrt(F.col("s") / (F.col("p") + F.col("s"))) + 1e-9 >= threshold).select("doc", "term", "df")
 
 
-def candidate_pairs(found: DataFrame, threshold: float) -> DataFrame:
-    """left, right (left < right): pairs that may reach the threshold (above 0)."""
-    a = prefixes(found, threshold).select(F.col("doc").alias("a"), "term")
-    b = found.select(F.col("doc").alias("b"), "term")
-    return a.join(b, "term").where("a != b").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct()
+def candidate_pairs(found: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
+    """left, right (left < right): pairs that may reach the threshold; with ``probes`` (doc), only those of a probe.
+
+    Terms have one order (rarest first), so the first term that two documents share is in both their prefixes, and prefixes
+    meet only prefixes. With probes, the plan starts from them: only their prefixes are made, which meet all terms. A threshold
+    of 0 or less asks for all pairs, by definition.
+    """
+    if threshold <= 0:
+        docs = found.select("doc").distinct()
+        a, b = (probes if probes is not None else docs).select(F.col("doc").alias("a")), docs.select(F.col("doc").alias("b"))
+        both = a.crossJoin(b)
+    elif probes is None:
+        own = prefixes(found, threshold)
+        both = own.select(F.col("doc").alias("a"), "term").join(own.select(F.col("doc").alias("b"), "term"), "term").where("a < b")
+    else:
+        both = prefixes(found, threshold, probes).select(F.col("doc").alias("a"), "term").join(found.select(F.col("doc").alias("b"), "term"), "term")
+    return both.where("a != b").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct()
 
 
 def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -72,16 +88,122 @@ def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.join(sums, ["left", "right"]).select("left", "right", (F.lit(ratio) * F.col("dot") / F.sqrt(a * b)).alias("score"))
 
 
-def matches(docs: DataFrame, threshold: float) -> DataFrame:
-    """left, right, score: pairs of documents (doc, text) at or above the threshold; equal texts score 1.
+def classes(docs: DataFrame) -> DataFrame:
+    """doc, rep: documents of equal text stand behind the smallest of them."""
+    first = docs.groupBy("text").agg(F.min("doc").alias("rep"))
+    return docs.join(first, "text").select("doc", "rep")
+
 
-    Equal texts are compared once, by their smallest document, and expanded through a chain to it, not to all pairs.
+def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(left, right, score) between representatives of different texts at or above the threshold, and the membership (doc, rep).
+
+    ``docs``: doc, text. Equal texts always match one another, with score 1; they are not expanded into pairs, and no link
+    between different texts is lost: every member has the links of its representative. With ``probes`` (doc), only pairs with the
+    text of a probe are found, starting from the probes. Pairs without a common term score 0, so only a threshold of 0 or less
+    has them. Null texts match nothing.
     """
-    distinct = docs.groupBy("text").agg(F.min("doc").alias("doc")).select("doc", "text")
+    member = classes(docs.where(F.col("text").isNotNull()))
+    distinct = docs.join(member.where("doc = rep"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
     found = terms(distinct)
-    scored = pair_scores(found, candidate_pairs(found, threshold)).where(F.col("score") >= threshold - 1e-12)
-    same = docs.join(distinct.select(F.col("doc").alias("left"), "text"), "text").where("doc != left").select("left", F.col("doc").alias("right"), F.lit(1.0).alias("score"))
-    return scored.unionByName(same)
+    own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct() if probes is not None else None
+    pairs = candidate_pairs(found, threshold, own)
+    scored = pair_scores(found, pairs)
+    if threshold <= 0:
+        scored = pairs.join(scored, ["left", "right"], "left").select("left", "right", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return scored.where(F.col("score") >= threshold - 1e-12), member
+
+
+def expanded(pairs: DataFrame, member: DataFrame, probes: DataFrame) -> DataFrame:
+    """probe, other, score: what each probe matches, copies on both sides included. The probes are a stated query set."""
+    own = member.join(probes, "doc", "left_semi").select(F.col("doc").alias("probe"), F.col("rep").alias("a"))
+    both = pairs.select(F.col("left").alias("a"), F.col("right").alias("b"), "score").unionByName(pairs.select(F.col("right").alias("a"), F.col("left").alias("b"), "score"))
+    same = own.select("probe", F.col("a").alias("b"), F.lit(1.0).alias("score"))
+    reached = own.join(both, "a").select("probe", "b", "score").unionByName(same)
+    return reached.join(member.select(F.col("doc").alias("other"), F.col("rep").alias("b")), "b").where("probe != other").select("probe", "other", "score")
+
+
+def anchors(nft: DataFrame) -> DataFrame:
+    """member, contract, chain, token_key, text, nfts: the metadata of every token of every member.
+
+    A member is an EVM contract or a Solana NFT. ``contract`` holds the chain, too; of rows that repeat a token the last counts.
+    """
+    contract = F.concat("chain", F.lit("/"), "contract")
+    member = F.when(F.col("chain") == "solana", F.concat(contract, F.lit("/"), F.col("token_id"))).otherwise(contract)
+    own = nft.where(F.col("body").isNotNull()).groupBy(member.alias("member"), contract.alias("contract"), "chain", "token_id").agg(F.max_by("body", "row_order").alias("text"), F.count(F.lit(1)).alias("nfts"))
+    return own.select("member", "contract", "chain", token_key(F.col("token_id")).alias("token_key"), "text", "nfts")
+
+
+def with_documents(own: DataFrame) -> DataFrame:
+    """Anchors with ``doc``, a number for each different text (two hashes, so that none need be counted or sorted)."""
+    return own.withColumn("doc", F.struct(F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b")))
+
+
+def member_pairs(own: DataFrame, links: DataFrame, left: DataFrame | None = None) -> DataFrame:
+    """left, right: members of different contracts whose chosen documents match (left < right; or left one of ``left``: member).
+
+    ``own``: anchors with ``doc``; ``links``: doc, peer of every ordered pair of different matching documents. Two EVM members are
+    compared on their largest shared token, if they have one; otherwise, and with any other chain, each on its largest. Only
+    members that have matching documents so placed are looked at, which loses none.
+    """
+    link = links.select(F.col("doc").alias("l_doc"), F.col("peer").alias("r_doc")).unionByName(own.select(F.col("doc").alias("l_doc"), F.col("doc").alias("r_doc")).distinct())
+    columns = ("member", "contract", "chain", "doc", "token_key")
+    first = own if left is None else own.join(left, "member", "left_semi")
+
+    def side(frame: DataFrame, s: str) -> DataFrame:
+        return frame.select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
+
+    def tops(frame: DataFrame, s: str) -> DataFrame:
+        return side(frame.groupBy("member").agg(F.max_by(F.struct(*columns[1:]), "token_key").alias("t")).select("member", "t.*"), s)
+
+    order = F.col("l_member") < F.col("r_member") if left is None else F.col("l_member") != F.col("r_member")
+    both = order & (F.col("l_contract") != F.col("r_contract"))
+    evm = (F.col("l_chain") != "solana") & (F.col("r_chain") != "solana")
+    pair = ["l_member", "r_member"]
+    by_token = side(first, "l").join(link, "l_doc").join(side(own, "r").withColumnRenamed("r_token_key", "l_token_key"), ["r_doc", "l_token_key"]).where(both & evm).select(*pair, F.col("l_token_key").alias("token_key"))
+    by_top = tops(first, "l").join(link, "l_doc").join(tops(own, "r"), "r_doc").where(both).select(*pair, evm.alias("evm"))
+    pairs = by_token.select(*pair).unionByName(by_top.where("evm").select(*pair)).distinct()
+    token = own.select("member", "token_key")
+    shared = pairs.join(token.withColumnRenamed("member", "l_member"), "l_member").join(token.withColumnRenamed("member", "r_member"), ["r_member", "token_key"])
+    largest = shared.groupBy(*pair).agg(F.max("token_key").alias("largest"))
+    aligned = by_token.join(largest, pair).where("token_key = largest").select(*pair)
+    lone = by_top.where("evm").join(largest, pair, "left_anti").select(*pair)
+    return aligned.unionByName(lone).unionByName(by_top.where("not evm").select(*pair)).distinct().select(F.col("l_member").alias("left"), F.col("r_member").alias("right"))
+
+
+def document_links(own: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
+    """doc, peer: ordered pairs of different matching documents of the anchors; with ``probes`` (doc), those of a probe."""
+    pairs, _ = matches(own.groupBy("doc").agg(F.min("text").alias("text")), threshold, probes)
+    return pairs.select(F.col("left").alias("doc"), F.col("right").alias("peer")).unionByName(pairs.select(F.col("right").alias("doc"), F.col("left").alias("peer")))
+
+
+def metadata_hits(nft: DataFrame, threshold: float) -> DataFrame:
+    """chain, contract, member, nfts, peer: every chain in which another contract's member matches this one.
+
+    No pairs are made of members with equal documents. EVM contracts with equal anchors are one profile, and profiles are paired;
+    pairs with a Solana NFT depend only on the largest document of each side, so chains are counted by document.
+    """
+    own = materialise(with_documents(anchors(nft)), "metadata-anchors")
+    links = materialise(document_links(own, threshold), "metadata-links")
+    size = own.groupBy("member", "contract", "chain").agg(F.sum("nfts").alias("nfts"), F.max_by("doc", "token_key").alias("doc"))
+
+    # EVM contracts: by profile. Equal sets of anchors have equal counts, sums and xors of their hashes
+    evm = own.where("chain != 'solana'")
+    h = F.xxhash64("token_key", "doc")
+    profile = evm.groupBy("member", "chain").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc", "token_key")).alias("x")).alias("profile"))
+    profile = materialise(profile, "metadata-profiles")
+    first = profile.groupBy("profile").agg(F.min("member").alias("member"))
+    # members of one profile are different contracts; a profile's representative stands for all
+    pairs = member_pairs(evm.join(first.select("member"), "member", "left_semi"), links)
+    pairs = pairs.unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"))).unionByName(first.select(F.col("member").alias("left"), F.col("member").alias("right")))
+    held = profile.join(first.withColumnRenamed("member", "rep"), "profile").select("member", "chain", "rep")
+    chains = held.groupBy(F.col("rep").alias("right"), F.col("chain").alias("peer")).agg(F.count(F.lit(1)).alias("n"))
+    near = held.withColumnRenamed("rep", "left").join(pairs.join(chains, "right"), "left").where("left != right or peer != chain or n > 1").select("member", "peer")
+
+    # with a Solana NFT on either side: by the largest documents; the NFTs of one contract don't match one another
+    link = links.unionByName(size.select("doc", F.col("doc").alias("peer")).distinct()).withColumnRenamed("peer", "other_doc")
+    there = size.groupBy(F.col("doc").alias("other_doc"), F.col("chain").alias("peer")).agg(F.countDistinct("contract").alias("n"), F.min("contract").alias("only"))
+    mixed = size.join(link, "doc").join(there, "other_doc").where("(chain = 'solana' or peer = 'solana') and (n > 1 or only != contract)").select("member", "peer")
+    return size.join(near.unionByName(mixed).distinct(), "member").select("chain", "contract", "member", "nfts", "peer")
 
 
 def aligned_documents(anchors: DataFrame, pairs: DataFrame) -> DataFrame:

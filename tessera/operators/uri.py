@@ -70,14 +70,59 @@ def chain_totals(nft: DataFrame) -> DataFrame:
     return nft.groupBy("chain").agg(F.countDistinct("contract").alias("contracts"), F.count(F.lit(1)).alias("nfts"))
 
 
-def with_ratios(scopes: DataFrame, totals: DataFrame, dimension: str) -> DataFrame:
+def with_ratios(scopes: DataFrame, totals: DataFrame, dimension: Column, name: str = "dimension") -> DataFrame:
     """Scope counts with their denominators; a ratio over 0 is null."""
     t = totals.select("chain", F.col("contracts").alias("total_contracts"), F.col("nfts").alias("total_nfts"))
-    return scopes.join(t, "chain").select(F.lit(dimension).alias("dimension"), "scope", "chain", "peer", "contracts", "nfts", "total_contracts", "total_nfts", F.round(F.try_divide("contracts", "total_contracts"), 6).alias("contract_ratio"), F.round(F.try_divide("nfts", "total_nfts"), 6).alias("nft_ratio"))
-
-
-def seed_uri_hits(nft: DataFrame, seeds: DataFrame, uri: str = "token_uri") -> DataFrame:
-    """seed_chain, seed_contract, chain, contract, scope, nfts: candidates that share a URI with a seed's NFTs."""
-    own = nft.join(seeds.select(F.col("chain"), F.col("contract")), ["chain", "contract"], "left_semi").where(F.coalesce(F.col(uri), F.lit("")) != "").select(F.col(uri).alias("uri"), F.col("chain").alias("seed_chain"), F.col("contract").alias("seed_contract")).distinct()
-    found = postings(nft, uri).join(own, "uri").where((F.col("chain") != F.col("seed_chain")) | (F.col("contract") != F.col("seed_contract")))
-    return found.groupBy("seed_chain", "seed_contract", "chain", "contract", F.when(F.col("chain") == F.col("seed_chain"), "intra").otherwise("cross").alias("scope")).agg(F.sum("nfts").alias("nfts"))
+    return scopes.join(t, "chain").select(dimension.alias(name), "scope", "chain", "peer", "contracts", "nfts", "total_contracts", "total_nfts", F.round(F.try_divide("contracts", "total_contracts"), 6).alias("contract_ratio"), F.round(F.try_divide("nfts", "total_nfts"), 6).alias("nft_ratio"))
+
+
+def seed_uri_hits(nft: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed_chain, seed_contract, kind, chain, contract, scope, nfts: candidates that share a token or image URI with a seed's NFTs.
+
+    Scopes: ``intra`` (another contract of the seed's chain) and ``cross`` (another chain). An image counts in a scope only if one
+    of the seed's NFTs with it has no token hit there, and a candidate's NFT that is a token hit there is left out.
+    """
+    seed = seeds.select(F.col("chain"), F.col("contract")).distinct()
+    key = ["seed_chain", "seed_contract"]
+    own = nft.join(seed, ["chain", "contract"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract").alias("seed_contract"), F.col("row_order").alias("seed_row"), "token_uri", "image_uri")
+    scope = F.when(F.col("chain") == F.col("seed_chain"), F.lit("intra")).otherwise(F.lit("cross"))
+    other = (F.col("chain") != F.col("seed_chain")) | (F.col("contract") != F.col("seed_contract"))
+
+    def candidates(wanted: DataFrame, uri: str) -> DataFrame:
+        rows = nft.where(F.coalesce(F.col(uri), F.lit("")) != "").select(uri, "chain", "contract", "row_order")
+        return rows.join(wanted, uri).where(other).withColumn("scope", scope)
+
+    token = candidates(own.select(*key, "token_uri").distinct(), "token_uri").select(*key, "token_uri", "chain", "contract", "row_order", "scope")
+    hit = own.join(token.select(*key, "token_uri", "scope").distinct(), [*key, "token_uri"]).select(*key, "seed_row", "scope")
+    unhit = own.withColumn("scope", F.explode(F.array(F.lit("intra"), F.lit("cross")))).join(hit, [*key, "seed_row", "scope"], "left_anti")
+    images = unhit.select(*key, "image_uri", F.col("scope").alias("wanted")).distinct()
+    image = candidates(images, "image_uri").where("scope = wanted").join(token.select(*key, "row_order", "scope"), [*key, "row_order", "scope"], "left_anti")
+    columns = [*key, "chain", "contract", "row_order", "scope"]
+    both = token.select(F.lit("token_uri").alias("kind"), *columns).unionByName(image.select(F.lit("image_uri").alias("kind"), *columns)).distinct()
+    return both.groupBy(*key, "kind", "chain", "contract", "scope").agg(F.count(F.lit(1)).alias("nfts"))
+
+
+def nft_scopes(rows: DataFrame, seen: DataFrame, uri: str) -> DataFrame:
+    """chain, contract, row_order, scope, peer: as ``scope_rows``, for each NFT."""
+    found = scope_rows(rows.select(F.col(uri).alias("uri"), "chain", "contract", F.col("row_order").alias("nfts")), seen)
+    return found.select("chain", "contract", F.col("nfts").alias("row_order"), "scope", "peer")
+
+
+def nft_hits(nft: DataFrame, chains: tuple[str, ...] = CHAINS) -> DataFrame:
+    """kind, chain, contract, row_order, scope, peer: the NFTs behind ``token_uri_scopes`` and ``image_uri_scopes``."""
+    own = nft.select("chain", "contract", "row_order", "token_uri", "image_uri")
+    token = nft_scopes(own.where(F.coalesce(F.col("token_uri"), F.lit("")) != ""), presence(postings(own, "token_uri")), "token_uri")
+    left = own.where(F.coalesce(F.col("image_uri"), F.lit("")) != "")
+    every = F.array(F.struct(F.lit("intra").alias("scope"), F.col("chain").alias("peer")), F.struct(F.lit("cross").alias("scope"), F.lit("").alias("peer")), *(F.struct(F.lit("matrix").alias("scope"), F.lit(c).alias("peer")) for c in chains))
+    open_ = left.withColumn("s", F.explode(every)).select("chain", "contract", "row_order", "image_uri", "s.scope", "s.peer").where("scope != 'matrix' or peer != chain")
+    open_ = open_.join(token.select("row_order", "scope", "peer"), ["row_order", "scope", "peer"], "left_anti")
+    # what of an image is left in a scope: contracts of a chain, chains, or the other side of a pair of chains
+    group = open_.groupBy("image_uri", "scope", "chain", "peer").agg(F.countDistinct("contract").alias("contracts"))
+    intra = group.where("scope = 'intra' and contracts >= 2").select("image_uri", "scope", "chain", "peer")
+    cross = group.where("scope = 'cross'")
+    cross = cross.join(cross.groupBy("image_uri").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("image_uri"), "image_uri", "left_semi").select("image_uri", "scope", "chain", "peer")
+    matrix = group.where("scope = 'matrix'").select("image_uri", "scope", "chain", "peer")
+    matrix = matrix.join(matrix.select("image_uri", F.col("peer").alias("chain"), F.col("chain").alias("peer")), ["image_uri", "chain", "peer"], "left_semi")
+    image = open_.join(intra.unionByName(cross).unionByName(matrix), ["image_uri", "scope", "chain", "peer"], "left_semi")
+    columns = ["chain", "contract", "row_order", "scope", "peer"]
+    return token.select(F.lit("token_uri").alias("kind"), *columns).unionByName(image.select(F.lit("image_uri").alias("kind"), *columns))

@@ -10,6 +10,7 @@ from tessera.functions.canonical import canonical_json, json_tokens
 from tessera.functions.similarity import jaro_winkler_udf
 from tessera.operators import metadata, names, snapshot, uri
 from tessera.plans.registry import query
+from tessera.runtime import materialise
 from tessera.sources.fixtures import NFT_SQL, nft, table
 
 W = "WITH " + NFT_SQL
@@ -129,7 +130,7 @@ def reason_bits(spark: SparkSession, folder: str) -> DataFrame:
 @query("a17_scope_rollup", W + ", hits AS (" + TOKEN_SCOPES_SQL.format(u="token_uri") + f"), {TOTALS_SQL}, c AS ({COUNT_SQL}) SELECT 'token_uri' AS dimension, scope, c.chain, peer, contracts, nfts, total_contracts, total_nfts, round(contracts / total_contracts, 6) AS contract_ratio, round(nfts / total_nfts, 6) AS nft_ratio FROM c JOIN totals USING (chain)")
 def scope_rollup(spark: SparkSession, folder: str) -> DataFrame:
     own = nft(spark, folder)
-    return uri.with_ratios(uri.token_uri_scopes(own), uri.chain_totals(own), "token_uri")
+    return uri.with_ratios(uri.token_uri_scopes(own), uri.chain_totals(own), F.lit("token_uri"))
 
 
 @query("w1_best_rows", W + ", r AS (SELECT *, row_number() OVER (PARTITION BY chain, contract, token_id ORDER BY length(body) DESC, token_uri, row_order) AS rn FROM nft) SELECT chain, contract, token_id, image_uri FROM r WHERE rn = 1")
@@ -284,9 +285,46 @@ def top_documents(spark: SparkSession, folder: str) -> DataFrame:
     return nft(spark, folder).groupBy(F.concat("chain", F.lit("/"), "contract").alias("doc")).agg(F.max_by("body", key).alias("text"))
 
 
-@query("d9_bm25_cosine", TOP_SQL + 'SELECT "left", "right", round(CASE WHEN a.body = b.body THEN 1.0 ELSE score END, 4) AS score FROM s JOIN d a ON a.doc = "left" JOIN d b ON b.doc = "right" WHERE score >= 0.05')
+#: Scores of pairs ``dp`` (a, b) of documents ``txt`` (doc, body), from the definition.
+SCORE_SQL = """, tm AS (SELECT doc, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')) AS term FROM txt) GROUP BY ALL),
+ln AS (SELECT doc, sum(tf) AS len FROM tm GROUP BY doc),
+pl AS (SELECT a, b, x.len AS ll, y.len AS rl, (x.len + y.len) / 2 AS mean FROM dp JOIN ln x ON x.doc = a JOIN ln y ON y.doc = b),
+lw AS (SELECT a, b, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * ll / greatest(mean, 1))) AS w FROM pl JOIN tm ON doc = a),
+rw AS (SELECT a, b, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * rl / greatest(mean, 1))) AS w FROM pl JOIN tm ON doc = b),
+both_w AS (SELECT coalesce(lw.a, rw.a) AS a, coalesce(lw.b, rw.b) AS b, coalesce(lw.w, 0) * CASE WHEN rw.w IS NULL THEN ln(2.0) ELSE ln(1.2) END AS x, coalesce(rw.w, 0) * CASE WHEN lw.w IS NULL THEN ln(2.0) ELSE ln(1.2) END AS y
+  FROM lw FULL JOIN rw ON lw.a = rw.a AND lw.b = rw.b AND lw.term = rw.term),
+sc AS (SELECT a, b, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS score FROM both_w GROUP BY ALL)"""
+#: Members, their chosen documents, and ``mt``: pairs of members (l, r) that match at the threshold.
+PAIRED_SQL = """, anc AS (SELECT chain, chain || '/' || contract || CASE WHEN chain = 'solana' THEN '/' || token_id ELSE '' END AS member, chain || '/' || contract AS contract, token_id, arg_max(body, row_order) AS body, count(*) AS nfts FROM nft GROUP BY ALL),
+txt AS (SELECT body, row_number() OVER (ORDER BY body) AS doc FROM (SELECT DISTINCT body FROM anc)), ad AS (SELECT anc.*, doc FROM anc JOIN txt USING (body)),
+tp AS (SELECT member, any_value(chain) AS chain, any_value(contract) AS contract, CAST(sum(nfts) AS BIGINT) AS nfts, arg_max(doc, (length(token_id), token_id)) AS doc FROM ad GROUP BY member),
+pr AS (SELECT x.member AS l, y.member AS r, x.chain AS lc, y.chain AS rc, x.doc AS lt, y.doc AS rt FROM tp x JOIN tp y ON x.member < y.member AND x.contract <> y.contract),
+sh AS (SELECT l, r, arg_max(x.doc, (length(x.token_id), x.token_id)) AS ld, arg_max(y.doc, (length(x.token_id), x.token_id)) AS rd FROM pr JOIN ad x ON x.member = l JOIN ad y ON y.member = r AND y.token_id = x.token_id WHERE lc <> 'solana' AND rc <> 'solana' GROUP BY ALL),
+ch AS (SELECT pr.l, pr.r, lc, rc, coalesce(ld, lt) AS ld, coalesce(rd, rt) AS rd FROM pr LEFT JOIN sh ON sh.l = pr.l AND sh.r = pr.r),
+dp AS (SELECT DISTINCT least(ld, rd) AS a, greatest(ld, rd) AS b FROM ch WHERE ld <> rd)""" + SCORE_SQL + """,
+mt AS (SELECT l, r, lc, rc FROM ch LEFT JOIN sc ON a = least(ld, rd) AND b = greatest(ld, rd) WHERE ld = rd OR score >= {threshold})"""
+HITS_SQL = PAIRED_SQL.replace("{threshold}", "0.6") + """, mh AS (SELECT DISTINCT member, tp.chain, tp.contract, nfts, peer FROM tp JOIN (SELECT l AS member, rc AS peer FROM mt UNION ALL SELECT r, lc FROM mt) USING (member))"""
+
+
+def documents_(spark: SparkSession, folder: str) -> DataFrame:
+    """doc, text of all rows; every tenth text is repeated under another number, so that there are copies on both sides of links."""
+    own = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return own.unionByName(own.where("doc % 10 = 3").select((F.col("doc") + 1_000_000_000).alias("doc"), "text"))
+
+
+@query("d9_bm25_cosine", "WITH raw AS (SELECT doc_id AS doc, text FROM documents UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 10 = 3), txt AS (SELECT min(doc) AS doc, text AS body FROM raw GROUP BY text), dp AS (SELECT x.doc AS a, y.doc AS b FROM txt x JOIN txt y ON x.doc < y.doc)" + SCORE_SQL + " SELECT 'pair' AS kind, a AS \"left\", b AS \"right\", round(score, 4) AS score FROM sc WHERE score >= 0.6 UNION ALL SELECT 'member', raw.doc, txt.doc, 1.0 FROM raw JOIN txt ON raw.text = txt.body")
 def bm25_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return metadata.matches(top_documents(spark, folder), 0.05).select("left", "right", F.round("score", 4).alias("score"))
+    """Pairs of representatives and the membership of all documents, of which some are copies."""
+    pairs, member = metadata.matches(documents_(spark, folder), 0.6)
+    found = pairs.select(F.lit("pair").alias("kind"), "left", "right", F.round("score", 4).alias("score"))
+    return found.unionByName(member.select(F.lit("member").alias("kind"), F.col("doc").alias("left"), F.col("rep").alias("right"), F.lit(1.0).alias("score")))
+
+
+@query("j11_all_pairs", "WITH txt AS (SELECT n_nationkey AS doc, n_name AS body FROM nation), dp AS (SELECT x.doc AS a, y.doc AS b FROM txt x JOIN txt y ON x.doc < y.doc)" + SCORE_SQL + " SELECT a AS \"left\", b AS \"right\", round(score, 4) AS score FROM sc")
+def all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """A threshold of 0 asks for the full cross product."""
+    docs = table(spark, folder, "nation").select(F.col("n_nationkey").alias("doc"), F.col("n_name").alias("text"))
+    return metadata.matches(docs, 0.0)[0].select("left", "right", F.round("score", 4).alias("score"))
 
 
 @query("d10_identical_metadata", W + ", f AS (SELECT md5(body) AS m, min(row_order) AS first, count(*) AS n, count(DISTINCT chain || contract) AS contracts FROM nft GROUP BY 1) SELECT first, n, contracts FROM f WHERE n > 1")
@@ -307,7 +345,15 @@ def seeds(spark: SparkSession, folder: str) -> DataFrame:
     return nft(spark, folder).where("contract LIKE 'src0-%'").select("chain", "contract").distinct()
 
 
-@query("d13_seed_uri", W + SEEDS_SQL + ", own AS (SELECT DISTINCT seed_chain, seed_contract, token_uri FROM seeds JOIN nft ON chain = seed_chain AND contract = seed_contract) SELECT seed_chain, seed_contract, chain, contract, CASE WHEN chain = seed_chain THEN 'intra' ELSE 'cross' END AS scope, count(*) AS nfts FROM own JOIN nft USING (token_uri) WHERE chain <> seed_chain OR contract <> seed_contract GROUP BY ALL")
+SEED_URI_SQL = SEEDS_SQL + """, own AS (SELECT seed_chain, seed_contract, row_order AS seed_row, token_uri, image_uri FROM seeds JOIN nft ON chain = seed_chain AND contract = seed_contract),
+te AS (SELECT DISTINCT seed_chain, seed_contract, own.token_uri, n.chain, n.contract, n.row_order, CASE WHEN n.chain = seed_chain THEN 'intra' ELSE 'cross' END AS scope FROM own JOIN nft n ON n.token_uri = own.token_uri WHERE n.chain <> seed_chain OR n.contract <> seed_contract),
+ie AS (SELECT DISTINCT o.seed_chain, o.seed_contract, n.chain, n.contract, n.row_order, CASE WHEN n.chain = o.seed_chain THEN 'intra' ELSE 'cross' END AS scope FROM own o JOIN nft n ON n.image_uri = o.image_uri WHERE (n.chain <> o.seed_chain OR n.contract <> o.seed_contract)
+  AND NOT EXISTS (SELECT 1 FROM te WHERE te.seed_chain = o.seed_chain AND te.seed_contract = o.seed_contract AND te.token_uri = o.token_uri AND te.scope = CASE WHEN n.chain = o.seed_chain THEN 'intra' ELSE 'cross' END)
+  AND NOT EXISTS (SELECT 1 FROM te WHERE te.seed_chain = o.seed_chain AND te.seed_contract = o.seed_contract AND te.row_order = n.row_order AND te.scope = CASE WHEN n.chain = o.seed_chain THEN 'intra' ELSE 'cross' END)),
+su AS (SELECT seed_chain, seed_contract, 'token_uri' AS kind, chain, contract, scope, count(DISTINCT row_order) AS nfts FROM te GROUP BY ALL UNION ALL SELECT seed_chain, seed_contract, 'image_uri', chain, contract, scope, count(DISTINCT row_order) FROM ie GROUP BY ALL)"""
+
+
+@query("d13_seed_uri", W + SEED_URI_SQL + " SELECT * FROM su")
 def seed_uri(spark: SparkSession, folder: str) -> DataFrame:
     return uri.seed_uri_hits(nft(spark, folder), seeds(spark, folder))
 
@@ -319,19 +365,65 @@ def seed_names(spark: SparkSession, folder: str) -> DataFrame:
     return own.join(mine, "name").where("chain != seed_chain OR contract != seed_contract").select("seed_chain", "seed_contract", "chain", "contract").distinct()
 
 
-@query("d17_candidate_registry", W + MEMBERS_SQL + SEEDS_SQL + """, e AS (
-  SELECT DISTINCT seed_chain, seed_contract, n.chain, n.contract, 'token_uri' AS dim FROM seeds JOIN nft o ON o.chain = seed_chain AND o.contract = seed_contract JOIN nft n USING (token_uri) WHERE n.chain <> seed_chain OR n.contract <> seed_contract
-  UNION SELECT DISTINCT seed_chain, seed_contract, b.chain, b.contract, 'name' FROM seeds JOIN members a ON a.chain = seed_chain AND a.contract = seed_contract JOIN members b ON a.name = b.name WHERE b.chain <> seed_chain OR b.contract <> seed_contract)
-SELECT seed_chain, seed_contract, chain, contract, string_agg(dim, ',' ORDER BY dim) AS dims FROM e GROUP BY ALL""")
+@query("d17_candidate_registry", W + MEMBERS_SQL + SEED_URI_SQL + PAIRED_SQL.replace("{threshold}", "0.6") + """, e AS (
+  SELECT seed_chain, seed_contract, chain, contract, kind AS dim, false AS whole FROM su
+  UNION SELECT DISTINCT seed_chain, seed_contract, b.chain, b.contract, 'name', true FROM seeds JOIN members a ON a.chain = seed_chain AND a.contract = seed_contract JOIN members b ON a.name = b.name WHERE b.chain <> seed_chain OR b.contract <> seed_contract
+  UNION SELECT DISTINCT seed_chain, seed_contract, y.chain, split_part(y.contract, '/', 2), 'metadata', y.chain <> 'solana' FROM (SELECT l AS s, r AS o FROM mt UNION ALL SELECT r, l FROM mt) JOIN tp x ON x.member = s JOIN tp y ON y.member = o JOIN seeds ON x.contract = seed_chain || '/' || seed_contract)
+SELECT seed_chain, seed_contract, chain, contract, string_agg(DISTINCT dim, ',' ORDER BY dim) AS dims, bool_or(whole) AS whole FROM e GROUP BY ALL""")
 def candidate_registry(spark: SparkSession, folder: str) -> DataFrame:
-    a = seed_uri(spark, folder).select("seed_chain", "seed_contract", "chain", "contract", F.lit("token_uri").alias("dim"))
-    b = seed_names(spark, folder).withColumn("dim", F.lit("name"))
-    return a.unionByName(b).groupBy("seed_chain", "seed_contract", "chain", "contract").agg(F.array_join(F.sort_array(F.collect_set("dim")), ",").alias("dims"))
+    """The dimensions in which a seed has a candidate, and whether one of them is of the whole contract."""
+    key = ["seed_chain", "seed_contract", "chain", "contract"]
+    mine = seeds(spark, folder)
+    a = seed_uri(spark, folder).select(*key, F.col("kind").alias("dim"), F.lit(False).alias("whole"))
+    b = seed_names(spark, folder).select(*key, F.lit("name").alias("dim"), F.lit(True).alias("whole"))
+    own = materialise(metadata.with_documents(metadata.anchors(nft(spark, folder))), "metadata-anchors")
+    anchor = own.join(mine.select(F.concat("chain", F.lit("/"), "contract").alias("contract")), "contract", "left_semi")
+    links = materialise(metadata.document_links(own, 0.6, anchor.select("doc").distinct()), "seed-links")
+    pairs = metadata.member_pairs(own, links, anchor.select("member").distinct())
+
+    def part(c: str, n: int):
+        return F.split(c, "/")[n]
+
+    c = pairs.select(part("left", 0).alias("seed_chain"), part("left", 1).alias("seed_contract"), part("right", 0).alias("chain"), part("right", 1).alias("contract"), F.lit("metadata").alias("dim"), (part("right", 0) != "solana").alias("whole"))
+    return a.unionByName(b).unionByName(c).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("dim")), ",").alias("dims"), F.bool_or("whole").alias("whole"))
+
+
+D2_SQL = """, f AS (SELECT a.*, EXISTS (SELECT 1 FROM nft b WHERE b.token_uri = a.token_uri AND b.chain = a.chain AND b.contract <> a.contract) AS intra_hit,
+      EXISTS (SELECT 1 FROM nft b WHERE b.token_uri = a.token_uri AND b.chain <> a.chain) AS cross_hit FROM nft a),
+    pc AS (SELECT DISTINCT chain AS peer FROM nft),
+    m AS (SELECT a.*, pc.peer FROM nft a JOIN pc ON pc.peer <> a.chain WHERE NOT EXISTS (SELECT 1 FROM nft b WHERE b.token_uri = a.token_uri AND b.chain = pc.peer))"""
+IMAGE_SCOPES_SQL = """
+      SELECT 'intra' AS scope, chain, chain AS peer, contract, row_order FROM f a WHERE NOT intra_hit AND EXISTS (SELECT 1 FROM f b WHERE NOT b.intra_hit AND b.image_uri = a.image_uri AND b.chain = a.chain AND b.contract <> a.contract)
+      UNION ALL SELECT 'cross', chain, '', contract, row_order FROM f a WHERE NOT cross_hit AND EXISTS (SELECT 1 FROM f b WHERE NOT b.cross_hit AND b.image_uri = a.image_uri AND b.chain <> a.chain)
+      UNION ALL SELECT 'matrix', chain, peer, contract, row_order FROM m a WHERE EXISTS (SELECT 1 FROM m b WHERE b.image_uri = a.image_uri AND b.chain = a.peer AND b.peer = a.chain)"""
+MEMBER_SCOPES = "SELECT {k} AS kind, s.scope, s.chain, s.peer, n.contract, n.row_order FROM (SELECT 'intra' AS scope, h.chain, h.peer, h.contract, h.name FROM {h} h WHERE h.peer = h.chain UNION ALL SELECT 'matrix', h.chain, h.peer, h.contract, h.name FROM {h} h WHERE h.peer <> h.chain UNION ALL SELECT DISTINCT 'cross', h.chain, '', h.contract, h.name FROM {h} h WHERE h.peer <> h.chain) s JOIN nft n ON n.chain = s.chain AND n.contract = s.contract AND (n.chain <> 'solana' OR {on})"
 
 
-@query("d18_duplicate_scale", W + ", hits AS (" + TOKEN_SCOPES_SQL.format(u="token_uri") + f"), {TOTALS_SQL}, c AS ({COUNT_SQL}) SELECT scope, count(*) AS cells, CAST(sum(nfts) AS BIGINT) AS nfts, round(sum(nfts) / sum(total_nfts), 6) AS ratio FROM c JOIN totals USING (chain) GROUP BY scope")
+@query(
+    "d18_duplicate_scale",
+    W + MEMBERS_SQL + HITS_SQL + D2_SQL + ", nh AS (SELECT DISTINCT chain, contract, name, peer FROM (" + EXACT_SQL + ")), eh AS (SELECT DISTINCT chain, split_part(contract, '/', 2) AS contract, split_part(member, '/', 3) AS name, peer FROM mh), every AS (SELECT 'token_uri' AS kind, * FROM ("
+    + TOKEN_SCOPES_SQL.format(u="token_uri") + ") UNION ALL SELECT 'image_uri', * FROM (" + IMAGE_SCOPES_SQL + ") UNION ALL " + MEMBER_SCOPES.format(k="'name'", h="nh", on="n.name_norm = s.name") + " UNION ALL " + MEMBER_SCOPES.format(k="'metadata'", h="eh", on="n.token_id = s.name")
+    + f"), {TOTALS_SQL}, kinds AS (SELECT * FROM every UNION ALL SELECT 'total', * EXCLUDE (kind) FROM every) SELECT kind, scope, chain, peer, count(DISTINCT contract) AS contracts, count(DISTINCT row_order) AS nfts, any_value(total_contracts) AS total_contracts, any_value(total_nfts) AS total_nfts, round(count(DISTINCT contract) / any_value(total_contracts), 6) AS contract_ratio, round(count(DISTINCT row_order) / any_value(total_nfts), 6) AS nft_ratio FROM kinds JOIN totals USING (chain) GROUP BY kind, scope, chain, peer",
+)
 def duplicate_scale(spark: SparkSession, folder: str) -> DataFrame:
-    return scope_rollup(spark, folder).groupBy("scope").agg(F.count(F.lit(1)).alias("cells"), F.sum("nfts").alias("nfts"), F.round(F.try_divide(F.sum("nfts"), F.sum("total_nfts")), 6).alias("ratio"))
+    """Rows token_uri, image_uri, name, metadata and total (the union of their NFTs) of every scope, with denominators."""
+    own = nft(spark, folder)
+    columns = ["chain", "contract", "row_order", "scope", "peer"]
+    name = names.exact_hits(names.members(own)).select("chain", "contract", F.col("name").alias("which"), "peer").distinct()
+    held = metadata.metadata_hits(own, 0.6).select("chain", F.split("contract", "/")[1].alias("contract"), F.get(F.split("member", "/"), F.lit(2)).alias("which"), "peer").distinct()
+
+    def by_member(hits: DataFrame, kind: str, which: str) -> DataFrame:
+        """The NFTs of member hits: all of an EVM contract, or those of the Solana member."""
+        rows = own.select("chain", "contract", "row_order", F.col(which).alias("own"))
+        found = rows.join(hits, ["chain", "contract"]).where("chain != 'solana' or own = which")
+        scope = F.when(F.col("peer") == F.col("chain"), F.array(F.struct(F.lit("intra").alias("scope"), F.col("peer")))).otherwise(F.array(F.struct(F.lit("matrix").alias("scope"), F.col("peer")), F.struct(F.lit("cross").alias("scope"), F.lit("").alias("peer"))))
+        return found.select("chain", "contract", "row_order", F.explode(scope).alias("s")).select(F.lit(kind).alias("kind"), "chain", "contract", "row_order", "s.scope", "s.peer").distinct()
+
+    every = uri.nft_hits(own).unionByName(by_member(name, "name", "name_norm")).unionByName(by_member(held, "metadata", "token_id"))
+    every = materialise(every, "duplicate-nfts")
+    kinds = every.unionByName(every.select(F.lit("total").alias("kind"), *columns).distinct())
+    counts = kinds.groupBy("kind", "scope", "chain", "peer").agg(F.countDistinct("contract").alias("contracts"), F.count(F.lit(1)).alias("nfts"))
+    return uri.with_ratios(counts, uri.chain_totals(own), F.col("kind"), "kind")
 
 
 @query("d24_name_canopy", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT substr(name, 1, 3) AS p3, count(*) AS n FROM n GROUP BY 1) SELECT name, CASE WHEN s.n < 64 THEN p3 ELSE substr(name, 1, 5) || '|len' || (length(name) // 6) END AS block FROM n JOIN s ON substr(name, 1, 3) = p3")

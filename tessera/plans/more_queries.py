@@ -11,6 +11,7 @@ from tessera.operators import behavior, economics, extra, metadata, names, uri
 from tessera.plans import behavior_queries as BQ
 from tessera.plans import dedup_queries as DQ
 from tessera.plans.registry import query
+from tessera.runtime import materialise
 from tessera.sources import chain_logs
 from tessera.sources.fixtures import MOVES_SQL, NFT_SQL, moves, nft, table
 
@@ -194,21 +195,18 @@ def bm25_weight(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(weight(F.col("l_quantity"), F.lit(100.0), F.lit(80.0), IDF_ONCE), 6).alias("weight"))
 
 
-@query("d12_metadata_scopes", N + """, g AS (SELECT md5(body) AS uri, chain, contract, count(*) AS nfts FROM nft GROUP BY ALL),
-  h AS (SELECT DISTINCT a.uri, a.chain, a.contract, a.nfts, b.chain AS peer FROM g a JOIN g b ON a.uri = b.uri AND (a.chain <> b.chain OR a.contract <> b.contract))
-  SELECT chain, peer, count(DISTINCT contract) AS contracts, CAST(sum(nfts) AS BIGINT) AS nfts FROM h GROUP BY ALL""")
+@query("d12_metadata_scopes", N + DQ.HITS_SQL + """, s AS (SELECT 'intra' AS scope, chain, peer, contract, member, nfts FROM mh WHERE peer = chain UNION ALL SELECT 'matrix', chain, peer, contract, member, nfts FROM mh WHERE peer <> chain
+  UNION ALL SELECT DISTINCT 'cross', chain, '', contract, member, nfts FROM mh WHERE peer <> chain) SELECT scope, chain, peer, count(DISTINCT contract) AS contracts, CAST(sum(nfts) AS BIGINT) AS nfts FROM s GROUP BY ALL""")
 def metadata_scopes(spark: SparkSession, folder: str) -> DataFrame:
-    own = nft(spark, folder).withColumn("uri", F.md5(F.col("body").cast("binary")))
-    rows = uri.postings(own.drop("token_uri").withColumnRenamed("uri", "token_uri"), "token_uri")
-    found = uri.scope_rows(rows, uri.presence(rows)).where("scope != 'cross'")
-    return found.groupBy("chain", "peer").agg(F.countDistinct("contract").alias("contracts"), F.sum("nfts").alias("nfts"))
+    return names.name_scopes(metadata.metadata_hits(nft(spark, folder), 0.6).withColumnRenamed("member", "name"))
 
 
-@query("d15_seed_metadata", DQ.TOP_SQL + """, x2 AS (SELECT "left" AS seed, "right" AS other, score FROM s UNION ALL SELECT "right", "left", score FROM s) SELECT seed, other, round(score, 4) AS score FROM x2 WHERE score >= 0.02 AND seed LIKE '%/src0-%'""")
+@query("d15_seed_metadata", N + DQ.PAIRED_SQL.replace("{threshold}", "0.1") + """, x2 AS (SELECT l AS seed, r AS other FROM mt UNION ALL SELECT r, l FROM mt) SELECT DISTINCT seed, other FROM x2 WHERE seed LIKE '%/src1%'""")
 def seed_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    found = metadata.matches(DQ.top_documents(spark, folder), 0.02)
-    both = found.select(F.col("left").alias("seed"), F.col("right").alias("other"), "score").unionByName(found.select(F.col("right").alias("seed"), F.col("left").alias("other"), "score"))
-    return both.where("seed LIKE '%/src0-%'").select("seed", "other", F.round("score", 4).alias("score"))
+    own = materialise(metadata.with_documents(metadata.anchors(nft(spark, folder))), "metadata-anchors")
+    mine = own.where("contract LIKE '%/src1%'")
+    links = materialise(metadata.document_links(own, 0.1, mine.select("doc").distinct()), "seed-links")
+    return metadata.member_pairs(own, links, mine.select("member").distinct()).select(F.col("left").alias("seed"), F.col("right").alias("other"))
 
 
 @query("d16_seed_overlay", N + DQ.SEEDS_SQL + " SELECT chain, contract, token_id, CASE WHEN EXISTS (SELECT 1 FROM seeds WHERE seed_chain = chain AND seed_contract = contract) THEN 'live' ELSE 'snapshot' END AS origin, count(*) AS n FROM nft GROUP BY ALL")

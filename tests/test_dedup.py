@@ -50,7 +50,7 @@ def test_empty_and_null_uris_and_tables(spark):
 def test_ratio_over_zero_is_null(spark):
     s = spark.createDataFrame([("intra", "base", "base", 1, 1)], "scope string, chain string, peer string, contracts long, nfts long")
     t = spark.createDataFrame([("base", 0, 0)], "chain string, contracts long, nfts long")
-    assert uri.with_ratios(s, t, "x").first().nft_ratio is None
+    assert uri.with_ratios(s, t, F.lit("x")).first().nft_ratio is None
 
 
 def test_overlap_bound_loses_no_pair():
