@@ -40,6 +40,17 @@ def awkward(text: str) -> bool:
     return False
 
 
+def missing(found: list) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class PieceCodec:
     """Encodes texts to bytes of little-endian 32-bit ids through caches of two generations.
 
@@ -50,7 +61,7 @@ class PieceCodec:
     a list of such bytes, the pieces' first.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[bytes]], limit: int = 350_000) -> None:
+    def __init__(self, pattern: str, encode: Callable[[list[str], list[str]], list[bytes]], limit: int = 450_000) -> None:
         self.pattern, self.encode, self.limit = regex.compile(pattern), encode, limit
         self.usual = pattern == USUAL
         #: Ids of pieces other than a space and a word.
@@ -91,8 +102,10 @@ class PieceCodec:
         cut = [[t] if awkward(t) else t.split(" ") for t in texts]
         heads = [own.pop(0) for own in cut]
         spaced = self.spaced
-        new = set().union(*cut).difference(spaced)
-        new = self._back(new)
+        # every unit is looked up once; the places of those not known are filled in at the end
+        made_of = [list(map(spaced.get, own)) for own in cut]
+        gaps = [(known, i, own[i]) for own, known in zip(cut, made_of, strict=True) for i in missing(known)]
+        new = self._back({u for _, _, u in gaps})
         words = set(filter(WORD.fullmatch, new)) if self.usual else set()
         new -= words
         marked = set(filter(MARKED_WORD.fullmatch, new)) if self.usual else set()
@@ -120,8 +133,9 @@ class PieceCodec:
             spaced[u] = ids_of(own)
             if len(u) > LONG_UNIT:
                 long.append(u)
-        get = spaced.__getitem__
-        out = [b"".join([ids_of(first[h]), *map(get, own)]) for h, own in zip(heads, cut, strict=True)]
+        for known, i, u in gaps:
+            known[i] = spaced[u]
+        out = [b"".join([ids_of(first[h]), *known]) for h, known in zip(heads, made_of, strict=True)]
         for u in long:
             del spaced[u]
         for p in [p for p in needed if len(p) > LONG_UNIT]:
