@@ -25,6 +25,11 @@ def holders(moves: DataFrame) -> DataFrame:
     return moves.groupBy(*KEY, "token").agg(F.max_by("dst", F.struct("ts", "event_id")).alias("owner"))
 
 
+def graphs_of_transfers(moves: DataFrame) -> DataFrame:
+    """chain, contract, address, component: strongly connected components of the transfers."""
+    return strong_components(edges(transfers_of(moves)))
+
+
 def victims(moves: DataFrame, held: DataFrame) -> DataFrame:
     """chain, contract, address, token: paid acquirers that still hold the same token."""
     paid = sales_of(moves).where("usd > 0").select(*KEY, "token", F.col("dst").alias("owner")).distinct()

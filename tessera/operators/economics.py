@@ -78,6 +78,22 @@ def gas_stages(rows: DataFrame) -> DataFrame:
     return one.groupBy(*KEY, name.alias("stage")).agg(F.count(F.lit(1)).alias("txs"), F.round(F.sum("gas"), 4).alias("gas"))
 
 
+def gas_sums(rows: DataFrame) -> DataFrame:
+    """chain, contract, gas, gas_setup, gas_lure, gas_exit, funding_txs: as ``gas_stages``, a row a contract, unrounded."""
+    order = F.when(F.col("stage") == "setup", 0).when(F.col("stage") == "lure", 1).otherwise(2)
+    one = rows.groupBy(*KEY, "tx").agg(F.max("gas").alias("gas"), F.max(order).alias("o"), F.max(F.col("funding")).alias("funding"))
+    stage = F.when(F.col("funding"), 0).otherwise(F.col("o"))
+    return one.groupBy(*KEY).agg(F.sum("gas").alias("gas"), *(F.sum(F.when(stage == i, F.col("gas"))).alias(f"gas_{n}") for i, n in enumerate(("setup", "lure", "exit"))), F.count(F.when(F.col("funding"), 1)).alias("funding_txs"))
+
+
+def exposure_exact(moves: DataFrame, role: DataFrame, held: DataFrame) -> DataFrame:
+    """chain, contract, output, loss, stuck: what operators took, what holders paid, and the tokens that they hold; unrounded."""
+    sales = moves.where("is_sale")
+    took = sales.join(role.where("role = 'operator'").select(*KEY, F.col("address").alias("src")), [*KEY, "src"], "left_semi").groupBy(*KEY).agg(F.sum("usd").alias("output"))
+    paid = sales.where("usd > 0").join(held.withColumnRenamed("owner", "dst"), [*KEY, "token", "dst"], "left_semi").groupBy(*KEY).agg(F.sum("usd").alias("loss"), F.countDistinct("token").alias("stuck"))
+    return took.join(paid, KEY, "full")
+
+
 def classify_flow(flows: DataFrame, operators: DataFrame, contracts: DataFrame) -> DataFrame:
     """flows (src, dst, ...) with kind: operator to contract is funding, contract to operator withdrawal, else to operator backflow."""
     o, c = operators.select("address").distinct(), contracts.select("address").distinct()

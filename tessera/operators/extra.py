@@ -28,9 +28,11 @@ def corpus_scores(terms: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def sketch64(terms: DataFrame) -> DataFrame:
-    """doc, sketch: a 64-bit similarity sketch; bit i is set where terms with that hash bit outweigh the others."""
-    hashed = terms.select("doc", F.xxhash64("term").alias("h"), "tf")
-    sums = hashed.groupBy("doc").agg(*(F.sum(F.when(F.expr(f"(shiftrightunsigned(h, {i}) & 1) = 1"), F.col("tf")).otherwise(-F.col("tf"))).alias(f"b{i}") for i in range(64)))
+    """doc, sketch: a 64-bit similarity sketch; bit i is set where terms with that bit in the first 8 bytes of their MD5 outweigh the others."""
+    digest = F.md5(F.col("term").cast("binary"))
+    half = {k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") for k in (0, 1)}
+    hashed = terms.select("doc", half[0].alias("h1"), half[1].alias("h0"), "tf")
+    sums = hashed.groupBy("doc").agg(*(F.sum(F.when(F.expr(f"((h{i // 32} >> {i % 32}) & 1) = 1"), F.col("tf")).otherwise(-F.col("tf"))).alias(f"b{i}") for i in range(64)))
     bits: Column = F.lit(0).cast("long")
     for i in range(64):
         bits = bits.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
@@ -60,23 +62,26 @@ def campaigns(evidence: DataFrame) -> DataFrame:
     return threshold_clusters(ties).select(F.col("name").alias("contract"), F.col("cluster").alias("campaign"))
 
 
-def trace(moves: DataFrame, starts: DataFrame, hops: int = 3, frontier: int = 32, low: float = 0.05, high: float = 1.02) -> DataFrame:
-    """start_event, hop, event_id, src, dst, usd: money followed from starting sales.
+def trace(payments: DataFrame, starts: DataFrame, hops: int = 3, frontier: int = 32, low: float = 0.05, high: float = 1.02) -> DataFrame:
+    """start_event, hop, event_id, src, dst, usd: money followed from starting payments.
 
-    A hop is a later sale by the receiver, of ``low`` to ``high`` times the value before; at each hop a start keeps its ``frontier``
-    earliest sales, which is part of the measure.
+    ``payments``: event_id, src, dst, usd, currency, block, place (in the block). A hop is a payment by the receiver in the same
+    currency, in a later block or later in the same one, of ``low`` to ``high`` times the value before, to someone else; the zero
+    address neither pays nor receives (its payments are not passed in). At each hop a start keeps its ``frontier`` earliest
+    payments, which is part of the measure.
     """
-    sales = materialise(moves.where("is_sale AND usd > 0").select("event_id", "src", "dst", "ts", "usd"), "trace-sales")
-    now = sales.join(starts.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("start_event"), F.lit(0).alias("hop"), "event_id", "src", "dst", "ts", "usd")
+    paid = materialise(payments.where("usd > 0 AND src != dst").select("event_id", "src", "dst", "usd", "currency", "block", "place"), "trace-payments")
+    now = paid.join(starts.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("start_event"), F.lit(0).alias("hop"), *paid.columns)
     out = now
     for hop in range(1, hops + 1):
-        at = now.select("start_event", F.col("dst").alias("src"), F.col("ts").alias("t0"), F.col("usd").alias("u0"), F.col("event_id").alias("e0"))
-        near = sales.join(at, "src").where((F.col("ts") > F.col("t0")) & (F.col("usd") >= low * F.col("u0")) & (F.col("usd") <= high * F.col("u0")))
-        w = Window.partitionBy("start_event").orderBy("ts", "event_id")
-        now = near.dropDuplicates(["start_event", "event_id"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= frontier).select("start_event", F.lit(hop).alias("hop"), "event_id", "src", "dst", "ts", "usd")
+        at = now.select("start_event", F.col("dst").alias("src"), "currency", *(F.col(c).alias(f"{c}_0") for c in ("block", "place", "usd")))
+        later = (F.col("block") > F.col("block_0")) | (F.col("block") == F.col("block_0")) & (F.col("place") > F.col("place_0"))
+        near = paid.join(at, ["src", "currency"]).where(later & (F.col("usd") >= low * F.col("usd_0")) & (F.col("usd") <= high * F.col("usd_0")))
+        w = Window.partitionBy("start_event").orderBy("block", "place", "event_id")
+        now = near.dropDuplicates(["start_event", "event_id"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= frontier).select("start_event", F.lit(hop).alias("hop"), *paid.columns)
         now = materialise(now, "trace-hop")
         out = out.unionByName(now)
-    return out.drop("ts")
+    return out.select("start_event", "hop", "event_id", "src", "dst", "usd")
 
 
 def operator_levels(evidence: DataFrame) -> DataFrame:

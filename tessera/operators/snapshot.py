@@ -76,8 +76,8 @@ def valid_metadata(c: Column) -> Column:
 
 
 def sample(rows: DataFrame, pools: list[str], ids: list[str], n: int, seed: int) -> DataFrame:
-    """n rows of each pool, by the smallest seeded hash."""
-    w = Window.partitionBy(*pools).orderBy(F.xxhash64(F.lit(seed), *ids), *ids)
+    """n rows of each pool, by the smallest seeded hash (MD5 of seed and ids)."""
+    w = Window.partitionBy(*pools).orderBy(F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in ids)).cast("binary")), *ids)
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 

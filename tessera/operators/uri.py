@@ -77,7 +77,12 @@ def with_ratios(scopes: DataFrame, totals: DataFrame, dimension: Column, name: s
 
 
 def seed_uri_hits(nft: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seed_chain, seed_contract, kind, chain, contract, scope, nfts: candidates that share a token or image URI with a seed's NFTs.
+    """seed_chain, seed_contract, kind, chain, contract, scope, nfts: how many NFTs ``seed_uri_rows`` finds."""
+    return seed_uri_rows(nft, seeds).groupBy("seed_chain", "seed_contract", "kind", "chain", "contract", "scope").agg(F.count(F.lit(1)).alias("nfts"))
+
+
+def seed_uri_rows(nft: DataFrame, seeds: DataFrame) -> DataFrame:
+    """kind, seed_chain, seed_contract, chain, contract, row_order, scope: NFTs that share a token or image URI with a seed's NFTs.
 
     Scopes: ``intra`` (another contract of the seed's chain) and ``cross`` (another chain). An image counts in a scope only if one
     of the seed's NFTs with it has no token hit there, and a candidate's NFT that is a token hit there is left out.
@@ -98,8 +103,7 @@ def seed_uri_hits(nft: DataFrame, seeds: DataFrame) -> DataFrame:
     images = unhit.select(*key, "image_uri", F.col("scope").alias("wanted")).distinct()
     image = candidates(images, "image_uri").where("scope = wanted").join(token.select(*key, "row_order", "scope"), [*key, "row_order", "scope"], "left_anti")
     columns = [*key, "chain", "contract", "row_order", "scope"]
-    both = token.select(F.lit("token_uri").alias("kind"), *columns).unionByName(image.select(F.lit("image_uri").alias("kind"), *columns)).distinct()
-    return both.groupBy(*key, "kind", "chain", "contract", "scope").agg(F.count(F.lit(1)).alias("nfts"))
+    return token.select(F.lit("token_uri").alias("kind"), *columns).unionByName(image.select(F.lit("image_uri").alias("kind"), *columns)).distinct()
 
 
 def nft_scopes(rows: DataFrame, seen: DataFrame, uri: str) -> DataFrame:

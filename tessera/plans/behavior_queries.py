@@ -303,20 +303,8 @@ def relation_state(spark: SparkSession, folder: str) -> DataFrame:
     return parts(spark, folder)[2].groupBy("chain", "contract").agg(F.when(F.bool_or(F.col("role") == "operator"), "suspected").otherwise("legitimate").alias("state"), F.count(F.lit(1)).alias("relations"))
 
 
-@query("r3_population", W + " SELECT h.chain, h.contract, count(DISTINCT h.token) AS held, count(DISTINCT m.token) AS moved, greatest(count(DISTINCT h.token), count(DISTINCT m.token)) AS population FROM holders h JOIN moves m ON m.chain = h.chain AND m.contract = h.contract GROUP BY ALL")
-def population(spark: SparkSession, folder: str) -> DataFrame:
-    m = moves(spark, folder)
-    held = behavior.holders(m).groupBy("chain", "contract").agg(F.count(F.lit(1)).alias("held"))
-    return m.groupBy("chain", "contract").agg(F.countDistinct("token").alias("moved")).join(held, ["chain", "contract"]).select("chain", "contract", "held", "moved", F.greatest(F.coalesce("held", F.lit(0)), "moved").alias("population"))
-
-
 @query("r6_address_classes", W + ", a AS (SELECT address, count(*) FILTER (role = 'operator') AS o, count(*) FILTER (role = 'victim') AS v FROM roles GROUP BY 1) SELECT count(*) FILTER (o > 0) AS malicious, count(*) FILTER (o > 1) AS repeated, count(*) FILTER (v > 0) AS honest, count(*) FILTER (o > 0 AND v > 0) AS overlapping, count(*) AS total FROM a")
 def address_classes(spark: SparkSession, folder: str) -> DataFrame:
     a = parts(spark, folder)[2].groupBy("address").agg(F.count(F.when(F.col("role") == "operator", 1)).alias("o"), F.count(F.when(F.col("role") == "victim", 1)).alias("v"))
     n = {"malicious": F.col("o") > 0, "repeated": F.col("o") > 1, "honest": F.col("v") > 0, "overlapping": (F.col("o") > 0) & (F.col("v") > 0)}
     return a.agg(*(F.count(F.when(c, 1)).alias(k) for k, c in n.items()), F.count(F.lit(1)).alias("total"))
-
-
-@query("r8_data_quality", W + " SELECT chain, count(*) FILTER (usd IS NOT NULL) AS priced, count(*) FILTER (usd IS NULL) AS unpriced FROM moves GROUP BY chain")
-def data_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return moves(spark, folder).groupBy("chain").agg(F.count("usd").alias("priced"), F.count(F.when(F.col("usd").isNull(), 1)).alias("unpriced"))

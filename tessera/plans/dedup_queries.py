@@ -164,7 +164,7 @@ def token_order(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(key["other"], key["digits"], key["text"], "doc_id")).cast("long").alias("place"))
 
 
-@query("w14_pair_sample", None)
+@query("w14_pair_sample", W + ", f AS (SELECT token_uri, min(row_order) AS first, arg_min(contract, row_order) AS left_contract FROM nft GROUP BY 1), p AS (SELECT n.chain, f.left_contract, n.contract AS right_contract, n.token_uri, n.row_order, row_number() OVER (PARTITION BY n.chain ORDER BY md5('42|' || n.token_uri || '|' || n.row_order), n.token_uri, n.row_order) AS rn FROM nft n JOIN f ON f.token_uri = n.token_uri WHERE n.row_order <> f.first) SELECT * EXCLUDE (rn) FROM p WHERE rn <= 10")
 def pair_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Ten duplicate pairs a chain, drawn by a seeded hash: repeatable, and without holding a reservoir."""
     own = nft(spark, folder)

@@ -9,7 +9,6 @@ from tessera.functions import text as T
 from tessera.operators import behavior, economics, evidence, snapshot, uri
 from tessera.plans import behavior_queries as BQ
 from tessera.plans import dedup_queries as DQ
-from tessera.plans import more_queries as MQ
 from tessera.plans.registry import query
 from tessera.sources.fixtures import MOVES_SQL, NFT_SQL, moves, nft, table
 
@@ -109,11 +108,6 @@ def prefilter_terms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", F.array_join(evidence.prefilter_terms(raw), "|").alias("terms"))
 
 
-@query("d8_pair_choice", None)
-def pair_choice(spark: SparkSession, folder: str) -> DataFrame:
-    return MQ.aligned_documents(spark, folder)
-
-
 @query("e11_mint_payments", M + ", mints AS (SELECT event_id, chain, contract, CAST(event_id // 4 AS VARCHAR) AS tx, dst FROM moves WHERE NOT is_sale), p AS (SELECT chain, CAST(event_id // 4 AS VARCHAR) AS tx, src AS payer, max(usd) AS paid FROM sales GROUP BY ALL) SELECT event_id, paid FROM mints LEFT JOIN p ON p.chain = mints.chain AND p.tx = mints.tx AND p.payer = mints.dst")
 def mint_payments(spark: SparkSession, folder: str) -> DataFrame:
     m = moves(spark, folder).withColumn("tx", F.expr("cast(event_id div 4 as string)"))
@@ -149,11 +143,6 @@ def lifecycle_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return m.join(f, ["chain", "contract"]).groupBy("chain", "contract").agg(F.count(F.when(F.col("ts") < F.col("s"), 1)).alias("before_sale"), F.countDistinct("src").alias("senders"), F.first(F.col("s") - F.col("a")).alias("to_sale"))
 
 
-@query("e20_flow_coverage", M + " SELECT chain, count(*) AS edges, count(*) FILTER (usd IS NULL) AS unpriced, round(count(*) FILTER (usd IS NULL) / count(*), 6) AS gap FROM moves GROUP BY chain")
-def flow_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    return moves(spark, folder).groupBy("chain").agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col("usd").isNull(), 1)).alias("unpriced")).withColumn("gap", F.round(F.try_divide("unpriced", "edges"), 6))
-
-
 @query("e23_projected_facts", N + DQ.SEEDS_SQL + ", g AS (SELECT chain, contract, count(*) AS nfts FROM nft GROUP BY ALL), h AS (SELECT DISTINCT s.seed_chain, s.seed_contract, b.chain, b.contract FROM seeds s JOIN nft a ON a.chain = seed_chain AND a.contract = seed_contract JOIN nft b ON a.token_uri = b.token_uri AND (a.chain <> b.chain OR a.contract <> b.contract)) SELECT seed_chain, seed_contract, CAST(sum(nfts) AS BIGINT) AS nfts, count(*) AS candidates FROM h JOIN g USING (chain, contract) GROUP BY ALL")
 def projected_facts(spark: SparkSession, folder: str) -> DataFrame:
     facts = nft(spark, folder).groupBy("chain", "contract").agg(F.count(F.lit(1)).alias("all_nfts"))
@@ -161,13 +150,6 @@ def projected_facts(spark: SparkSession, folder: str) -> DataFrame:
     return hits.join(facts, ["chain", "contract"]).groupBy("seed_chain", "seed_contract").agg(F.sum("all_nfts").alias("nfts"), F.count(F.lit(1)).alias("candidates"))
 
 
-@query("r2_infringing_nfts", N + " SELECT b.chain, b.contract, count(DISTINCT b.row_order) AS nfts FROM nft a JOIN nft b ON a.token_uri = b.token_uri AND (a.chain <> b.chain OR a.contract <> b.contract) GROUP BY ALL")
-def infringing_nfts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = uri.postings(nft(spark, folder), "token_uri")
-    size = rows.groupBy("uri").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    return rows.join(size, "uri").groupBy("chain", "contract").agg(F.sum("nfts").alias("nfts"))
-
-
 @query("s13_cached_table", N + " SELECT chain, count(*) AS nfts FROM nft GROUP BY chain")
 def cached_table(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.cached(spark, "totals", {"folder": folder, "version": 1, "app": spark.sparkContext.applicationId}, lambda: nft(spark, folder).groupBy("chain").agg(F.count(F.lit(1)).alias("nfts")))

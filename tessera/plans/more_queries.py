@@ -170,7 +170,7 @@ def event_order(spark: SparkSession, folder: str) -> DataFrame:
     return moves(spark, folder).select("event_id", F.row_number().over(Window.partitionBy("chain", "contract").orderBy("ts", "event_id")).cast("long").alias("place"))
 
 
-@query("f5_overlap_bounds", None)
+@query("f5_overlap_bounds", "WITH l AS (SELECT unnest(range(1, 33)) AS n), o AS (SELECT a.n AS n, b.n AS m, unnest(range(0, least(a.n, b.n) + 1)) AS k FROM l a, l b), j AS (SELECT n, m, k, (k * 1.0::DOUBLE / n + k * 1.0::DOUBLE / m + 1) / 3 AS jaro FROM o), s AS (SELECT n, m, k, CASE WHEN k = 0 THEN 0.0 WHEN jaro > 0.7 THEN least(1.0, jaro + 0.1 * least(k, 4) * (1 - jaro)) ELSE jaro END AS best FROM j) SELECT CAST(n AS INT) AS n, CAST(m AS INT) AS m, CAST(coalesce(min(k) FILTER (best >= 0.95 - 1e-12), n + m + 1) AS INT) AS least, arg_max(best, k) AS best FROM s GROUP BY n, m")
 def overlap_bounds(spark: SparkSession, folder: str) -> DataFrame:
     """n, m, least: letters that names of two lengths must share for a similarity of 0.95 (lengths up to 32)."""
     rows = [(n, m, least_overlap(n, m, 0.95), float(best_from_overlap(n, m, min(n, m)))) for n in range(1, 33) for m in range(1, 33)]
@@ -234,7 +234,7 @@ def token_recheck(spark: SparkSession, folder: str) -> DataFrame:
     return near.groupBy("seed_chain", "seed_contract", "chain", "contract").agg(F.min("token_id").alias("token_id"))
 
 
-@query("d22_sketch64", None)
+@query("d22_sketch64", "WITH t AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL), h AS (SELECT doc, tf, CAST('0x' || substr(md5(term), 1, 16) AS UBIGINT) AS h FROM t), b AS (SELECT doc, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN tf ELSE -tf END) AS s FROM h, (SELECT unnest(range(64))::UTINYINT AS i) GROUP BY doc, i), u AS (SELECT doc, sum(CASE WHEN s > 0 THEN (1::UHUGEINT << i)::HUGEINT ELSE 0 END) AS v FROM b GROUP BY doc) SELECT doc, CAST(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS sketch FROM u")
 def sketch(spark: SparkSession, folder: str) -> DataFrame:
     return extra.sketch64(metadata.terms(table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")))
 
@@ -245,19 +245,6 @@ def campaigns(spark: SparkSession, folder: str) -> DataFrame:
     return extra.campaigns(behavior.holders(moves(spark, folder)).select("contract", F.col("owner").cast("string").alias("evidence")))
 
 
-TRACE_SQL = "".join(
-    f""", n{h} AS (SELECT start_event, event_id, src, dst, ts, usd FROM (SELECT *, row_number() OVER (PARTITION BY start_event ORDER BY ts, event_id) AS rn FROM (
-  SELECT DISTINCT p.start_event, s.event_id, s.src, s.dst, s.ts, s.usd FROM n{h - 1} p JOIN ps s ON s.src = p.dst AND s.ts > p.ts AND s.usd >= 0.05 * p.usd AND s.usd <= 1.02 * p.usd)) WHERE rn <= 32)"""
-    for h in (1, 2, 3)
-)
-
-
-@query("g7_money_trace", M + ", ps AS (SELECT event_id, src, dst, ts, usd FROM sales WHERE usd > 0), n0 AS (SELECT event_id AS start_event, * FROM ps WHERE usd >= 90)" + TRACE_SQL + " SELECT start_event, hop, event_id, src, dst, usd FROM (" + " UNION ALL ".join(f"SELECT start_event, {h} AS hop, event_id, src, dst, usd FROM n{h}" for h in range(4)) + ")")
-def money_trace(spark: SparkSession, folder: str) -> DataFrame:
-    m = moves(spark, folder)
-    return extra.trace(m, behavior.sales_of(m).where("usd >= 90").select("event_id"))
-
-
 @query("g8_signals", M + """, t AS (SELECT * FROM moves WHERE NOT is_sale), p AS (SELECT DISTINCT chain, contract, src, dst FROM t), b AS (SELECT x.chain, x.contract, count(*) AS n FROM p x JOIN p y ON x.chain = y.chain AND x.contract = y.contract AND x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst GROUP BY ALL),
   o AS (SELECT chain, contract, src AS address, count(*) AS o FROM p GROUP BY ALL), i AS (SELECT chain, contract, dst AS address, count(*) AS i FROM t GROUP BY ALL), s AS (SELECT chain, contract, count(*) AS n FROM o LEFT JOIN i USING (chain, contract, address) WHERE o >= 3 AND coalesce(i, 0) <= 1 GROUP BY ALL)
   SELECT t.chain, t.contract, count(DISTINCT t.dst) AS receivers, coalesce(any_value(b.n), 0) AS reciprocal, coalesce(any_value(s.n), 0) AS stars, max(t.ts) - min(t.ts) AS delay, max(t.ts) - min(t.ts) BETWEEN 1 AND 86400 AS fast_spread FROM t LEFT JOIN b ON b.chain = t.chain AND b.contract = t.contract LEFT JOIN s ON s.chain = t.chain AND s.contract = t.contract GROUP BY t.chain, t.contract""")
@@ -265,11 +252,6 @@ def signals(spark: SparkSession, folder: str) -> DataFrame:
     return extra.signals(behavior.transfers_of(moves(spark, folder)))
 
 
-@query("e4_operator_levels", None)
-def operator_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return extra.operator_levels(BQ.evidence(spark, folder))
-
-
 @query("e5_honest_buyers", M + " SELECT s.chain, s.contract, s.dst AS address, count(*) AS buys, round(sum(usd), 4) AS paid FROM sales s JOIN roles r ON r.chain = s.chain AND r.contract = s.contract AND r.address = s.dst AND r.role = 'victim' GROUP BY ALL")
 def honest_buyers(spark: SparkSession, folder: str) -> DataFrame:
     m, _, role = BQ.parts(spark, folder)
@@ -298,17 +280,3 @@ def candidate_filter(spark: SparkSession, folder: str) -> DataFrame:
 def seed_counts(spark: SparkSession, folder: str) -> DataFrame:
     hits = DQ.seed_uri(spark, folder).select(F.col("seed_chain").alias("chain"), F.col("seed_contract").alias("contract")).distinct().withColumn("hit", F.lit(1))
     return DQ.seeds(spark, folder).join(hits, ["chain", "contract"], "left").agg(F.count(F.lit(1)).alias("selected"), F.count("hit").alias("with_duplicate"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("ratio"))
-
-
-@query("r5_behaviour_table", M + BQ.WASH_SQL + ", k AS (SELECT 'wash_trading' AS kind, chain, contract, component FROM wash GROUP BY ALL) SELECT kind, count(DISTINCT (chain, contract)) AS contracts, count(*) AS instances, (SELECT count(DISTINCT (chain, contract)) FROM moves) AS denominator FROM k GROUP BY kind")
-def behaviour_table(spark: SparkSession, folder: str) -> DataFrame:
-    m, _, role = BQ.parts(spark, folder)
-    found = behavior.wash_cycles(m, role).select("chain", "contract", "component").distinct().agg(F.countDistinct("chain", "contract").alias("contracts"), F.count(F.lit(1)).alias("instances"))
-    # two single rows
-    return found.crossJoin(m.agg(F.countDistinct("chain", "contract").alias("denominator"))).select(F.lit("wash_trading").alias("kind"), "contracts", "instances", "denominator")
-
-
-@query("r7_economics", M + " SELECT chain, round(sum(usd), 2) AS gross_usd, count(*) AS sales, round(max(usd), 4) AS largest FROM sales GROUP BY chain")
-def economics_report(spark: SparkSession, folder: str) -> DataFrame:
-    return behavior.sales_of(moves(spark, folder)).groupBy("chain").agg(F.round(F.sum("usd"), 2).alias("gross_usd"), F.count(F.lit(1)).alias("sales"), F.round(F.max("usd"), 4).alias("largest"))
-
