@@ -15,6 +15,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks
-from tessera.llm.units import PieceCodec
+from tessera.llm.units import USUAL
 from tessera.runtime import materialise, ship_file, ship_package, shipped_file
 
 #: Bins that are open at a time.
@@ -81,81 +82,67 @@ def pieces(tokens: int, size: int) -> Iterator[tuple[int, int]]:
         start, length = start + length, size
 
 
-#: Words that are joined and encoded as one text.
-JOINED = 500
-#: What a byte-level vocabulary writes for a space, and for the two bytes of a letter from À to ÿ.
-SPACE = "\u0120"
-
-
-def byte_letters() -> dict[int, str]:
-    """The vocabulary's spelling of bytes: printable ones (Latin-1) stand for themselves, the others follow from 256 on."""
+def byte_spelling() -> dict[str, int]:
+    """How byte-level vocabularies spell bytes: printable ones (Latin-1) stand for themselves, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
-    spelled = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 class Encoder:
-    """The library's ids of pieces, and of words with a space before them.
+    """Texts to the ids (little-endian unsigned 32-bit) that the tokenizers library gives for a vocabulary file.
 
-    Words are joined and encoded together, which spares most of the library's work for each text. Under a byte-level
-    vocabulary they are spelled as the vocabulary spells them and cut at blanks, which spares its pattern, too; a token
-    that begins with a space begins the next word.
+    A byte-level vocabulary whose merges have ascending ids, without normaliser and with the usual pattern, is a table of ranks;
+    such a table is merged by the faster tiktoken library, which gives the same ids. Any other file is left to tokenizers.
+    A special token's name in a text is ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.own = Tokenizer.from_file(path)
-        # a special token's name in a text is ordinary text
-        self.own.encode_special_tokens = True
-        self.opens = np.array([(self.own.id_to_token(i) or "").startswith(SPACE) for i in range(self.own.get_vocab_size())], bool)
-        self.plain = None
-        self.spelling = byte_letters()
-        if isinstance(self.own.pre_tokenizer, pre_tokenizers.ByteLevel) and self.own.normalizer is None:
-            self.plain = Tokenizer.from_file(path)
-            self.plain.encode_special_tokens = True
-            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-
-    def alone(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 20_000):
-            out += [np.array(x.ids, np.uint32).tobytes() for x in self.own.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
-        return out
-
-    def words(self, words: list[str]) -> list[bytes]:
-        if self.plain is None:
-            return self.alone([" " + w for w in words])
-        out: list[bytes] = [b""] * len(words)
-        ascii_ = [i for i, w in enumerate(words) if w.isascii()]
-        rest = sorted(set(range(len(words))).difference(ascii_))
-        groups = [own[at : at + JOINED] for own in (ascii_, rest) for at in range(0, len(own), JOINED)]
-        texts = []
-        for group in groups:
-            joined = f" {SPACE}".join([words[i] for i in group])
-            texts.append(SPACE + (joined if words[group[0]].isascii() else joined.translate(self.spelling)))
-        for group, x in zip(groups, self.plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, np.uint32)
-            first = np.flatnonzero(self.opens[ids]).tolist()
-            if len(first) != len(group):
-                raise ValueError("the vocabulary does not spell words as byte-level vocabularies do")
-            raw = ids.tobytes()
-            for i, a, b in zip(group, first, [*first[1:], len(ids)], strict=True):
-                out[i] = raw[4 * a : 4 * b]
-        return out
-
-    def __call__(self, pieces: list[str], words: list[str]) -> list[bytes]:
-        return self.alone(pieces) + self.words(words)
-
-
-_TOKENIZERS: dict[tuple[str, str], PieceCodec] = {}
-
-
-def tokenizer(name: str, pattern: str) -> PieceCodec:
-    """The worker's tokenizer, from a shipped file, with its caches. The library encodes every piece that the caches lack."""
+        self.fast = self.slow = None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        ranks = rank_table(file) if pattern == USUAL else None
+        if ranks is not None:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(path)
+            self.slow.encode_special_tokens = True
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.fast is not None:
+            return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def rank_table(file: dict) -> dict[bytes, int] | None:
+    """The bytes and rank of every token of a byte-level vocabulary, or None where ranks alone do not say how to merge."""
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    if model.get("type") != "BPE" or file.get("normalizer") or not usual or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocabulary = model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary.get("".join(m), -1) for m in merges]
+    if -1 in ids or any(a >= b for a, b in zip(ids, ids[1:])):
+        return None
+    spelled, merged = byte_spelling(), {"".join(m) for m in merges}
+    ranks = {bytes(spelled[c] for c in token): i for token, i in vocabulary.items() if token in merged or token in spelled}
+    # single bytes come before all merges, and there is nothing else
+    return ranks if len(ranks) == len(merged) + 256 and max(vocabulary[c] for c in spelled) < ids[0] else None
+
+
+_TOKENIZERS: dict[tuple[str, str], Encoder] = {}
+
+
+def tokenizer(name: str, pattern: str) -> Encoder:
+    """The worker's tokenizer, from a shipped file."""
     if (name, pattern) not in _TOKENIZERS:
-        _TOKENIZERS[name, pattern] = PieceCodec(pattern, Encoder(shipped_file(name)))
+        _TOKENIZERS[name, pattern] = Encoder(shipped_file(name), pattern)
     return _TOKENIZERS[name, pattern]
 
 
@@ -168,7 +155,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, open_bins:
     def run(batches):
         cut = tokenizer(name, pattern)
         bins = Bins(size, open_bins, TaskContext.get().partitionId() << 40)
-        for rest, texts in chunks(batches, limit=1_000_000):  # small: a chunk's words are held one by one
+        for rest, texts in chunks(batches):
             out: dict[str, list] = {k: [] for k in columns}
             for doc, ids in zip(rest["doc_id"], cut([t or "" for t in texts]), strict=True):
                 ids += SEPARATOR

@@ -61,13 +61,32 @@ def test_round_trip_query(spark, rows, library):
     assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t in rows)
 
 
-def test_words_by_the_shorter_way_have_the_librarys_ids():
+def awkward_texts(n):
+    marks = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\u00a0", "\u2003", "\u3000", "'s", "'LL", "'", "1", "٣", "é", "e\u0301", "ß", "你好", "🙂", "👨‍👩‍👧", "\u200b", "a", "The", "ing", ".", "...", "!?", "_", "<|endoftext|>", "\ufffd", "\x00", "x" * 40]
+    return ["".join(RNG.choice(marks) for _ in range(RNG.randint(0, 40))) for _ in range(n)] + ["", " ", "a" * 5000, " " * 3000, "ab" * 4000 + " "]
+
+
+def test_packing_has_the_ids_of_the_tokenizers_library(tmp_path):
+    import json
+
     own = Tokenizer.from_file(PLAIN)
-    words = ["".join(RNG.choice("abcdefgABCéèÀüßñøÿ") for _ in range(RNG.randint(1, 14))) for _ in range(3000)]
-    encoder = packing.Encoder(PLAIN)
-    assert encoder.plain is not None
-    for w, ids in zip(words, encoder([], words), strict=True):
-        assert np.frombuffer(ids, np.uint32).tolist() == own.encode(" " + w, add_special_tokens=False).ids
+    own.encode_special_tokens = True
+    texts = awkward_texts(4000)
+    encoder = packing.Encoder(PLAIN, P.PATTERN)
+    assert encoder.fast is not None
+    want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder(texts) == want
+    # a file whose ids do not say how to merge, and another pattern, are left to the library
+    file = json.load(open(PLAIN, encoding="utf-8"))
+    first, second = ("".join(m.split(" ") if isinstance(m, str) else m) for m in file["model"]["merges"][:2])
+    vocabulary = file["model"]["vocab"]
+    vocabulary[first], vocabulary[second] = vocabulary[second], vocabulary[first]
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    other = packing.Encoder(str(tmp_path / "other.json"), P.PATTERN)
+    library = Tokenizer.from_file(str(tmp_path / "other.json"))
+    library.encode_special_tokens = True
+    assert other.fast is None and other(texts[:200]) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:200]]
+    assert packing.Encoder(PLAIN, r"\S+|\s+").fast is None
 
 
 def check_packing(rows, got, size):
