@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,11 +88,36 @@ def prefilter_terms(raw: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(every, lambda t: t.isNotNull() & (t != ""))))
 
 
-def cached(spark: SparkSession, name: str, parameters: dict, make) -> DataFrame:
-    """A table kept in the shared folder under a hash of its parameters; it is made only if it is not there whole."""
-    key = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:24]
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of names, sizes and times of change of all files below the paths; it changes when an input does."""
+    seen = []
+    for path in sorted(paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.getFileStatus(where).isDirectory():
+            files = system.listFiles(where, True)
+            while files.hasNext():
+                f = files.next()
+                seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+        else:
+            f = system.getFileStatus(where)
+            seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, name: str, parameters: dict, inputs: list[str], make) -> DataFrame:
+    """A table kept in the shared folder under a hash of its parameters and of its input files; it is made only if it is not there.
+
+    It is written beside its place and renamed, so two writers do not disturb each other: the first one's table stays.
+    """
+    known = parameters | {"inputs": input_fingerprint(spark, inputs)}
+    key = hashlib.sha256(json.dumps(known, sort_keys=True, default=str).encode()).hexdigest()[:24]
     path = f"{scratch_dir(spark)}/cache/{name}-{key}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        make().write.mode("overwrite").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        make().write.parquet(own.toString())
+        if not (not system.exists(where) and system.rename(own, where)):
+            system.delete(own, True)
     return spark.read.parquet(path)

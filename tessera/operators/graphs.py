@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.runtime import discard, materialise
 
 #: Edges of a contract that one task may take; larger graphs go through the distributed method.
 TASK_EDGES = 500_000
@@ -74,28 +74,50 @@ def _reach(graph: DataFrame, start: DataFrame, label: str) -> DataFrame:
     while True:
         passed = graph.join(now.withColumnRenamed("address", "src"), [*KEY, "src"]).select(*KEY, F.col("dst").alias("address"), "mark")
         after = materialise(now.unionByName(passed).groupBy(*KEY, "address").agg(F.max("mark").alias("mark")), label)
-        if not after.join(now, [*KEY, "address", "mark"], "left_anti").limit(1).count():
+        changed = after.join(now, [*KEY, "address", "mark"], "left_anti").limit(1).count()
+        discard(now)
+        if not changed:
             return after
         now = after
 
 
+def _trimmed(left: DataFrame) -> DataFrame:
+    """The edges between addresses that have edges both in and out, again and again: all others are components of their own."""
+    while True:
+        ends = left.select(*KEY, F.col("src").alias("address")).distinct().intersect(left.select(*KEY, F.col("dst").alias("address")).distinct())
+        ends = materialise(ends, "scc-ends")
+        kept = left.join(ends.withColumnRenamed("address", "src"), [*KEY, "src"], "left_semi").join(ends.withColumnRenamed("address", "dst"), [*KEY, "dst"], "left_semi").select(*KEY, "src", "dst")
+        kept = materialise(kept, "scc-edges")
+        done = kept.count() == left.count()
+        discard(ends, left)
+        if done:
+            return kept
+        left = kept
+
+
 def _large_components(graph: DataFrame) -> DataFrame:
     """Components of graphs of any size by colouring: a colour is the largest address that reaches a node; what reaches that
-    address back inside the colour is its component. Components leave the graph until none is left."""
-    left = materialise(graph, "scc-edges")
-    nodes = left.select(*KEY, F.col("src").alias("address")).union(left.select(*KEY, F.col("dst").alias("address"))).distinct()
-    nodes = materialise(nodes, "scc-nodes")
+    address back inside the colour is its component. Components leave the graph until none is left. What no cycle can go
+    through is trimmed before each round, so that rounds follow the cycles and not the length of chains."""
+    every = graph.select(*KEY, F.col("src").alias("address")).union(graph.select(*KEY, F.col("dst").alias("address"))).distinct()
+    every = materialise(every, "scc-nodes")
+    left = _trimmed(materialise(graph, "scc-edges"))
     done = None
-    while nodes.limit(1).count():
+    while left.limit(1).count():
+        nodes = materialise(left.select(*KEY, F.col("src").alias("address")).distinct(), "scc-left")
         colour = _reach(left, nodes.withColumn("mark", F.col("address")), "scc-colour")
         inside = left.join(colour.select(*KEY, F.col("address").alias("src"), F.col("mark").alias("a")), [*KEY, "src"]).join(colour.select(*KEY, F.col("address").alias("dst"), F.col("mark").alias("b")), [*KEY, "dst"]).where("a = b")
         back = _reach(inside.select(*KEY, F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("address = mark"), "scc-back")
         group = back.groupBy(*KEY, "mark").agg(F.min("address").alias("component"))
         found = materialise(back.join(group, [*KEY, "mark"]).select(*KEY, "address", "component"), "scc-found")
         done = found if done is None else done.unionByName(found)
-        nodes = materialise(nodes.join(found, [*KEY, "address"], "left_anti"), "scc-nodes")
-        left = materialise(left.join(found.withColumnRenamed("address", "src"), [*KEY, "src"], "left_anti").join(found.withColumnRenamed("address", "dst"), [*KEY, "dst"], "left_anti").select(*KEY, "src", "dst"), "scc-edges")
-    return done if done is not None else nodes.withColumn("component", F.col("address"))
+        rest = left.join(found.withColumnRenamed("address", "src"), [*KEY, "src"], "left_anti").join(found.withColumnRenamed("address", "dst"), [*KEY, "dst"], "left_anti").select(*KEY, "src", "dst")
+        after = materialise(rest, "scc-edges")
+        discard(nodes, colour, back, left)
+        left = _trimmed(after)
+    if done is None:
+        return every.withColumn("component", F.col("address"))
+    return every.join(done, [*KEY, "address"], "left").select(*KEY, "address", F.coalesce("component", "address").alias("component"))
 
 
 def strong_components(graph: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:

@@ -32,13 +32,20 @@ def exact_hits(own: DataFrame) -> DataFrame:
 
 
 def similar_names(names: DataFrame, threshold: float) -> DataFrame:
-    """left, right (left < right), score: pairs of distinct names of at least this similarity (0.8 < threshold <= 1).
+    """left, right (left < right), score: pairs of distinct names of at least this similarity.
+
+    A threshold of 0 or less asks for all pairs, by definition. Above, names must share letters, as follows; below about 0.8 the
+    filters pass most pairs that share one.
 
     Lossless filters: for similarity t, Jaro must be c = (t - 0.4) / 0.6 or more; so names of n and m letters share at least
     (3 c - 1) n m / (n + m) letters, and a name must meet its partner in its rarest n - (3 c - 2) n + 1 letter tokens.
     """
     most = SCALE * PREFIX
     jaro = (threshold - most) / (1 - most)
+    if threshold <= 0:
+        every = names.select("name").distinct()
+        both = every.select(F.col("name").alias("left")).crossJoin(every.select(F.col("name").alias("right"))).where("left < right")
+        return both.withColumn("score", jaro_winkler_udf("left", "right"))
     own = names.select("name").distinct().withColumn("tokens", letter_tokens(F.col("name"))).withColumn("n", F.length("name"))
     rows = own.select("name", F.explode("tokens").alias("token"))
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))

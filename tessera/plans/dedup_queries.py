@@ -73,35 +73,6 @@ def clip(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", T.clipped(F.col("text"), 64).alias("clipped"))
 
 
-@query("p1_row_normalise", "SELECT c_custkey, lower(trim('  ' || c_mktsegment || ' ')) AS chain FROM customer")
-def row_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select("c_custkey", T.chain_key(F.concat(F.lit("\t "), "c_mktsegment", F.lit(" \n"))).alias("chain"))
-
-
-NAMES_SQL = "(['None', ' null ', 'n/a', '7', '77', '--', '', 'Azuki', 'NaN', '.', 'nil', ' x '])[CAST(p_partkey % 12 AS INT) + 1]"
-
-
-@query("p2_usable_names", f"SELECT p_partkey, trim({NAMES_SQL}) NOT IN ('None', 'null', 'n/a', '7', '--', '', 'NaN', '.', 'nil') AS usable FROM part")
-def usable_names(spark: SparkSession, folder: str) -> DataFrame:
-    samples = F.expr("element_at(array('None', ' null ', 'n/a', '7', '77', '--', '', 'Azuki', 'NaN', '.', 'nil', ' x '), cast(p_partkey % 12 as int) + 1)")
-    return table(spark, folder, "part").select("p_partkey", T.usable_name(samples).alias("usable"))
-
-
-JSON_SQL = "'{\"b\": ' || p_size || ', \"a\": \"' || upper(p_brand) || '\", \"attributes\": [{\"trait_type\": \"T\", \"value\": 2}, {\"trait_type\": \"A\", \"value\": 1.50}]}'"
-
-
-@query("p3_valid_metadata", f"SELECT p_partkey, p_partkey % 3 <> 0 AS valid FROM part")
-def valid_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.lit('{"a": 1, "a": 2}')).otherwise(F.concat(F.lit('{"size": '), F.col("p_size").cast("string"), F.lit("}")))
-    return table(spark, folder, "part").select("p_partkey", snapshot.valid_metadata(raw).alias("valid"))
-
-
-@query("p7_platform_contracts", "SELECT c_custkey, c_custkey % 5 = 0 AS platform FROM customer")
-def platform_contracts(spark: SparkSession, folder: str) -> DataFrame:
-    address = F.when(F.col("c_custkey") % 5 == 0, F.lit("0xF3CD1E9326D1965935B287B1EE75C7183359A88A")).otherwise(F.lit("0x0000000000000000000000000000000000000001"))
-    return table(spark, folder, "customer").select("c_custkey", T.platform_contract(F.lit("Base"), address).alias("platform"))
-
-
 @query("a1_chain_totals", W + " SELECT chain, count(DISTINCT contract) AS contracts, count(*) AS nfts FROM nft GROUP BY chain")
 def chain_totals(spark: SparkSession, folder: str) -> DataFrame:
     return uri.chain_totals(nft(spark, folder))
@@ -332,10 +303,13 @@ def identical_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return nft(spark, folder).groupBy(F.sha2(F.col("body").cast("binary"), 256).alias("m")).agg(F.min("row_order").alias("first"), F.count(F.lit(1)).alias("n"), F.countDistinct("chain", "contract").alias("contracts")).where("n > 1").select("first", "n", "contracts")
 
 
-@query("d11_profiles", W + ", a AS (SELECT chain, contract, string_agg(md5(body), ',' ORDER BY row_order) AS profile FROM nft GROUP BY ALL) SELECT md5(profile) AS profile, count(*) AS contracts, min(chain || contract) AS first FROM a GROUP BY profile")
+@query("d11_profiles", W + ", a AS (SELECT chain, contract, string_agg(md5(body), ',' ORDER BY row_order) AS profile, count(*) AS docs FROM nft GROUP BY ALL) SELECT count(*) AS contracts, min(chain || contract) AS first, any_value(docs) AS docs FROM a GROUP BY profile")
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    own = nft(spark, folder).groupBy("chain", "contract").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_order", F.md5(F.col("body").cast("binary")).alias("m")))), lambda x: x["m"]).alias("docs"))
-    return own.groupBy(F.md5(F.array_join("docs", ",").cast("binary")).alias("profile")).agg(F.count(F.lit(1)).alias("contracts"), F.min(F.concat("chain", "contract")).alias("first"))
+    """Contracts with the same documents in the same order, told by their number and two sums of hashes: no list of a contract is made."""
+    w = Window.partitionBy("chain", "contract").orderBy("row_order")
+    own = nft(spark, folder).select("chain", "contract", F.row_number().over(w).alias("place"), F.md5(F.col("body").cast("binary")).alias("m"))
+    one = own.groupBy("chain", "contract").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("place", "m").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("m", "place")).alias("x"))
+    return one.groupBy("docs", "s", "x").agg(F.count(F.lit(1)).alias("contracts"), F.min(F.concat("chain", "contract")).alias("first")).select("contracts", "first", "docs")
 
 
 SEEDS_SQL = ", seeds AS (SELECT DISTINCT chain AS seed_chain, contract AS seed_contract FROM nft WHERE contract LIKE 'src0-%')"
@@ -443,15 +417,6 @@ def group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("groups"), F.count(F.when(F.col("n") >= 2, 1)).alias("twice"), F.count(F.when(F.col("n") > 2, 1)).alias("more"), F.round(F.lit(100.0) * F.count(F.when(F.col("n") >= 2, 1)) / F.count(F.lit(1)), 4).alias("percent"))
 
 
-NAME_SAMPLES = "(['Azuki #12', 'azuki', 'Azuki - 7', 'Cool  Cat (3)', 'Ape [ 44 ]', 'Punk No. 5', 'Mix: 9 #0xfA', 'x/12', 'plain'])[CAST(p_partkey % 9 AS INT) + 1]"
-
-
-@query("f1_normalize_name", "SELECT p_partkey, (['azuki', 'azuki', 'azuki', 'cool cat', 'ape', 'punk', 'mix', 'x', 'plain'])[CAST(p_partkey % 9 AS INT) + 1] AS name FROM part")
-def normalize_name(spark: SparkSession, folder: str) -> DataFrame:
-    raw = F.expr("element_at(array('Azuki #12', 'azuki', 'Azuki - 7', 'Cool  Cat (3)', 'Ape [ 44 ]', 'Punk No. 5', 'Mix: 9 #0xfA', 'x/12', 'plain'), cast(p_partkey % 9 as int) + 1)")
-    return table(spark, folder, "part").select("p_partkey", T.normalize_name(raw).alias("name"))
-
-
 @query("f2_normalize_url", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ipfs:Qm' || md5(url) || '/1' WHEN 1 THEN rtrim(lower(trim(url)), '/') WHEN 2 THEN NULL ELSE 'ar:' || md5(url) END AS uri FROM pages")
 def normalize_url(spark: SparkSession, folder: str) -> DataFrame:
     m = F.md5(F.col("url").cast("binary"))
@@ -463,14 +428,3 @@ def normalize_url(spark: SparkSession, folder: str) -> DataFrame:
 def jaro_winkler(spark: SparkSession, folder: str) -> DataFrame:
     a, b = (table(spark, folder, "nation").select(F.col("n_nationkey").alias(k), F.col("n_name").alias(f"{k}_name")) for k in ("l", "r"))
     return a.join(b, F.col("r") == F.col("l") + 1).select("l", "r", F.round(jaro_winkler_udf("l_name", "r_name"), 6).alias("score"))
-
-
-@query("f7_token_id", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS token FROM documents")
-def token_id(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", T.token_key(F.concat(F.lit("000"), F.col("doc_id").cast("string")))["text"].alias("token"))
-
-
-@query("f8_addresses", "SELECT c_custkey, c_custkey % 2 = 0 AS evm, c_custkey % 2 = 1 AS base58 FROM customer")
-def addresses(spark: SparkSession, folder: str) -> DataFrame:
-    a = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("0x"), F.substring(F.sha1(F.col("c_custkey").cast("string").cast("binary")), 1, 40))).otherwise(F.translate(F.md5(F.col("c_custkey").cast("string").cast("binary")), "0l", "1m"))
-    return table(spark, folder, "customer").select("c_custkey", T.valid_evm_address(a).alias("evm"), T.valid_base58_address(a).alias("base58"))

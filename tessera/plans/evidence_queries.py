@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -24,14 +24,6 @@ def eligible_metadata(spark: SparkSession, folder: str) -> DataFrame:
 ZERO = "0x" + "0" * 40
 
 
-@query("p5_zero_address", "SELECT c_custkey, c_custkey % 4 NOT IN (0, 1) OR c_custkey % 4 = 1 AS usable FROM customer")
-def zero_address(spark: SparkSession, folder: str) -> DataFrame:
-    chain = F.when(F.col("c_custkey") % 4 == 1, "solana").otherwise("base")
-    address = F.when((F.col("c_custkey") % 4).isin(0, 1), F.lit(ZERO)).otherwise("0xab")
-    own = T.address_key(chain, address)
-    return table(spark, folder, "customer").select("c_custkey", ((own != "") & ((chain == "solana") | (own != ZERO))).alias("usable"))
-
-
 @query("p9_edge_scopes", N + " SELECT a.chain, CASE WHEN b.chain = a.chain THEN 'intra' ELSE 'cross' END AS scope, count(*) AS edges FROM (SELECT DISTINCT chain, contract, token_uri FROM nft) a JOIN (SELECT DISTINCT chain, contract, token_uri FROM nft) b ON a.token_uri = b.token_uri AND (a.chain <> b.chain OR a.contract <> b.contract) GROUP BY 1, 2")
 def edge_scopes(spark: SparkSession, folder: str) -> DataFrame:
     # edges of a URI are counted from its contracts by chain, without forming them
@@ -42,14 +34,6 @@ def edge_scopes(spark: SparkSession, folder: str) -> DataFrame:
     return own.groupBy("chain", "s.scope").agg(F.sum("s.edges").alias("edges")).where("edges > 0")
 
 
-@query("p11_without_platforms", "SELECT count(*) AS kept FROM customer WHERE c_custkey % 5 <> 0")
-def without_platforms(spark: SparkSession, folder: str) -> DataFrame:
-    platforms = spark.createDataFrame(list(T.PLATFORM_CONTRACTS), "chain string, address string")
-    own = table(spark, folder, "customer").select(F.lit("base").alias("chain"), F.when(F.col("c_custkey") % 5 == 0, F.lit("0xf3cd1e9326d1965935b287b1ee75c7183359a88a")).otherwise(F.concat(F.lit("0x"), F.col("c_custkey"))).alias("address"))
-    # a fixed list of eleven contracts
-    return own.join(F.broadcast(platforms), ["chain", "address"], "left_anti").agg(F.count(F.lit(1)).alias("kept"))
-
-
 @query("j1_uri_groups", N + " SELECT token_uri, count(DISTINCT chain || contract) AS contracts, count(DISTINCT chain) AS chains, count(*) AS nfts FROM nft GROUP BY 1 HAVING count(DISTINCT chain || contract) > 1")
 def uri_groups(spark: SparkSession, folder: str) -> DataFrame:
     rows = uri.postings(nft(spark, folder), "token_uri")
@@ -76,10 +60,11 @@ def price_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return behavior.sales_of(moves(spark, folder)).join(F.broadcast(first), "chain").select("event_id", (F.col("usd") / F.col("rate")).alias("native"))
 
 
-@query("w11_sorted_postings", N + " SELECT chain, string_agg(contract, ',' ORDER BY contract) AS contracts FROM (SELECT DISTINCT chain, contract FROM nft) GROUP BY chain")
+@query("w11_sorted_postings", N + " SELECT chain, contract, row_number() OVER (PARTITION BY chain ORDER BY contract) AS place FROM (SELECT DISTINCT chain, contract FROM nft)")
 def sorted_postings(spark: SparkSession, folder: str) -> DataFrame:
-    # a chain's contracts as one list: the report of a small closed set of chains
-    return nft(spark, folder).select("chain", "contract").distinct().groupBy("chain").agg(F.array_join(F.sort_array(F.collect_list("contract")), ",").alias("contracts"))
+    """A chain's contracts in order, a row each: no list grows with the chain, and a sort that does not fit memory spills."""
+    own = nft(spark, folder).select("chain", "contract").distinct()
+    return own.select("chain", "contract", F.row_number().over(Window.partitionBy("chain").orderBy("contract")).cast("long").alias("place"))
 
 
 @query("f3_normalize_text", "SELECT p_partkey, lower(p_name) AS name FROM part")
@@ -117,12 +102,6 @@ def mint_payments(spark: SparkSession, folder: str) -> DataFrame:
 STATUS = "element_at(array('complete', 'empty', 'truncated', 'failed'), cast({} % 4 as int) + 1)"
 
 
-@query("e13_completeness", "SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AND o_custkey % 4 IN (0, 1) AS complete FROM orders")
-def completeness(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "orders").select("o_orderkey", F.lit("base").alias("chain"), F.expr(STATUS.format("o_orderkey")).alias("transfers"), F.expr(STATUS.format("o_custkey")).alias("sales"), F.lit("failed").alias("assets"))
-    return evidence.complete(own, ["transfers", "sales"]).select("o_orderkey", "complete")
-
-
 @query("e14_cost_stages", M + ", x AS (SELECT chain, contract, (['funding', 'sale_payment', 'cashout_hop', 'other'])[CAST(event_id % 4 AS INT) + 1] AS channel, src, coalesce(usd, 1.0) AS gas FROM moves) SELECT x.chain, x.contract, CASE channel WHEN 'funding' THEN 'setup' WHEN 'sale_payment' THEN 'lure' ELSE 'exit' END AS stage, count(*) AS edges, round(sum(gas), 4) AS gas FROM x JOIN roles r ON r.chain = x.chain AND r.contract = x.contract AND r.address = src WHERE role = 'operator' AND channel <> 'other' GROUP BY 1, 2, 3")
 def cost_stages(spark: SparkSession, folder: str) -> DataFrame:
     m, _, role = BQ.parts(spark, folder)
@@ -152,7 +131,7 @@ def projected_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("s13_cached_table", N + " SELECT chain, count(*) AS nfts FROM nft GROUP BY chain")
 def cached_table(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.cached(spark, "totals", {"folder": folder, "version": 1, "app": spark.sparkContext.applicationId}, lambda: nft(spark, folder).groupBy("chain").agg(F.count(F.lit(1)).alias("nfts")))
+    return evidence.cached(spark, "totals", {"version": 1, "app": spark.sparkContext.applicationId}, [f"{folder}/documents.parquet"], lambda: nft(spark, folder).groupBy("chain").agg(F.count(F.lit(1)).alias("nfts")))
 
 
 @query("s10_valid_rows", N + " SELECT count(*) AS rows FROM nft WHERE trim(chain) <> '' AND trim(contract) <> '' AND trim(token_id) <> ''")

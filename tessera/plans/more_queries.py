@@ -76,17 +76,6 @@ def self_exclusion(spark: SparkSession, folder: str) -> DataFrame:
     return own.join(size, "name_norm").groupBy("chain", "contract").agg(F.sum(F.col("n") - 1).alias("others")).where("others > 0")
 
 
-@query("p10_evidence_status", "SELECT o_orderpriority AS family, count(*) AS usable FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
-def evidence_status(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").where(F.col("o_orderstatus").isin("F", "O")).groupBy(F.col("o_orderpriority").alias("family")).agg(F.count(F.lit(1)).alias("usable"))
-
-
-@query("p12_payment_tokens", "SELECT s_suppkey, s_suppkey % 4 = 0 AS native, s_suppkey % 4 = 1 AS stable FROM supplier")
-def payment_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    symbol = F.expr("element_at(array(' weth', 'UsDc ', 'SOL', 'doge'), cast(s_suppkey % 4 as int) + 1)")
-    return table(spark, folder, "supplier").select("s_suppkey", economics.chain_native(F.lit("Ethereum"), symbol).alias("native"), economics.symbol_key(symbol).isin(*economics.STABLECOINS).alias("stable"))
-
-
 @query("j4_overlapping_tokens", N + DQ.SEEDS_SQL + ", s AS (SELECT DISTINCT token_id FROM nft JOIN seeds ON chain = seed_chain AND contract = seed_contract) SELECT chain, contract, count(*) AS shared FROM nft WHERE token_id IN (SELECT token_id FROM s) GROUP BY ALL")
 def overlapping_tokens(spark: SparkSession, folder: str) -> DataFrame:
     own = nft(spark, folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Columns of a snapshot.
 SNAPSHOT = ("chain", "contract_address", "token_id", "name_norm", "token_uri_norm", "image_uri_norm", "metadata_json")
 
 
@@ -81,16 +82,20 @@ def summary_report(scopes: DataFrame) -> DataFrame:
     """The nine columns of the summary, from scope counts with ratios."""
     name = F.when(F.col("scope") == "intra", "intra_chain").otherwise("cross_chain_summary")
     own = scopes.where("scope != 'matrix'").select(F.col("chain").alias("primary_chain"), name.alias("scope"), "dimension", "contracts", F.coalesce("contract_ratio", F.lit(0.0)).alias("contract_ratio"), "nfts", F.coalesce("nft_ratio", F.lit(0.0)).alias("nft_ratio"), "total_contracts", "total_nfts")
+    # fixed values: the names of the columns
     return own.toDF("primary_chain", "scope", "dimension", "duplicate_contract_count", "duplicate_contract_ratio", "duplicate_nft_count", "duplicate_nft_ratio", "total_contracts", "total_nfts")
 
 
 def matrix_report(scopes: DataFrame) -> DataFrame:
     own = scopes.where("scope = 'matrix'").select("chain", "peer", "dimension", "contracts", "contract_ratio", "nfts", "nft_ratio", "total_contracts", "total_nfts")
+    # fixed values: the names of the columns
     return own.toDF("primary_chain", "secondary_chain", "dimension", "duplicate_contract_count", "duplicate_contract_ratio", "duplicate_nft_count", "duplicate_nft_ratio", "total_contracts", "total_nfts")
 
 
-def markdown(df: DataFrame, title: str, most: int = 200) -> str:
-    """A report table as Markdown; reports hold a row for each scope, so this collects little (``most`` rows)."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:
+    """A report table as Markdown. Reports hold a row for each scope; a table of more than ``most`` rows is no report, and an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{title}: more than {most} rows")
     head = f"# {title}\n\n| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)

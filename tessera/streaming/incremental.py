@@ -24,8 +24,3 @@ def append_new(spark: SparkSession, source: str, schema: str, target: str, keys:
         (own if known is None else own.join(known, keys, "left_anti")).write.mode("append").parquet(target)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def sliding_activity(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Moves and value in windows of event time; rows that come later than ``late`` after the newest are dropped by design."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("moves"), F.sum("value").alias("value"))

@@ -40,6 +40,13 @@ def test_components_by_both_methods(spark, limit):
     assert components_of(graphs.strong_components(graph, limit)) == brute_components(edges)
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_components_of_chains_with_cycles_at_their_ends(spark, limit):
+    edges = [(i, i + 1) for i in range(12)] + [(12, 10), (2, 0), (40, 41), (41, 42), (50, 51), (51, 50)]
+    graph = spark.createDataFrame([("base", "c", a, b) for a, b in edges], "chain string, contract string, src long, dst long")
+    assert components_of(graphs.strong_components(graph, limit)) == brute_components(edges)
+
+
 def test_components_of_nothing(spark):
     empty = spark.createDataFrame([], "chain string, contract string, src long, dst long")
     assert graphs.strong_components(empty).count() == 0 and graphs.degrees(empty).count() == 0
@@ -99,9 +106,11 @@ def test_money_counts_once(spark):
 def test_campaigns_and_trace(spark):
     e = spark.createDataFrame([("c1", "x"), ("c2", "x"), ("c2", "y"), ("c3", "y"), ("c9", "z")], "contract string, evidence string")
     assert {r.contract: r.campaign for r in extra.campaigns(e).collect()} == {"c1": "c1", "c2": "c1", "c3": "c1"}
-    m = moves(spark, [(1, "a", "b", 1, 100.0), (2, "b", "c", 2, 90.0), (3, "b", "d", 3, 1.0), (4, "c", "e", 3, 200.0), (5, "c", "f", 4, 80.0)])
-    got = sorted((r.hop, r.dst) for r in extra.trace(m, m.where("event_id = 0").select("event_id")).collect())
-    assert got == [(0, "b"), (1, "c"), (2, "f")]
+    rows = [(0, "a", "b", 100.0, "ETH", 1, 0), (1, "b", "c", 90.0, "ETH", 2, 0), (2, "b", "d", 1.0, "ETH", 3, 0), (3, "c", "e", 200.0, "ETH", 3, 0), (4, "c", "f", 80.0, "ETH", 2, 1), (5, "b", "g", 50.0, "USDC", 5, 0)]
+    rows += [(6, "b", "h", 60.0, "ETH", 1, 0), (7, "b", "b", 60.0, "ETH", 4, 0), (8, "f", "a", 70.0, "ETH", 2, 1), (9, "f", "i", 70.0, "ETH", 2, 2)]
+    paid = spark.createDataFrame(rows, "event_id long, src string, dst string, usd double, currency string, block long, place long")
+    got = sorted((r.hop, r.event_id, r.dst) for r in extra.trace(paid, paid.where("event_id = 0").select("event_id")).collect())
+    assert got == [(0, 0, "b"), (1, 1, "c"), (2, 4, "f"), (3, 9, "i")]
 
 
 def test_legitimate(spark):

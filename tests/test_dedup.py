@@ -63,7 +63,7 @@ def test_overlap_bound_loses_no_pair():
                 assert best_from_overlap(len(a), len(b), shared) >= jaro_winkler(a, b) - 1e-12
 
 
-@pytest.mark.parametrize("threshold", [0.85, 0.9, 0.95])
+@pytest.mark.parametrize("threshold", [0.0, 0.4, 0.65, 0.75, 0.85, 0.9, 0.95])
 def test_similar_names_equal_brute_force(spark, threshold):
     rng = random.Random(4)
     words = {"".join(rng.choice("abcd ") for _ in range(rng.randint(3, 9))).strip() or "a" for _ in range(120)}
@@ -87,23 +87,66 @@ def brute_bm25(a, b):
     return sum(v[t] * w[t] for t in v.keys() & w.keys()) / math.sqrt(sum(z * z for z in v.values()) * sum(z * z for z in w.values()))
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8])
-def test_metadata_candidates_lose_no_match(spark, threshold):
+def random_texts(n=60):
     rng = random.Random(9)
     vocabulary = "red blue green cat dog ape punk gold rare common one two".split()
-    texts = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 9))) for i in range(60)}
-    got = {(r.left, r.right): r.score for r in metadata.matches(spark.createDataFrame(list(texts.items()), "doc long, text string"), threshold).collect()}
+    return {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 9))) for i in range(n)}
+
+
+def brute_score(a, b):
+    return 1.0 if a == b else brute_bm25(a, b)
+
+
+@pytest.mark.parametrize("threshold", [-1.0, 0.0, 0.3, 0.6, 0.8])
+def test_metadata_matches_lose_no_link(spark, threshold):
+    texts = random_texts() | {100: "red cat", 101: "red cat", 102: "cat red", 103: "red cat"}
+    docs = spark.createDataFrame([*texts.items(), (200, None)], "doc long, text string")
+    pairs, member = metadata.matches(docs, threshold)
+    got = {(r.left, r.right): r.score for r in pairs.collect()}
+    rep = {r.doc: r.rep for r in member.collect()}
     first = {t: min(i for i in texts if texts[i] == t) for t in texts.values()}
-    want = {}
-    for a, b in itertools.combinations(sorted(first.values()), 2):
-        s = brute_bm25(texts[a], texts[b])
-        if s >= threshold - 1e-12:
-            want[a, b] = s
-    for i, t in texts.items():
-        if first[t] != i:
-            want[first[t], i] = 1.0
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert rep == {i: first[t] for i, t in texts.items()}
+    want = {(a, b): brute_bm25(texts[a], texts[b]) for a, b in itertools.combinations(sorted(first.values()), 2) if brute_bm25(texts[a], texts[b]) >= threshold - 1e-12}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_probes_find_every_match_of_copies(spark):
+    texts = random_texts() | {100: "red cat gold", 101: "red cat gold", 102: "cat red gold ape", 103: "cat red gold ape"}
+    docs = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    probes = spark.createDataFrame([(101,), (103,), (7,)], "doc long")
+    pairs, member = metadata.matches(docs, 0.35, probes)
+    got = {(r.probe, r.other) for r in metadata.expanded(pairs, member, probes).collect()}
+    assert got == {(p, o) for p in (101, 103, 7) for o in texts if o != p and brute_score(texts[p], texts[o]) >= 0.35}
+    assert {(101, 102), (103, 100), (101, 100)} <= got
+
+
+def test_member_pairs_and_hits_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = list(random_texts(14).values())
+    rows = [(rng.choice(["base", "ethereum", "solana"]), f"c{rng.randint(0, 5)}", str(rng.randint(1, 3)), "n", "t", "i", rng.choice(texts), i) for i in range(60)]
+    own = spark.createDataFrame(rows, SCHEMA)
+    anchor = {}
+    for chain, contract, token, _, _, _, body, row in rows:
+        member = f"{chain}/{contract}" + (f"/{token}" if chain == "solana" else "")
+        anchor.setdefault(member, {})[int(token)] = max(anchor.get(member, {}).get(int(token), (-1, "")), (row, body))
+    chain_of = {m: m.split("/")[0] for m in anchor}
+    contract_of = {m: "/".join(m.split("/")[:2]) for m in anchor}
+    want = set()
+    for a, b in itertools.combinations(sorted(anchor), 2):
+        if contract_of[a] == contract_of[b]:
+            continue
+        shared = anchor[a].keys() & anchor[b].keys() if "solana" not in (chain_of[a], chain_of[b]) else set()
+        x, y = (anchor[m][max(shared) if shared else max(anchor[m])][1] for m in (a, b))
+        if brute_score(x, y) >= 0.6:
+            want.add((a, b))
+    anchors = metadata.with_documents(metadata.anchors(own))
+    links = metadata.document_links(anchors, 0.6)
+    assert {(r.left, r.right) for r in metadata.member_pairs(anchors, links).collect()} == want
+    some = sorted(anchor)[::3]
+    seeded = metadata.member_pairs(anchors, links, spark.createDataFrame([(m,) for m in some], "member string"))
+    assert {(r.left, r.right) for r in seeded.collect()} == {(a, b) for a, b in want if a in some} | {(b, a) for a, b in want if b in some}
+    hits = {(r.member, r.peer) for r in metadata.metadata_hits(own, 0.6).collect()}
+    assert hits == {(a, chain_of[b]) for a, b in want} | {(b, chain_of[a]) for a, b in want}
 
 
 def test_canonical_json():

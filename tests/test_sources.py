@@ -92,3 +92,44 @@ def test_append_new_is_exactly_once(spark, tmp_path):
         spark.createDataFrame(rows, "k long, v string").write.mode("append").parquet(source)
         append_new(spark, source, "k long, v string", target, ["k"], mark).awaitTermination(60)
     assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_cached_tables_follow_their_inputs(spark, tmp_path):
+    from tessera.operators import evidence
+
+    source = str(tmp_path / "in.parquet")
+
+    def make():
+        return spark.read.parquet(source)
+
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(source)
+        for _ in range(2):
+            assert evidence.cached(spark, "t", {"v": str(tmp_path)}, [source], make).count() == n
+
+
+def test_hashes():
+    from tessera.functions import hashing
+
+    h = hashing.OFFSET
+    for b in "é".encode():
+        h = (h ^ b) * hashing.PRIME % 2**64
+    assert hashing.token_hash("é") == hashing.mixed(h) and hashing.token_hash("") == hashing.mixed(hashing.OFFSET)
+
+
+def test_scratch_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera import runtime
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    for master, fine in (("local[4]", True), ("local", True), ("local-cluster[2,1,512]", False), ("spark://x:7077", False), ("yarn", False)):
+        session = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master, getConf=lambda: Conf()))
+        if fine:
+            assert runtime.scratch_dir(session)
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                runtime.scratch_dir(session)
