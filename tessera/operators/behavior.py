@@ -129,7 +129,9 @@ def star_behaviors(moves: DataFrame, role: DataFrame, fan_out: int = 3) -> DataF
 
 
 def layered(moves: DataFrame, role: DataFrame) -> DataFrame:
-    return layered_paths(moves, role.where("role = 'operator'"))
+    """chain, contract, token, start, middle, end, path_length, low_value_hops: layers of three addresses from every operator."""
+    found = layered_paths(moves, role.where("role = 'operator'"))
+    return found.select(*KEY, "token", "start", F.col("path")[1].alias("middle"), F.col("path")[2].alias("end"), "path_length", "low_value_hops")
 
 
 def inventory(moves: DataFrame, role: DataFrame, least: int = 3) -> DataFrame:

@@ -141,15 +141,24 @@ def condensed(graph: DataFrame, components: DataFrame) -> DataFrame:
     return graph.join(a, [*KEY, "src"]).join(b, [*KEY, "dst"]).where("component != target").select(*KEY, "component", "target").distinct()
 
 
-def layered_paths(moves: DataFrame, starts: DataFrame) -> DataFrame:
-    """chain, contract, token, start, middle, end: the first simple path of three addresses with rising time, for each token and start.
+def layered_paths(moves: DataFrame, starts: DataFrame, addresses: int = 3) -> DataFrame:
+    """chain, contract, token, start, path, path_length, low_value_hops: for each token and start the first simple path of rising
+    time through so many addresses.
 
-    First: by time and id of the first move, then of the second. ``starts``: chain, contract, address.
+    First: by time and id of the first move, then of the second, and so on. A hop is of low value if it is a transfer, or a sale
+    of at most one dollar. ``starts``: chain, contract, address. Paths with equal addresses and moves are one.
     """
-    first = moves.join(starts.select(*KEY, F.col("address").alias("src")), [*KEY, "src"], "left_semi").select(*KEY, "token", F.col("src").alias("start"), F.col("dst").alias("middle"), F.col("ts").alias("t1"), F.col("event_id").alias("e1"))
-    second = moves.select(*KEY, "token", F.col("src").alias("middle"), F.col("dst").alias("end"), F.col("ts").alias("t2"), F.col("event_id").alias("e2"))
-    found = first.join(second, [*KEY, "token", "middle"]).where("t2 > t1 and end != start")
-    return found.groupBy(*KEY, "token", "start").agg(F.min(F.struct("t1", "e1", "t2", "e2", "middle", "end")).alias("p")).select(*KEY, "token", "start", "p.middle", "p.end")
+    low = (~F.col("is_sale") | F.coalesce(F.col("usd").between(0, 1), F.lit(False))).cast("int")
+    hop = moves.select(*KEY, "token", "src", "dst", F.struct("ts", "event_id").alias("at"), low.alias("low"))
+    found = hop.join(starts.select(*KEY, F.col("address").alias("src")), [*KEY, "src"], "left_semi").where("src != dst")
+    found = found.select(*KEY, "token", F.array("src", "dst").alias("path"), F.array("at").alias("order"), "low")
+    for _ in range(addresses - 2):
+        step = hop.select(*KEY, "token", F.col("src").alias("here"), F.col("dst").alias("next"), F.col("at").alias("then"), F.col("low").alias("more"))
+        longer = found.withColumn("here", F.element_at("path", -1)).join(step, [*KEY, "token", "here"])
+        longer = longer.where((F.col("then.ts") > F.element_at("order", -1)["ts"]) & ~F.array_contains("path", F.col("next")))
+        found = longer.select(*KEY, "token", F.array_append("path", F.col("next")).alias("path"), F.array_append("order", F.col("then")).alias("order"), (F.col("low") + F.col("more")).alias("low"))
+    one = found.groupBy(*KEY, "token", F.col("path")[0].alias("start")).agg(F.min(F.struct("order", "path", "low")).alias("p"))
+    return one.select(*KEY, "token", "start", "p.path", F.size("p.path").cast("long").alias("path_length"), F.col("p.low").cast("long").alias("low_value_hops"))
 
 
 def reciprocal_pairs(graph: DataFrame) -> DataFrame:

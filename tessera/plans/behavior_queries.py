@@ -54,14 +54,28 @@ def degrees(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.degrees(graphs.edges(moves(spark, folder)))
 
 
-@query("g5_layered_paths", W + """, p AS (SELECT a.chain, a.contract, a.token, a.src AS start, a.dst AS middle, b.dst AS "end", row_number() OVER (PARTITION BY a.chain, a.contract, a.token, a.src ORDER BY a.ts, a.event_id, b.ts, b.event_id) AS rn
+LOW_SQL = "CASE WHEN NOT {0}.is_sale OR coalesce({0}.usd BETWEEN 0 AND 1, false) THEN 1 ELSE 0 END"
+
+
+@query("g5_layered_paths", W + f""", p AS (SELECT a.chain, a.contract, a.token, a.src AS start, a.dst AS middle, b.dst AS "end", {LOW_SQL.format('a')} + {LOW_SQL.format('b')} AS low_value_hops, row_number() OVER (PARTITION BY a.chain, a.contract, a.token, a.src ORDER BY a.ts, a.event_id, b.ts, b.event_id) AS rn
   FROM moves a JOIN moves b ON a.chain = b.chain AND a.contract = b.contract AND a.token = b.token AND a.dst = b.src AND b.ts > a.ts AND b.dst <> a.src
-  JOIN roles r ON r.chain = a.chain AND r.contract = a.contract AND r.address = a.src AND r.role = 'operator') SELECT chain, contract, token, start, middle, "end" FROM p WHERE rn = 1""")
+  JOIN roles r ON r.chain = a.chain AND r.contract = a.contract AND r.address = a.src AND r.role = 'operator') SELECT chain, contract, token, start, middle, "end", 3 AS path_length, low_value_hops FROM p WHERE rn = 1""")
 def layered_paths(spark: SparkSession, folder: str) -> DataFrame:
     m, _, role = parts(spark, folder)
     return behavior.layered(m, role)
 
 
+@query("b4_long_layers", W + f""", p AS (SELECT a.chain, a.contract, a.token, a.src AS start, a.dst || '>' || b.dst || '>' || c.dst AS rest, {LOW_SQL.format('a')} + {LOW_SQL.format('b')} + {LOW_SQL.format('c')} AS low_value_hops, row_number() OVER (PARTITION BY a.chain, a.contract, a.token, a.src ORDER BY a.ts, a.event_id, b.ts, b.event_id, c.ts, c.event_id) AS rn
+  FROM moves a JOIN moves b ON a.chain = b.chain AND a.contract = b.contract AND a.token = b.token AND a.dst = b.src AND b.ts > a.ts AND b.dst <> a.src
+  JOIN moves c ON c.chain = b.chain AND c.contract = b.contract AND c.token = b.token AND b.dst = c.src AND c.ts > b.ts AND c.dst <> a.src AND c.dst <> a.dst
+  JOIN roles r ON r.chain = a.chain AND r.contract = a.contract AND r.address = a.src AND r.role = 'operator') SELECT chain, contract, token, start, rest, low_value_hops FROM p WHERE rn = 1""")
+def long_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """Layers through four addresses."""
+    m, _, role = parts(spark, folder)
+    found = graphs.layered_paths(m, role.where("role = 'operator'"), 4)
+    return found.select("chain", "contract", "token", "start", F.concat_ws(">", F.transform(F.slice("path", 2, 3), lambda x: x.cast("string"))).alias("rest"), "low_value_hops")
+
+
 @query("g8_reciprocal_pairs", W + " SELECT a.chain, a.contract, count(*) AS pairs FROM (SELECT DISTINCT chain, contract, src, dst FROM moves) a JOIN (SELECT DISTINCT chain, contract, src, dst FROM moves) b ON a.chain = b.chain AND a.contract = b.contract AND a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst GROUP BY ALL")
 def reciprocal_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.reciprocal_pairs(graphs.edges(moves(spark, folder)))

@@ -51,6 +51,36 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return seeds
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, chain: str, blocks: tuple[int, int] | None = None, column: str = "block_number", parts: int = 32, properties: dict[str, str] | None = None) -> DataFrame:
+    """A table of a database, read by ``parts`` tasks; of an EVM chain also an inclusive range of blocks, which the database filters.
+
+    A range with a negative or descending bound is an error, and so is one for Solana, which has no such blocks.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize="10000", **(properties or {}))
+    if blocks is None:
+        return reader.load()
+    first, last = blocks
+    if chain.strip().lower() == "solana":
+        raise ValueError("a range of blocks is only for EVM chains")
+    if first < 0 or last < first:
+        raise ValueError(f"no range of blocks: {first} to {last}")
+    ranged = reader.options(partitionColumn=column, lowerBound=str(first), upperBound=str(last + 1), numPartitions=str(max(1, min(parts, last - first + 1))))
+    return ranged.load().where(F.col(column).between(first, last))
+
+
+def export_jdbc(spark: SparkSession, folder: str, **source) -> None:
+    """As ``read_jdbc``, written to a table partitioned by chain; the chains it holds are replaced."""
+    import_snapshot(read_jdbc(spark, **source), folder)
+
+
+def write_artifacts(df: DataFrame, keys: list[str], folder: str, compression: str = "gzip") -> None:
+    """JSON by seed, candidate or scope: one folder for each value of the keys, compressed (zstd where Hadoop's native library has it).
+
+    Rows of one key may be many: they are spread over files of at most a million rows.
+    """
+    df.write.partitionBy(*keys).mode("overwrite").option("compression", compression).option("maxRecordsPerFile", 1_000_000).json(folder)
+
+
 def publish(spark: SparkSession, reports: dict[str, DataFrame], folder: str) -> None:
     """Writes all reports (a name ends in .csv or .json) to a staging folder, then puts it in the place of ``folder``.
 

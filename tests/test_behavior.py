@@ -90,6 +90,34 @@ def test_layered_path_takes_the_first_of_rising_time(spark):
     assert (r.start, r.middle, r.end) == ("o", "a", "d")
 
 
+@pytest.mark.parametrize("length", [3, 4, 5])
+def test_layered_paths_equal_depth_first_search(spark, length):
+    rng = random.Random(length)
+    rows = sorted({(rng.randint(1, 2), rng.choice("abcdef"), rng.choice("abcdef"), rng.randint(1, 9), rng.choice([None, 0.5, 5.0])) for _ in range(60)}, key=repr)
+    m = moves(spark, [r for r in rows if r[1] != r[2]])
+    events = [r.asDict() for r in m.collect()]
+    starts = spark.createDataFrame([("base", "c", a) for a in "abc"], "chain string, contract string, address string")
+
+    def search(token, path, selected):
+        if len(path) == length:
+            return path, selected
+        for e in sorted((e for e in events if e["token"] == token and e["src"] == path[-1]), key=lambda e: (e["ts"], e["event_id"])):
+            if e["dst"] in path or (selected and e["ts"] <= selected[-1]["ts"]):
+                continue
+            found = search(token, [*path, e["dst"]], [*selected, e])
+            if found:
+                return found
+        return None
+
+    want = {}
+    for token in {e["token"] for e in events}:
+        for a in "abc":
+            if found := search(token, [a], []):
+                want[token, a] = (found[0], sum(not e["is_sale"] or (e["usd"] is not None and 0 <= e["usd"] <= 1) for e in found[1]))
+    got = {(r.token, r.start): (r.path, r.low_value_hops) for r in graphs.layered_paths(m, starts, length).collect()}
+    assert got == want
+
+
 def test_gini_and_top_share(spark):
     rows = spark.createDataFrame([("x", 1), ("x", 1), ("y", 0), ("z", 1), ("z", 3)], "k string, v long")
     assert {r.k: r.gini for r in behavior.gini(rows, ["k"], "v").collect()} == {"x": 0.0, "y": None, "z": 0.25}

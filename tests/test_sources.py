@@ -133,3 +133,34 @@ def test_scratch_is_never_local_on_a_cluster():
         else:
             with pytest.raises(ValueError, match="spark.checkpoint.dir"):
                 runtime.scratch_dir(session)
+
+
+def test_jdbc_reads_ranges_of_blocks():
+    from types import SimpleNamespace
+
+    seen = {}
+
+    class Reader:
+        def format(self, kind):
+            seen["kind"] = kind
+            return self
+
+        def options(self, **o):
+            seen.update(o)
+            return self
+
+        def load(self):
+            return SimpleNamespace(where=lambda c: "filtered")
+
+    session = SimpleNamespace(read=Reader())
+    for chain, blocks in (("solana", (1, 2)), ("base", (-1, 2)), ("base", (5, 4))):
+        with pytest.raises(ValueError):
+            files.read_jdbc(session, "jdbc:x", "t", chain, blocks)
+    assert files.read_jdbc(session, "jdbc:x", "t", "solana") is not None and "partitionColumn" not in seen
+
+
+def test_artifacts_are_written_by_key(spark, tmp_path):
+    df = spark.createDataFrame([("s1", "a", 1), ("s1", "b", 2), ("s2", "a", 3)], "seed string, candidate string, n int")
+    files.write_artifacts(df, ["seed", "candidate"], str(tmp_path / "out"))
+    assert sorted((r.seed, r.candidate, r.n) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("s1", "a", 1), ("s1", "b", 2), ("s2", "a", 3)]
+    assert [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".json.gz")]
