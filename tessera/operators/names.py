@@ -31,9 +31,11 @@ def exact_hits(own: DataFrame) -> DataFrame:
     return own.join(seen, "name").where((F.col("peer") != F.col("chain")) | (F.col("n") >= 2)).select("chain", "contract", "name", "nfts", "peer")
 
 
-def similar_names(names: DataFrame, threshold: float) -> DataFrame:
+def similar_names(names: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
     """left, right (left < right), score: pairs of distinct names of at least this similarity.
 
+    With ``probes`` (name), the plan starts from them: left is a probe and right any other name.
+
     A threshold of 0 or less asks for all pairs, by definition. Above, names must share letters, as follows; below about 0.8 the
     filters pass most pairs that share one.
 
@@ -44,7 +46,8 @@ def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     jaro = (threshold - most) / (1 - most)
     if threshold <= 0:
         every = names.select("name").distinct()
-        both = every.select(F.col("name").alias("left")).crossJoin(every.select(F.col("name").alias("right"))).where("left < right")
+        first = every if probes is None else probes.select("name").distinct()
+        both = first.select(F.col("name").alias("left")).crossJoin(every.select(F.col("name").alias("right"))).where("left < right" if probes is None else "left != right")
         return both.withColumn("score", jaro_winkler_udf("left", "right"))
     own = names.select("name").distinct().withColumn("tokens", letter_tokens(F.col("name"))).withColumn("n", F.length("name"))
     rows = own.select("name", F.explode("tokens").alias("token"))
@@ -54,7 +57,12 @@ def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     prefix = own.join(ranked, "name").select("name", "n", "tokens", F.explode(F.slice("ranked.token", 1, keep)).alias("token"))
     left, right = (prefix.select(*(F.col(c).alias(f"{side}_{c}") for c in ("name", "n", "tokens")), "token") for side in ("l", "r"))
     need = F.ceil((3 * jaro - 1) * F.col("l_n") * F.col("r_n") / (F.col("l_n") + F.col("r_n")) - F.lit(1e-9))
-    near = left.join(right, "token").where((F.col("l_name") < F.col("r_name")) & (F.size(F.array_intersect("l_tokens", "r_tokens")) >= need)).select("l_name", "r_name").distinct()
+    if probes is not None:
+        left = left.join(probes.select(F.col("name").alias("l_name")).distinct(), "l_name", "left_semi")
+        order = F.col("l_name") != F.col("r_name")
+    else:
+        order = F.col("l_name") < F.col("r_name")
+    near = left.join(right, "token").where(order & (F.size(F.array_intersect("l_tokens", "r_tokens")) >= need)).select("l_name", "r_name").distinct()
     return near.select(F.col("l_name").alias("left"), F.col("r_name").alias("right"), jaro_winkler_udf("l_name", "r_name").alias("score")).where(F.col("score") >= threshold - 1e-12)
 
 

@@ -109,15 +109,6 @@ def best_rows(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot.best_rows(nft(spark, folder)).select("chain", "contract", "token_id", "image_uri")
 
 
-@query("w2_recall_cap", W + ", c AS (SELECT a.chain, a.contract, b.contract AS candidate, count(*) AS shared FROM nft a JOIN nft b ON a.name_norm = b.name_norm AND a.chain = b.chain AND a.contract <> b.contract GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY chain, contract ORDER BY shared DESC, candidate) AS rn FROM c) SELECT chain, contract, candidate, shared FROM r WHERE rn <= 3")
-def recall_cap(spark: SparkSession, folder: str) -> DataFrame:
-    own = nft(spark, folder).groupBy("chain", "name_norm", "contract").agg(F.count(F.lit(1)).alias("n"))
-    other = own.select("chain", "name_norm", F.col("contract").alias("candidate"), F.col("n").alias("m"))
-    pairs = own.join(other, ["chain", "name_norm"]).where("contract != candidate").groupBy("chain", "contract", "candidate").agg(F.sum(F.col("n") * F.col("m")).alias("shared"))
-    w = Window.partitionBy("chain", "contract").orderBy(F.col("shared").desc(), "candidate")
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn <= 3").drop("rn")
-
-
 @query("w4_first_wins", W + " SELECT chain, contract, arg_min(token_uri, row_order) AS token_uri, arg_min(name_norm, row_order) FILTER (name_norm <> '') AS name_norm FROM nft GROUP BY chain, contract")
 def first_wins(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot.first_wins(nft(spark, folder), ["chain", "contract"], ["token_uri", "name_norm"], "row_order")
@@ -339,6 +330,23 @@ def seed_names(spark: SparkSession, folder: str) -> DataFrame:
     return own.join(mine, "name").where("chain != seed_chain OR contract != seed_contract").select("seed_chain", "seed_contract", "chain", "contract").distinct()
 
 
+@query("w2_recall_cap", W + MEMBERS_SQL + SEED_URI_SQL + """, re AS (SELECT seed_chain, seed_contract, chain, contract, CASE kind WHEN 'token_uri' THEN 1 ELSE 2 END AS reason FROM su
+  UNION ALL SELECT DISTINCT seed_chain, seed_contract, b.chain, b.contract, 3 FROM seeds JOIN members a ON a.chain = seed_chain AND a.contract = seed_contract JOIN members b ON a.name = b.name WHERE b.chain <> seed_chain OR b.contract <> seed_contract
+  UNION ALL SELECT DISTINCT seed_chain, seed_contract, n.chain, n.contract, 4 FROM seeds JOIN nft o ON o.chain = seed_chain AND o.contract = seed_contract JOIN nft n ON n.token_id = o.token_id WHERE n.chain <> seed_chain OR n.contract <> seed_contract),
+  be AS (SELECT seed_chain, seed_contract, chain, contract, min(reason) AS reason FROM re GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY seed_chain, seed_contract ORDER BY reason, chain, contract) AS rn FROM be) SELECT * EXCLUDE (rn) FROM rk WHERE rn <= 5""")
+def recall_cap(spark: SparkSession, folder: str) -> DataFrame:
+    """Each seed's first five candidates, ranked URI, image, name, token id: the cap is the feature, and the seeds the stated query set."""
+    key = ["seed_chain", "seed_contract", "chain", "contract"]
+    own, mine = nft(spark, folder), seeds(spark, folder)
+    by_uri = seed_uri(spark, folder).select(*key, F.when(F.col("kind") == "token_uri", 1).otherwise(2).alias("reason"))
+    by_name = seed_names(spark, folder).select(*key, F.lit(3).alias("reason"))
+    token = own.join(mine, ["chain", "contract"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract").alias("seed_contract"), "token_id").distinct()
+    by_token = own.select("chain", "contract", "token_id").distinct().join(token, "token_id").where("chain != seed_chain or contract != seed_contract").select(*key, F.lit(4).alias("reason"))
+    best = by_uri.unionByName(by_name).unionByName(by_token).groupBy(*key).agg(F.min("reason").alias("reason"))
+    w = Window.partitionBy("seed_chain", "seed_contract").orderBy("reason", "chain", "contract")
+    return best.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+
+
 @query("d17_candidate_registry", W + MEMBERS_SQL + SEED_URI_SQL + PAIRED_SQL.replace("{threshold}", "0.6") + """, e AS (
   SELECT seed_chain, seed_contract, chain, contract, kind AS dim, false AS whole FROM su
   UNION SELECT DISTINCT seed_chain, seed_contract, b.chain, b.contract, 'name', true FROM seeds JOIN members a ON a.chain = seed_chain AND a.contract = seed_contract JOIN members b ON a.name = b.name WHERE b.chain <> seed_chain OR b.contract <> seed_contract

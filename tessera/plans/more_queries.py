@@ -87,9 +87,8 @@ def overlapping_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def seed_fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
     own = nft(spark, folder).where(T.usable_name(F.col("name_norm")))
     seed = own.join(DQ.seeds(spark, folder), ["chain", "contract"], "left_semi").select(F.col("name_norm").alias("seed")).distinct()
-    pairs = names.similar_names(own.select(F.col("name_norm").alias("name")), 0.93)
-    both = pairs.select(F.col("left").alias("seed"), F.col("right").alias("name")).unionByName(pairs.select(F.col("right").alias("seed"), F.col("left").alias("name")))
-    return both.join(seed, "seed", "left_semi")
+    pairs = names.similar_names(own.select(F.col("name_norm").alias("name")), 0.93, seed.withColumnRenamed("seed", "name"))
+    return pairs.select(F.col("left").alias("seed"), F.col("right").alias("name"))
 
 
 @query("j10_aligned_documents", N + """, a AS (SELECT chain, chain || '/' || contract AS c, token_id, arg_max(md5(body), row_order) AS doc FROM nft GROUP BY ALL),
@@ -142,11 +141,13 @@ def mergeable_sets(spark: SparkSession, folder: str) -> DataFrame:
     return part.groupBy("chain").agg(F.countDistinct("dst").alias("addresses"))
 
 
-@query("w3_overlap_rank", N + ", c AS (SELECT a.chain, a.contract, b.contract AS other, count(*) AS n FROM (SELECT DISTINCT chain, contract, token_id FROM nft) a JOIN (SELECT DISTINCT chain, contract, token_id FROM nft) b USING (chain, token_id) WHERE a.contract <> b.contract GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY chain, contract ORDER BY n DESC, other) AS rank FROM c) SELECT chain, contract, other, n, rank FROM r")
+@query("w3_overlap_rank", N + DQ.SEEDS_SQL + ", c AS (SELECT a.seed_chain, a.seed_contract, b.chain, b.contract, count(*) AS n FROM (SELECT DISTINCT seed_chain, seed_contract, token_id FROM seeds JOIN nft ON chain = seed_chain AND contract = seed_contract) a JOIN (SELECT DISTINCT chain, contract, token_id FROM nft) b USING (token_id) WHERE b.chain <> seed_chain OR b.contract <> seed_contract GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY seed_chain, seed_contract ORDER BY n DESC, chain, contract) AS rank FROM c")
 def overlap_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """Contracts by how many token ids they share with each seed. The seeds are the stated query set."""
     own = nft(spark, folder).select("chain", "contract", "token_id").distinct()
-    c = own.join(own.withColumnRenamed("contract", "other"), ["chain", "token_id"]).where("contract != other").groupBy("chain", "contract", "other").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("chain", "contract").orderBy(F.col("n").desc(), "other")).cast("long"))
+    seed = own.join(DQ.seeds(spark, folder), ["chain", "contract"], "left_semi").select(F.col("chain").alias("seed_chain"), F.col("contract").alias("seed_contract"), "token_id")
+    c = own.join(seed, "token_id").where("chain != seed_chain or contract != seed_contract").groupBy("seed_chain", "seed_contract", "chain", "contract").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("rank", F.row_number().over(Window.partitionBy("seed_chain", "seed_contract").orderBy(F.col("n").desc(), "chain", "contract")).cast("long"))
 
 
 @query("w7_rare_terms", "WITH t AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), r AS (SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY df, term) AS rn FROM t JOIN f USING (term)) SELECT doc, term FROM r WHERE rn <= 8")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +20,27 @@ def read_snapshot(spark: SparkSession, files: list[str], columns: tuple[str, ...
 
     Only ``columns`` are read. A missing column is an error that names file and column; so is a chain list that leaves no row.
     """
-    parts = []
-    for ordinal, path in enumerate(files):
+    def look(path: str) -> tuple[dict[str, str], list[str]]:
+        """Columns with their types, and files behind a path; only footers are read."""
         df = spark.read.parquet(path)
-        missing = [c for c in columns if c not in df.columns]
-        if missing:
+        return dict(df.dtypes), df.inputFiles()
+
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(look, files))
+    for path, (held, _) in zip(files, found, strict=True):
+        if missing := [c for c in columns if c not in held]:
             raise SchemaError(f"{path}: no column {', '.join(missing)}")
-        parts.append(df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns), F.lit(ordinal).alias("file_ordinal"), F.col("_metadata.row_index").alias("row_index")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # one scan of all files of equal types (mostly one in all); their order is a small table, a row a file
+    kinds: dict[tuple, list[str]] = {}
+    for path, (held, _) in zip(files, found, strict=True):
+        kinds.setdefault(tuple(held[c] for c in columns), []).append(path)
+    same = F.regexp_replace(F.col("file_path"), "^file:/+", "file:///")
+    order = spark.createDataFrame([(f, k) for k, (_, inside) in enumerate(found) for f in inside], "file_path string, file_ordinal int").withColumn("file_path", same)
+    out = None
+    for paths in kinds.values():
+        scan = spark.read.parquet(*paths).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
+        one = scan.withColumn("file_path", same).join(F.broadcast(order), "file_path").select(*columns, "file_ordinal", "row_index")
+        out = one if out is None else out.unionByName(one)
     if chains is not None:
         out = out.where(F.lower(F.trim("chain")).isin(*[c.strip().lower() for c in chains]))
         if out.limit(1).count() == 0:
