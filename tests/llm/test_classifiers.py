@@ -134,6 +134,38 @@ def test_toxicity_finds_planted_words(spark, larger):
     assert sum(r.toxic for r in real if r["toxic"] is False) == 0
 
 
+def test_quality_training_equals_descent_by_hand(monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 97)
+    monkeypatch.setattr(quality, "DIM", 3)
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    rows = [("good solid text here", 1), ("bad bad spam", 0), ("", 1), ("more good text", 1), ("spam spam offer", 0), (None, 0)]
+    model = quality.fit(rows, seed=3)
+    data = [(*quality.document_features(t), y) for t, y in rows if t]
+    rng = np.random.default_rng(3)
+    v = rng.uniform(-1 / 3, 1 / 3, (97, 3)).astype(np.float32).astype(float).tolist()
+    w, b = [[0.0, 0.0] for _ in range(3)], [0.0, 0.0]
+    total, step = 3 * len(data), 0
+    for _ in range(3):
+        for i in rng.permutation(len(data)):
+            ids, share, y = data[i]
+            rate, step = quality.RATE * (1 - step / total), step + 1
+            mean = [sum(float(s) * v[f][k] for f, s in zip(ids, share)) for k in range(3)]
+            z = [sum(mean[k] * w[k][c] for k in range(3)) + b[c] for c in (0, 1)]
+            e = [math.exp(x - max(z)) for x in z]
+            error = [x / sum(e) - (c == y) for c, x in enumerate(e)]  # of the softmax's cross-entropy by its logits
+            back = [sum(w[k][c] * error[c] for c in (0, 1)) for k in range(3)]
+            for k in range(3):
+                for c in (0, 1):
+                    w[k][c] -= rate * mean[k] * error[c]
+            for c in (0, 1):
+                b[c] -= 0.1 * rate * error[c]
+            for f, s in zip(ids, share):
+                for k in range(3):
+                    v[f][k] -= rate * 20 * float(s) * back[k]
+    want = [[sum(v[f][k] * w[k][c] for k in range(3)) for c in (0, 1)] for f in range(97)]
+    assert np.allclose(model.table, want, atol=1e-4) and np.allclose(model.bias, b, atol=1e-4)
+
+
 def test_toxicity_likelihood_and_gradient_equal_brute_force():
     rng = np.random.default_rng(3)
     row, col, val, grade = np.repeat(np.arange(9), 2), rng.integers(0, 4, 18), rng.random(18), rng.integers(0, 4, 9)
