@@ -30,6 +30,11 @@ def graphs_of_transfers(moves: DataFrame) -> DataFrame:
     return strong_components(edges(transfers_of(moves)))
 
 
+def graphs_of_sales(moves: DataFrame) -> DataFrame:
+    """chain, contract, address, component: strongly connected components of the sales."""
+    return strong_components(edges(sales_of(moves)))
+
+
 def victims(moves: DataFrame, held: DataFrame) -> DataFrame:
     """chain, contract, address, token: paid acquirers that still hold the same token."""
     paid = sales_of(moves).where("usd > 0").select(*KEY, "token", F.col("dst").alias("owner")).distinct()
@@ -43,6 +48,48 @@ def roles(moves: DataFrame, held: DataFrame) -> DataFrame:
     return seen.join(v, [*KEY, "address"], "left").select(*KEY, "address", F.when(F.col("v"), "victim").otherwise("operator").alias("role"))
 
 
+def five_roles(moves: DataFrame, held: DataFrame, controllers: DataFrame, flows: DataFrame, components: DataFrame) -> DataFrame:
+    """chain, contract, address, role: suspected_operator, corrupted_victim, likely_victim, suspected_colluder or neutral.
+
+    Operators are controllers and both ends of withdrawals and cash-outs (``flows``: chain, contract, src, dst). A paid buyer that
+    passed tokens on is a corrupted victim, one that still holds one a likely victim. Others are neutral, but for those in a cycle
+    of sales (``components``: of the sale graph) with an operator, who are colluders.
+    """
+    key = [*KEY, "address"]
+    ends = F.explode(F.array("src", "dst")).alias("address")
+    everyone = moves.select(*KEY, ends).unionByName(controllers.select(*key)).unionByName(held.select(*KEY, F.col("owner").alias("address"))).distinct()
+
+    def mark(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*key).distinct().withColumn(name, F.lit(True))
+
+    operator = controllers.select(*key).unionByName(flows.select(*KEY, ends)).distinct()
+    paid = sales_of(moves).where("usd > 0").select(*KEY, F.col("dst").alias("address"))
+    own = everyone.join(mark(operator, "operator"), key, "left").join(mark(paid, "paid"), key, "left")
+    own = own.join(mark(moves.select(*KEY, F.col("src").alias("address")), "passed"), key, "left").join(mark(held.withColumnRenamed("owner", "address"), "holds"), key, "left")
+    ring = components.join(operator, key, "left").groupBy(*KEY, "component").agg(F.count(F.lit(1)).alias("n"))
+    led = components.join(operator, key, "left_semi").select(*KEY, "component").distinct()
+    rings = components.join(ring.where("n >= 2").join(led, [*KEY, "component"], "left_semi"), [*KEY, "component"], "left_semi")
+    own = own.join(mark(rings, "ring"), key, "left")
+    role = F.when(F.col("operator"), "suspected_operator").when(F.col("paid") & F.col("passed"), "corrupted_victim").when(F.col("paid") & F.col("holds"), "likely_victim").when(F.col("ring"), "suspected_colluder").otherwise("neutral")
+    return own.select(*key, role.alias("role"))
+
+
+def early_features(moves: DataFrame, victims: DataFrame, windows: tuple[int, ...] = (60, 3600, 86400)) -> DataFrame:
+    """chain, contract, window, moves, mints, sales, senders, usd, sale_observed, victim_observed, future_positive.
+
+    What is seen of a contract in the first seconds after its first move, and whether its first sale or victim is still to come.
+    ``victims``: chain, contract, ts of their acquisitions.
+    """
+    first = moves.groupBy(*KEY).agg(F.min("ts").alias("start"), F.min(F.when(F.col("is_sale"), F.col("ts"))).alias("sale"))
+    hurt = victims.groupBy(*KEY).agg(F.min("ts").alias("victim"))
+    minted = moves.groupBy(*KEY, "token").agg(F.min(F.struct("ts", "event_id")).alias("m")).select(*KEY, F.col("m.event_id").alias("event_id"), F.lit(True).alias("mint"))
+    base = first.join(hurt, KEY, "left").withColumn("window", F.explode(F.array(*map(F.lit, windows)))).withColumn("until", F.col("start") + F.col("window"))
+    inside = moves.join(minted, [*KEY, "event_id"], "left").join(base.select(*KEY, "window", "until"), KEY).where("ts <= until")
+    seen = inside.groupBy(*KEY, "window").agg(F.count(F.lit(1)).alias("moves"), F.count("mint").alias("mints"), F.count(F.when(F.col("is_sale"), 1)).alias("sales"), F.countDistinct("src").alias("senders"), F.round(F.sum(F.coalesce("usd", F.lit(0.0))), 4).alias("usd"))
+    by = {"sale_observed": F.col("sale") <= F.col("until"), "victim_observed": F.col("victim") <= F.col("until"), "future_positive": (F.col("sale") > F.col("until")) | (F.col("victim") > F.col("until"))}
+    return base.join(seen, [*KEY, "window"]).select(*KEY, "window", "moves", "mints", "sales", "senders", "usd", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in by.items()))
+
+
 def evidence_rows(moves: DataFrame, held: DataFrame, graph: DataFrame, components: DataFrame, controllers: DataFrame | None = None, deployers: DataFrame | None = None, flows: DataFrame | None = None, mints: DataFrame | None = None) -> DataFrame:
     """chain, contract, address, kind, weight, confidence: what speaks about each address, each kind once.
 

@@ -108,8 +108,8 @@ def classify_flow(flows: DataFrame, operators: DataFrame, contracts: DataFrame)
 
 
 def activity_window(moves: DataFrame, margin: int) -> DataFrame:
-    """chain, contract, lowest, highest: the span of activity, widened on both sides, from 0 on."""
-    return moves.groupBy(*KEY).agg(F.greatest(F.min("ts") - margin, F.lit(0)).alias("lowest"), (F.max("ts") + margin).alias("highest"))
+    """chain, contract, lowest, highest: the span of blocks with activity, widened on both sides, from block 0 on."""
+    return moves.groupBy(*KEY).agg(F.greatest(F.min("block") - margin, F.lit(0)).alias("lowest"), (F.max("block") + margin).alias("highest"))
 
 
 def legitimate(signals: DataFrame, flags: list[str]) -> DataFrame:

@@ -62,6 +62,20 @@ def campaigns(evidence: DataFrame) -> DataFrame:
     return threshold_clusters(ties).select(F.col("name").alias("contract"), F.col("cluster").alias("campaign"))
 
 
+def campaign_confidence(evidence: DataFrame, members: DataFrame) -> DataFrame:
+    """campaign, contracts, shared, confidence: high with a shared deployer or recipient of value, medium with a shared address.
+
+    ``evidence``: contract, evidence ("class:value"); ``members``: contract, campaign. Shared is what two contracts of one campaign have.
+    """
+    own = evidence.select("contract", "evidence").distinct().join(members, "contract")
+    shared = own.groupBy("campaign", "evidence").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    strong = F.col("evidence").startswith("shared_deployer:") | F.col("evidence").startswith("shared_value_recipient:")
+    level = F.max(F.when(strong, 2).when(F.col("evidence").startswith("shared_address:"), 1).otherwise(0))
+    found = shared.groupBy("campaign").agg(F.count(F.lit(1)).alias("shared"), level.alias("level"))
+    size = members.groupBy("campaign").agg(F.count(F.lit(1)).alias("contracts"))
+    return size.join(found, "campaign", "left").select("campaign", "contracts", F.coalesce("shared", F.lit(0)).alias("shared"), F.when(F.col("level") == 2, "high").when(F.col("level") == 1, "medium").otherwise("low").alias("confidence"))
+
+
 def trace(payments: DataFrame, starts: DataFrame, hops: int = 3, frontier: int = 32, low: float = 0.05, high: float = 1.02) -> DataFrame:
     """start_event, hop, event_id, src, dst, usd: money followed from starting payments.
 

@@ -260,14 +260,19 @@ def flow_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return economics.classify_flow(m.select("event_id", "src", "dst"), operators, contracts).select("event_id", "kind")
 
 
-@query("e10_activity_window", W + " SELECT chain, contract, greatest(min(ts) - 50000, 0) AS lowest, max(ts) + 50000 AS highest FROM moves GROUP BY ALL")
+@query("e10_activity_window", W + " SELECT chain, contract, greatest(min(ts // 12) - 50000, 0) AS lowest, max(ts // 12) + 50000 AS highest FROM moves GROUP BY ALL")
 def activity_window(spark: SparkSession, folder: str) -> DataFrame:
-    return economics.activity_window(moves(spark, folder), 50_000)
+    # blocks of twelve seconds
+    return economics.activity_window(moves(spark, folder).withColumn("block", F.expr("ts div 12")), 50_000)
 
 
-@query("e12_legitimacy", W + ", s AS (SELECT chain, contract, token % 3 = 0 OR token % 4 = 0 AS legit FROM moves) SELECT chain, contract, count(*) FILTER (legit) AS legit_relations, count(*) FILTER (NOT legit) AS suspicious_relations, CASE WHEN bool_and(legit) THEN 'legitimate' ELSE 'suspected' END AS state FROM s GROUP BY ALL")
+#: Six signals of a legitimate relation, any of which is enough.
+LEGIT = {"official": "contract IN ('c1', 'c5')", "same_controller": "src % 9 = 4", "same_deployer": "src = dst - 1", "verified": "coalesce(usd >= 97, false)", "licensed": "token % 17 = 3", "migration": "event_id % 50 = 0"}
+
+
+@query("e12_legitimacy", W + f", s AS (SELECT chain, contract, {' OR '.join(LEGIT.values())} AS legit FROM moves) SELECT chain, contract, count(*) FILTER (legit) AS legit_relations, count(*) FILTER (NOT legit) AS suspicious_relations, CASE WHEN bool_and(legit) THEN 'legitimate' ELSE 'suspected' END AS state FROM s GROUP BY ALL")
 def legitimacy(spark: SparkSession, folder: str) -> DataFrame:
-    return economics.legitimate(moves(spark, folder).selectExpr("chain", "contract", "token % 3 = 0 AS official", "token % 4 = 0 AS same_controller"), ["official", "same_controller"])
+    return economics.legitimate(moves(spark, folder).selectExpr("chain", "contract", *(f"{v} AS {k}" for k, v in LEGIT.items())), list(LEGIT))
 
 
 @query("e16_lifecycle_stages", W + ", a AS (SELECT chain, contract, min(ts) AS a, min(ts) FILTER (NOT is_sale) AS b, min(ts) FILTER (is_sale) AS c, max(ts) AS d FROM moves GROUP BY ALL), l AS (SELECT chain, contract, 0 AS i, 'activity' AS stage, a AS started FROM a UNION ALL SELECT chain, contract, 1, 'spread', b FROM a WHERE b IS NOT NULL UNION ALL SELECT chain, contract, 2, 'sale', c FROM a WHERE c IS NOT NULL UNION ALL SELECT chain, contract, 3, 'last', d FROM a) SELECT chain, contract, stage, started, lead(stage) OVER w AS next_stage, lead(started) OVER w - started AS seconds FROM l WINDOW w AS (PARTITION BY chain, contract ORDER BY started, i)")

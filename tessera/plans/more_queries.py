@@ -10,7 +10,7 @@ from tessera.functions.similarity import K1, B, best_from_overlap, jaro_winkler_
 from tessera.operators import behavior, economics, extra, metadata, names, uri
 from tessera.plans import behavior_queries as BQ
 from tessera.plans import dedup_queries as DQ
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLES, query
 from tessera.runtime import materialise
 from tessera.sources import chain_logs
 from tessera.sources.fixtures import MOVES_SQL, NFT_SQL, moves, nft, table
@@ -93,20 +93,16 @@ def seed_fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("j10_aligned_documents", N + """, a AS (SELECT chain, chain || '/' || contract AS c, token_id, arg_max(md5(body), row_order) AS doc FROM nft GROUP BY ALL),
   t AS (SELECT chain, c, arg_max(doc, (length(token_id), token_id)) AS top FROM a GROUP BY ALL),
-  u AS (SELECT token_uri, min(chain || '/' || contract) AS f FROM nft GROUP BY 1),
-  k AS (SELECT DISTINCT u.f AS l, n.chain || '/' || n.contract AS r FROM nft n JOIN u ON u.token_uri = n.token_uri WHERE n.chain || '/' || n.contract <> u.f),
+  k AS (SELECT DISTINCT seed_chain || '/' || seed_contract AS l, chain || '/' || contract AS r FROM (""" + ORACLES["d17_candidate_registry"] + """)),
   p AS (SELECT x.c AS "left", y.c AS "right", x.chain AS lc, y.chain AS rc, x.top AS lt, y.top AS rt FROM k JOIN t x ON x.c = l JOIN t y ON y.c = r),
   s AS (SELECT p."left", p."right", arg_max(x.doc, (length(x.token_id), x.token_id)) AS ld, arg_max(y.doc, (length(x.token_id), x.token_id)) AS rd FROM p JOIN a x ON x.c = p."left" JOIN a y ON y.c = p."right" AND y.token_id = x.token_id GROUP BY ALL)
   SELECT p."left", p."right", CASE WHEN lc <> 'solana' AND rc <> 'solana' AND ld IS NOT NULL THEN ld ELSE lt END AS left_doc, CASE WHEN lc <> 'solana' AND rc <> 'solana' AND ld IS NOT NULL THEN rd ELSE rt END AS right_doc FROM p LEFT JOIN s USING ("left", "right")""")
 def aligned_documents(spark: SparkSession, folder: str) -> DataFrame:
-    named = nft(spark, folder).withColumn("contract", F.concat("chain", F.lit("/"), "contract"))
-    own = named.groupBy("chain", "contract", "token_id").agg(F.max_by(F.md5(F.col("body").cast("binary")), "row_order").alias("doc"))
+    """The documents on which each seed and each of its candidates, by any dimension, are compared."""
+    own = nft(spark, folder).withColumn("contract", F.concat("chain", F.lit("/"), "contract")).groupBy("chain", "contract", "token_id").agg(F.max_by(F.md5(F.col("body").cast("binary")), "row_order").alias("doc"))
     anchors = own.select("contract", "chain", T.token_key(F.col("token_id")).alias("token_key"), "doc")
-    # candidates: each contract with the smallest one that shares a URI with it
-    held = named.select("token_uri", "contract").distinct()
-    first = held.groupBy("token_uri").agg(F.min("contract").alias("left"))
-    pairs = held.join(first, "token_uri").where("contract != left").select("left", F.col("contract").alias("right")).distinct()
-    return metadata.aligned_documents(anchors, pairs)
+    pairs = DQ.candidate_registry(spark, folder).select(F.concat("seed_chain", F.lit("/"), "seed_contract").alias("left"), F.concat("chain", F.lit("/"), "contract").alias("right"))
+    return metadata.aligned_documents(anchors, materialise(pairs, "candidates"))
 
 
 @query("j14_exits_after_cycles", M + BQ.FACTS_SQL + " SELECT f.chain, f.contract, f.component, count(*) AS exits FROM facts f JOIN wash w ON w.chain = f.chain AND w.contract = f.contract AND w.component = f.component JOIN sales s ON s.chain = f.chain AND s.contract = f.contract AND s.src = w.address AND s.ts > f.ended GROUP BY ALL")

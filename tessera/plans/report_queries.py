@@ -231,3 +231,45 @@ def token_hash(spark: SparkSession, folder: str) -> DataFrame:
 @query("f10_md5_lower", "SELECT page_id, CAST(md5_number_lower(url) AS VARCHAR) AS h FROM pages")
 def md5_lower(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", hashing.md5_lower(F.col("url")).alias("h"))
+
+
+@query("e4_five_roles", M + BQ.SALE_SCC + """, op AS (SELECT DISTINCT chain, contract, src AS address FROM moves WHERE src < 3 UNION SELECT chain, contract, unnest([src, dst]) FROM sales WHERE usd >= 95 OR usd < 1),
+  al AS (SELECT chain, contract, src AS address FROM moves UNION SELECT chain, contract, dst FROM moves), pa AS (SELECT DISTINCT chain, contract, dst AS address FROM sales WHERE usd > 0),
+  ring AS (SELECT c.chain, c.contract, c.address FROM sscc c WHERE (c.chain, c.contract, c.component) IN (SELECT (chain, contract, component) FROM sscc GROUP BY chain, contract, component HAVING count(*) >= 2) AND (c.chain, c.contract, c.component) IN (SELECT (s.chain, s.contract, s.component) FROM sscc s JOIN op USING (chain, contract, address)))
+  SELECT chain, contract, address, CASE WHEN (chain, contract, address) IN (SELECT (chain, contract, address) FROM op) THEN 'suspected_operator'
+    WHEN (chain, contract, address) IN (SELECT (chain, contract, address) FROM pa) AND (chain, contract, address) IN (SELECT (chain, contract, src) FROM moves) THEN 'corrupted_victim'
+    WHEN (chain, contract, address) IN (SELECT (chain, contract, address) FROM pa) AND (chain, contract, address) IN (SELECT (chain, contract, owner) FROM holders) THEN 'likely_victim'
+    WHEN (chain, contract, address) IN (SELECT (chain, contract, address) FROM ring) THEN 'suspected_colluder' ELSE 'neutral' END AS role FROM al""")
+def five_roles(spark: SparkSession, folder: str) -> DataFrame:
+    m, held, _ = BQ.parts(spark, folder)
+    graph = behavior.graphs_of_sales(m)
+    return behavior.five_roles(m, held, m.where("src < 3").select("chain", "contract", F.col("src").alias("address")), m.where("is_sale and (usd >= 95 or usd < 1)"), graph)
+
+
+@query("e18_early_features", M + """, st AS (SELECT chain, contract, min(ts) AS start, min(ts) FILTER (is_sale) AS sale FROM moves GROUP BY ALL),
+  vi AS (SELECT s.chain, s.contract, min(s.ts) AS victim FROM sales s JOIN holders h ON h.chain = s.chain AND h.contract = s.contract AND h.token = s.token AND h.owner = s.dst WHERE s.usd > 0 GROUP BY ALL),
+  mi AS (SELECT *, row_number() OVER (PARTITION BY chain, contract, token ORDER BY ts, event_id) = 1 AS mint FROM moves), ba AS (SELECT *, unnest([60, 3600, 86400]) AS secs FROM st LEFT JOIN vi USING (chain, contract))
+  SELECT b.chain, b.contract, CAST(secs AS INT) AS "window", count(*) AS moves, count(*) FILTER (mint) AS mints, count(*) FILTER (is_sale) AS sales, count(DISTINCT src) AS senders, round(sum(coalesce(usd, 0)), 4) AS usd,
+    coalesce(any_value(sale) <= any_value(start) + secs, false) AS sale_observed, coalesce(any_value(victim) <= any_value(start) + secs, false) AS victim_observed, coalesce(any_value(sale) > any_value(start) + secs, false) OR coalesce(any_value(victim) > any_value(start) + secs, false) AS future_positive
+  FROM ba b JOIN mi ON mi.chain = b.chain AND mi.contract = b.contract AND mi.ts <= b.start + secs GROUP BY b.chain, b.contract, secs""")
+def early_features(spark: SparkSession, folder: str) -> DataFrame:
+    m, held, _ = BQ.parts(spark, folder)
+    bought = behavior.sales_of(m).where("usd > 0").join(held.withColumnRenamed("owner", "dst"), ["chain", "contract", "token", "dst"], "left_semi")
+    return behavior.early_features(m, bought.select("chain", "contract", "ts"))
+
+
+CLASSES_SQL = ", ee AS (SELECT DISTINCT chain || '/' || contract AS contract, 'shared_deployer:' || arg_min(src, (ts, event_id)) OVER (PARTITION BY chain, contract) % 40 AS ev FROM moves UNION SELECT chain || '/' || contract, 'shared_value_recipient:' || src FROM sales WHERE usd >= 99 UNION SELECT chain || '/' || contract, 'shared_address:' || owner FROM holders WHERE token % 5 = 0)"
+
+
+@query("e17_campaign_confidence", M + CLASSES_SQL + """, ed AS (SELECT DISTINCT a.contract AS a, b.contract AS b FROM ee a JOIN ee b USING (ev) WHERE a.contract <> b.contract), rr AS (SELECT a, b FROM ed UNION SELECT rr.a, ed.b FROM rr JOIN ed ON ed.a = rr.b),
+  mb AS (SELECT a AS contract, least(a, min(b)) AS campaign FROM rr GROUP BY a), sh AS (SELECT campaign, ev, count(*) AS n FROM ee JOIN mb USING (contract) GROUP BY ALL HAVING count(*) > 1),
+  lv AS (SELECT campaign, count(*) AS shared, max(CASE WHEN ev LIKE 'shared_deployer:%' OR ev LIKE 'shared_value_recipient:%' THEN 2 ELSE 1 END) AS l FROM sh GROUP BY 1)
+  SELECT campaign, count(*) AS contracts, any_value(shared) AS shared, CASE any_value(l) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM mb JOIN lv USING (campaign) GROUP BY campaign""")
+def campaign_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    m, held, _ = BQ.parts(spark, folder)
+    contract = F.concat("chain", F.lit("/"), "contract").alias("contract")
+    first = m.groupBy("chain", "contract").agg((F.min_by("src", F.struct("ts", "event_id")) % 40).alias("d")).select(contract, F.concat(F.lit("shared_deployer:"), F.col("d").cast("string")).alias("evidence"))
+    paid = m.where("is_sale and usd >= 99").select(contract, F.concat(F.lit("shared_value_recipient:"), F.col("src").cast("string")).alias("evidence"))
+    own = held.where("token % 5 = 0").select(contract, F.concat(F.lit("shared_address:"), F.col("owner").cast("string")).alias("evidence"))
+    every = materialise(first.unionByName(paid).unionByName(own).distinct(), "campaign-evidence")
+    return extra.campaign_confidence(every, extra.campaigns(every))
