@@ -6,8 +6,10 @@ import hashlib
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.operators.graphs import KEY
 from tessera.runtime import scratch_dir
@@ -88,6 +90,35 @@ def prefilter_terms(raw: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(every, lambda t: t.isNotNull() & (t != ""))))
 
 
+# Keys under which a text of metadata belongs to the flat document, at any depth.
+FLAT_KEYS = frozenset("description trait_type value display_type image image_url animation_url external_url attributes metadata rawmetadata raw".split())
+
+
+def flat_texts(raw: str | None) -> list[str] | None:
+    """The texts below whitelisted keys of metadata JSON, at any depth and through lists; null for what is no JSON."""
+    try:
+        todo = [json.loads(raw)] if raw is not None else None
+    except (ValueError, RecursionError):
+        return None
+    if todo is None:
+        return None
+    out = []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            todo += [x[k] for k in sorted(x, reverse=True) if k.lower() in FLAT_KEYS]
+        elif isinstance(x, list):
+            todo += x[::-1]
+        elif isinstance(x, str) and x.strip():
+            out.append(x.strip())
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def flat_texts_udf(raw: pd.Series) -> pd.Series:
+    return raw.map(flat_texts, na_action="ignore")
+
+
 def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """A hash of names, sizes and times of change of all files below the paths; it changes when an input does."""
     seen = []

@@ -148,3 +148,15 @@ STEPS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN {TRIM_SQL
 @query("f1_normalize_name", f"WITH RECURSIVE {sample_sql('part', raw=TITLES)}, r AS (SELECT k, 0 AS n, {TRIM_SQL.format('raw')} AS name FROM s UNION ALL SELECT k, n + 1, {STEPS_SQL} FROM r WHERE n < {T.MOST_SUFFIXES} AND {STEPS_SQL} <> name) SELECT k, lower(trim(regexp_replace(arg_max(name, n), '\\s+', ' ', 'g'))) AS name FROM r GROUP BY k")
 def normalize_name(spark: SparkSession, folder: str) -> DataFrame:
     return samples(spark, folder, "part", raw=TITLES).select("k", T.normalize_name(F.col("raw")).alias("name"))
+
+
+NESTED = case([
+    """'{"Description": " ' || p_name || ' ", "attributes": [{"trait_type": "' || p_brand || '", "value": 1}, {"value": "' || p_type || '", "other": "no"}]}'""",
+    """'{"raw": {"metadata": {"image": "i' || CAST(p_size AS STRING) || '", "name": "no", "attributes": [["deep ' || p_name || '"], []]}}, "hidden": {"image": "no"}}'""",
+    """'[{"value": "a"}, {"value": ""}, {"VALUE": "' || p_brand || '"}, "top"]'""", """'{"image": null, "value": true, "external_url": "  "}'""", "'{}'", """'"alone"'""",
+])
+
+
+@query("f16_flat_texts", f"WITH {sample_sql('part', raw=NESTED)}, t AS (SELECT k, trim(atom ->> '$') AS x, [lower(y) FOR y IN regexp_extract_all(fullkey, '\\.([A-Za-z_]+)', 1)] AS keys FROM s, json_tree(raw) WHERE type = 'VARCHAR'), u AS (SELECT k, list_sort(list(x)) AS texts FROM t WHERE x <> '' AND len(list_filter(keys, lambda y: y NOT IN ({', '.join(strings(tuple(sorted(evidence.FLAT_KEYS))))}))) = 0 GROUP BY k) SELECT s.k, array_to_string(coalesce(texts, []), '|') AS texts FROM s LEFT JOIN u ON u.k = s.k")
+def flat_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return samples(spark, folder, "part", raw=NESTED).select("k", F.array_join(F.sort_array(evidence.flat_texts_udf("raw")), "|").alias("texts"))
