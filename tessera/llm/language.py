@@ -6,13 +6,14 @@ p is rotated p times and the rotated vectors are multiplied element by element.
 its n-grams; a language's prototype bundles the texts of that language. A text gets the language whose prototype has
 the largest cosine with it, after the mean of all prototypes, which says nothing about a language, is taken off both.
 
-A text is in that language if its n-grams have, on average, at least ``SHARE`` of the projection on the language's
-(uncentred) prototype that the n-grams of the language's training texts have in the median, each training text against
-the prototype of the others. Noise and languages that were not learned project far less. The average does not depend on
-the length of a text; of very short texts it is less certain.
-
-Defined results: ``und`` with score 0 where the text is null or has no letter, is in no learned language, or where no
-language was learned; a tie goes to the first language by name; repeated rows get equal results; extra columns are ignored.
+Every text with a letter gets a language. Whether it is in that language at all is a second answer, ``known``: its n-grams
+have, on average, at least ``SHARE`` of the projection on the language's (uncentred) prototype that the n-grams of the language's
+training texts have in the median, each training text against the prototype of the others. The average over n n-grams varies
+by about the median over the root of n, so ``SLACK`` times that is allowed; very short texts are known. Noise and languages
+that were not learned project far less.
+
+Defined results: ``und`` with score 0, not known, where the text is null or has no letter, or where no language was learned; a
+tie goes to the first language by name; repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ TRAIN_ROWS = 4000
 DIM, N, LETTERS, REMEMBERED = 1024, 3, 120, 8192
 #: n-gram vectors that are made at a time, and texts that are bundled at a time.
 SLICE, TEXTS = 4096, 256
-#: Part of the median projection of a language's training texts that a text of the language has at least.
-SHARE = 0.5
+#: Part of the median projection of a language's training texts that a text of the language has at least, and the medians by which
+#: one n-gram alone may fall below.
+SHARE, SLACK = 0.45, 2.5
 #: The gap's symbol, bits of a symbol, code points, and the seed of the vectors.
 GAP, BITS, POINTS, SEED = 0, 21, 0x110000, 20240229
 
@@ -47,7 +49,7 @@ class Model:
     centre: np.ndarray  # DIM
     prototypes: np.ndarray  # languages x DIM, centred and of length 1
     own: np.ndarray  # languages x DIM, not centred, of length 1
-    least: np.ndarray  # languages: the least average projection of an n-gram on ``own``
+    median: np.ndarray  # languages: the median of the average projection of an n-gram on ``own``
 
 
 class LetterVectors:
@@ -159,33 +161,35 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     own = unit(sums)
     centre = own.mean(axis=0) if len(languages) > 1 else np.zeros(DIM)
     vector, length = (np.concatenate(x) for x in zip(*each, strict=True))
-    least = np.array([least_projection(sums[k], vector[which == k], length[which == k]) for k in range(len(languages))], np.float32)
-    return Model(languages, alphabet, centre.astype(np.float32), unit(own - centre).astype(np.float32), own.astype(np.float32), least)
+    median = np.array([median_projection(sums[k], vector[which == k], length[which == k]) for k in range(len(languages))], np.float32)
+    return Model(languages, alphabet, centre.astype(np.float32), unit(own - centre).astype(np.float32), own.astype(np.float32), median)
 
 
-def least_projection(total: np.ndarray, made: np.ndarray, length: np.ndarray) -> float:
-    """``SHARE`` of the median projection of a language's training texts, each on the sum of all others; 0 where there are no others."""
+def median_projection(total: np.ndarray, made: np.ndarray, length: np.ndarray) -> float:
+    """The median projection of a language's training texts, each on the sum of all others; 0 where there are no others."""
     # (total - x) . x and |total - x|, of all x of length 1, without a copy of the texts' vectors
     dot, there = made @ total, (length > 0).astype(float)
     rest = np.sqrt(np.maximum(total @ total - 2 * dot + there, 0))
     known = (length > 0) & (rest > 1e-3)
-    return SHARE * max(float(np.median(length[known] * (dot - there)[known] / rest[known])), 0.0) if known.any() else 0.0
+    return max(float(np.median(length[known] * (dot - there)[known] / rest[known])), 0.0) if known.any() else 0.0
 
 
 class Predictor:
     def __init__(self, model: Model) -> None:
         self.model, self.table, self.vectors = model, symbol_table(model.alphabet), letter_vectors(len(model.alphabet) + 2)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and whether the text is known to be in it."""
         made, letters, grams = bundles([t or "" for t in texts], self.table, self.vectors)
         if not self.model.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         cosine = unit(unit(made) - self.model.centre) @ self.model.prototypes.T
         best = cosine.argmax(axis=1)
-        projection = (made * self.model.own[best]).sum(axis=1) / np.maximum(grams, 1)
-        known = (letters > 0) & (projection > 0) & (projection >= self.model.least[best])
-        score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
-        return [self.model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score.astype(np.float64)
+        n = np.maximum(grams, 1)
+        projection = (made * self.model.own[best]).sum(axis=1) / n
+        known = (letters > 0) & (projection >= self.model.median[best] * (SHARE - SLACK / np.sqrt(n)))
+        score = np.where(letters > 0, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
+        return [self.model.languages[b] if k else "und" for b, k in zip(best, letters, strict=True)], score.astype(np.float64), known
 
 
 def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
@@ -198,7 +202,7 @@ def training_rows(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
+    """doc_id, held_out, lang_pred, score, known of every row."""
     spark = docs.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)  # a few vectors: fixed size
@@ -206,17 +210,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         predictor = Predictor(sent.value)
         for rest, texts in chunks(batches, limit=1_000_000):
-            lang, score = predictor(texts)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+            lang, score, known = predictor(texts)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(rest["doc_id"], pa.int64()), "held_out": pa.array(rest["held_out"], pa.bool_()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "known": pa.array(known, pa.bool_())})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, known boolean")
 
 
 def with_language(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is in a learned language.
 
-    Rejected are texts without a letter and texts whose n-grams project too little on the nearest prototype.
+    Rejected are texts that are not known: those without a letter, and those whose n-grams project too little on the nearest prototype.
     """
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, train_rows)))
@@ -225,7 +229,7 @@ def with_language(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
         predictor = Predictor(sent.value)
 
         def decide(texts):
-            return np.array([x != "und" for x in predictor(texts)[0]], bool)
+            return predictor(texts)[2]
 
         return decide
 

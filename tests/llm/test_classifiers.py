@@ -83,15 +83,34 @@ def test_language_vectors_by_hand():
 def test_language_rejects_what_was_not_learned(spark, larger):
     docs, _ = tables(spark, larger)
     rng = np.random.default_rng(5)
-    foreign = [(1_000_000 + r.doc_id, r.text, None) for r in docs.where("lang = 'de'").limit(60).collect()]
+    foreign = [(1_000_000 + r.doc_id, r.text, None) for r in docs.where("lang = 'de' and length(text) > 300").limit(60).collect()]  # short texts are given the benefit of the doubt
     noise = [(2_000_000 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)), None) for i in range(40)]
     learned = docs.where("lang != 'de'")
     for languages in ("lang in ('en', 'es', 'fr')", "lang in ('en', 'fr')", "lang = 'en'"):
         own = learned.where(languages).select("doc_id", "text", "lang")
         kept = [r.doc_id for r in language.with_language(own.unionByName(documents(spark, foreign + noise).select("doc_id", "text", "lang"))).collect()]
         assert not [d for d in kept if d >= 2_000_000]
-        assert sum(1_000_000 <= d < 2_000_000 for d in kept) <= 3
-        assert sum(d < 1_000_000 for d in kept) >= 0.99 * own.count()
+        assert sum(1_000_000 <= d < 2_000_000 for d in kept) <= 6  # of 60: the rule leans towards keeping
+        assert sum(d < 1_000_000 for d in kept) >= 0.995 * own.count()
+
+
+def test_short_and_repetitive_texts_of_a_learned_language_stay(spark, larger):
+    docs, _ = tables(spark, larger)
+    own = docs.where("lang is not null and text rlike '[A-Za-z]'").select("doc_id", "text", "lang")
+    kept = language.with_language(own)
+    assert kept.count() >= own.count() - 1
+    model = language.fit(language.training_rows(docs, 4000))
+    words = [w for r in docs.where("lang = 'en'").limit(40).collect() for w in r.text.split() if w.isalpha()][:300]
+    texts = ["This.", "A.", *words, *(" ".join([w] * 40) for w in words[:20])]
+    lang, score, known = language.Predictor(model)(texts)
+    assert set(lang) <= set(model.languages) and known.mean() > 0.97
+
+
+def test_every_text_with_a_letter_gets_a_language(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the and of that", "en"), ("les des que une", "fr")] * 8)] + [(100, "q", None), (101, "щ", None), (102, "xqz " * 99, None)]
+    got = {r.doc_id: r for r in language.language(documents(spark, rows)).collect()}
+    assert {got[d].lang_pred for d in got} == {"en", "fr"} and all(0 <= r.score <= 1 for r in got.values())
+    assert not got[102].known and got[0].known
 
 
 def test_language_letters_share_no_vector():
