@@ -122,7 +122,7 @@ def lifecycle_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return m.join(f, ["chain", "contract"]).groupBy("chain", "contract").agg(F.count(F.when(F.col("ts") < F.col("s"), 1)).alias("before_sale"), F.countDistinct("src").alias("senders"), F.first(F.col("s") - F.col("a")).alias("to_sale"))
 
 
-@query("e23_projected_facts", N + DQ.SEEDS_SQL + ", g AS (SELECT chain, contract, count(*) AS nfts FROM nft GROUP BY ALL), h AS (SELECT DISTINCT s.seed_chain, s.seed_contract, b.chain, b.contract FROM seeds s JOIN nft a ON a.chain = seed_chain AND a.contract = seed_contract JOIN nft b ON a.token_uri = b.token_uri AND (a.chain <> b.chain OR a.contract <> b.contract)) SELECT seed_chain, seed_contract, CAST(sum(nfts) AS BIGINT) AS nfts, count(*) AS candidates FROM h JOIN g USING (chain, contract) GROUP BY ALL")
+@query("e23_projected_facts", N + DQ.SEED_URI_SQL + ", g AS (SELECT chain, contract, count(*) AS all_nfts FROM nft GROUP BY ALL), h AS (SELECT DISTINCT seed_chain, seed_contract, chain, contract FROM su) SELECT seed_chain, seed_contract, CAST(sum(all_nfts) AS BIGINT) AS nfts, count(*) AS candidates FROM h JOIN g USING (chain, contract) GROUP BY ALL")
 def projected_facts(spark: SparkSession, folder: str) -> DataFrame:
     facts = nft(spark, folder).groupBy("chain", "contract").agg(F.count(F.lit(1)).alias("all_nfts"))
     hits = DQ.seed_uri(spark, folder).select("seed_chain", "seed_contract", "chain", "contract").distinct()

@@ -262,7 +262,12 @@ def candidate_filter(spark: SparkSession, folder: str) -> DataFrame:
     return nft(spark, folder).select("chain", "contract").distinct().join(DQ.seeds(spark, folder), ["chain", "contract"], "left_anti")
 
 
-@query("r4_seed_counts", N + DQ.SEEDS_SQL + ", d AS (SELECT DISTINCT seed_chain, seed_contract FROM seeds JOIN nft a ON a.chain = seed_chain AND a.contract = seed_contract JOIN nft b ON a.token_uri = b.token_uri AND (a.chain <> b.chain OR a.contract <> b.contract)) SELECT (SELECT count(*) FROM seeds) AS selected, (SELECT count(*) FROM d) AS with_duplicate, round((SELECT count(*) FROM d) / (SELECT count(*) FROM seeds), 6) AS ratio")
+@query("r4_seed_counts", N + DQ.SEED_URI_SQL + ", l AS (SELECT seed_chain, seed_contract FROM seeds UNION ALL SELECT 'base', 'absent'), d AS (SELECT DISTINCT seed_chain, seed_contract FROM su) SELECT (SELECT count(*) FROM l) AS selected, (SELECT count(*) FROM seeds) AS included, (SELECT count(*) FROM d) AS with_duplicate, round((SELECT count(*) FROM d) / (SELECT count(*) FROM seeds), 6) AS ratio")
 def seed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeds of the list, those that the snapshot has, those with a duplicate, and the ratio of the last two."""
+    own = nft(spark, folder)
+    listed = DQ.seeds(spark, folder).unionByName(spark.createDataFrame([("base", "absent")], "chain string, contract string"))
+    there = own.select("chain", "contract").distinct().withColumn("there", F.lit(1))
     hits = DQ.seed_uri(spark, folder).select(F.col("seed_chain").alias("chain"), F.col("seed_contract").alias("contract")).distinct().withColumn("hit", F.lit(1))
-    return DQ.seeds(spark, folder).join(hits, ["chain", "contract"], "left").agg(F.count(F.lit(1)).alias("selected"), F.count("hit").alias("with_duplicate"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("ratio"))
+    both = listed.join(there, ["chain", "contract"], "left").join(hits, ["chain", "contract"], "left")
+    return both.agg(F.count(F.lit(1)).alias("selected"), F.count("there").alias("included"), F.count("hit").alias("with_duplicate"), F.round(F.try_divide(F.count("hit"), F.count("there")), 6).alias("ratio"))
