@@ -14,8 +14,9 @@ from tessera.functions.similarity import IDF_ONCE, IDF_SHARED, K1, B, weight
 from tessera.functions.text import token_key
 from tessera.runtime import materialise
 
-#: Least and most that the length factor can be.
+#: Least and most that the length factor can be, and steps between them.
 LEAST_NORM, MOST_NORM = K1 * (1 - B), K1 * (1 + B)
+NORMS = [LEAST_NORM + (MOST_NORM - LEAST_NORM) * j / 8 for j in range(9)]
 
 
 def terms(docs: DataFrame, pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
@@ -23,24 +24,36 @@ def terms(docs: DataFrame, pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
     return docs.select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _bound(tf: Column, norm: float, idf: float) -> Column:
-    w = F.lit(idf) * tf * (K1 + 1) / (tf + norm)
-    return w * w
+def least_share(threshold: float) -> float:
+    """The least part of a document's squared weights (at the weight of unshared terms) that a match must share.
+
+    With x and y the shared parts of the two sides and r the squared ratio of the two idfs, the cosine is at most
+    r sqrt(x y / ((1 - (1 - r) x) (1 - (1 - r) y))) by Cauchy's inequality, which grows with x; so x = 1 bounds y.
+    """
+    r = (IDF_SHARED / IDF_ONCE) ** 2
+    return threshold**2 / (r + (1 - r) * threshold**2)
 
 
 def prefixes(found: DataFrame, threshold: float, of: DataFrame | None = None) -> DataFrame:
     """doc, term, df: the rarest terms of each document (only of the documents ``of``), one of which every match must hold.
 
-    If a match held none of the first i terms, its cosine would be sqrt(S / (P + S)) at most, where S is the most that the other
-    terms can weigh (shared) and P the least that the first i do (not shared).
+    A match that held none of the first i terms would leave their part of the weights unshared, which may be 1 - ``least_share`` at
+    most. Weights fall with the length factor, which depends on the partner: between two neighbouring factors of ``NORMS`` the
+    first terms weigh at least what they do at the larger one, and the others at most what they do at the smaller one.
     """
     own = found if of is None else found.join(of, "doc", "left_semi")
     counted = found if of is None else found.join(own.select("term").distinct(), "term", "left_semi")
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("doc").orderBy("df", "term")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    ranked = own.join(df, "term").select("doc", "term", "df", F.coalesce(F.sum(_bound(F.col("tf"), MOST_NORM, IDF_ONCE)).over(before), F.lit(0.0)).alias("p"), F.sum(_bound(F.col("tf"), LEAST_NORM, IDF_SHARED)).over(after).alias("s"))
-    return ranked.where(F.sqrt(F.col("s") / (F.col("p") + F.col("s"))) + 1e-9 >= threshold).select("doc", "term", "df")
+    squared = {j: (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)) ** 2 for j, norm in enumerate(NORMS)}
+    sums = [F.coalesce(F.sum(w).over(before), F.lit(0.0)).alias(f"p{j}") for j, w in squared.items()] + [F.sum(w).over(after).alias(f"s{j}") for j, w in squared.items()]
+    ranked = own.join(df, "term").select("doc", "term", "df", *sums)
+    free = 1 - least_share(threshold) + 1e-9
+    possible = F.lit(False)
+    for j in range(len(NORMS) - 1):
+        possible = possible | (F.col(f"p{j + 1}") <= free * (F.col(f"p{j + 1}") + F.col(f"s{j}")))
+    return ranked.where(possible).select("doc", "term", "df")
 
 
 def candidate_pairs(found: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:

@@ -187,11 +187,11 @@ def metadata_scopes(spark: SparkSession, folder: str) -> DataFrame:
     return names.name_scopes(metadata.metadata_hits(nft(spark, folder), 0.6).withColumnRenamed("member", "name"))
 
 
-@query("d15_seed_metadata", N + DQ.PAIRED_SQL.replace("{threshold}", "0.1") + """, x2 AS (SELECT l AS seed, r AS other FROM mt UNION ALL SELECT r, l FROM mt) SELECT DISTINCT seed, other FROM x2 WHERE seed LIKE '%/src1%'""")
+@query("d15_seed_metadata", N + DQ.PAIRED_SQL.replace("{threshold}", "0.2") + """, x2 AS (SELECT l AS seed, r AS other FROM mt UNION ALL SELECT r, l FROM mt) SELECT DISTINCT seed, other FROM x2 WHERE seed LIKE '%/src1%'""")
 def seed_metadata(spark: SparkSession, folder: str) -> DataFrame:
     own = materialise(metadata.with_documents(metadata.anchors(nft(spark, folder))), "metadata-anchors")
     mine = own.where("contract LIKE '%/src1%'")
-    links = materialise(metadata.document_links(own, 0.1, mine.select("doc").distinct()), "seed-links")
+    links = materialise(metadata.document_links(own, 0.2, mine.select("doc").distinct()), "seed-links")
     return metadata.member_pairs(own, links, mine.select("member").distinct()).select(F.col("left").alias("seed"), F.col("right").alias("other"))
 
 
