@@ -117,9 +117,9 @@ def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None)
     """
     member = classes(docs.where(F.col("text").isNotNull()))
     distinct = docs.join(member.where("doc = rep"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    found = terms(distinct)
+    found = materialise(terms(distinct), "metadata-terms")  # read by several branches of the plan
     own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct() if probes is not None else None
-    pairs = candidate_pairs(found, threshold, own)
+    pairs = materialise(candidate_pairs(found, threshold, own), "metadata-candidates")
     scored = pair_scores(found, pairs)
     if threshold <= 0:
         scored = pairs.join(scored, ["left", "right"], "left").select("left", "right", F.coalesce("score", F.lit(0.0)).alias("score"))
