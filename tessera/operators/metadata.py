@@ -6,9 +6,13 @@ Weights: a term in one document of the pair has idf ln 2, in both ln 1.2; length
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from tessera.functions.similarity import IDF_ONCE, IDF_SHARED, K1, B, weight
 from tessera.functions.text import token_key
@@ -17,6 +21,8 @@ from tessera.runtime import materialise
 #: Least and most that the length factor can be, and steps between them.
 LEAST_NORM, MOST_NORM = K1 * (1 - B), K1 * (1 + B)
 NORMS = [LEAST_NORM + (MOST_NORM - LEAST_NORM) * j / 8 for j in range(9)]
+#: Bits of a document's bitmap of terms, 64-bit words of its folded form, ranges of sizes, and the least share for which bitmaps rule out enough.
+BITS, FOLDED, RANGES, SKETCHED = 2048, 4, 48, 0.8
 
 
 def terms(docs: DataFrame, pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
@@ -75,6 +81,190 @@ def candidate_pairs(found: DataFrame, threshold: float, probes: DataFrame | None
     return both.where("a != b").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct()
 
 
+def _hashed(docs: DataFrame, pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
+    """doc, tokens: the 64-bit hashes of every document's tokens (one pair in 10^13 of large documents has two terms of one hash)."""
+    return docs.select("doc", F.transform(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)), lambda w: F.xxhash64(w)).alias("tokens"))
+
+
+def _counted(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row, sorted terms and their counts of every document of a batch that has a term."""
+    column = batch.column("tokens")
+    values, offsets = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    for row in range(batch.num_rows):
+        if offsets[row + 1] > offsets[row]:
+            yield row, *np.unique(values[offsets[row] : offsets[row + 1]], return_counts=True)
+
+
+def _map_documents(docs: DataFrame, one, fields: list[t.StructField]) -> DataFrame:
+    """doc and the ``fields`` that ``one`` makes of each document's terms and counts; documents without a term are left out."""
+    tokens = _hashed(docs)
+    schema = t.StructType([tokens.schema["doc"], *fields])
+    arrow = {t.BinaryType(): pa.binary(), t.LongType(): pa.int64(), t.DoubleType(): pa.float64(), t.ArrayType(t.DoubleType()): pa.list_(pa.float64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(row, one(term, tf)) for row, term, tf in _counted(batch)]
+            if found:
+                made = [pa.array([x[k] for _, x in found], arrow[f.dataType]) for k, f in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array([row for row, _ in found])), *made], names=schema.names)
+
+    return tokens.mapInArrow(run, schema)
+
+
+def vectors(docs: DataFrame) -> DataFrame:
+    """doc, terms (sorted 64-bit hashes), tfs (32-bit) of every document (doc, text)."""
+    return _map_documents(docs, lambda term, tf: (term.tobytes(), tf.astype(np.uint32).tobytes()), [t.StructField("terms", t.BinaryType()), t.StructField("tfs", t.BinaryType())])
+
+
+def sketches(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc, n, size, missing, totals, bits of every document (doc, text).
+
+    ``missing`` terms at most can be absent from a match: they weigh 1 - ``least_share`` of the document at most, and each at least
+    what a single occurrence does; relative to that, the document weighs most at the largest length factor. ``totals`` are the
+    squared weights at every factor of ``NORMS``; ``bits`` has a bit for each term's hash.
+    """
+    free = 1 - least_share(threshold) + 1e-9
+
+    def one(term: np.ndarray, tf: np.ndarray) -> tuple:
+        totals = [float(((tf * (K1 + 1) / (tf + norm)) ** 2).sum()) for norm in NORMS]
+        missing = free * totals[-1] / ((K1 + 1) / (1 + MOST_NORM)) ** 2
+        bits = np.zeros(BITS, bool)
+        bits[(term % np.uint64(BITS)).astype(np.int64)] = True
+        return len(term), float(tf.sum()), missing, totals, np.packbits(bits).tobytes()
+
+    fields = [t.StructField("n", t.LongType()), t.StructField("size", t.DoubleType()), t.StructField("missing", t.DoubleType()), t.StructField("totals", t.ArrayType(t.DoubleType())), t.StructField("bits", t.BinaryType())]
+    return _map_documents(docs, one, fields)
+
+
+class _Side:
+    """The sketches of some documents as arrays, ordered by their number of terms."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table):
+        self.n = batch.column("n").to_numpy().astype(float)
+        order = np.argsort(self.n, kind="stable")
+        self.n, self.rows = self.n[order], order
+        self.size, self.missing = (batch.column(c).to_numpy()[order] for c in ("size", "missing"))
+        self.probe, self.home = (batch.column(c).to_numpy(zero_copy_only=False)[order] for c in ("probe", "home"))
+        self.totals = np.array(batch.column("totals").to_pylist()).reshape(-1, len(NORMS))[order]
+        self.bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
+        self.folded = np.ascontiguousarray(np.bitwise_or.reduce(self.bits.reshape(len(order), -1, FOLDED), axis=1).T)
+        self.held = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        self.need = np.bitwise_count(self.folded).sum(0, dtype=np.int64) - np.floor(self.missing + 1e-6)
+
+
+def _possible(one: _Side, i: np.ndarray, two: _Side, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) may reach the threshold, by the terms that each side must lack."""
+    r = (IDF_SHARED / IDF_ONCE) ** 2
+    both = np.bitwise_count(one.bits[i] & two.bits[j]).sum(1, dtype=np.int64)
+    lack = [one.held[i] - both, two.held[j] - both]
+    lack = [np.maximum(lack[0], one.n[i] - two.n[j] + lack[1]), np.maximum(lack[1], two.n[j] - one.n[i] + lack[0])]
+    mean, shares = (one.size[i] + two.size[j]) / 2, []
+    for side, k, without in ((one, i, lack[0]), (two, j, lack[1])):
+        norm = K1 * (1 - B + B * side.size[k] / mean)
+        step = np.clip(np.floor((norm - LEAST_NORM) / (NORMS[1] - NORMS[0]) - 1e-9).astype(int), 0, len(NORMS) - 1)  # totals are too large, never too small
+        shares.append(np.clip(1 - without * ((K1 + 1) / (1 + norm)) ** 2 / side.totals[k, step], 0, 1))
+    x, y = shares
+    return r * np.sqrt(x * y / ((1 - (1 - r) * x) * (1 - (1 - r) * y))) >= threshold - 1e-9
+
+
+def _near(visitors: _Side, homes: _Side, threshold: float, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (visitor, home) of the pairs that may reach the threshold; ``inside``: both sides are the same documents."""
+    for k in range(len(visitors.n)):
+        low = k + 1 if inside else np.searchsorted(homes.n, visitors.n[k] - visitors.missing[k] - 1e-6)
+        high = np.searchsorted(homes.n, visitors.n[k] + homes.missing.max(initial=0) + 1e-6, "right") if inside else len(homes.n)
+        shared = np.zeros(max(0, high - low), np.int16)
+        for w in range(FOLDED):
+            shared += np.bitwise_count(homes.folded[w, low:high] & visitors.folded[w, k])
+        j = np.flatnonzero((shared >= visitors.need[k]) & (shared >= homes.need[low:high])) + low
+        if not visitors.probe[k]:
+            j = j[homes.probe[j]]
+        for s in range(0, len(j), 20000):
+            part = j[s : s + 20000]
+            i = np.full(len(part), k)
+            good = _possible(visitors, i, homes, part, threshold)
+            if good.any():
+                yield i[good], part[good]
+
+
+def sketched_pairs(found: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
+    """left, right (left < right): the pairs of sketches that may reach the threshold; with ``probes`` (doc), only those of a probe.
+
+    Bitmaps and numbers of terms bound what two documents can share, so no match is lost. Documents are dealt by their number of
+    terms into ranges; each also visits those lower ranges that may hold a match.
+    """
+    own = found.withColumn("probe", F.lit(True)) if probes is None else found.join(probes.select("doc", F.lit(True).alias("probe")), "doc", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    cuts = sorted(set(found.approxQuantile("n", [k / RANGES for k in range(1, RANGES)], 0.002)))
+
+    def place(c: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= c)) if cuts else F.lit(0)
+
+    dealt = own.withColumn("last", place(F.col("n"))).withColumn("block", F.explode(F.sequence(place(F.col("n") - F.col("missing") - F.lit(1e-6)), "last"))).withColumn("home", F.col("block") == F.col("last")).drop("last")
+    schema = t.StructType([t.StructField(s, found.schema["doc"].dataType) for s in ("a", "b")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes, held, block = None, [], None
+
+        def pairs(table: pa.Table, inside: bool, side: _Side) -> Iterator[pa.RecordBatch]:
+            doc = table.column("doc").combine_chunks()
+            for i, j in _near(side, homes[0], threshold, inside):
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(side.rows[i])), homes[1].take(pa.array(homes[0].rows[j]))], names=["a", "b"])
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal homes, held
+            if held:
+                table = pa.Table.from_batches(held)
+                side, held = _Side(table), []
+                homes = (side, table.column("doc").combine_chunks())
+                yield from pairs(table, True, side)
+
+        for batch in batches:  # sorted by block, homes first
+            keys = batch.column("block").to_numpy() * 2 + ~batch.column("home").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), batch.num_rows]
+            for s, e in zip(edges, edges[1:], strict=False):
+                if s == e:
+                    continue
+                part = batch.slice(s, e - s)
+                at, home = part.column("block")[0].as_py(), part.column("home")[0].as_py()
+                if at != block:
+                    yield from ended()
+                    homes, block = None, at
+                if home:
+                    held.append(part)
+                    continue
+                yield from ended()
+                if homes is not None:
+                    yield from pairs(pa.Table.from_batches([part]), False, _Side(part))
+        yield from ended()
+
+    sorted_ = dealt.repartition(RANGES, "block").sortWithinPartitions("block", F.desc("home"))
+    return sorted_.mapInArrow(run, schema).select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+
+
+def vector_scores(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """left, right, score of the pairs, by the vectors of their documents (doc, text); no terms are exploded into rows."""
+    ids = pairs.select(F.col("left").alias("doc")).union(pairs.select("right")).distinct()
+    found = materialise(vectors(docs.join(ids, "doc", "left_semi")).dropDuplicates(["doc"]), "metadata-vectors")
+    l, r = (found.select(F.col("doc").alias(s), F.col("terms").alias(f"{s}_terms"), F.col("tfs").alias(f"{s}_tfs")) for s in ("left", "right"))
+    own = pairs.join(l, "left").join(r, "right")
+    schema = t.StructType([own.schema["left"], own.schema["right"], t.StructField("score", t.DoubleType())])
+    ratio = (IDF_SHARED / IDF_ONCE) ** 2
+
+    def score(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+        mean = max((x.sum() + y.sum()) / 2, 1.0)
+        u, v = (z * (K1 + 1) / (z + K1 * (1 - B + B * z.sum() / mean)) for z in (x, y))
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        p, q = u[i], v[j]
+        return float(ratio * (p @ q) / math.sqrt((u @ u - (1 - ratio) * (p @ p)) * (v @ v - (1 - ratio) * (q @ q))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[np.frombuffer(x, kind) for x in batch.column(f"{s}_{c}").to_pylist()] for s in ("left", "right") for c, kind in (("terms", np.uint64), ("tfs", np.uint32))]
+            scores = [score(a, x.astype(float), b, y.astype(float)) for a, x, b, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("left"), batch.column("right"), pa.array(scores, pa.float64())], names=schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
 def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """left, right, score of the pairs.
 
@@ -103,8 +293,9 @@ def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc, rep: documents of equal text stand behind the smallest of them."""
-    first = docs.groupBy("text").agg(F.min("doc").alias("rep"))
-    return docs.join(first, "text").select("doc", "rep")
+    own = docs.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("text"))  # the texts themselves are not dealt out
+    first = own.groupBy("text").agg(F.min("doc").alias("rep"))
+    return own.join(first, "text").select("doc", "rep")
 
 
 def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -116,6 +307,13 @@ def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None)
     has them. Null texts match nothing.
     """
     member = classes(docs.where(F.col("text").isNotNull()))
+    if threshold > 0 and least_share(threshold) >= SKETCHED:
+        member = materialise(member, "metadata-members")
+        found = materialise(sketches(docs, threshold).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "metadata-sketches")
+        own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct() if probes is not None else None
+        pairs = materialise(sketched_pairs(found, threshold, own), "metadata-candidates")
+        scored = materialise(vector_scores(docs, pairs).where(F.col("score") >= threshold - 1e-12), "metadata-scores")
+        return scored, member
     distinct = docs.join(member.where("doc = rep"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
     found = materialise(terms(distinct), "metadata-terms")  # read by several branches of the plan
     own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct() if probes is not None else None
@@ -185,7 +383,7 @@ def member_pairs(own: DataFrame, links: DataFrame, left: DataFrame | None = None
 
 def document_links(own: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
     """doc, peer: ordered pairs of different matching documents of the anchors; with ``probes`` (doc), those of a probe."""
-    pairs, _ = matches(own.groupBy("doc").agg(F.min("text").alias("text")), threshold, probes)
+    pairs, _ = matches(own.select("doc", "text"), threshold, probes)
     return pairs.select(F.col("left").alias("doc"), F.col("right").alias("peer")).unionByName(pairs.select(F.col("right").alias("doc"), F.col("left").alias("peer")))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tessera.functions.canonical import canonical
 from tessera.functions.similarity import best_from_overlap, jaro_winkler, least_overlap
 from tessera.functions.text import normalize_url, plain_name, token_key
 from tessera.operators import metadata, names, snapshot, uri
+from tessera.runtime import scratch_dir
 
 SCHEMA = "chain string, contract string, token_id string, name_norm string, token_uri string, image_uri string, body string, row_order long"
 
@@ -120,6 +122,32 @@ def test_probes_find_every_match_of_copies(spark):
     assert {(101, 102), (103, 100), (101, 100)} <= got
 
 
+def written(spark, label):
+    """Bytes of the scratch tables whose names begin so."""
+    return sum(p.stat().st_size for p in Path(scratch_dir(spark)).glob(f"{label}*/*.parquet"))
+
+
+@pytest.mark.parametrize("probed", [False, True])
+def test_matches_of_long_texts_write_no_rows_of_terms(spark, probed):
+    rng = random.Random(31)
+    texts = {}
+    for i in range(160):
+        words = [f"w{rng.randint(0, 60000)}" for _ in range(rng.choice([6, 40, 300, 1500, 2500]))]
+        texts[2 * i] = " ".join(words)
+        for _ in range(rng.randint(0, len(words) // 12)):
+            words[rng.randrange(len(words))] = rng.choice(words)
+        texts[2 * i + 1] = " ".join([*words, "end"] if i < 40 else (f"v{rng.randint(0, 60000)}" for _ in words))
+    docs = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    probes = spark.createDataFrame([(i,) for i in range(0, 320, 5)], "doc long") if probed else None
+    before, rows = written(spark, "metadata"), written(spark, "metadata-terms")
+    pairs, _ = metadata.matches(docs, 0.6, probes)
+    got = {(r.left, r.right): r.score for r in pairs.collect()}
+    assert written(spark, "metadata-terms") == rows and written(spark, "metadata") - before < sum(map(len, texts.values()))
+    want = {(i, i + 1): brute_bm25(texts[i], texts[i + 1]) for i in range(0, 320, 2)}
+    want = {k: v for k, v in want.items() if v >= 0.6 and (not probed or k[0] % 5 == 0 or k[1] % 5 == 0)}
+    assert len(want) > 5 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_member_pairs_and_hits_equal_brute_force(spark):
     rng = random.Random(12)
     texts = list(random_texts(14).values())
