@@ -99,6 +99,23 @@ def brute_score(a, b):
     return 1.0 if a == b else brute_bm25(a, b)
 
 
+@pytest.mark.parametrize("probed", [False, True])
+def test_long_names_of_few_letters_are_not_joined_by_letter(spark, probed):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("aeinst ") for _ in range(rng.choice([23, 24, 24]))) for _ in range(150)}
+    for w in sorted(words)[:60]:
+        k = rng.randrange(len(w) - 1)
+        words |= {w[:k] + rng.choice("xq") + w[k + 1 :], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w * 12}
+    frame = spark.createDataFrame([(w,) for w in sorted(words)], "name string")
+    probes = sorted(words)[::7]
+    found = names.similar_names(frame, 0.93, spark.createDataFrame([(w,) for w in probes], "name string") if probed else None)
+    got = [(r.left, r.right, r.score) for r in found.collect()]
+    pairs = ((a, b) for a in probes for b in words if a != b) if probed else itertools.combinations(sorted(words), 2)
+    want = [(a, b, jaro_winkler(a, b)) for a, b in pairs if jaro_winkler(a, b) >= 0.93]
+    assert len(want) > 15 and sorted(got) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("threshold", [-1.0, 0.0, 0.3, 0.6, 0.8])
 def test_metadata_matches_lose_no_link(spark, threshold):
     texts = random_texts() | {100: "red cat", 101: "red cat", 102: "cat red", 103: "red cat"}
