@@ -23,6 +23,8 @@ LEAST_NORM, MOST_NORM = K1 * (1 - B), K1 * (1 + B)
 NORMS = [LEAST_NORM + (MOST_NORM - LEAST_NORM) * j / 8 for j in range(9)]
 #: Bits of a document's bitmap of terms, 64-bit words of its folded form, ranges of sizes, and the least share for which bitmaps rule out enough.
 BITS, FOLDED, RANGES, SKETCHED = 2048, 4, 48, 0.8
+#: Documents of a part that probes visit.
+PART = 4000
 
 
 def terms(docs: DataFrame, pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
@@ -291,6 +293,81 @@ def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.join(sums, ["left", "right"]).select("left", "right", (F.lit(ratio) * F.col("dot") / F.sqrt(a * b)).alias("score"))
 
 
+class _Index:
+    """Vectors of some documents, by term: postings (document, count) and each document's histogram of counts."""
+
+    def __init__(self, terms: list[bytes], tfs: list[bytes]):
+        held = [np.frombuffer(x, np.uint64) for x in terms]
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in tfs]).astype(float)
+        doc = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        self.size = np.bincount(doc, counts, len(held))
+        entry, self.often = np.unique(np.stack([doc, counts], 1), axis=0, return_counts=True)
+        self.of, self.count = entry[:, 0].astype(np.int64), entry[:, 1]
+        every = np.concatenate(held)
+        order = np.argsort(every, kind="stable")
+        self.terms, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
+        self.doc, self.tf = doc[order].astype(np.int32), counts[order].astype(np.float32)
+
+    def scores(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """The cosine of one document with each of these."""
+        ratio, n = (IDF_SHARED / IDF_ONCE) ** 2, len(self.size)
+        mean = np.maximum((self.size + tf.sum()) / 2, 1)
+        own, other = K1 * (1 - B + B * tf.sum() / mean), K1 * (1 - B + B * self.size / mean)
+        value, often = np.unique(tf, return_counts=True)
+        total = (often * (value * (K1 + 1) / (value + own[:, None])) ** 2).sum(1)
+        theirs = np.bincount(self.of, self.often * (self.count * (K1 + 1) / (self.count + other[self.of])) ** 2, n)
+        at = np.searchsorted(self.terms, term)
+        at[at == len(self.terms)] = 0
+        hit = self.terms[at] == term
+        first, times = self.first[at[hit]], self.times[at[hit]]
+        place = np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)
+        doc, x, y = self.doc[place], np.repeat(tf[hit], times), self.tf[place].astype(float)
+        u, v = x * (K1 + 1) / (x + own[doc]), y * (K1 + 1) / (y + other[doc])
+        dot, l2, r2 = (np.bincount(doc, w, n) for w in (u * v, u * u, v * v))
+        return ratio * dot / np.sqrt((total - (1 - ratio) * l2) * (theirs - (1 - ratio) * r2))
+
+
+def probe_scores(found: DataFrame, probes: DataFrame, threshold: float) -> DataFrame:
+    """left, right (left < right), score of every pair of vectors with a probe (doc) that reaches the threshold.
+
+    Documents are dealt into parts of about ``PART``, and every part indexes its terms and is visited by all probes. For thresholds so
+    low that nothing can be ruled out before.
+    """
+    parts = max(RANGES // 4, -(-found.count() // PART))
+    own = found.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int")).withColumn("visits", F.lit(False))
+    visits = found.join(probes, "doc", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("visits", F.lit(True))
+    schema = t.StructType([t.StructField("a", found.schema["doc"].dataType), t.StructField("b", found.schema["doc"].dataType), t.StructField("score", t.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, index, docs = None, [], None, None
+        for batch in batches:  # sorted by part, its own documents first
+            keys = batch.column("part").to_numpy() * 2 + batch.column("visits").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), batch.num_rows]
+            for s, e in zip(edges, edges[1:], strict=False):
+                if s == e:
+                    continue
+                rows = batch.slice(s, e - s)
+                if keys[s] // 2 != part:
+                    part, held, index = keys[s] // 2, [], None
+                if not keys[s] % 2:
+                    held.append(rows)
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    table = pa.Table.from_batches(held)
+                    index, docs, held = _Index(table.column("terms").to_pylist(), table.column("tfs").to_pylist()), table.column("doc").combine_chunks(), []
+                for k, (term, tf) in enumerate(zip(rows.column("terms").to_pylist(), rows.column("tfs").to_pylist(), strict=True)):
+                    score = index.scores(np.frombuffer(term, np.uint64), np.frombuffer(tf, np.uint32).astype(float))
+                    j = np.flatnonzero(score >= threshold - 1e-12)
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([rows.column("doc").take(pa.array(np.full(len(j), k))), docs.take(pa.array(j)), pa.array(score[j])], names=schema.names)
+
+    dealt = own.unionByName(visits).repartition(parts, "part").sortWithinPartitions("part", "visits")
+    both = dealt.mapInArrow(run, schema).where("a != b")
+    return both.groupBy(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).agg(F.max("score").alias("score"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc, rep: documents of equal text stand behind the smallest of them."""
     own = docs.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("text"))  # the texts themselves are not dealt out
@@ -314,6 +391,11 @@ def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None)
         pairs = materialise(sketched_pairs(found, threshold, own), "metadata-candidates")
         scored = materialise(vector_scores(docs, pairs).where(F.col("score") >= threshold - 1e-12), "metadata-scores")
         return scored, member
+    if threshold > 0 and probes is not None:
+        member = materialise(member, "metadata-members")
+        found = materialise(vectors(docs).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "metadata-vectors")
+        own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct()
+        return materialise(probe_scores(found, own, threshold), "metadata-scores"), member
     distinct = docs.join(member.where("doc = rep"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
     found = materialise(terms(distinct), "metadata-terms")  # read by several branches of the plan
     own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct() if probes is not None else None

@@ -165,6 +165,18 @@ def test_matches_of_long_texts_write_no_rows_of_terms(spark, probed):
     assert len(want) > 5 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_probes_at_low_thresholds_write_no_rows_of_terms(spark):
+    texts = {i: s for i, s in enumerate(sorted(set(random_texts(90).values())))}
+    docs = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    before = written(spark, "metadata-terms")
+    pairs, _ = metadata.matches(docs, 0.2, spark.createDataFrame([(i,) for i in range(0, 60, 4)], "doc long"))
+    got = {(r.left, r.right): r.score for r in pairs.collect()}
+    want = {(a, b): brute_bm25(texts[a], texts[b]) for a, b in itertools.combinations(texts, 2) if any(x < 60 and x % 4 == 0 for x in (a, b))}
+    want = {k: v for k, v in want.items() if v >= 0.2 - 1e-12}
+    assert written(spark, "metadata-terms") == before
+    assert len(want) > 40 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_member_pairs_and_hits_equal_brute_force(spark):
     rng = random.Random(12)
     texts = list(random_texts(14).values())
