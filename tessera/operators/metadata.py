@@ -16,7 +16,7 @@ from pyspark.sql import types as t
 
 from tessera.functions.similarity import IDF_ONCE, IDF_SHARED, K1, B, weight
 from tessera.functions.text import token_key
-from tessera.runtime import materialise
+from tessera.runtime import discard, materialise
 
 #: Least and most that the length factor can be, and steps between them.
 LEAST_NORM, MOST_NORM = K1 * (1 - B), K1 * (1 + B)
@@ -25,6 +25,8 @@ NORMS = [LEAST_NORM + (MOST_NORM - LEAST_NORM) * j / 8 for j in range(9)]
 BITS, FOLDED, RANGES, SKETCHED = 2048, 4, 48, 0.8
 #: Documents of a part that probes visit.
 PART = 4000
+#: Bits of the map by which documents are told from those of no pair, and pairs that are scored together.
+MAP, CELL = 1 << 24, 20000
 
 
 def terms(docs: DataFrame, pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
@@ -242,13 +244,41 @@ def sketched_pairs(found: DataFrame, threshold: float, probes: DataFrame | None
     return sorted_.mapInArrow(run, schema).select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc is in ``ids`` (doc), and some others: a map of ``MAP`` bits tells them, so that no text is dealt out."""
+    bit = F.pmod(F.xxhash64("doc"), F.lit(MAP)) + 1
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    own = docs.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("place", F.bitmap_bit_position(bit))
+    byte = F.expr("cast(conv(hex(substring(map, cast(place div 8 as int) + 1, 1)), 16, 10) as int)")
+    return own.join(F.broadcast(maps), "bucket").where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def scoring_cells(pairs: DataFrame) -> DataFrame:
+    """left, right, cell: pairs that are scored together.
+
+    A pair goes with the smallest document that its left one is paired with, so the documents of a cluster mostly meet in one cell, and
+    each is sent there once, not once a pair; what would be more than ``CELL`` pairs is divided by the left document.
+    """
+    lead = both_ways(pairs).groupBy("doc").agg(F.min("peer").alias("peer")).select(F.col("doc").alias("left"), F.least("doc", "peer").alias("lead"))
+    placed = pairs.select("left", "right").join(lead, "left")
+    size = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    return placed.join(size, "lead").select("left", "right", F.xxhash64("lead", F.pmod(F.xxhash64("left"), F.ceil(F.col("n") / CELL))).alias("cell"))
+
+
+def _keys(column: pa.Array) -> list:
+    """Documents' ids as keys, whether they are numbers or structs."""
+    return list(zip(*(c.to_pylist() for c in column.flatten()), strict=True)) if pa.types.is_struct(column.type) else column.to_pylist()
+
+
 def vector_scores(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """left, right, score of the pairs, by the vectors of their documents (doc, text); no terms are exploded into rows."""
-    ids = pairs.select(F.col("left").alias("doc")).union(pairs.select("right")).distinct()
-    found = materialise(vectors(docs.join(ids, "doc", "left_semi")).dropDuplicates(["doc"]), "metadata-vectors")
-    l, r = (found.select(F.col("doc").alias(s), F.col("terms").alias(f"{s}_terms"), F.col("tfs").alias(f"{s}_tfs")) for s in ("left", "right"))
-    own = pairs.join(l, "left").join(r, "right")
-    schema = t.StructType([own.schema["left"], own.schema["right"], t.StructField("score", t.DoubleType())])
+    placed = materialise(scoring_cells(pairs), "metadata-cells")
+    wanted = placed.select(F.col("left").alias("doc"), "cell").unionByName(placed.select(F.col("right").alias("doc"), "cell")).distinct()
+    found = vectors(likely(docs, wanted)).dropDuplicates(["doc"])
+    held = wanted.join(found, "doc").select("cell", F.lit(False).alias("pair"), F.col("doc").alias("left"), F.col("doc").alias("right"), "terms", "tfs")
+    empty = F.lit(None).cast("binary")
+    dealt = held.unionByName(placed.select("cell", F.lit(True).alias("pair"), "left", "right", empty.alias("terms"), empty.alias("tfs")))
+    schema = t.StructType([pairs.schema["left"], pairs.schema["right"], t.StructField("score", t.DoubleType())])
     ratio = (IDF_SHARED / IDF_ONCE) ** 2
 
     def score(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -259,12 +289,22 @@ def vector_scores(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return float(ratio * (p @ q) / math.sqrt((u @ u - (1 - ratio) * (p @ p)) * (v @ v - (1 - ratio) * (q @ q))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [[np.frombuffer(x, kind) for x in batch.column(f"{s}_{c}").to_pylist()] for s in ("left", "right") for c, kind in (("terms", np.uint64), ("tfs", np.uint32))]
-            scores = [score(a, x.astype(float), b, y.astype(float)) for a, x, b, y in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("left"), batch.column("right"), pa.array(scores, pa.float64())], names=schema.names)
-
-    return own.mapInArrow(run, schema)
+        cell, vector = None, {}
+        for batch in batches:  # sorted by cell, its documents first
+            rows, scores = [], []
+            columns = (batch.column("cell").to_pylist(), batch.column("pair").to_pylist(), _keys(batch.column("left")), _keys(batch.column("right")), batch.column("terms"), batch.column("tfs"))
+            for row, (at, pair, l, r, term, tf) in enumerate(zip(*columns, strict=True)):
+                if at != cell:
+                    cell, vector = at, {}
+                if not pair:
+                    vector[l] = (np.frombuffer(term.as_py(), np.uint64), np.frombuffer(tf.as_py(), np.uint32).astype(float))
+                elif l in vector and r in vector:  # a document without a term has no vector
+                    rows.append(row)
+                    scores.append(score(*vector[l], *vector[r]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(s).take(pa.array(rows)) for s in ("left", "right")] + [pa.array(scores, pa.float64())], names=schema.names)
+
+    return dealt.repartition("cell").sortWithinPartitions("cell", "pair").mapInArrow(run, schema)
 
 
 def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -388,9 +428,7 @@ def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None)
         member = materialise(member, "metadata-members")
         found = materialise(sketches(docs, threshold).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "metadata-sketches")
         own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct() if probes is not None else None
-        pairs = materialise(sketched_pairs(found, threshold, own), "metadata-candidates")
-        scored = materialise(vector_scores(docs, pairs).where(F.col("score") >= threshold - 1e-12), "metadata-scores")
-        return scored, member
+        return sketched_scores(docs, found, threshold, own), member
     if threshold > 0 and probes is not None:
         member = materialise(member, "metadata-members")
         found = materialise(vectors(docs).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "metadata-vectors")
@@ -406,6 +444,13 @@ def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None)
     return scored.where(F.col("score") >= threshold - 1e-12), member
 
 
+def sketched_scores(docs: DataFrame, found: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
+    """left, right, score of the documents (doc, text) that have one of the sketches ``found``, which are deleted."""
+    pairs = materialise(sketched_pairs(found, threshold, probes), "metadata-candidates")
+    discard(found)
+    return materialise(vector_scores(docs, pairs).where(F.col("score") >= threshold - 1e-12), "metadata-scores")
+
+
 def expanded(pairs: DataFrame, member: DataFrame, probes: DataFrame) -> DataFrame:
     """probe, other, score: what each probe matches, copies on both sides included. The probes are a stated query set."""
     own = member.join(probes, "doc", "left_semi").select(F.col("doc").alias("probe"), F.col("rep").alias("a"))
@@ -415,20 +460,44 @@ def expanded(pairs: DataFrame, member: DataFrame, probes: DataFrame) -> DataFram
     return reached.join(member.select(F.col("doc").alias("other"), F.col("rep").alias("b")), "b").where("probe != other").select("probe", "other", "score")
 
 
-def anchors(nft: DataFrame) -> DataFrame:
-    """member, contract, chain, token_key, text, nfts: the metadata of every token of every member.
+def anchors(nft: DataFrame, what: str = "body", name: str = "text") -> DataFrame:
+    """member, contract, chain, token_key, text, nfts: the metadata (or another column, by that name) of every token of every member.
 
     A member is an EVM contract or a Solana NFT. ``contract`` holds the chain, too; of rows that repeat a token the last counts.
     """
     contract = F.concat("chain", F.lit("/"), "contract")
     member = F.when(F.col("chain") == "solana", F.concat(contract, F.lit("/"), F.col("token_id"))).otherwise(contract)
-    own = nft.where(F.col("body").isNotNull()).groupBy(member.alias("member"), contract.alias("contract"), "chain", "token_id").agg(F.max_by("body", "row_order").alias("text"), F.count(F.lit(1)).alias("nfts"))
-    return own.select("member", "contract", "chain", token_key(F.col("token_id")).alias("token_key"), "text", "nfts")
+    own = nft.where(F.col("body").isNotNull()).groupBy(member.alias("member"), contract.alias("contract"), "chain", "token_id").agg(F.max_by(what, "row_order").alias(name), F.count(F.lit(1)).alias("nfts"))
+    return own.select("member", "contract", "chain", token_key(F.col("token_id")).alias("token_key"), name, "nfts")
 
 
 def with_documents(own: DataFrame) -> DataFrame:
     """Anchors with ``doc``, a number for each different text (two hashes, so that none need be counted or sorted)."""
-    return own.withColumn("doc", F.struct(F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b")))
+    return own.withColumn("doc", document_number("text"))
+
+
+def document_number(text: str) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.crc32(F.col(text).cast("binary")).alias("b"))
+
+
+def numbered(nft: DataFrame) -> DataFrame:
+    """The snapshot with ``doc``, the number of each NFT's document: anchors can hold the number, and the texts stay where they are."""
+    return nft.withColumn("doc", document_number("body"))
+
+
+def numbered_links(nft: DataFrame, own: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
+    """``document_links`` of anchors with ``doc`` only; the texts are read where they are in the snapshot."""
+    texts = numbered(nft.where(F.col("body").isNotNull())).select("doc", F.col("body").alias("text"))
+    docs = own.select("doc").distinct()
+    if threshold <= 0 or least_share(threshold) < SKETCHED:
+        return document_links(texts.join(docs, "doc", "left_semi"), threshold, probes)
+    found = materialise(sketches(texts, threshold).join(docs, "doc", "left_semi").dropDuplicates(["doc"]), "metadata-sketches")
+    return both_ways(sketched_scores(texts, found, threshold, probes))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """doc, peer: the pairs in both orders."""
+    return pairs.select(F.col("left").alias("doc"), F.col("right").alias("peer")).unionByName(pairs.select(F.col("right").alias("doc"), F.col("left").alias("peer")))
 
 
 def member_pairs(own: DataFrame, links: DataFrame, left: DataFrame | None = None) -> DataFrame:
@@ -452,8 +521,9 @@ def member_pairs(own: DataFrame, links: DataFrame, left: DataFrame | None = None
     both = order & (F.col("l_contract") != F.col("r_contract"))
     evm = (F.col("l_chain") != "solana") & (F.col("r_chain") != "solana")
     pair = ["l_member", "r_member"]
-    by_token = side(first, "l").join(link, "l_doc").join(side(own, "r").withColumnRenamed("r_token_key", "l_token_key"), ["r_doc", "l_token_key"]).where(both & evm).select(*pair, F.col("l_token_key").alias("token_key"))
-    by_top = tops(first, "l").join(link, "l_doc").join(tops(own, "r"), "r_doc").where(both).select(*pair, evm.alias("evm"))
+    by_token = side(first.where("chain != 'solana'"), "l").join(link, "l_doc").join(side(own.where("chain != 'solana'"), "r").withColumnRenamed("r_token_key", "l_token_key"), ["r_doc", "l_token_key"]).where(both & evm).select(*pair, F.col("l_token_key").alias("token_key"))
+    by_token = materialise(by_token, "member-pairs-by-token")  # read by several branches of the plan, as the next
+    by_top = materialise(tops(first, "l").join(link, "l_doc").join(tops(own, "r"), "r_doc").where(both).select(*pair, evm.alias("evm")), "member-pairs-by-top")
     pairs = by_token.select(*pair).unionByName(by_top.where("evm").select(*pair)).distinct()
     token = own.select("member", "token_key")
     shared = pairs.join(token.withColumnRenamed("member", "l_member"), "l_member").join(token.withColumnRenamed("member", "r_member"), ["r_member", "token_key"])
@@ -463,10 +533,23 @@ def member_pairs(own: DataFrame, links: DataFrame, left: DataFrame | None = None
     return aligned.unionByName(lone).unionByName(by_top.where("not evm").select(*pair)).distinct().select(F.col("l_member").alias("left"), F.col("r_member").alias("right"))
 
 
+def contract_pairs(own: DataFrame, links: DataFrame, left: DataFrame) -> DataFrame:
+    """left, right: the contracts of ``member_pairs``, left one of ``left`` (contract). A Solana contract's NFTs are not paired one by one:
+    pairs with them depend on the largest documents only, of which a contract's different ones are taken.
+    """
+    evm = own.where("chain != 'solana'")
+    alike = member_pairs(evm, links, left.withColumnRenamed("contract", "member"))
+    top = own.groupBy("member", "contract", "chain").agg(F.max_by("doc", "token_key").alias("doc")).select("contract", "doc", (F.col("chain") == "solana").alias("solana")).distinct()
+    top = materialise(top, "contract-documents")
+    l, r = (top.select(F.col("contract").alias(s), F.col("doc").alias(f"{s}_doc"), F.col("solana").alias(f"{s}_solana")) for s in ("left", "right"))
+    link = links.select(F.col("doc").alias("left_doc"), F.col("peer").alias("right_doc")).unionByName(top.select(F.col("doc").alias("left_doc"), F.col("doc").alias("right_doc")).distinct())
+    mixed = l.join(left.withColumnRenamed("contract", "left"), "left", "left_semi").join(link, "left_doc").join(r, "right_doc").where("left != right and (left_solana or right_solana)")
+    return alike.unionByName(mixed.select("left", "right")).distinct()
+
+
 def document_links(own: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
     """doc, peer: ordered pairs of different matching documents of the anchors; with ``probes`` (doc), those of a probe."""
-    pairs, _ = matches(own.select("doc", "text"), threshold, probes)
-    return pairs.select(F.col("left").alias("doc"), F.col("right").alias("peer")).unionByName(pairs.select(F.col("right").alias("doc"), F.col("left").alias("peer")))
+    return both_ways(matches(own.select("doc", "text"), threshold, probes)[0])
 
 
 def metadata_hits(nft: DataFrame, threshold: float) -> DataFrame:

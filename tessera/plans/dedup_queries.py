@@ -356,12 +356,14 @@ def candidate_registry(spark: SparkSession, folder: str) -> DataFrame:
     """The dimensions in which a seed has a candidate, and whether one of them is of the whole contract."""
     key = ["seed_chain", "seed_contract", "chain", "contract"]
     mine = seeds(spark, folder)
-    a = seed_uri(spark, folder).select(*key, F.col("kind").alias("dim"), F.lit(False).alias("whole"))
+    a = materialise(seed_uri(spark, folder).select(*key, F.col("kind").alias("dim"), F.lit(False).alias("whole")), "seed-uris")  # plans of their own: one of all dimensions is large
     b = seed_names(spark, folder).select(*key, F.lit("name").alias("dim"), F.lit(True).alias("whole"))
-    own = materialise(metadata.with_documents(metadata.anchors(nft(spark, folder))), "metadata-anchors")
-    anchor = own.join(mine.select(F.concat("chain", F.lit("/"), "contract").alias("contract")), "contract", "left_semi")
-    links = materialise(metadata.document_links(own, 0.6, anchor.select("doc").distinct()), "seed-links")
-    pairs = metadata.member_pairs(own, links, anchor.select("member").distinct())
+    rows = nft(spark, folder)
+    own = materialise(metadata.anchors(metadata.numbered(rows), "doc", "doc"), "metadata-anchors")
+    contracts = materialise(mine.select(F.concat("chain", F.lit("/"), "contract").alias("contract")), "seeds")
+    probes = own.join(contracts, "contract", "left_semi").select("doc").distinct()
+    links = materialise(metadata.numbered_links(rows, own, 0.6, probes), "seed-links")
+    pairs = materialise(metadata.contract_pairs(own, links, contracts), "seed-pairs")
 
     def part(c: str, n: int):
         return F.split(c, "/")[n]

@@ -11,6 +11,7 @@ from tessera.functions.canonical import canonical
 from tessera.functions.similarity import best_from_overlap, jaro_winkler, least_overlap
 from tessera.functions.text import normalize_url, plain_name, token_key
 from tessera.operators import metadata, names, snapshot, uri
+from tessera.plans import dedup_queries, more_queries, registry, report_queries  # noqa: F401
 from tessera.runtime import scratch_dir
 
 SCHEMA = "chain string, contract string, token_id string, name_norm string, token_uri string, image_uri string, body string, row_order long"
@@ -251,3 +252,46 @@ def test_snapshot_rules(spark):
     assert [(r.chain, r.name_norm, r.token_uri) for r in rows] == [("base", "n", "")]
     dup = spark.createDataFrame([("base", "a", None, "x", 1), ("base", "a", "t", "", 2), ("base", "a", "u", "y", 3)], "chain string, contract string, p string, q string, o int")
     assert snapshot.first_wins(dup, ["chain", "contract"], ["p", "q"], "o").first()[2:] == ("t", "x")
+
+
+@pytest.mark.parametrize("name", ["d17_candidate_registry"])
+def test_anchors_of_queries_hold_no_texts(spark, small, name):
+    def tables():
+        return set(Path(scratch_dir(spark)).glob("metadata-anchors*"))
+
+    before = tables()
+    assert registry.QUERIES[name](spark, small).columns
+    made = tables() - before
+    assert made and all("text" not in spark.read.parquet(str(x)).columns for x in made)
+
+
+def test_contract_pairs_are_those_of_members(spark):
+    rng = random.Random(3)
+    texts = list(random_texts(14).values())
+    rows = [(rng.choice(["base", "ethereum", "solana"]), f"c{rng.randint(0, 5)}", str(rng.randint(1, 3)), "n", "t", "i", rng.choice([*texts, None]), i) for i in range(70)]
+    own = spark.createDataFrame(rows, SCHEMA)
+    anchors = metadata.anchors(metadata.numbered(own), "doc", "doc")
+    links = metadata.numbered_links(own, anchors, 0.6)
+    old = metadata.with_documents(metadata.anchors(own))
+    assert {tuple(r) for r in links.collect()} == {tuple(r) for r in metadata.document_links(old, 0.6).collect()}
+    left = anchors.where("contract like '%/c1' or contract like '%/c2'").select("contract").distinct()
+    contract = anchors.select("member", "contract").distinct()
+    want = metadata.member_pairs(anchors, links, contract.join(left, "contract").select("member"))
+    want = want.join(contract.toDF("left", "l"), "left").join(contract.toDF("right", "r"), "right").select("l", "r").distinct()
+    got = [tuple(r) for r in metadata.contract_pairs(anchors, links, left).collect()]
+    assert len(got) > 10 and len(got) == len(set(got)) and set(got) == {tuple(r) for r in want.collect()}
+
+
+def test_scores_of_a_cluster_take_each_vector_once(spark):
+    """All pairs of 60 documents and of 40 others: two cells, and 100 rows of vectors, not one for each of 2550 pairs."""
+    texts = {i: f"{'red fox jumps over lazy dogs' if i < 60 else 'blue whale swims under calm seas'} number {i}" for i in range(100)}
+    docs = spark.createDataFrame([*texts.items(), (500, "another text"), (501, None)], "doc long, text string")
+    pairs = [(a, b) for a, b in itertools.combinations(range(100), 2) if (a < 60) == (b < 60)]
+    frame = spark.createDataFrame(pairs, "left long, right long")
+    cells = metadata.scoring_cells(frame).collect()
+    assert sorted((r.left, r.right) for r in cells) == pairs and len({r.cell for r in cells}) == 2
+    got = {(r.left, r.right): r.score for r in metadata.vector_scores(docs, frame).collect()}
+    assert got.keys() == set(pairs) and all(abs(got[p] - brute_bm25(texts[p[0]], texts[p[1]])) < 1e-9 for p in pairs[::37])
+    some = spark.createDataFrame([(i,) for i in (0, 7, 99)], "doc long")
+    near = {r.doc for r in metadata.likely(docs, some).collect()}
+    assert {0, 7, 99} <= near and len(near) < 10
