@@ -191,12 +191,14 @@ def _near(visitors: _Side, homes: _Side, threshold: float, inside: bool) -> Iter
 
 
 def sketched_pairs(found: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
-    """left, right (left < right): the pairs of sketches that may reach the threshold; with ``probes`` (doc), only those of a probe.
+    """left, right (left < right): the pairs of sketches that may reach the threshold; with ``probes`` (doc), or where sketches are marked
+    as ``probe``, only those of a probe.
 
     Bitmaps and numbers of terms bound what two documents can share, so no match is lost. Documents are dealt by their number of
     terms into ranges; each also visits those lower ranges that may hold a match.
     """
-    own = found.withColumn("probe", F.lit(True)) if probes is None else found.join(probes.select("doc", F.lit(True).alias("probe")), "doc", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    marked = found if "probe" in found.columns else found.withColumn("probe", F.lit(True))
+    own = marked if probes is None else found.join(probes.select("doc", F.lit(True).alias("probe")), "doc", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
     cuts = sorted(set(found.approxQuantile("n", [k / RANGES for k in range(1, RANGES)], 0.002)))
 
     def place(c: Column) -> Column:
@@ -491,8 +493,10 @@ def numbered_links(nft: DataFrame, own: DataFrame, threshold: float, probes: Dat
     docs = own.select("doc").distinct()
     if threshold <= 0 or least_share(threshold) < SKETCHED:
         return document_links(texts.join(docs, "doc", "left_semi"), threshold, probes)
-    found = materialise(sketches(texts, threshold).join(docs, "doc", "left_semi").dropDuplicates(["doc"]), "metadata-sketches")
-    return both_ways(sketched_scores(texts, found, threshold, probes))
+    if probes is not None:  # marked here, so that the sketches need not be dealt out again for it
+        docs = docs.join(probes.select("doc", F.lit(True).alias("probe")).distinct(), "doc", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    found = materialise(sketches(texts, threshold).dropDuplicates(["doc"]).join(docs, "doc"), "metadata-sketches")
+    return both_ways(sketched_scores(texts, found, threshold))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

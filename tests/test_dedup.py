@@ -11,7 +11,7 @@ from tessera.functions.canonical import canonical
 from tessera.functions.similarity import best_from_overlap, jaro_winkler, least_overlap
 from tessera.functions.text import normalize_url, plain_name, token_key
 from tessera.operators import metadata, names, snapshot, uri
-from tessera.plans import dedup_queries, more_queries, registry, report_queries  # noqa: F401
+from tessera.plans import more_queries, registry, report_queries  # noqa: F401
 from tessera.runtime import scratch_dir
 
 SCHEMA = "chain string, contract string, token_id string, name_norm string, token_uri string, image_uri string, body string, row_order long"
@@ -275,6 +275,9 @@ def test_contract_pairs_are_those_of_members(spark):
     old = metadata.with_documents(metadata.anchors(own))
     assert {tuple(r) for r in links.collect()} == {tuple(r) for r in metadata.document_links(old, 0.6).collect()}
     left = anchors.where("contract like '%/c1' or contract like '%/c2'").select("contract").distinct()
+    probes = {tuple(r.doc) for r in anchors.join(left, "contract").select("doc").collect()}
+    seeded = metadata.numbered_links(own, anchors, 0.6, anchors.join(left, "contract").select("doc").distinct())
+    assert {tuple(r) for r in seeded.collect()} == {tuple(r) for r in links.collect() if tuple(r.doc) in probes or tuple(r.peer) in probes}
     contract = anchors.select("member", "contract").distinct()
     want = metadata.member_pairs(anchors, links, contract.join(left, "contract").select("member"))
     want = want.join(contract.toDF("left", "l"), "left").join(contract.toDF("right", "r"), "right").select("l", "r").distinct()
