@@ -208,10 +208,13 @@ def operator_levels(spark: SparkSession, folder: str) -> DataFrame:
 @query("d8_pair_choice", N + DQ.PAIRED_SQL.replace("{threshold}", "0.6") + ' SELECT mt.l AS "left", mt.r AS "right", md5(x.body) AS left_doc, md5(y.body) AS right_doc FROM mt JOIN ch ON ch.l = mt.l AND ch.r = mt.r JOIN txt x ON x.doc = ld JOIN txt y ON y.doc = rd')
 def pair_choice(spark: SparkSession, folder: str) -> DataFrame:
     """The documents on which matching members (EVM contracts and Solana NFTs) are compared."""
-    own = materialise(metadata.with_documents(metadata.anchors(nft(spark, folder))), "metadata-anchors")
-    links = materialise(metadata.document_links(own, 0.6), "metadata-links")
-    pairs = materialise(metadata.member_pairs(own, links), "member-pairs")
-    rows = own.select(F.col("member").alias("contract"), "chain", "token_key", F.md5(F.col("text").cast("binary")).alias("doc"))
+    own = nft(spark, folder)
+    both = F.struct("doc", F.md5(F.col("body").cast("binary")).alias("md5"))
+    held = metadata.anchors(metadata.numbered(own).withColumn("both", both), "both", "both").select("member", "contract", "chain", "token_key", "both.doc", "both.md5", "nfts")
+    held = materialise(held, "metadata-anchors")
+    links = materialise(metadata.numbered_links(own, held, 0.6), "metadata-links")
+    pairs = materialise(metadata.member_pairs(held, links), "member-pairs")
+    rows = held.select(F.col("member").alias("contract"), "chain", "token_key", F.col("md5").alias("doc"))
     return metadata.aligned_documents(rows, pairs)
 
 
