@@ -562,8 +562,8 @@ def metadata_hits(nft: DataFrame, threshold: float) -> DataFrame:
     No pairs are made of members with equal documents. EVM contracts with equal anchors are one profile, and profiles are paired;
     pairs with a Solana NFT depend only on the largest document of each side, so chains are counted by document.
     """
-    own = materialise(with_documents(anchors(nft)), "metadata-anchors")
-    links = materialise(document_links(own, threshold), "metadata-links")
+    own = materialise(anchors(numbered(nft), "doc", "doc"), "metadata-anchors")
+    links = materialise(numbered_links(nft, own, threshold), "metadata-links")
     size = own.groupBy("member", "contract", "chain").agg(F.sum("nfts").alias("nfts"), F.max_by("doc", "token_key").alias("doc"))
 
     # EVM contracts: by profile. Equal sets of anchors have equal counts, sums and xors of their hashes
