@@ -254,7 +254,7 @@ def test_snapshot_rules(spark):
     assert snapshot.first_wins(dup, ["chain", "contract"], ["p", "q"], "o").first()[2:] == ("t", "x")
 
 
-@pytest.mark.parametrize("name", ["d17_candidate_registry", "d8_pair_choice", "j10_aligned_documents", "d12_metadata_scopes"])
+@pytest.mark.parametrize("name", ["d17_candidate_registry", "d8_pair_choice", "j10_aligned_documents", "d12_metadata_scopes", "d18_duplicate_scale"])
 def test_anchors_of_queries_hold_no_texts(spark, small, name):
     def tables():
         return set(Path(scratch_dir(spark)).glob("metadata-anchors*"))
