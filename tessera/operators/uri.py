@@ -106,27 +106,43 @@ def seed_uri_rows(nft: DataFrame, seeds: DataFrame) -> DataFrame:
     return token.select(F.lit("token_uri").alias("kind"), *columns).unionByName(image.select(F.lit("image_uri").alias("kind"), *columns)).distinct()
 
 
-def nft_scopes(rows: DataFrame, seen: DataFrame, uri: str) -> DataFrame:
-    """chain, contract, row_order, scope, peer: as ``scope_rows``, for each NFT."""
-    found = scope_rows(rows.select(F.col(uri).alias("uri"), "chain", "contract", F.col("row_order").alias("nfts")), seen)
-    return found.select("chain", "contract", F.col("nfts").alias("row_order"), "scope", "peer")
+def hit_scopes(intra: Column, cross: Column, peers: Column) -> Column:
+    """The (scope, peer) in which an NFT is a duplicate, as an array: at most one entry a chain besides the first two."""
+
+    def one(held: Column, scope: str, peer: Column) -> Column:
+        found = F.array(F.struct(F.lit(scope).alias("scope"), peer.alias("peer")))
+        return F.when(held, found).otherwise(F.filter(found, lambda _: F.lit(False)))
+
+    return F.concat(one(intra, "intra", F.col("chain")), one(cross, "cross", F.lit("")), F.transform(peers, lambda p: F.struct(F.lit("matrix").alias("scope"), p.alias("peer"))))
+
+
+def with_uri(rows: DataFrame, found: DataFrame, uri: str) -> DataFrame:
+    """``rows`` with what is ``found`` (uri and others) of their URI, or nulls; rows that have none are dealt out evenly."""
+    without = F.coalesce(F.col(uri), F.lit("")) == ""
+    own = rows.withColumn("uri", F.coalesce(F.col(uri), F.lit(""))).withColumn("spread", F.when(without, F.xxhash64("row_order")).otherwise(F.lit(0).cast("long"))).drop(uri)
+    return own.join(found.withColumn("spread", F.lit(0).cast("long")), ["uri", "spread"], "left").drop("uri", "spread")
 
 
 def nft_hits(nft: DataFrame, chains: tuple[str, ...] = CHAINS) -> DataFrame:
-    """kind, chain, contract, row_order, scope, peer: the NFTs behind ``token_uri_scopes`` and ``image_uri_scopes``."""
-    own = nft.select("chain", "contract", "row_order", "token_uri", "image_uri")
-    token = nft_scopes(own.where(F.coalesce(F.col("token_uri"), F.lit("")) != ""), presence(postings(own, "token_uri")), "token_uri")
-    left = own.where(F.coalesce(F.col("image_uri"), F.lit("")) != "")
-    every = F.array(F.struct(F.lit("intra").alias("scope"), F.col("chain").alias("peer")), F.struct(F.lit("cross").alias("scope"), F.lit("").alias("peer")), *(F.struct(F.lit("matrix").alias("scope"), F.lit(c).alias("peer")) for c in chains))
-    open_ = left.withColumn("s", F.explode(every)).select("chain", "contract", "row_order", "image_uri", "s.scope", "s.peer").where("scope != 'matrix' or peer != chain")
-    open_ = open_.join(token.select("row_order", "scope", "peer"), ["row_order", "scope", "peer"], "left_anti")
+    """The rows with ``token_hits`` and ``image_hits`` for their URIs: where (scope, peer) ``token_uri_scopes`` and ``image_uri_scopes``
+    count them.
+
+    Rows are dealt out once for each URI, and not once for each scope.
+    """
+    own = with_uri(nft, presence(postings(nft, "token_uri")), "token_uri")
+    own = own.withColumn("peers", F.coalesce(other_chains(), F.array().cast("array<string>"))).withColumn("intra", F.coalesce(F.element_at("seen", F.col("chain")) >= 2, F.lit(False))).drop("seen")
+    free = F.size("peers") == 0
+    against = F.array_except(F.array(*map(F.lit, chains)), F.concat(F.array("chain"), F.col("peers")))
     # what of an image is left in a scope: contracts of a chain, chains, or the other side of a pair of chains
-    group = open_.groupBy("image_uri", "scope", "chain", "peer").agg(F.countDistinct("contract").alias("contracts"))
-    intra = group.where("scope = 'intra' and contracts >= 2").select("image_uri", "scope", "chain", "peer")
-    cross = group.where("scope = 'cross'")
-    cross = cross.join(cross.groupBy("image_uri").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("image_uri"), "image_uri", "left_semi").select("image_uri", "scope", "chain", "peer")
-    matrix = group.where("scope = 'matrix'").select("image_uri", "scope", "chain", "peer")
-    matrix = matrix.join(matrix.select("image_uri", F.col("peer").alias("chain"), F.col("chain").alias("peer")), ["image_uri", "chain", "peer"], "left_semi")
-    image = open_.join(intra.unionByName(cross).unionByName(matrix), ["image_uri", "scope", "chain", "peer"], "left_semi")
-    columns = ["chain", "contract", "row_order", "scope", "peer"]
-    return token.select(F.lit("token_uri").alias("kind"), *columns).unionByName(image.select(F.lit("image_uri").alias("kind"), *columns))
+    open_ = own.where(F.coalesce(F.col("image_uri"), F.lit("")) != "").withColumn("contract", F.when(~F.col("intra"), F.col("contract")))
+    sides = open_.groupBy(F.col("image_uri").alias("uri"), "chain").agg((F.min("contract") < F.max("contract")).alias("several"), F.bool_or(free).alias("free"), F.array_compact(F.array(*(F.when(F.bool_or(F.array_contains(against, c)), F.lit(c)) for c in chains))).alias("against"))
+    sides = sides.groupBy("uri").agg(F.collect_list(F.struct("chain", "several", "free", "against")).alias("sides"))
+
+    def among(held) -> Column:
+        return F.coalesce(F.exists("sides", held), F.lit(False))
+
+    own = with_uri(own, sides, "image_uri")
+    token = hit_scopes(F.col("intra"), ~free, F.col("peers"))
+    back = F.filter(against, lambda p: among(lambda x: (x["chain"] == p) & F.array_contains(x["against"], F.col("chain"))))
+    image = hit_scopes(~F.col("intra") & among(lambda x: (x["chain"] == F.col("chain")) & x["several"]), free & among(lambda x: (x["chain"] != F.col("chain")) & x["free"]), back)
+    return own.withColumn("token_hits", token).withColumn("image_hits", image).drop("peers", "intra", "sides")

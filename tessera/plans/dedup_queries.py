@@ -392,21 +392,36 @@ MEMBER_SCOPES = "SELECT {k} AS kind, s.scope, s.chain, s.peer, n.contract, n.row
 def duplicate_scale(spark: SparkSession, folder: str) -> DataFrame:
     """Rows token_uri, image_uri, name, metadata and total (the union of their NFTs) of every scope, with denominators."""
     own = nft(spark, folder)
-    columns = ["chain", "contract", "row_order", "scope", "peer"]
-    name = names.exact_hits(names.members(own)).select("chain", "contract", F.col("name").alias("which"), "peer").distinct()
-    held = metadata.metadata_hits(own, 0.6).select("chain", F.split("contract", "/")[1].alias("contract"), F.get(F.split("member", "/"), F.lit(2)).alias("which"), "peer").distinct()
-
-    def by_member(hits: DataFrame, kind: str, which: str) -> DataFrame:
-        """The NFTs of member hits: all of an EVM contract, or those of the Solana member."""
-        rows = own.select("chain", "contract", "row_order", F.col(which).alias("own"))
-        found = rows.join(hits, ["chain", "contract"]).where("chain != 'solana' or own = which")
-        scope = F.when(F.col("peer") == F.col("chain"), F.array(F.struct(F.lit("intra").alias("scope"), F.col("peer")))).otherwise(F.array(F.struct(F.lit("matrix").alias("scope"), F.col("peer")), F.struct(F.lit("cross").alias("scope"), F.lit("").alias("peer"))))
-        return found.select("chain", "contract", "row_order", F.explode(scope).alias("s")).select(F.lit(kind).alias("kind"), "chain", "contract", "row_order", "s.scope", "s.peer").distinct()
-
-    every = uri.nft_hits(own).unionByName(by_member(name, "name", "name_norm")).unionByName(by_member(held, "metadata", "token_id"))
-    every = materialise(every, "duplicate-nfts")
-    kinds = every.unionByName(every.select(F.lit("total").alias("kind"), *columns).distinct())
-    counts = kinds.groupBy("kind", "scope", "chain", "peer").agg(F.countDistinct("contract").alias("contracts"), F.count(F.lit(1)).alias("nfts"))
+    name = names.exact_hits(names.members(own)).select("chain", "contract", F.col("name").alias("which"), "peer")
+    held = metadata.metadata_hits(own, 0.6).select("chain", F.split("contract", "/")[1].alias("contract"), F.get(F.split("member", "/"), F.lit(2)).alias("which"), "peer")
+
+    def member(which: str):
+        """What tells the members of a contract: nothing of an EVM contract, which is one."""
+        return F.when(F.col("chain") == "solana", F.col(which)).otherwise(F.lit(""))
+
+    def by_member(rows: DataFrame, hits: DataFrame, kind: str, which: str) -> DataFrame:
+        """The rows with the (scope, peer) of their members' hits."""
+        peers = hits.groupBy("chain", "contract", member("which").alias("member")).agg(F.collect_set("peer").alias("peers"))
+        found = rows.withColumnRenamed(which, "member").join(materialise(peers, f"{kind}-hits"), ["chain", "contract", "member"], "left")
+        peers = F.coalesce(F.col("peers"), F.array().cast("array<string>"))
+        other = F.filter(peers, lambda p: p != F.col("chain"))
+        return found.withColumn(f"{kind}_hits", uri.hit_scopes(F.array_contains(peers, F.col("chain")), F.size(other) > 0, other)).drop("member", "peers")
+
+    rows = own.select("chain", "contract", "row_order", "token_uri", "image_uri", member("name_norm").alias("name_norm"), member("token_id").alias("token_id"))
+    rows = uri.nft_hits(by_member(by_member(rows, name, "name", "name_norm"), held, "metadata", "token_id"))
+    kinds = {"token_uri": "token_hits", "image_uri": "image_hits", "name": "name_hits", "metadata": "metadata_hits"}
+    total = F.array_union(F.array_union("token_hits", "image_hits"), F.array_union("name_hits", "metadata_hits"))
+
+    def of_kind(kind: str, hits):
+        return F.transform(hits, lambda h: F.struct(F.lit(kind).alias("kind"), h["scope"].alias("scope"), h["peer"].alias("peer")))
+
+    hits = F.concat(*(of_kind(kind, F.col(c)) for kind, c in kinds.items()), of_kind("total", total))
+    every = materialise(rows.select("chain", "contract", "row_order", hits.alias("hits")).where(F.size("hits") > 0), "duplicate-nfts")
+    key = ["kind", "scope", "chain", "peer"]
+    contracts = every.select("chain", "contract", F.explode("hits").alias("h")).select("chain", "contract", "h.*").distinct().groupBy(*key).agg(F.count("contract").alias("contracts"), F.lit(0).cast("long").alias("nfts"))
+    once = every.groupBy("chain", "row_order").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"))
+    nfts = once.select("chain", "row_order", F.explode("hits").alias("h")).select("chain", "row_order", "h.*").groupBy(*key).agg(F.lit(0).cast("long").alias("contracts"), F.count("row_order").alias("nfts"))
+    counts = contracts.unionByName(nfts).groupBy(*key).agg(F.sum("contracts").alias("contracts"), F.sum("nfts").alias("nfts"))
     return uri.with_ratios(counts, uri.chain_totals(own), F.col("kind"), "kind")
 
 

@@ -4,6 +4,7 @@ import itertools
 import random
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +299,32 @@ def test_scores_of_a_cluster_take_each_vector_once(spark):
     some = spark.createDataFrame([(i,) for i in (0, 7, 99)], "doc long")
     near = {r.doc for r in metadata.likely(docs, some).collect()}
     assert {0, 7, 99} <= near and len(near) < 10
+
+
+def test_hits_of_nfts_are_arrays_and_count_as_scopes(spark):
+    """One row an NFT, not one a scope, and rows are dealt out once for each URI."""
+    rng = random.Random(7)
+    rows = [(rng.choice(["base", "ethereum", "polygon", "solana"]), f"c{rng.randint(0, 3)}", "", rng.choice([None, "", *(f"t{i}" for i in range(60))]), rng.choice([None, "", *(f"i{i}" for i in range(25))]), "") for _ in range(150)]
+    own = nfts(spark, rows)
+    got = uri.nft_hits(own)
+    assert got.count() == 150
+    for kind, want in (("token_hits", uri.token_uri_scopes(own)), ("image_hits", uri.image_uri_scopes(own))):
+        found = got.select("chain", "contract", F.explode(kind).alias("s")).select("chain", "contract", "s.*")
+        counted = scopes(found.groupBy("scope", "chain", "peer").agg(F.countDistinct("contract").alias("contracts"), F.count(F.lit(1)).alias("nfts")))
+        assert len(counted) > 10 and counted == scopes(want)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 12
+
+
+def test_duplicate_scale_counts_an_id_once(spark, small, tmp_path):
+    """Rows that repeat an id, as SQL counts them; no table of the query has a row for each scope of an NFT."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.unionByName(docs.where("doc_id % 7 < 2")).unionByName(docs.where("doc_id % 11 = 0").withColumn("source", F.lit("other"))).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(Path(scratch_dir(spark)).glob("duplicate-nfts*"))
+    columns = ["kind", "scope", "chain", "peer", "contracts", "nfts", "total_contracts", "total_nfts"]
+    got = {tuple(r[c] for c in columns) for r in registry.QUERIES["d18_duplicate_scale"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES['d18_duplicate_scale']})").fetchall())
+    (made,) = set(Path(scratch_dir(spark)).glob("duplicate-nfts*")) - before
+    every = spark.read.parquet(str(made))
+    assert every.count() <= docs.count() * 2 and every.columns == ["chain", "contract", "row_order", "hits"]
