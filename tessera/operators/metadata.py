@@ -23,8 +23,8 @@ LEAST_NORM, MOST_NORM = K1 * (1 - B), K1 * (1 + B)
 NORMS = [LEAST_NORM + (MOST_NORM - LEAST_NORM) * j / 8 for j in range(9)]
 #: Bits of a document's bitmap of terms, 64-bit words of its folded form, ranges of sizes, and the least share for which bitmaps rule out enough.
 BITS, FOLDED, RANGES, SKETCHED = 2048, 4, 48, 0.8
-#: Documents of a part that probes visit.
-PART = 4000
+#: Documents and entries of a block that probes visit, files of visiting blocks of a task, and entries of postings that are looked at together.
+PART, ENTRIES, TOGETHER, VISITED = 3000, 1 << 20, 8, 250_000
 #: Bits of the map by which documents are told from those of no pair, and pairs that are scored together.
 MAP, CELL = 1 << 24, 20000
 
@@ -335,79 +335,203 @@ def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.join(sums, ["left", "right"]).select("left", "right", (F.lit(ratio) * F.col("dot") / F.sqrt(a * b)).alias("score"))
 
 
+def least_of_both(threshold: float) -> float:
+    """What one document of a match, at least, shares of its squared weights: with less on both sides, the bound of ``least_share`` stays below."""
+    r = (IDF_SHARED / IDF_ONCE) ** 2
+    return threshold / (r + (1 - r) * threshold)
+
+
+class _Vectors:
+    """Vectors of some documents, one after the other: terms, counts (tf), and the document (of) of each entry."""
+
+    def __init__(self, *parts: tuple[bytes, bytes, bytes]):
+        """The parts: numbers of terms of their documents, terms, and counts of one, two or four bytes."""
+        self.lengths = np.concatenate([np.frombuffer(lengths, np.uint32) for lengths, _, _ in parts]).astype(np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.terms = np.concatenate([np.frombuffer(terms, np.uint64) for _, terms, _ in parts])
+        self.tf = np.concatenate([np.frombuffer(tfs, f"u{8 * len(tfs) // max(8, len(terms)) or 1}") for _, terms, tfs in parts]).astype(float)
+        self.of = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.size = np.bincount(self.of, self.tf, len(self.lengths))
+        bits = np.zeros((len(self.lengths), BITS), bool)
+        bits[self.of, (self.terms % np.uint64(BITS)).astype(np.int64)] = True
+        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        self.held = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        self.totals = np.stack([np.bincount(self.of, (self.tf * (K1 + 1) / (self.tf + norm)) ** 2, len(self.lengths)) for norm in NORMS], 1)
+        self.n = self.lengths.astype(float)
+
+    def rarest(self, often: np.ndarray, free: float) -> np.ndarray:
+        """Entries that a match must share one of if it lacks at most ``free`` of its document's weights, rarest first (see ``prefixes``)."""
+        order = np.argsort((self.of << 32) | often, kind="stable")  # within documents, so ``of`` stays as it is
+        tf, possible, last = self.tf[order], np.zeros(len(order), bool), None
+        for j in range(len(NORMS) - 1, -1, -2):
+            w = (tf * (K1 + 1) / (tf + NORMS[j])) ** 2
+            before = np.cumsum(w) - w
+            before -= before[self.first].repeat(self.lengths)
+            if last is not None:  # sums over many documents are rounded
+                possible |= (1 - free) * last <= ((free + 1e-7) * self.totals[:, j]).repeat(self.lengths) - free * before
+            last = before
+        return order[possible]
+
+
+def _spans(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every span, one span after the other."""
+    return np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)
+
+
 class _Index:
-    """Vectors of some documents, by term: postings (document, count) and each document's histogram of counts."""
-
-    def __init__(self, terms: list[bytes], tfs: list[bytes]):
-        held = [np.frombuffer(x, np.uint64) for x in terms]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in tfs]).astype(float)
-        doc = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        self.size = np.bincount(doc, counts, len(held))
-        entry, self.often = np.unique(np.stack([doc, counts], 1), axis=0, return_counts=True)
-        self.of, self.count = entry[:, 0].astype(np.int64), entry[:, 1]
-        every = np.concatenate(held)
-        order = np.argsort(every, kind="stable")
-        self.terms, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
-        self.doc, self.tf = doc[order].astype(np.int32), counts[order].astype(np.float32)
-
-    def scores(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        """The cosine of one document with each of these."""
-        ratio, n = (IDF_SHARED / IDF_ONCE) ** 2, len(self.size)
-        mean = np.maximum((self.size + tf.sum()) / 2, 1)
-        own, other = K1 * (1 - B + B * tf.sum() / mean), K1 * (1 - B + B * self.size / mean)
-        value, often = np.unique(tf, return_counts=True)
-        total = (often * (value * (K1 + 1) / (value + own[:, None])) ** 2).sum(1)
-        theirs = np.bincount(self.of, self.often * (self.count * (K1 + 1) / (self.count + other[self.of])) ** 2, n)
-        at = np.searchsorted(self.terms, term)
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == term
-        first, times = self.first[at[hit]], self.times[at[hit]]
-        place = np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)
-        doc, x, y = self.doc[place], np.repeat(tf[hit], times), self.tf[place].astype(float)
-        u, v = x * (K1 + 1) / (x + own[doc]), y * (K1 + 1) / (y + other[doc])
-        dot, l2, r2 = (np.bincount(doc, w, n) for w in (u * v, u * u, v * v))
-        return ratio * dot / np.sqrt((total - (1 - ratio) * l2) * (theirs - (1 - ratio) * r2))
-
-
-def probe_scores(found: DataFrame, probes: DataFrame, threshold: float) -> DataFrame:
-    """left, right (left < right), score of every pair of vectors with a probe (doc) that reaches the threshold.
-
-    Documents are dealt into parts of about ``PART``, and every part indexes its terms and is visited by all probes. For thresholds so
-    low that nothing can be ruled out before.
+    """The documents that hold each term, and those that hold it among their rarest."""
+
+    def __init__(self, own: _Vectors, threshold: float):
+        self.own, self.threshold = own, threshold
+        self.free = 1 - least_of_both(threshold) + 1e-9
+        self.terms, self.place, self.times = np.unique(own.terms, return_inverse=True, return_counts=True)
+        self.all = self._postings(np.arange(len(own.of)))
+        self.rare = self._postings(own.rarest(self.times[self.place], self.free))
+
+    def _postings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The documents of the entries by term; where those of each term begin, and how many they are."""
+        times = np.bincount(self.place[entries], minlength=len(self.terms))
+        return self.own.of[entries[np.argsort(self.place[entries], kind="stable")]], np.cumsum(times) - times, times
+
+    def candidates(self, visitors: _Vectors, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (visitor, own) that may reach the threshold, each once, by visitor, of those that ``wanted`` (visitor, own) leaves.
+
+        One of the two holds a shared term among its rarest. Terms that none of these documents holds are the rarest of all.
+        """
+        at = np.minimum(np.searchsorted(self.terms, visitors.terms), len(self.terms) - 1)
+        hit = self.terms[at] == visitors.terms
+        mine = visitors.rarest(np.where(hit, self.times[at], 0), self.free)
+        looked = [(np.sort(mine[hit[mine]]), self.all), (np.flatnonzero(hit), self.rare)]
+        work = sum(np.bincount(visitors.of[e], times[at[e]], len(visitors.n)) for e, (_, _, times) in looked)
+        share = (np.cumsum(work) // VISITED).astype(np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(share)) + 1), len(work)]
+        for s, e in zip(edges, edges[1:], strict=False):
+            keys = []
+            for entries, (docs, first, times) in looked:
+                part = entries[np.searchsorted(visitors.of[entries], s) : np.searchsorted(visitors.of[entries], e)]
+                n = times[at[part]]
+                keys.append(np.repeat(visitors.of[part], n) * len(self.own.n) + docs[_spans(first[at[part]], n)])
+            i, j = np.divmod(np.unique(np.concatenate(keys)), len(self.own.n))
+            good = wanted(i, j)
+            i, j = i[good], j[good]
+            for k in range(0, len(i), CELL):
+                good = _possible(visitors, i[k : k + CELL], self.own, j[k : k + CELL], self.threshold)
+                yield i[k : k + CELL][good], j[k : k + CELL][good]
+
+    def matches(self, visitors: _Vectors, wanted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Visitors, own documents and scores of the pairs that reach the threshold."""
+        ratio, own = (IDF_SHARED / IDF_ONCE) ** 2, self.own
+        dense = np.zeros(len(self.terms))
+        for i, j in self.candidates(visitors, wanted):
+            edges = [0, *(np.flatnonzero(np.diff(i)) + 1), len(i)] if len(i) else [0]
+            for s, e in zip(edges, edges[1:], strict=False):
+                mine = slice(visitors.first[i[s]], visitors.first[i[s]] + visitors.lengths[i[s]])
+                term, tf, docs = visitors.terms[mine], visitors.tf[mine], j[s:e]
+                at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+                hit = self.terms[at] == term
+                dense[at[hit]] = tf[hit]
+                size, mean = visitors.size[i[s]], np.maximum((own.size[docs] + visitors.size[i[s]]) / 2, 1)
+                norm, other = K1 * (1 - B + B * size / mean), K1 * (1 - B + B * own.size[docs] / mean)
+                value, often = np.unique(tf, return_counts=True)
+                total = (often * (value * (K1 + 1) / (value + norm[:, None])) ** 2).sum(1)
+                entry, of = _spans(own.first[docs], own.lengths[docs]), np.repeat(np.arange(e - s), own.lengths[docs])
+                v = own.tf[entry] * (K1 + 1) / (own.tf[entry] + other[of])
+                x = dense[self.place[entry]]
+                theirs, both = np.bincount(of, v * v, e - s), x > 0
+                x, v, of = x[both], v[both], of[both]
+                u = x * (K1 + 1) / (x + norm[of])
+                dot, l2, r2 = (np.bincount(of, w, e - s) for w in (u * v, u * u, v * v))
+                dense[at[hit]] = 0
+                score = ratio * dot / np.sqrt((total - (1 - ratio) * l2) * (theirs - (1 - ratio) * r2))
+                good = score >= self.threshold - 1e-12
+                if good.any():
+                    yield i[s:e][good], docs[good], score[good]
+
+
+def blocks(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """block, and the documents, numbers of terms, terms and counts of its probes and of its other documents, one after the other.
+
+    ``found``: doc, terms, tfs, maybe with copies and with others; ``docs``: doc, probe of those that are taken. A block has about ``PART``
+    documents, fewer where they are long.
     """
-    parts = max(RANGES // 4, -(-found.count() // PART))
-    own = found.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int")).withColumn("visits", F.lit(False))
-    visits = found.join(probes, "doc", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("visits", F.lit(True))
-    schema = t.StructType([t.StructField("a", found.schema["doc"].dataType), t.StructField("b", found.schema["doc"].dataType), t.StructField("score", t.DoubleType())])
+    parts = max(RANGES // 4, -(-docs.count() // PART))
+    empty = F.lit(None).cast("binary")
+    wanted = docs.select("doc", "probe", empty.alias("terms"), empty.alias("tfs"))
+    dealt = wanted.unionByName(found.select("doc", F.lit(None).cast("boolean").alias("probe"), "terms", "tfs")).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
+    kinds = [t.StructField("docs", t.ArrayType(docs.schema["doc"].dataType)), *(t.StructField(s, t.BinaryType()) for s in ("lengths", "terms", "tfs"))]
+    schema = t.StructType([t.StructField("block", t.LongType()), *(t.StructField(f"{s}_{f.name}", f.dataType) for s in ("probe", "other") for f in kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, index, docs = None, [], None, None
-        for batch in batches:  # sorted by part, its own documents first
-            keys = batch.column("part").to_numpy() * 2 + batch.column("visits").to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), batch.num_rows]
-            for s, e in zip(edges, edges[1:], strict=False):
-                if s == e:
-                    continue
-                rows = batch.slice(s, e - s)
-                if keys[s] // 2 != part:
-                    part, held, index = keys[s] // 2, [], None
-                if not keys[s] % 2:
-                    held.append(rows)
-                    continue
-                if index is None:
-                    if not held:
-                        continue
-                    table = pa.Table.from_batches(held)
-                    index, docs, held = _Index(table.column("terms").to_pylist(), table.column("tfs").to_pylist()), table.column("doc").combine_chunks(), []
-                for k, (term, tf) in enumerate(zip(rows.column("terms").to_pylist(), rows.column("tfs").to_pylist(), strict=True)):
-                    score = index.scores(np.frombuffer(term, np.uint64), np.frombuffer(tf, np.uint32).astype(float))
-                    j = np.flatnonzero(score >= threshold - 1e-12)
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([rows.column("doc").take(pa.array(np.full(len(j), k))), docs.take(pa.array(j)), pa.array(score[j])], names=schema.names)
-
-    dealt = own.unionByName(visits).repartition(parts, "part").sortWithinPartitions("part", "visits")
-    both = dealt.mapInArrow(run, schema).where("a != b")
-    return both.groupBy(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).agg(F.max("score").alias("score"))
+        part, number, entries, doc, probe = None, 0, 0, None, None
+        held: list[list[tuple]] = [[], []]
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal number, entries
+            if entries:
+                columns = [pa.array([(part << 24) + number], pa.int64())]
+                for rows in held:
+                    ids = pa.concat_arrays([x for x, _, _ in rows]) if rows else nothing
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+                    counts = np.frombuffer(b"".join(tfs for _, _, tfs in rows), np.uint32)
+                    counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+                    columns += [pa.array([x], pa.binary()) for x in (np.array([len(terms) // 8 for _, terms, _ in rows], np.uint32).tobytes(), b"".join(terms for _, terms, _ in rows), counts.tobytes())]
+                    rows.clear()
+                number, entries = number + 1, 0
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:  # sorted by part and document, what tells whether it is a probe first
+            ids = batch.column("doc")
+            nothing = ids.slice(0, 0)
+            columns = (batch.column("part").to_pylist(), _keys(ids), batch.column("probe").to_pylist(), batch.column("terms").to_pylist(), batch.column("tfs").to_pylist())
+            for row, (at, key, kind, terms, tfs) in enumerate(zip(*columns, strict=True)):
+                if at != part:
+                    yield from ended()
+                    part, number, doc = at, 0, None
+                if terms is None:
+                    doc, probe = key, kind
+                elif key == doc:
+                    held[not probe].append((ids.slice(row, 1), terms, tfs))
+                    entries, doc = entries + len(terms) // 8, None  # its copies are left out
+                    if entries > ENTRIES:
+                        yield from ended()
+        yield from ended()
+
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "doc", F.col("terms").isNotNull()).mapInArrow(run, schema)
+
+
+def probe_scores(texts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """left, right (left < right), score of every pair of ``docs`` (doc, probe) with a probe that reaches the threshold.
+
+    ``texts``: doc, text, maybe with copies and with others. For thresholds so low that sketches rule out too little by one side: every
+    block indexes its documents and is visited by the probes of every block, which are read where they are and not dealt out.
+    """
+    made = materialise(blocks(vectors(likely(texts, docs)), docs), "metadata-blocks", "none")  # hashes don't shrink
+    # a file a block: probes of some blocks are read together, so that a block's index is made once for them
+    visits = made.where(F.size("probe_docs") > 0).select(F.col("block").alias("visits"), *(F.col(f"probe_{s}").alias(f"visit_{s}") for s in ("docs", "lengths", "terms", "tfs")))
+    both = made.crossJoin(visits.coalesce(max(1, visits.rdd.getNumPartitions() // TOGETHER)))
+    schema = t.StructType([t.StructField("a", docs.schema["doc"].dataType), t.StructField("b", docs.schema["doc"].dataType), t.StructField("score", t.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, index, ids, probes = None, None, None, 0
+        for batch in batches:
+            for row in range(batch.num_rows):  # by block
+                x = {s: batch.column(s)[row] for s in batch.schema.names}
+                if x["block"].as_py() != block:
+                    block, probes, index = x["block"].as_py(), len(x["probe_docs"]), None  # the former one goes before
+                    index = _Index(_Vectors(*(tuple(x[f"{k}_{s}"].as_py() for s in ("lengths", "terms", "tfs")) for k in ("probe", "other"))), threshold)
+                    ids = pa.concat_arrays([x["probe_docs"].values, x["other_docs"].values])
+                at, visitors = x["visits"].as_py(), _Vectors(tuple(x[f"visit_{s}"].as_py() for s in ("lengths", "terms", "tfs")))
+                # two probes meet in one of their blocks only
+                for i, j, score in index.matches(visitors, lambda i, j, at=at: (j >= probes) | (at < block) | ((at == block) & (i < j))):
+                    yield pa.RecordBatch.from_arrays([x["visit_docs"].values.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)], names=schema.names)
+
+    scores = materialise(both.mapInArrow(run, schema).select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "score"), "metadata-scores")
+    discard(made)
+    return scores
+
+def marked(docs: DataFrame, probes: DataFrame) -> DataFrame:
+    """doc, probe: which of the documents are probes; written, as it is read several times."""
+    return materialise(docs.join(probes.withColumn("probe", F.lit(True)), "doc", "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "metadata-probes")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -433,9 +557,8 @@ def matches(docs: DataFrame, threshold: float, probes: DataFrame | None = None)
         return sketched_scores(docs, found, threshold, own), member
     if threshold > 0 and probes is not None:
         member = materialise(member, "metadata-members")
-        found = materialise(vectors(docs).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "metadata-vectors")
         own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct()
-        return materialise(probe_scores(found, own, threshold), "metadata-scores"), member
+        return probe_scores(docs, marked(member.where("doc = rep").select("doc").distinct(), own), threshold), member
     distinct = docs.join(member.where("doc = rep"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
     found = materialise(terms(distinct), "metadata-terms")  # read by several branches of the plan
     own = member.join(probes, "doc", "left_semi").select(F.col("rep").alias("doc")).distinct() if probes is not None else None
@@ -551,6 +674,47 @@ def contract_pairs(own: DataFrame, links: DataFrame, left: DataFrame) -> DataFra
     return alike.unionByName(mixed.select("left", "right")).distinct()
 
 
+def token_pairs(own: DataFrame, left: DataFrame) -> DataFrame:
+    """left, right, left_doc, right_doc: EVM contracts, left one of ``left`` (contract), and the documents on which they are compared.
+
+    ``own``: anchors with ``doc``. These are all pairs of contracts (their NFTs are not paired): one document is scored for each.
+    """
+    k = F.col("token_key")
+    key = F.concat(k["other"].cast("string"), F.lpad(k["digits"].cast("string"), 10, "0"), F.when(k["other"] == 0, k["text"]).otherwise(""), k["raw"])  # sorted like token_key
+    held = own.where("chain != 'solana'").groupBy("member", "contract").agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), "doc"))).alias("tokens"))
+    held = materialise(held.select("member", "contract", F.col("tokens.key").alias("keys"), F.col("tokens.doc").alias("docs")), "member-tokens")
+    l, r = (frame.select(*(F.col(c).alias(f"{s}_{c}") for c in held.columns)) for s, frame in (("l", held.join(left, "contract", "left_semi")), ("r", held)))
+    both = l.crossJoin(r).where("l_contract != r_contract").withColumn("largest", F.array_max(F.array_intersect("l_keys", "r_keys")))
+
+    def doc(s: str) -> Column:
+        return F.when(F.col("largest").isNull(), F.element_at(f"{s}_docs", -1)).otherwise(F.element_at(f"{s}_docs", F.array_position(f"{s}_keys", F.col("largest")).cast("int")))
+
+    return both.select(F.col("l_member").alias("left"), F.col("r_member").alias("right"), doc("l").alias("left_doc"), doc("r").alias("right_doc"))
+
+
+def seed_pairs(nft: DataFrame, own: DataFrame, threshold: float, left: DataFrame) -> DataFrame:
+    """left, right: the pairs of ``member_pairs``, left one of the contracts ``left`` (contract), for low thresholds.
+
+    ``own``: anchors with ``doc`` only. Only documents on which members are compared are scored: pairs with a Solana NFT depend on the
+    largest document of each side, and of two EVM contracts one pair of documents counts.
+    """
+    texts = numbered(nft.where(F.col("body").isNotNull())).select("doc", F.col("body").alias("text"))
+    top = materialise(own.groupBy("member", "contract", "chain").agg(F.max_by("doc", "token_key").alias("doc")), "member-documents")
+    first = top.join(left, "contract", "left_semi")
+    docs = marked(top.select("doc").distinct(), first.select("doc").distinct())
+    links = probe_scores(texts, docs, threshold)
+    link = both_ways(links).unionByName(docs.select("doc", F.col("doc").alias("peer")))
+    l, r = (frame.select(*(F.col(c).alias(f"{s}_{c}") for c in top.columns)) for s, frame in (("l", first), ("r", top)))
+    mixed = l.join(link.select(F.col("doc").alias("l_doc"), F.col("peer").alias("r_doc")), "l_doc").join(r, "r_doc").where("l_contract != r_contract and (l_chain = 'solana' or r_chain = 'solana')")
+
+    pairs = materialise(token_pairs(own, left), "member-pairs")
+    a, b = F.col("left_doc"), F.col("right_doc")
+    chosen = pairs.where(a != b).select(F.least(a, b).alias("left"), F.greatest(a, b).alias("right")).distinct()
+    near = vector_scores(texts, materialise(chosen, "metadata-candidates")).where(F.col("score") >= threshold - 1e-12)
+    alike = pairs.join(both_ways(near).select(F.col("doc").alias("left_doc"), F.col("peer").alias("right_doc")), ["left_doc", "right_doc"]).unionByName(pairs.where(a == b).select("left_doc", "right_doc", "left", "right"))
+    return mixed.select(F.col("l_member").alias("left"), F.col("r_member").alias("right")).unionByName(alike.select("left", "right"))
+
+
 def document_links(own: DataFrame, threshold: float, probes: DataFrame | None = None) -> DataFrame:
     """doc, peer: ordered pairs of different matching documents of the anchors; with ``probes`` (doc), those of a probe."""
     return both_ways(matches(own.select("doc", "text"), threshold, probes)[0])

@@ -189,10 +189,10 @@ def metadata_scopes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("d15_seed_metadata", N + DQ.PAIRED_SQL.replace("{threshold}", "0.2") + """, x2 AS (SELECT l AS seed, r AS other FROM mt UNION ALL SELECT r, l FROM mt) SELECT DISTINCT seed, other FROM x2 WHERE seed LIKE '%/src1%'""")
 def seed_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    own = materialise(metadata.with_documents(metadata.anchors(nft(spark, folder))), "metadata-anchors")
-    mine = own.where("contract LIKE '%/src1%'")
-    links = materialise(metadata.document_links(own, 0.2, mine.select("doc").distinct()), "seed-links")
-    return metadata.member_pairs(own, links, mine.select("member").distinct()).select(F.col("left").alias("seed"), F.col("right").alias("other"))
+    rows = nft(spark, folder)
+    own = materialise(metadata.anchors(metadata.numbered(rows), "doc", "doc"), "metadata-anchors")
+    seeds = materialise(own.where("contract LIKE '%/src1%'").select("contract").distinct(), "seeds")
+    return metadata.seed_pairs(rows, own, 0.2, seeds).select(F.col("left").alias("seed"), F.col("right").alias("other"))
 
 
 @query("d16_seed_overlay", N + DQ.SEEDS_SQL + " SELECT chain, contract, token_id, CASE WHEN EXISTS (SELECT 1 FROM seeds WHERE seed_chain = chain AND seed_contract = contract) THEN 'live' ELSE 'snapshot' END AS origin, count(*) AS n FROM nft GROUP BY ALL")

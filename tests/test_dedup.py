@@ -266,6 +266,59 @@ def test_anchors_of_queries_hold_no_texts(spark, small, name):
     assert made and all("text" not in spark.read.parquet(str(x)).columns for x in made)
 
 
+def test_seed_metadata_deals_out_no_texts_and_no_copies_of_probes(spark, small):
+    """Each document's vector is dealt out once, those of probes not once for each part, and only those on which members are compared."""
+    scratch = Path(scratch_dir(spark))
+    before = set(scratch.glob("*"))
+    plan = registry.QUERIES["d15_seed_metadata"](spark, small)
+    made = set(scratch.glob("*")) - before
+    tables = {label: spark.read.parquet(str(next(x for x in made if x.name.startswith(label)))) for label in ("metadata-anchors", "metadata-probes", "metadata-scores")}
+    assert "text" not in tables["metadata-anchors"].columns
+    assert tables["metadata-probes"].count() < tables["metadata-anchors"].select("doc").distinct().count() * 0.6
+    assert plan.columns == ["seed", "other"] and not [x for x in made if x.name.startswith("metadata-vectors")]
+
+
+@pytest.mark.parametrize("entries", [20, 1 << 20])
+def test_seed_pairs_are_those_of_members(spark, monkeypatch, entries):
+    monkeypatch.setattr(metadata, "ENTRIES", entries)
+    rng = random.Random(8)
+    texts = list(random_texts(24).values())
+    rows = [(rng.choice(["base", "ethereum", "solana"]), f"c{rng.randint(0, 5)}", rng.choice(["1", "2", "03", "3", "10", "x", "1x"]), "n", "t", "i", rng.choice([*texts, None, ""]), i) for i in range(90)]
+    own = spark.createDataFrame(rows, SCHEMA)
+    anchors = metadata.anchors(metadata.numbered(own), "doc", "doc")
+    left = anchors.where("contract like '%/c1' or contract like '%/c2'").select("contract").distinct()
+    members = anchors.join(left, "contract").select("member").distinct()
+    text = {r.doc: r.body for r in metadata.numbered(own).select("doc", "body").collect() if r.body is not None}
+    near = [(a, b) for a, b in itertools.permutations(text, 2) if text[a] and text[b] and brute_bm25(text[a], text[b]) >= 0.2]
+    links = spark.createDataFrame(near, anchors.select(F.col("doc"), F.col("doc").alias("peer")).schema)
+    want = {tuple(r) for r in metadata.member_pairs(anchors, links, members).collect()}
+    got = [tuple(r) for r in metadata.seed_pairs(own, anchors, 0.2, left).collect()]
+    assert len(got) > 20 and any("solana" not in a + b for a, b in got) and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("visited", [50, 250_000])
+def test_rarest_terms_of_either_side_lose_no_match(monkeypatch, visited):
+    """Documents of a few thousand terms, of which a match shares many or few: candidates hold every match of brute force."""
+    monkeypatch.setattr(metadata, "VISITED", visited)
+    rng = random.Random(4)
+    words = [[f"w{rng.randint(0, 4000)}" for _ in range(rng.choice([3, 30, 400]))] for _ in range(40)]
+    for own in words[:30]:
+        words.append([w if rng.random() < 0.85 else f"v{rng.randint(0, 4000)}" for w in own] + [f"u{k}" for k in range(rng.choice([0, len(own) // 2]))])
+    counts = [{hash(w) % (1 << 64): own.count(w) for w in own} for own in words]
+    texts = [" ".join(own) for own in words]
+
+    def packed(docs):
+        pairs = [sorted(x.items()) for x in docs]
+        return tuple(metadata.np.array(x, kind).tobytes() for x, kind in (([len(p) for p in pairs], "u4"), ([k for p in pairs for k, _ in p], "u8"), ([v for p in pairs for _, v in p], "u1")))
+
+    index = metadata._Index(metadata._Vectors(packed(counts[:35]), packed(counts[35:])), 0.2)
+    visitors = metadata._Vectors(packed(counts[::3]))
+    found = {(i * 3, j): x for a, b, score in index.matches(visitors, lambda i, j: i * 3 != j) for i, j, x in zip(a.tolist(), b.tolist(), score.tolist(), strict=True)}
+    want = {(i, j): brute_bm25(texts[i], texts[j]) for i in range(0, 70, 3) for j in range(70) if i != j}
+    want = {k: v for k, v in want.items() if v >= 0.2}
+    assert len(want) > 10 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_contract_pairs_are_those_of_members(spark):
     rng = random.Random(3)
     texts = list(random_texts(14).values())
